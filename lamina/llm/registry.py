@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from lamina.llm.bpe import op1_byte_bpe
+from lamina.llm.gif import op4_gif
 from lamina.llm.packing import op3_packing
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packing": op3_packing,
+    "op4_gif": op4_gif,
 }
 
 ORACLES: dict[str, str] = {}
