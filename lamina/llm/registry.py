@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from lamina.llm.bpe import op1_byte_bpe
 from lamina.llm.gif import op4_gif
+from lamina.llm.language import op6_language_id
 from lamina.llm.packing import op3_packing
+from lamina.llm.quality import op5_quality
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packing": op3_packing,
     "op4_gif": op4_gif,
+    "op5_quality": op5_quality,
+    "op6_language_id": op6_language_id,
 }
 
 ORACLES: dict[str, str] = {}
