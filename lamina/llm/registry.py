@@ -5,6 +5,7 @@ from __future__ import annotations
 from lamina.llm.bpe import op1_byte_bpe
 from lamina.llm.gif import op4_gif
 from lamina.llm.language import op6_language_id
+from lamina.llm.near_dedup import op9_near_dedup
 from lamina.llm.packing import op3_packing
 from lamina.llm.quality import op5_quality
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_gif": op4_gif,
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
