@@ -7,6 +7,7 @@ from lamina.llm.gif import op4_gif
 from lamina.llm.language import op6_language_id
 from lamina.llm.near_dedup import op9_near_dedup
 from lamina.llm.packing import op3_packing
+from lamina.llm.secrets import op7_secrets
 from lamina.llm.quality import op5_quality
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_gif": op4_gif,
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
+    "op7_secrets": op7_secrets,
     "op9_near_dedup": op9_near_dedup,
 }
 
