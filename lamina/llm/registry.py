@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lamina.llm.bpe import op1_byte_bpe
+from lamina.llm.fingerprints import op8_fingerprints
 from lamina.llm.gif import op4_gif
 from lamina.llm.language import op6_language_id
 from lamina.llm.near_dedup import op9_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_secrets": op7_secrets,
+    "op8_fingerprints": op8_fingerprints,
     "op9_near_dedup": op9_near_dedup,
 }
 
