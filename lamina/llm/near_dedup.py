@@ -69,11 +69,10 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """Per text the sorted hashes of its different shingles. Words end at ASCII white space; only A-Z are lower-cased."""
     start = 0
     for stop in slices(texts):
-        part = pc.ascii_lower(pc.fill_null(texts.slice(start, stop - start).cast(pa.large_string()), ""))
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.slice(start, stop - start).cast(pa.large_string()), ""))
         start = stop
-        split = pc.ascii_split_whitespace(part)
         coded = split.flatten().dictionary_encode()
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()] or [0], "u8")
+        hashes = np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()] or [0], "u8")  # bytes: A-Z alone become lower case
         filled = np.asarray(pc.greater(pc.binary_length(coded.dictionary), 0))
         codes = np.asarray(coded.indices)
         bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
