@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from lamina.functions import labels as L
 from lamina.functions import scalars, sequences
-from lamina.operators import audit, conformal, decisions, distances, features, metrics, resample, selection, thresholds, votes
+from lamina.operators import audit, conformal, decisions, distances, features, metrics, models, resample, selection, thresholds, votes
 from lamina.plans import reads as R
+from lamina.sources import delimited, simulate
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -572,3 +573,48 @@ def hierarchical_bootstrap(spark, sf_dir):
     c = R.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("seed"), F.col("c_mktsegment").alias("category"), "c_acctbal")
     s = resample.hierarchical(c, "seed", ["category"], ["c_custkey"], {"negative_rate": ((F.col("c_acctbal") < 0).cast("double"), F.lit(1.0))}, 20)
     return rounded(resample.intervals(s, ["negative_rate"]), "metric")
+
+
+# models, sources and channel
+
+
+@query("proxy_scores")
+def proxy_scores(spark, sf_dir):
+    """A logistic score over principal components; held against a plain fit in the tests."""
+    e = R.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") >= 8).cast("int").alias("anomaly"))
+    return e.select("vec_id", F.round(models.proxy_score("embedding", models.fit_proxy(e, "embedding", "anomaly", 4)), 4).alias("proxy_score"))
+
+
+@query("simulated_references")
+def simulated_references(spark, sf_dir):
+    return simulate.references(spark, [*L.KNOWN, "NoECC-Random", "NoECC-Constrained", "ReedSolomon", "Turbo", "Hamming", "LT-XOR"], 2, 4)
+
+
+@query("channel_statistics")
+def channel_statistics(spark, sf_dir):
+    refs = simulate.references(spark, ["BCH", "NoECC-Random"], 2, 5)
+    return rounded(simulate.channel_statistics(simulate.reads(refs, 10, 0.05)), "reads", "length_min", "length_max")
+
+
+@query("distinct_types", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT text) AS BIGINT) AS distinct_texts FROM documents")
+def distinct_types(spark, sf_dir):
+    return R.table(spark, sf_dir, "documents").agg(big(F.count("*"), "n"), big(F.count_distinct("text"), "distinct_texts"))
+
+
+@query("degree_histogram", "SELECT degree, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(count(*) AS BIGINT) AS degree FROM lineitem GROUP BY l_orderkey) GROUP BY degree")
+def degree_histogram(spark, sf_dir):
+    d = R.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("degree"))
+    return d.groupBy("degree").agg(big(F.count("*"), "n"))
+
+
+@query("union_of_columns", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(c_custkey) AS BIGINT) AS customers, CAST(count(s_suppkey) AS BIGINT) AS suppliers FROM (SELECT c_custkey, c_name, NULL AS s_suppkey FROM customer UNION ALL SELECT NULL, s_name, s_suppkey FROM supplier)")
+def union_of_columns(spark, sf_dir):
+    u = delimited.union_of_columns([R.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name")), R.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"))])
+    return u.agg(big(F.count("*"), "n"), big(F.count("c_custkey"), "customers"), big(F.count("s_suppkey"), "suppliers"))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(avg(v), 6) AS vote FROM (SELECT ts, event_type, value AS v FROM events) GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """The batch form of the streaming vote's event-time windows."""
+    e = R.table(spark, sf_dir, "events")
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(big(F.count("*"), "n"), r6(F.avg("value"), "vote")).select(F.col("w.start").alias("start"), "event_type", "n", "vote")
