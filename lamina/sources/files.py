@@ -21,7 +21,7 @@ def verify(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return audit.snapshot_diff(expected, actual, "path", "sha256")
 
 
-def weights(inventory: DataFrame, pattern: str = r"(?P<task>\w+?)_(?P<model>\w+?)_f1_(?P<f1>[0-9.]+)\.\w+$", expected: DataFrame | None = None) -> DataFrame:
+def weights(inventory: DataFrame, pattern: str = r"(\w+?)_(\w+?)_f1_([0-9.]+)\.\w+$", expected: DataFrame | None = None) -> DataFrame:
     """Files whose names tell a task, a model and a score; with ``expected`` (path, sha256) also whether the content is the known one."""
     named = inventory.where(F.col("path").rlike(pattern)).select("*", *[F.regexp_extract("path", pattern, i + 1).alias(n) for i, n in enumerate(("task", "model"))], F.regexp_extract("path", pattern, 3).cast("double").alias("f1"))
     if expected is None:
