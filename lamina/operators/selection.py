@@ -29,10 +29,10 @@ def states(candidate: dict, thresholds: dict[tuple[float, str], float]) -> Colum
 
 
 def candidate_metrics(scores: DataFrame, family: str, candidates: list[dict], thresholds: dict[tuple[float, str], float]) -> DataFrame:
-    """One row per family and candidate: shares of the three states. All candidates come from one pass over the scores."""
-    wide = scores.groupBy(family).agg(*[F.avg((states(c, thresholds) == s).cast("double")).alias(f"{s}_{i}") for i, c in enumerate(candidates) for s in ("known_ecc", "unknown_ecc", "uncertain_ecc")])
-    each = F.explode(F.array(*[F.struct(F.lit(c["name"]).alias("candidate"), *[F.col(f"{s}_{i}").alias(s) for s in ("known_ecc", "unknown_ecc", "uncertain_ecc")]) for i, c in enumerate(candidates)]))
-    return wide.select(family, each.alias("__c")).select(family, "__c.*")
+    """One row per family and candidate: shares of the three states. One pass over the scores; the rows of a task are summed before the shuffle."""
+    each = F.explode(F.array(*[F.struct(F.lit(c["name"]).alias("candidate"), states(c, thresholds).alias("state")) for c in candidates]))
+    long = scores.select(family, each.alias("__c")).select(family, "__c.candidate", "__c.state")
+    return long.groupBy(family, "candidate").agg(*[F.avg((F.col("state") == s).cast("double")).alias(s) for s in ("known_ecc", "unknown_ecc", "uncertain_ecc")])
 
 
 def select(metrics: DataFrame, family: str, mode: str, by: list[str] | None = None, known: str = "known") -> DataFrame:
