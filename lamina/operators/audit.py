@@ -77,3 +77,14 @@ def fail_closed(audit: DataFrame) -> DataFrame:
 def xor_blocks(members: DataFrame, blocks: DataFrame, droplet: str, block: str, value: str) -> DataFrame:
     """XOR of the source blocks of each droplet: members pairs droplets with blocks."""
     return members.join(blocks, block).groupBy(droplet).agg(F.count("*").alias("degree"), F.bit_xor(value).alias(value))
+
+
+def composition(df: DataFrame, sequence: str, by: str) -> DataFrame:
+    """Per group: GC mean and deviation, mean and 95 % quantile of the longest run, and how far the pooled neighbour pairs are from uniform (sum of absolute gaps)."""
+    s = F.col(sequence)
+    names = [a + b for a in sequences.BASES for b in sequences.BASES]
+    counts = [F.regexp_count(s, F.lit(f"{p[0]}(?={p[1]})")).alias(p) for p in names]
+    rows = df.select(by, sequences.gc_fraction(s).alias("__g"), sequences.longest_run(s).alias("__r"), *counts)
+    whole = F.greatest(sum((F.sum(p) for p in names), F.lit(0)), F.lit(1))
+    gap = sum((F.abs(F.sum(p) / whole - 1 / 16) for p in names), F.lit(0.0))
+    return rows.groupBy(by).agg(F.avg("__g").alias("gc_mean"), F.stddev_pop("__g").alias("gc_std"), F.avg("__r").alias("run_mean"), F.percentile("__r", 0.95).alias("run_q95"), gap.alias("pair_distance"))

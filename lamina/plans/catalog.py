@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lamina.functions import labels as L
 from lamina.functions import scalars, sequences
-from lamina.operators import audit, conformal, decisions, distances, features, metrics, models, resample, selection, thresholds, votes
+from lamina.operators import audit, checks, conformal, decisions, distances, features, metrics, models, resample, selection, thresholds, votes
 from lamina.plans import reads as R
 from lamina.sources import delimited, simulate
 
@@ -618,3 +618,25 @@ def event_windows(spark, sf_dir):
     """The batch form of the streaming vote's event-time windows."""
     e = R.table(spark, sf_dir, "events")
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(big(F.count("*"), "n"), r6(F.avg("value"), "vote")).select(F.col("w.start").alias("start"), "event_type", "n", "vote")
+
+
+@query("archive_specs", f"""WITH c AS (SELECT unnest({list(L.TRUTH)}) AS truth), i AS (SELECT CAST(unnest(range(10)) AS INT) AS archive_index)
+SELECT 46 AS seed, truth, CASE WHEN truth <> 'no_ecc' THEN truth WHEN archive_index < 5 THEN 'NoECC-Random' ELSE 'NoECC-Constrained' END AS subtype, archive_index, 'seed46:' || truth || ':' || lpad(CAST(archive_index AS VARCHAR), 3, '0') AS archive_id FROM c CROSS JOIN i""")
+def archive_specs(spark, sf_dir):
+    return simulate.archive_specs(spark, list(L.TRUTH), 10, 46)
+
+
+_PAIRS = [a + b for a in sequences.BASES for b in sequences.BASES]
+
+
+@query("composition", f"""WITH {_SEQ}, p AS (SELECT lang, substr(s, i, 2) AS pair, count(*) AS n FROM (SELECT lang, s, unnest(range(1, length(s))) AS i FROM q) GROUP BY ALL), langs AS (SELECT DISTINCT lang FROM q), grid AS (SELECT lang, unnest({_PAIRS}) AS pair FROM langs),
+d AS (SELECT lang, sum(abs(coalesce(n, 0) / t - 1 / 16)) AS pair_distance FROM grid LEFT JOIN p USING (lang, pair) JOIN (SELECT lang, sum(n) AS t FROM p GROUP BY lang) USING (lang) GROUP BY lang),
+r AS (SELECT lang, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / length(s) END AS g, coalesce(list_max(list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x))), 0) AS r FROM q)
+SELECT lang, round(avg(g), 6) AS gc_mean, round(stddev_pop(g), 6) AS gc_std, round(avg(r), 6) AS run_mean, round(quantile_cont(r, 0.95), 6) AS run_q95, round(max(pair_distance), 6) AS pair_distance FROM r JOIN d USING (lang) GROUP BY lang""")
+def composition(spark, sf_dir):
+    return rounded(audit.composition(_sequences(spark, sf_dir), "s", "lang"), "lang")
+
+
+@query("self_checks")
+def self_checks(spark, sf_dir):
+    return checks.run(spark)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import codes, sequences
@@ -64,3 +64,25 @@ def channel_statistics(found: DataFrame) -> DataFrame:
     """Rates of the three events per template base, and read lengths."""
     n = F.sum("template_length")
     return found.agg(F.count("*").alias("reads"), *[(F.sum(c) / n).alias(f"{c}_rate") for c in ("insertions", "deletions", "substitutions")], F.avg(F.length("sequence")).alias("length_mean"), F.stddev_pop(F.length("sequence")).alias("length_std"), F.min(F.length("sequence")).alias("length_min"), F.max(F.length("sequence")).alias("length_max"))
+
+
+def archive_specs(spark: SparkSession, categories: list[str], archives: int, seed: int) -> DataFrame:
+    """One row per archive to be made: key, truth, and the subtype (uncoded archives are random in the first half, constrained in the second)."""
+    n = F.lit(archives)
+    rows = spark.range(len(categories) * archives).select(F.element_at(F.array(*map(F.lit, categories)), (F.col("id") / n).cast("int") + 1).alias("truth"), (F.col("id") % n).cast("int").alias("archive_index"))
+    half = F.when(F.col("archive_index") < archives // 2, "NoECC-Random").otherwise("NoECC-Constrained")
+    key = F.concat_ws(":", F.lit(f"seed{seed}"), "truth", F.lpad(F.col("archive_index").cast("string"), 3, "0"))
+    return rows.select(F.lit(seed).alias("seed"), "truth", F.when(F.col("truth") == "no_ecc", half).otherwise(F.col("truth")).alias("subtype"), "archive_index", key.alias("archive_id"))
+
+
+def encoder_seed(category: Column, split: Column, archive: Column, molecule: Column) -> Column:
+    """Seed that tells which encoder made a molecule: random codes by split and variant, fixed ones by variant, uncoded ones by molecule."""
+    variant = (archive + molecule) % 4
+    sizes = F.element_at(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in codes.SIZES]), (variant + 1).cast("int"))
+    return (
+        F.when(category == "LDPC", sequences.stable_seed(F.lit("ldpc-encoder"), split, variant, sizes["n"], sizes["k"]))
+        .when(category == "Polar", sequences.stable_seed(F.lit("polar-encoder"), split, variant, sizes["n"], sizes["k"]))
+        .when(category == "BCH", sequences.stable_seed(F.lit("fixed-bch-encoder-provenance"), variant))
+        .when(category == "Convolutional", sequences.stable_seed(F.lit("fixed-convolutional-encoder-provenance"), variant))
+        .otherwise(sequences.stable_seed(F.lit("no-ecc-no-encoder-provenance"), split, category, archive, molecule))
+    )

@@ -267,3 +267,10 @@ def test_gzip_lines_are_read(spark, tmp_path):
     with gzip.open(tmp_path / "r.fasta.gz", "wt") as f:
         f.write(">a\nAC\nGT\n")
     assert fasta.read(spark, str(tmp_path / "r.fasta.gz")).first().sequence == "ACGT"
+
+
+def test_encoder_seeds_tell_the_encoder(spark):
+    df = spark.createDataFrame([(c, "test", a, m) for c in ("LDPC", "BCH", "no_ecc") for a, m in ((0, 1), (1, 0), (0, 2))], "c string, s string, a int, m int")
+    got = [r[0] for r in df.select(simulate.encoder_seed(F.col("c"), F.col("s"), F.col("a"), F.col("m"))).collect()]
+    assert got[0] == got[1] == Decimal(codes.stable_seed("ldpc-encoder", "test", 1, 64, 48)) and got[0] != got[2]
+    assert got[3] == got[4] == Decimal(codes.stable_seed("fixed-bch-encoder-provenance", 1)) and len(set(got[6:])) == 3
