@@ -292,7 +292,12 @@ def tau1_scan(spark, sf_dir):
     return rounded(thresholds.best_threshold(thresholds.presence_scan(b, "score", F.col("quality") == 1)))
 
 
-@query("calibrate_compare")
+@query("calibrate_compare", f"""WITH {R.ARCHIVES}, cal AS (SELECT ecc_score AS s, CAST(truth <> 'no_ecc' AS INT) AS y, energy_score, truth FROM archives WHERE archive_id % 2 = 0), g AS (SELECT s, sum(y) AS p, sum(1 - y) AS n FROM cal GROUP BY s),
+w AS (SELECT s, lead(s) OVER (ORDER BY s) AS nxt, sum(p) OVER () AS tp_all, sum(n) OVER () AS n_all, sum(p) OVER (ORDER BY s) AS cp, sum(n) OVER (ORDER BY s) AS cn FROM g),
+c AS (SELECT (s + nxt) / 2 AS t, tp_all - cp AS tp, n_all - cn AS fp, tp_all AS p, n_all AS n FROM w WHERE nxt IS NOT NULL UNION ALL SELECT nextafter(min(s), CAST('-inf' AS DOUBLE)), max(tp_all), max(n_all), max(tp_all), max(n_all) FROM w UNION ALL SELECT nextafter(max(s), CAST('inf' AS DOUBLE)), 0, 0, max(tp_all), max(n_all) FROM w),
+f AS (SELECT t, (2.0 * tp / (tp + fp + p) + 2.0 * (n - fp) / ((n - fp) + (p - tp) + n)) / 2 AS f1 FROM c), tau1 AS (SELECT t FROM f WHERE f1 >= (SELECT max(f1) FROM f) - 1e-12 ORDER BY abs(t - 0.5), t LIMIT 1),
+o AS (SELECT energy_score, row_number() OVER (ORDER BY energy_score) AS k, count(*) OVER () AS n FROM cal WHERE {_K}), tau2 AS (SELECT energy_score AS e FROM o WHERE k = greatest(1, ceil(CAST(0.95 AS DOUBLE) * n)))
+SELECT archive_id, truth, closed, CASE WHEN ecc_score < (SELECT t FROM tau1) THEN 'no_ecc' WHEN energy_score > (SELECT e FROM tau2) THEN 'unknown_ecc' ELSE closed END AS output FROM archives WHERE archive_id % 2 = 1""")
 def calibrate_compare(spark, sf_dir):
     """Calibration on one half of the archives, decisions on the other."""
     reads = R.read_scores(spark, sf_dir)
