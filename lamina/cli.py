@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from lamina.session import builder
 
 from lamina.operators import audit
 from lamina.operators.thresholds import Thresholds
@@ -43,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(arguments: list[str] | None = None) -> None:
     a = parser().parse_args(arguments)
-    spark = SparkSession.builder.appName("lamina").getOrCreate()
+    spark = builder("lamina").getOrCreate()
     if a.command == "calibrate":
         t = pipelines.calibrate(logits.validated(logits.load(spark, a.logits)), a.acceptance, a.temperature)
         with open(a.thresholds, "w", encoding="utf-8") as f:
