@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from lamina.llm import common
 
-CACHE_ENTRIES = 600_000  # pieces kept per Python worker, about 30 MB
+CACHE_ENTRIES = 200_000  # pieces kept per Python worker, about 10 MB
 CACHED_LENGTH = 64  # longer pieces hardly repeat
-SLICE_BYTES = 8 << 20  # text handled at once; one longer text is a slice of its own
+SLICE_BYTES = 2 << 20  # text handled at once; one longer text is a slice of its own
 #: Fixed value: the pre-splitting pattern of byte-level BPE vocabularies of this kind.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space inside which a cut before a space would be wrong; texts that hold it are cut piece by piece.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -55,9 +56,13 @@ def sliced(names: list[str], types: list[pa.DataType], rows: Iterable[tuple], li
             columns, size = [[] for _ in names], 0
     if columns[0]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+    give_back()
 
 
-def single_threaded() -> None:
-    """Executors give each task one core; libraries must not start pools of their own."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks, and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

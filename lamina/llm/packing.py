@@ -159,6 +159,8 @@ def pack(docs: DataFrame, vocabulary_file: str, capacity: int = 1024, end_id: in
             for doc, start, length in sequence:
                 rows.append((docs_ids[doc][0], start, length, zlib.crc32(ids[doc][start : start + length]), len(ids[doc]), group << 32 | number, offset))
                 offset += length
+        del ids, docs_ids
+        common.give_back()
         return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), zip(*rows))})
 
     return tokenised(docs, vocabulary_file, end_id, groups).groupBy("pack_group").applyInArrow(run, PIECES)
