@@ -21,8 +21,9 @@ exactly 85 % alike; less where they are more alike). The sample decides about or
 Defined cases: a null or blank text has no shingles, is linked with nothing and stands for
 itself; a text of fewer words than a shingle has one shingle, all its words; sets of
 up to five shingles link to equal sets only, as no other can be 85 % alike; rows that repeat get
-the component of their set, once each; rows of a null doc_id link others but never name a
-component (alone, theirs is null); other columns of the input are not read.
+the component of their set, once each; different texts under one doc_id are one document's, so they
+may be linked through it; a set that only rows of null ids hold is linked with nothing, and its
+component is null; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -363,8 +364,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, the one of the least id (one row of it, where rows repeat)."""
+    """One document of each group of near duplicates, the one of the least id (one row of it, where rows repeat; of null ids, one row of each text)."""
     found = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
     one = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
     return one.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")

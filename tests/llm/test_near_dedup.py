@@ -110,11 +110,11 @@ def test_prefixes_share_a_value():
 
 def test_stage_keeps_one_of_each_group(spark):
     text = "the same words stand here again and again in many rows of a table " * 3
-    rows = [(3, text, "a"), (1, text, "b"), (1, text, "c"), (7, "something else altogether in this one", "d"), (8, None, "e"), (None, "no id here at all", "f"), (9, "", "g")]
+    rows = [(3, text, "a"), (1, text, "b"), (1, text, "c"), (7, "something else altogether in this one", "d"), (8, None, "e"), (None, "no id here at all", "f"), (None, "nor does this one have any", "h"), (None, "no id here at all", "i"), (9, "", "g")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     out = near_dedup.near_dedup_stage(df)
     assert out.columns == df.columns
-    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "7", "8", "9", "None"]
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "7", "8", "9", "None", "None"]
     assert near_dedup.near_dedup_stage(df.limit(0)).count() == 0
 
 
