@@ -436,51 +436,74 @@ def lofo_select(spark, sf_dir):
 _SEQ = "q AS (SELECT doc_id, lang, translate(substr(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 1, 384), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') AS s FROM documents)"
 
 
-def _sequences(spark, sf_dir) -> DataFrame:
-    letters = F.substring(F.regexp_replace("text", "[^a-zA-Z]", ""), 1, 384)
+def _sequences(spark, sf_dir, longest: int | None = None) -> DataFrame:
+    """Texts as base sequences, whole; or their first ``longest`` letters, as the SQL has them."""
+    letters = F.regexp_replace("text", "[^a-zA-Z]", "")
+    letters = letters if longest is None else F.substring(letters, 1, longest)
     s = F.translate(letters, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC")
     return R.table(spark, sf_dir, "documents").select("doc_id", "lang", s.alias("s"))
 
 
-@query("homopolymer", f"WITH {_SEQ}, r AS (SELECT doc_id, length(s) AS n, list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x)) AS runs FROM q) SELECT doc_id, CAST(coalesce(list_max(runs), 0) AS BIGINT) AS longest_run, round(CASE WHEN n = 0 THEN 0 ELSE coalesce(list_sum(list_filter(runs, lambda x: x >= 3)), 0) / n END, 6) AS long_run_fraction FROM r")
-def homopolymer(spark, sf_dir):
-    return _sequences(spark, sf_dir).select("doc_id", big(sequences.longest_run(F.col("s")), "longest_run"), r6(sequences.long_run_fraction(F.col("s")), "long_run_fraction"))
+def sequence_query(name: str, sql: str):
+    """Registers ``name`` over the openings that its SQL reads, and ``name``_whole over whole texts, which is held against a plain version."""
 
+    def add(f):
+        query(name, sql)(lambda spark, sf_dir: f(_sequences(spark, sf_dir, 384)))
+        query(f"{name}_whole")(lambda spark, sf_dir: f(_sequences(spark, sf_dir)))
+        return f
+
+    return add
+
+
+@sequence_query("homopolymer", f"WITH {_SEQ}, r AS (SELECT doc_id, length(s) AS n, list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x)) AS runs FROM q) SELECT doc_id, CAST(coalesce(list_max(runs), 0) AS BIGINT) AS longest_run, round(CASE WHEN n = 0 THEN 0 ELSE coalesce(list_sum(list_filter(runs, lambda x: x >= 3)), 0) / n END, 6) AS long_run_fraction FROM r")
+def homopolymer(q):
+    return q.select("doc_id", big(sequences.longest_run(F.col("s")), "longest_run"), r6(sequences.long_run_fraction(F.col("s")), "long_run_fraction"))
 
-@query("dinucleotide_freq", f"WITH {_SEQ}, p AS (SELECT doc_id, substr(s, i, 2) AS pair, length(s) - 1 AS n FROM (SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM q)) SELECT doc_id, pair, round(count(*) / max(n), 6) AS frequency FROM p GROUP BY doc_id, pair")
-def dinucleotide_freq(spark, sf_dir):
+
+@sequence_query("dinucleotide_freq", f"WITH {_SEQ}, p AS (SELECT doc_id, substr(s, i, 2) AS pair, length(s) - 1 AS n FROM (SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM q)) SELECT doc_id, pair, round(count(*) / max(n), 6) AS frequency FROM p GROUP BY doc_id, pair")
+def dinucleotide_freq(q):
     names = [a + b for a in sequences.BASES for b in sequences.BASES]
-    wide = _sequences(spark, sf_dir).select("doc_id", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("pair"), F.array(*sequences.pair_frequencies(F.col("s"))).alias("f"))).alias("p"))
+    wide = q.select("doc_id", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("pair"), F.array(*sequences.pair_frequencies(F.col("s"))).alias("f"))).alias("p"))
     return wide.select("doc_id", "p.pair", r6("p.f", "frequency")).where("frequency > 0")
 
 
-@query("lag_match", f"WITH {_SEQ} SELECT doc_id, {', '.join(f'round(CASE WHEN length(s) > {k} THEN len(list_filter(range(1, length(s) - {k} + 1), lambda i: substr(s, i, 1) = substr(s, i + {k}, 1))) / (length(s) - {k}) ELSE 0 END, 6) AS lag_{k}' for k in sequences.LAGS)} FROM q")
-def lag_match(spark, sf_dir):
-    return rounded(_sequences(spark, sf_dir).select("doc_id", *[sequences.lag_match(F.col("s"), k).alias(f"lag_{k}") for k in sequences.LAGS]), "doc_id")
+@sequence_query("lag_match", f"WITH {_SEQ} SELECT doc_id, {', '.join(f'round(CASE WHEN length(s) > {k} THEN len(list_filter(range(1, length(s) - {k} + 1), lambda i: substr(s, i, 1) = substr(s, i + {k}, 1))) / (length(s) - {k}) ELSE 0 END, 6) AS lag_{k}' for k in sequences.LAGS)} FROM q")
+def lag_match(q):
+    return rounded(q.select("doc_id", *[sequences.lag_match(F.col("s"), k).alias(f"lag_{k}") for k in sequences.LAGS]), "doc_id")
 
 
-@query("seq_entropy", f"WITH {_SEQ}, f AS (SELECT doc_id, unnest(['A', 'C', 'G', 'T']) AS b, s FROM q), p AS (SELECT doc_id, b, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(s, b, ''))) / length(s) END AS p FROM f) SELECT doc_id, round(sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END), 6) AS entropy, round(sum(p) FILTER (WHERE b IN ('G', 'C')), 6) AS gc FROM p GROUP BY doc_id")
-def seq_entropy(spark, sf_dir):
+@sequence_query("seq_entropy", f"WITH {_SEQ}, f AS (SELECT doc_id, unnest(['A', 'C', 'G', 'T']) AS b, s FROM q), p AS (SELECT doc_id, b, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(s, b, ''))) / length(s) END AS p FROM f) SELECT doc_id, round(sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END), 6) AS entropy, round(sum(p) FILTER (WHERE b IN ('G', 'C')), 6) AS gc FROM p GROUP BY doc_id")
+def seq_entropy(q):
     s = F.col("s")
-    return _sequences(spark, sf_dir).select("doc_id", r6(scalars.frequency_entropy(sequences.frequencies(s)), "entropy"), r6(sequences.gc_fraction(s), "gc"))
+    return q.select("doc_id", r6(scalars.frequency_entropy(sequences.frequencies(s)), "entropy"), r6(sequences.gc_fraction(s), "gc"))
 
 
 @query("sequence_features")
 def sequence_features(spark, sf_dir):
-    """All 165; the parts have oracle queries of their own."""
+    """All 165, of whole texts; the parts have queries of their own."""
     return features.sequence_features(_sequences(spark, sf_dir).where("s <> ''"), "s", ["lang"])
 
 
 @query("reference_audit", f"""WITH {_SEQ}, u AS (SELECT lang, s, count(*) AS n, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / length(s) END AS g, coalesce(list_max(list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x))), 0) AS r FROM q GROUP BY lang, s)
 SELECT lang, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS "distinct", CAST(min(length(s)) AS BIGINT) AS min_length, CAST(max(length(s)) AS BIGINT) AS max_length, round(sum(g * n) / sum(n), 6) AS gc_mean, CAST(max(r) AS BIGINT) AS longest_run, CAST(sum(CASE WHEN length(s) <> 384 OR NOT (g BETWEEN 0.3 AND 0.7) OR r > 6 THEN n ELSE 0 END) AS BIGINT) AS violations FROM u GROUP BY lang""")
 def reference_audit(spark, sf_dir):
-    a = audit.reference_audit(_sequences(spark, sf_dir), "s", "lang", 384, (0.3, 0.7), 6)
+    return _audited(_sequences(spark, sf_dir, 384), 384)
+
+
+@query("reference_audit_whole")
+def reference_audit_whole(spark, sf_dir):
+    """Whole texts have no common length, so there is no rule for it."""
+    return _audited(_sequences(spark, sf_dir), None)
+
+
+def _audited(q: DataFrame, length: int | None) -> DataFrame:
+    a = audit.reference_audit(q, "s", "lang", length, (0.3, 0.7), 6)
     return a.select("lang", r6("gc_mean", "gc_mean"), *[big(c, c) for c in ("n", "distinct", "min_length", "max_length", "longest_run", "violations")])
 
 
-@query("sequence_digest", f"WITH {_SEQ} SELECT doc_id, sha256(unhex(array_to_string(list_transform(string_split(translate(s, 'ACGT', '0123'), ''), lambda c: '0' || c), ''))) AS digest FROM q WHERE s <> ''")
-def sequence_digest(spark, sf_dir):
-    return _sequences(spark, sf_dir).where("s <> ''").select("doc_id", sequences.digest(F.col("s")).alias("digest"))
+@sequence_query("sequence_digest", f"WITH {_SEQ} SELECT doc_id, sha256(unhex(array_to_string(list_transform(string_split(translate(s, 'ACGT', '0123'), ''), lambda c: '0' || c), ''))) AS digest FROM q WHERE s <> ''")
+def sequence_digest(q):
+    return q.where("s <> ''").select("doc_id", sequences.digest(F.col("s")).alias("digest"))
 
 
 @query("stable_seed", "SELECT event_id, CAST(CAST('0x' || array_to_string(list_transform(range(8), lambda i: substr(h, 15 - 2 * i, 2)), '') AS UBIGINT) AS VARCHAR) AS seed FROM (SELECT event_id, substr(sha256(concat_ws(chr(31), 'channel', CAST(event_id AS VARCHAR), event_type)), 1, 16) AS h FROM events)")
@@ -634,12 +657,12 @@ def archive_specs(spark, sf_dir):
 _PAIRS = [a + b for a in sequences.BASES for b in sequences.BASES]
 
 
-@query("composition", f"""WITH {_SEQ}, p AS (SELECT lang, substr(s, i, 2) AS pair, count(*) AS n FROM (SELECT lang, s, unnest(range(1, length(s))) AS i FROM q) GROUP BY ALL), langs AS (SELECT DISTINCT lang FROM q), grid AS (SELECT lang, unnest({_PAIRS}) AS pair FROM langs),
+@sequence_query("composition", f"""WITH {_SEQ}, p AS (SELECT lang, substr(s, i, 2) AS pair, count(*) AS n FROM (SELECT lang, s, unnest(range(1, length(s))) AS i FROM q) GROUP BY ALL), langs AS (SELECT DISTINCT lang FROM q), grid AS (SELECT lang, unnest({_PAIRS}) AS pair FROM langs),
 d AS (SELECT lang, sum(abs(coalesce(n, 0) / t - 1 / 16)) AS pair_distance FROM grid LEFT JOIN p USING (lang, pair) JOIN (SELECT lang, sum(n) AS t FROM p GROUP BY lang) USING (lang) GROUP BY lang),
 r AS (SELECT lang, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / length(s) END AS g, coalesce(list_max(list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x))), 0) AS r FROM q)
 SELECT lang, round(avg(g), 6) AS gc_mean, round(stddev_pop(g), 6) AS gc_std, round(avg(r), 6) AS run_mean, round(quantile_cont(r, 0.95), 6) AS run_q95, round(max(pair_distance), 6) AS pair_distance FROM r JOIN d USING (lang) GROUP BY lang""")
-def composition(spark, sf_dir):
-    return rounded(audit.composition(_sequences(spark, sf_dir), "s", "lang"), "lang")
+def composition(q):
+    return rounded(audit.composition(q, "s", "lang"), "lang")
 
 
 @query("self_checks")
