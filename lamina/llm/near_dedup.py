@@ -15,12 +15,12 @@
    cluster's best-tied class; what isn't linked to that class within its block meets all
    blocks of the cluster, in chunks. Links are components' edges, again as forests.
 
-At the production threshold a link is missed with probability below 1e-5 (where classes are
-exactly 85 % alike; less where they are more alike). The sample decides about order and work only, not about results.
+At either threshold (op9: 3 words, 85 %; the pipeline's stage: 5 words, 80 %) a link is missed with
+probability below 1e-5 (where classes are exactly as alike as that; less where they are more alike). The sample decides about order and work only, not about results.
 
 Defined cases: a null or blank text has no shingles, is linked with nothing and stands for
 itself; a text of fewer words than a shingle has one shingle, all its words; sets of
-up to five shingles link to equal sets only, as no other can be 85 % alike; rows that repeat get
+up to five shingles (80 %: three) link to equal sets only, as no other can be 85 % alike; rows that repeat get
 the component of their set, once each; different texts under one doc_id are one document's, so they
 may be linked through it; a set that only rows of null ids hold is linked with nothing, and its
 component is null; other columns of the input are not read.
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ from lamina.llm import common
 from lamina.llm.bpe import slices
 from lamina.llm.components import components
 
-WORDS = 3  # of a shingle
-NUMERATOR, DENOMINATOR = 85, 100  # two sets are linked from this share in common
+WORDS = 3  # of a shingle, in op9
+NUMERATOR, DENOMINATOR = 85, 100  # two sets are linked from this share in common, in op9
 COORDINATES = 64
 MATCHES = 38  # places of two signatures that agree, at least: 0.85 less five and a half standard deviations
 POSTED = 16  # coordinates that documents are posted under
@@ -58,6 +59,21 @@ BLOCK_SHINGLES = 4_000_000
 _MULTIPLY = np.random.default_rng(20240229).integers(1, 2**63, COORDINATES, dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Threshold:
+    """The share in common from which two sets are linked, and how many places agree then, at least: of COORDINATES, and of POSTED."""
+
+    numerator: int = NUMERATOR
+    denominator: int = DENOMINATOR
+    matches: int = MATCHES
+    posted_matches: int = POSTED_MATCHES
+
+
+OP9 = Threshold()
+STAGE_WORDS = 5  # of a shingle, in the pipeline
+STAGE = Threshold(80, 100, 33, 4)  # of 64 places 51 agree on average, less five and a half deviations
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -130,7 +146,8 @@ def fixed_width(column: pa.Array, dtype: str) -> np.ndarray:
 class Frequent:
     """Values that are frequent in the sample, rarest first, each with the class that stands for it."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, posted_matches: int = POSTED_MATCHES):
+        self.first = POSTED - posted_matches + 1
         rows = sorted(rows, key=lambda r: (r["n"], r["value"]))
         value = np.array([r["value"] for r in rows], "i8").view("u8")
         order = np.argsort(value)
@@ -149,11 +166,11 @@ class Frequent:
         """The first values of each row in the common order, and where they are here."""
         at = self.find(posted)
         rank = np.where(at >= 0, self.rank[at] if len(self.rank) else 0, 0)
-        first = np.argsort(rank, axis=1, kind="stable")[:, : POSTED - POSTED_MATCHES + 1]
+        first = np.argsort(rank, axis=1, kind="stable")[:, : self.first]
         return np.take_along_axis(posted, first, 1), np.take_along_axis(at, first, 1)
 
 
-def frequent_values(classes: DataFrame) -> Frequent:
+def frequent_values(classes: DataFrame, posted_matches: int = POSTED_MATCHES) -> Frequent:
     n = classes.count()
     share = min(1.0, SAMPLE / max(1, n))
     sample = classes.where((F.xxhash64("node", F.lit(9)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < share).limit(2 * SAMPLE)
@@ -165,7 +182,7 @@ def frequent_values(classes: DataFrame) -> Frequent:
 
     values = sample.select("node", "posted", "places").mapInArrow(explode, "value long, node long, places binary")
     found = values.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("node", "places")).alias("hub")).where(F.col("n") >= FREQUENT)
-    return Frequent(found.select("value", "n", "hub.node", "hub.places").collect())
+    return Frequent(found.select("value", "n", "hub.node", "hub.places").collect(), posted_matches)
 
 
 def postings(classes: DataFrame, frequent: Frequent) -> DataFrame:
@@ -194,14 +211,14 @@ def postings(classes: DataFrame, frequent: Frequent) -> DataFrame:
     return classes.select("node", "posted", "places").mapInArrow(run, "value long, node long, places binary, hub long")
 
 
-def forest(nodes: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
+def forest(nodes: np.ndarray, places: np.ndarray, matches: int = MATCHES) -> list[tuple[int, int]]:
     """Edges that tie together what agrees on enough places, directly or not."""
     edges, left = [], np.arange(len(nodes))
     while len(left) > 1:
         reached, left = [int(left[0])], left[1:]
         while reached and len(left):
             node = reached.pop()
-            alike = (places[left] == places[node]).sum(axis=1) >= MATCHES
+            alike = (places[left] == places[node]).sum(axis=1) >= matches
             new = left[alike]
             left = left[~alike]
             edges += [(int(nodes[node]), int(nodes[x])) for x in new]
@@ -209,7 +226,7 @@ def forest(nodes: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def ties(lists: DataFrame) -> DataFrame:
+def ties(lists: DataFrame, matches: int = MATCHES) -> DataFrame:
     """Columns a, b: the forests of all lists. Lists are read as sorted runs of rows; one is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,17 +253,17 @@ def ties(lists: DataFrame) -> DataFrame:
         pairs = starts[lengths == 2]
         for i in range(0, len(pairs), 8192):
             at = pairs[i : i + 8192]
-            same = (fixed_width(column.take(pa.array(at)), "u1") == fixed_width(column.take(pa.array(at + 1)), "u1")).sum(axis=1) >= MATCHES
+            same = (fixed_width(column.take(pa.array(at)), "u1") == fixed_width(column.take(pa.array(at + 1)), "u1")).sum(axis=1) >= matches
             edges += zip(nodes[at[same]].tolist(), nodes[at[same] + 1].tolist())
         for start, n in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist()):
-            edges += forest(nodes[start : start + n], fixed_width(column.slice(start, n), "u1"))
+            edges += forest(nodes[start : start + n], fixed_width(column.slice(start, n), "u1"), matches)
         unique = np.unique(np.array(edges, "i8").reshape(-1, 2), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(unique[:, 0]), pa.array(unique[:, 1])], ["a", "b"])
 
     return lists.repartition("value").sortWithinPartitions("value").mapInArrow(run, "a long, b long")
 
 
-def block_links(nodes: np.ndarray, sets: list[np.ndarray], hub: int | None, asked: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+def block_links(nodes: np.ndarray, sets: list[np.ndarray], hub: int | None, asked: np.ndarray | None = None, threshold: Threshold = OP9) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links within a block, and which classes aren't linked to its hub.
 
     All are compared with the hub, the rest with all of a fitting size. With ``asked``, those are compared with all and nothing else is done.
@@ -260,13 +277,13 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], hub: int | None, aske
 
     def linked(i: int) -> np.ndarray:
         """Positions of all classes linked with the one at ``i``."""
-        low = int(np.searchsorted(sizes * DENOMINATOR, sizes[i] * NUMERATOR))
-        high = int(np.searchsorted(sizes * NUMERATOR, sizes[i] * DENOMINATOR, side="right"))
+        low = int(np.searchsorted(sizes * threshold.denominator, sizes[i] * threshold.numerator))
+        high = int(np.searchsorted(sizes * threshold.numerator, sizes[i] * threshold.denominator, side="right"))
         mark[flat[bounds[i] : bounds[i + 1]]] = 1
         common_to = np.add.reduceat(mark[flat[bounds[low] : bounds[high]]], bounds[low:high] - bounds[low])
         mark[flat[bounds[i] : bounds[i + 1]]] = 0
         union = sizes[low:high] + sizes[i] - common_to
-        return low + np.flatnonzero(DENOMINATOR * common_to >= NUMERATOR * union)
+        return low + np.flatnonzero(threshold.denominator * common_to >= threshold.numerator * union)
 
     edges = []
     if asked is None:
@@ -293,18 +310,18 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], hub: int | None, aske
     return edges, nodes[rest]
 
 
-def _block(table: pa.Table, asked: bool) -> pa.Table:
+def _block(table: pa.Table, asked: bool, threshold: Threshold = OP9) -> pa.Table:
     names = table.column("node").to_pylist()
     firsts = [i for i, x in enumerate(names) if names.index(x) == i] if len(names) < 64 else list({x: i for i, x in reversed(list(enumerate(names)))}.values())
     nodes = np.array([names[i] for i in firsts], "i8")
     raw = table.column("shingles").to_pylist()
     sets = [np.frombuffer(raw[i], "u8") for i in firsts]
     flags = np.array(table.column("asked").to_pylist())[firsts] if asked else None
-    edges, rest = block_links(nodes, sets, table.column("hub")[0].as_py(), flags)
+    edges, rest = block_links(nodes, sets, table.column("hub")[0].as_py(), flags, threshold)
     return pa.table({"a": pa.array([a for a, _ in edges] + ([] if asked else rest.tolist()), pa.int64()), "b": pa.array([b for _, b in edges] + ([] if asked else [None] * len(rest)), pa.int64())})
 
 
-def links(docs: DataFrame, clusters: DataFrame, words: int = WORDS) -> DataFrame:
+def links(docs: DataFrame, clusters: DataFrame, words: int = WORDS, threshold: Threshold = OP9) -> DataFrame:
     """Columns a, b: links confirmed on full sets, as forests. clusters: node, digest, n_shingles, cluster, hub, and the cluster's number of blocks."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +340,7 @@ def links(docs: DataFrame, clusters: DataFrame, words: int = WORDS) -> DataFrame
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     own = members.where("node <> hub or blocks = 1").withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(block))
     hubs = members.where("node = hub and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    found = common.checkpointed(own.unionByName(hubs).groupBy("cluster", "block").applyInArrow(lambda t: _block(t, False), "a long, b long"))
+    found = common.checkpointed(own.unionByName(hubs).groupBy("cluster", "block").applyInArrow(lambda t: _block(t, False, threshold), "a long, b long"))
     inside = found.where("b is not null")
     split = members.where("blocks > 1")
     apart = split.join(found.where("b is null").select(F.col("a").alias("node")).distinct(), "node")
@@ -333,25 +350,25 @@ def links(docs: DataFrame, clusters: DataFrame, words: int = WORDS) -> DataFrame
     queries = apart.join(counts, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("chunk", chunk).withColumn("asked", F.lit(True))
     columns = ["cluster", "block", "chunk", "node", "hub", "shingles", "asked"]
     both = queries.select(columns).unionByName(base.select(columns))
-    across = both.groupBy("cluster", "block", "chunk").applyInArrow(lambda t: _block(t.sort_by([("asked", "descending")]), True), "a long, b long")
+    across = both.groupBy("cluster", "block", "chunk").applyInArrow(lambda t: _block(t.sort_by([("asked", "descending")]), True, threshold), "a long, b long")
     return inside.unionByName(across)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Threshold = OP9) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     signed = common.checkpointed(signatures(docs, words))
     classes = signed.where("digest is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("posted").alias("posted"), F.min("places").alias("places"))
     classes = common.checkpointed(classes)
-    least = next(n for n in range(1, 10_000) if DENOMINATOR * n >= NUMERATOR * (n + 1))
+    least = next(n for n in range(1, 10_000) if threshold.denominator * n >= threshold.numerator * (n + 1))
     posted = classes.where((F.col("n_shingles") >= least) & F.col("node").isNotNull())
-    rows = postings(posted, frequent_values(posted))
-    tied = ties(rows.where("value is not null").drop("hub")).union(rows.where("hub is not null").select("node", "hub"))
+    rows = postings(posted, frequent_values(posted, threshold.posted_matches))
+    tied = ties(rows.where("value is not null").drop("hub"), threshold.matches).union(rows.where("hub is not null").select("node", "hub"))
     tied = common.checkpointed(tied.where("a <> b").distinct())
     cluster = components(tied).withColumnRenamed("component", "cluster")
     degree = tied.select(F.col("a").alias("node")).union(tied.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
     member = cluster.join(classes.select("node", "digest", "n_shingles"), "node").join(degree, "node")
     whole = member.groupBy("cluster").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"), F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    found = links(docs, member.join(whole, "cluster"), words)
+    found = links(docs, member.join(whole, "cluster"), words, threshold)
     component = components(found).withColumnRenamed("component", "component_id")
     named = classes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
@@ -365,7 +382,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates, the one of the least id (one row of it, where rows repeat; of null ids, one row of each text)."""
-    found = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    found = near_duplicates(docs, STAGE_WORDS, STAGE).where("kept").select("doc_id").distinct()
     order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
     one = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
     return one.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")

@@ -135,3 +135,32 @@ def test_connected_components(spark):
                 root[a] = root[b] = low
         touched = {x for a, b in edges if a != b for x in (a, b)}
         assert got == {k: v for k, v in root.items() if k in touched}
+
+
+def test_stage_links_from_80_percent_of_five_words(spark):
+    words = [f"w{i}" for i in range(1200)]
+    other = [f"x{i}" for i in range(1260)]
+    rows = [(1, " ".join(words[:1000])), (2, " ".join(words)), (3, " ".join(other[:1000])), (4, " ".join(other)), (5, " ".join(words[:1000] + other[:250]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.near_dedup_stage(df).collect()) == [1, 3, 4, 5]  # 996 of 1196 are enough, 996 of 1256 are not
+    assert sorted(r.doc_id for r in near_dedup.near_duplicates(df).where("kept").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_stage_threshold_equals_brute_force(spark):
+    rows = [(i, t) for i, t in corpus(4) if t]
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({i: i + 32 for i in range(65, 91)}))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, near_dedup.STAGE_WORDS, near_dedup.STAGE).collect()}
+    want = {}
+    adjacent = {i: [j for j in sets if i == j or sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in sets}
+    for i in sorted(sets):
+        reached, todo = {i}, [i]
+        while todo:
+            new = set(adjacent[todo.pop()]) - reached
+            reached |= new
+            todo += new
+        want[i] = min(reached)
+    assert got == want
