@@ -2,7 +2,11 @@
 
 A text is cut into sentences at line ends and at sentence marks before white space; each is
 normalised (A-Z lower-cased, everything but letters and digits one space) and mapped to
-the identifier of a known licence sentence, or to none. A rule is a sequence of
+the identifier of a known licence sentence, or to none. A known sentence is also found where
+single line ends (with what isn't a letter or digit around them, as the marks of comments) wrap
+it, and where semicolons or colons, not line ends, part it from its neighbours; blank lines and
+sentence marks never stand inside one. The SQL knows neither case and has the same results
+for texts without them. A rule is a sequence of
 identifiers that stand one right behind the other. At each place the first rule of the list
 that fits wins and uses its sentences up, so longer rules stand before the shorter ones they hold.
 
@@ -72,6 +76,10 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _END = r"[.!?]+(?:\s|\z)"
 _OTHER = r"[^\p{L}\p{N}\n]+"
+#: What parts words, as one character: a space, a semicolon (for colons too), a line end, or a form feed where a sentence ends for certain.
+_PARTS = ((_END, "\n\n"), (r"[^\p{L}\p{N}\n;:]+", " "), (r" ?[;:][ ;:]*", ";"), (r"[ ;]?\n[ ;]?\n[ ;\n]*", "\f"), (r"[ ;]?\n[ ;]?", "\n"))
+_KNOWN = r"(?<![^\n;\f])(" + "|".join(s.replace(" ", "[ ;\n]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + r")(?![^\n;\f])"
+_MARK = "\x01"
 #: One character for each identifier; a space for any other sentence.
 CODES = {name: chr(ord("A") + i) for i, name in enumerate(SENTENCES)}
 
@@ -82,9 +90,12 @@ def _rule(names: tuple[str, ...]) -> str:
 
 def sentences(text: Column) -> Column:
     """Normalised sentences, none of them blank."""
-    lines = F.regexp_replace(text, _END, "\n")
-    plain = F.regexp_replace(F.translate(lines, UPPER, LOWER), _OTHER, " ")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    plain = F.translate(text, UPPER, LOWER)
+    for pattern, part in _PARTS:
+        plain = F.regexp_replace(plain, pattern, part)
+    marked = F.regexp_replace(F.trim(plain), _KNOWN, f"{_MARK}$1{_MARK}")  # every second piece is a known sentence
+    pieces = F.transform(F.split(marked, _MARK), lambda p, i: F.when(i % 2 == 1, F.array(F.translate(p, ";\n", "  "))).otherwise(F.split(F.translate(p, ";\f", " \n"), "\n")))
+    return F.filter(F.transform(F.flatten(pieces), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

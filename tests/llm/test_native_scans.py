@@ -47,6 +47,70 @@ def test_licences_equal_sql_and_are_native(spark, tmp_path):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use
+this file except in compliance with the License. You may obtain a copy of the
+License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+1. Redistributions of source code must retain the above copyright notice.""",
+}
+IDENTIFIERS = {
+    "MIT": ["mit-grant", "mit-notice", "as-is-software"], "Apache-2.0": ["apache-header", "apache-comply", "apache-copy", "apache-as-is"],
+    "GPL-3.0-or-later": ["gpl-free", "gpl-hope", "gpl-details"], "BSD": ["bsd-redistribution"],
+}
+
+
+def test_wrapped_licences_are_found(spark):
+    rows = []
+    for name, text in WRAPPED.items():
+        for prefix in ("", "# ", " * ", "// ", "    "):
+            lines = "\n".join((prefix + line).rstrip() for line in text.split("\n"))
+            rows += [(name, lines), (name, f"Copyright 2020 A. Body\n\n{lines}\n\nimport nothing\n"), (name, lines.replace("\n", "\r\n"))]
+    rows.append(("Apache-2.0", " ".join(WRAPPED["Apache-2.0"].replace("License at\n", "License at:\n").split("\n"))))
+    got = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert all(r.licences == [r.doc_id] for r in got), [r for r in got if r.licences != [r.doc_id]]
+    assert all(r.identifiers == IDENTIFIERS[r.doc_id] for r in got[:-1])
+    assert got[-1].identifiers == ["apache-header", "apache-comply", "apache-copy"]
+
+
+def test_blank_lines_and_marks_stay_ends(spark):
+    texts = ["all rights\n\nreserved", "all rights. Reserved", "all rights\nreserved", "Notice: all rights reserved; thanks", "all\n" * 50_000 + "rights reserved", "\n" * 50_000, "; " * 50_000, "a: b; c\nd"]
+    got = [(r.n_sentences, r.licences) for r in licences.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [(2, []), (2, []), (1, ["proprietary"]), (3, ["proprietary"]), (50_000, ["proprietary"]), (0, []), (0, []), (2, [])]
+
+
 def test_rules_are_in_order():
     codes = [licences._rule(r) for _, r in licences.RULES]
     assert len(licences.CODES) <= 26 and len(set(codes)) == len(codes)
