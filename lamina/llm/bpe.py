@@ -57,15 +57,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of a vocabulary in JSON and their ids."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", ())
+    if any(x.get("single_word") or x.get("lstrip") or x.get("rstrip") for x in found):
+        raise ValueError(f"{path}: added tokens that take their surroundings into account")
+    return {x["content"]: x["id"] for x in found}
+
+
 class ByteBpe:
-    """Encoder and raw-byte decoder over one vocabulary, without special tokens."""
+    """Encoder and raw-byte decoder over one vocabulary. Added tokens are ordinary text, unless ``added`` gives their ids."""
 
-    def __init__(self, rank_file: str, pattern: str = BYTE_LEVEL_PATTERN):
+    def __init__(self, rank_file: str, pattern: str = BYTE_LEVEL_PATTERN, added: dict[str, int] | None = None):
         import tiktoken
 
         ranks = read_ranks(rank_file)
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.added = added or {}
+        self.at_added = "(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")"
+        self.tokens: list[bytes] = [b""] * (max([*ranks.values(), *self.added.values()], default=-1) + 1)
+        for token, rank in self.added.items():
+            self.tokens[rank] = token.encode()
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.widths = np.array([len(t) for t in self.tokens], "i8")
@@ -146,12 +159,29 @@ class ByteBpe:
         """The ids of each text, in order."""
         start = 0
         for stop in slices(texts):
-            ids, ends = self.encode_slice(texts.slice(start, stop - start))
-            at = 0
-            for end in ends.tolist():
-                yield ids[at:end]
-                at = end
+            part = texts.slice(start, stop - start)
             start = stop
+            if any(pc.any(pc.match_substring(part, token)).as_py() for token in self.added):
+                yield from self._around_added(part)
+            else:
+                yield from self._ids(part)
+
+    def _ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        ids, ends = self.encode_slice(texts)
+        at = 0
+        for end in ends.tolist():
+            yield ids[at:end]
+            at = end
+
+    def _around_added(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Texts are cut at added tokens, and what is between them encoded on its own."""
+        cut = [re.split(self.at_added, t or "") for t in texts.to_pylist()]
+        ids = self._ids(pa.array([p for pieces in cut for p in pieces[::2]], pa.large_string()))
+        for pieces in cut:
+            whole = [next(ids)]
+            for token in pieces[1::2]:
+                whole += [np.array([self.added[token]], "<u4"), next(ids)]
+            yield np.concatenate(whole)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes, not text: ids may end inside a character."""

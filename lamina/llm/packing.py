@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import common
-from lamina.llm.bpe import ByteBpe
+from lamina.llm.bpe import ByteBpe, read_added
 
 GROUP_DOCUMENTS = 1024  # expected documents of a group
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -120,14 +120,15 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
-def tokenised(docs: DataFrame, vocabulary_file: str, end_id: int, groups: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, vocabulary_file: str, end_id: int, groups: int, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """doc_id, ids (little-endian, 16 bits where the vocabulary allows), pack_group: a hash of the row's place in its partition, so a hot id cannot fill a group.
 
-    The ids are those of the tokenizers library for the vocabulary, special strings read as ordinary text.
+    The ids are those of the tokenizers library for the vocabulary. With ``added_tokens`` the file's added tokens
+    are found in the texts, as the library does by default; without, they are ordinary text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(vocabulary_file)
+        bpe = ByteBpe(vocabulary_file, added=read_added(vocabulary_file) if added_tokens else None)
         width = 2 if len(bpe.tokens) <= 1 << 16 else 4
         end = end_id.to_bytes(width, "little")
         partition = TaskContext.get().partitionId()
@@ -145,7 +146,7 @@ def tokenised(docs: DataFrame, vocabulary_file: str, end_id: int, groups: int, i
     return source.mapInArrow(run, "doc_id long, ids binary, width int, pack_group int")
 
 
-def pack(docs: DataFrame, vocabulary_file: str, capacity: int = 1024, end_id: int = 0, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_file: str, capacity: int = 1024, end_id: int = 0, group_documents: int = GROUP_DOCUMENTS, added_tokens: bool = False) -> DataFrame:
     """One row per piece: its document, place there, length, checksum, and its place in a sequence."""
     groups = max(1, -(-docs.count() // group_documents))
 
@@ -163,10 +164,10 @@ def pack(docs: DataFrame, vocabulary_file: str, capacity: int = 1024, end_id: in
         common.give_back()
         return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), zip(*rows))})
 
-    return tokenised(docs, vocabulary_file, end_id, groups).groupBy("pack_group").applyInArrow(run, PIECES)
+    return tokenised(docs, vocabulary_file, end_id, groups, added_tokens=added_tokens).groupBy("pack_group").applyInArrow(run, PIECES)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)

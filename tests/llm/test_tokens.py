@@ -108,3 +108,18 @@ def test_packing_on_tables(spark, library):
         parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 1024
     assert packing.pack(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_added_tokens_equal_the_library_as_loaded(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(VOCABULARY)
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 700)
+    rows = [*texts(), "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  ", "  <|endoftext|>\n", "<|endoftext|"]
+    encoder = bpe.ByteBpe(VOCABULARY, added=bpe.read_added(VOCABULARY))
+    for text, ids in zip(rows, encoder.encode_batch(pa.array(rows)), strict=True):
+        assert ids.tolist() == loaded.encode(text or "", add_special_tokens=False).ids
+        assert encoder.decode(ids) == (text or "").encode()
+    spark.createDataFrame(list(enumerate(rows[-5:])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op3_packing(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(loaded.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(rows[-5:])}
