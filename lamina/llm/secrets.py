@@ -5,7 +5,9 @@ digits in them. Over each a window slides; the sum of c * log2(c) over its chara
 counts c changes only by the counts of the character that enters and the one that leaves,
 and gives the window's Shannon entropy. A candidate is of class hex or base64, each with
 its own threshold; what its windows above the threshold cover becomes a span, unless the
-allow list knows the candidate or a pattern has found it already.
+allow list knows the candidate or a pattern has found it already. With ``parts``, as the query and
+the pipeline's stage have it, what the patterns have found, placeholders and an inner '=' only cut a
+candidate, and what is beside them is judged on its own; digits needn't be there.
 
 Defined cases: a null text counts as empty; an empty text has no spans, and the digest of the
 empty string; spans of one start are in the order of KINDS; repeated rows are scanned each; a
@@ -35,9 +37,16 @@ ALLOWED = (
     r"^[0-9+/_=-]+$|^[A-Za-z+/_=-]+$"
     r"|^[A-Za-z]{2,}[0-9]{0,4}([/_=+-]+([A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,8}))*[/_=+-]*$"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|(?i:example|sample|placeholder|dummy|changeme|your[_-]?(key|token|secret))|(.)\2{5}"
+    r"|(?i:example|sample|placeholder|dummy|changeme|your[_-]?(key|token|secret))|(.)\4{5}"
     r"|(?i:abcdefghij|0123456789)"
 )
+#: With parts: what cuts a candidate, the candidates without a secret, and letters that aren't words for the change of their cases.
+PLACEHOLDER = r"(?i:example|sample|placeholder|dummy|changeme|your[_-]?(?:key|token|secret)|abcdefghij|0123456789)|([A-Za-z0-9+/_=-])\1{5,}"
+PLAIN = r"^[0-9+/_=-]+$|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+WORDS = r"^[A-Za-z+/_=-]+$|^[A-Za-z]{2,}[0-9]{0,4}(?:[/_=+-]+(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,8}))*[/_=+-]*$"
+JUMBLED = r"[A-Z][a-z](?=[A-Z]).*[A-Z][a-z](?=[A-Z])"
+_ASSIGNED = r"=(?=[A-Za-z0-9+/_-])"
+_BEFORE_HEX, _AFTER_HEX = r"[/_+-](?=[0-9a-fA-F]{20,}(?![A-Za-z0-9]))", r"(?<![A-Za-z0-9])([0-9a-fA-F]{20,}+)[/_+-]"
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
@@ -94,15 +103,62 @@ def hot_range(candidate: Column, bits: Column, window: int = WINDOW) -> Column:
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of all spans."""
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(F.when(s["start"] > acc["at"], piece).otherwise(""), blanks)).alias("out"))
+
+    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, walked).otherwise(text)
+
+
+def without(text: Column, pattern: str) -> Column:
+    """The text with spaces in place of all matches."""
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
+    return F.array_join(F.flatten(F.zip_with(F.split(text, pattern, -1), matches, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: bool = False) -> DataFrame:
     """doc_id, text, base and spans: arrays of (start, kind number, end) in order; base holds the patterns' spans, spans those and the windows'."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = find(df, "text")
+    found = find(df, "text", parts)
     return found.select("doc_id", "text", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
-def find(df: DataFrame, text: str) -> DataFrame:
+def _judged(c: Column) -> Column:
+    hexadecimal = c["t"].rlike("^[0-9a-fA-F]+$")
+    hot = hot_range(c["t"], F.when(hexadecimal, HEX_BITS).otherwise(BASE64_BITS))
+    kind = F.when(hexadecimal, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64"))
+    return F.transform(F.array(hot), lambda h: F.when(h.isNotNull(), F.struct((c["s"]["start"] + h["first"]).alias("start"), kind.alias("kind"), (c["s"]["start"] + h["last"]).alias("end"))))[0]
+
+
+def _find_parts(df: DataFrame, text: str) -> DataFrame:
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    spans = {kind: _spans(text, pattern, kind, keep) for kind, pattern, keep in (("assign", ASSIGN, "__value"), ("access", ACCESS, ""), ("hex", HEX, ""))}
+    df = df.select(*kept, F.regexp_extract_all(F.col(text), F.lit(ASSIGN), F.lit(2)).alias("__value"), *(m.alias(f"__m_{kind}") for kind, (m, _) in spans.items()))
+    df = df.select(*kept, *(s.alias(f"__s_{kind}") for kind, (_, s) in spans.items()))
+    df = df.select(*kept, F.array_sort(F.concat("__s_assign", "__s_access", "__s_hex")).alias("__base"))
+    long = F.col(text).rlike(CANDIDATE)
+    df = df.select(*kept, "__base", F.when(long, F.regexp_replace(blanked(F.col(text), F.col("__base")), _ASSIGNED, " ")).otherwise("").alias("__open"))
+    cut = F.regexp_replace(F.regexp_replace("__open", _BEFORE_HEX, " "), _AFTER_HEX, "$1 ")
+    df = df.select(*kept, "__base", cut.alias("__open"))
+    df = df.select(*kept, "__base", F.when(F.col("__open").rlike(CANDIDATE), F.when(F.col("__open").rlike(PLACEHOLDER), without(F.col("__open"), PLACEHOLDER)).otherwise(F.col("__open"))).otherwise("").alias("__open"))
+    matches, places = _spans("__open", CANDIDATE, "entropy_base64", "")
+    df = df.select(*kept, "__base", "__open", matches.alias("__m_entropy_base64"))
+    df = df.select(*kept, "__base", F.arrays_zip(F.col("__m_entropy_base64").alias("t"), places.alias("s")).alias("__candidates"))
+    fresh = F.filter("__candidates", lambda c: ~c["t"].rlike(PLAIN) & (~c["t"].rlike(WORDS) | c["t"].rlike(JUMBLED)))
+    df = df.select(*kept, "__base", fresh.alias("__fresh"))
+    windows = F.when(F.size("__fresh") > 0, F.filter(F.transform("__fresh", _judged), lambda x: x.isNotNull())).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+    return df.select(*kept, "__base", F.array_sort(F.concat("__base", windows)).alias("__spans"))
+
+
+def find(df: DataFrame, text: str, parts: bool = False) -> DataFrame:
     """The columns of ``df``, and __base and __spans. ``text`` holds no null."""
+    if parts:
+        return _find_parts(df, text)
     kept = [F.col(f"`{c}`") for c in df.columns]
     parts = {kind: _spans(text, pattern, kind, keep) for kind, pattern, keep in (("assign", ASSIGN, "__value"), ("access", ACCESS, ""), ("hex", HEX, ""), ("entropy_base64", CANDIDATE, ""))}
     df = df.select(*kept, F.regexp_extract_all(F.col(text), F.lit(ASSIGN), F.lit(2)).alias("__value"), *(m.alias(f"__m_{kind}") for kind, (m, _) in parts.items()))
@@ -111,14 +167,8 @@ def find(df: DataFrame, text: str) -> DataFrame:
     df = df.select(*kept, base.alias("__base"), F.arrays_zip(F.col("__m_entropy_base64").alias("t"), F.col("__s_entropy_base64").alias("s")).alias("__candidates"))
     fresh = F.filter("__candidates", lambda c: ~c["t"].rlike(ALLOWED) & ~F.exists(F.col("__base"), lambda b: (b["start"] < c["s"]["end"]) & (b["end"] > c["s"]["start"])))
 
-    def judged(c: Column) -> Column:
-        hexadecimal = c["t"].rlike("^[0-9a-fA-F]+$")
-        hot = hot_range(c["t"], F.when(hexadecimal, HEX_BITS).otherwise(BASE64_BITS))
-        kind = F.when(hexadecimal, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64"))
-        return F.transform(F.array(hot), lambda h: F.when(h.isNotNull(), F.struct((c["s"]["start"] + h["first"]).alias("start"), kind.alias("kind"), (c["s"]["start"] + h["last"]).alias("end"))))[0]
-
     df = df.select(*kept, "__base", fresh.alias("__fresh"))
-    windows = F.when(F.size("__fresh") > 0, F.filter(F.transform("__fresh", judged), lambda x: x.isNotNull())).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+    windows = F.when(F.size("__fresh") > 0, F.filter(F.transform("__fresh", _judged), lambda x: x.isNotNull())).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
     return df.select(*kept, "__base", F.array_sort(F.concat("__base", windows)).alias("__spans"))
 
 
@@ -141,14 +191,14 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(common.documents(spark, sf_dir).select("doc_id", "text"))
+    found = scan(common.documents(spark, sf_dir).select("doc_id", "text"), parts=True)
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def secret_stage(docs: DataFrame) -> DataFrame:
     """The documents with their secrets taken out of the text, and n_chars brought in line; a null text stays null."""
-    found = find(docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))), "__text")
+    found = find(docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))), "__text", parts=True)
     clean = F.when(F.col("text").isNotNull(), redacted(F.col("__text"), F.col("__spans")))
     columns = [clean.alias(c) if c == "text" else F.when(F.size("__spans") > 0, F.length(clean)).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return found.select(*columns)

@@ -88,3 +88,38 @@ def test_main_path_is_native(spark, table):
     df = spark.createDataFrame(table, "doc_id long, text string")
     plan = secrets.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+KEY = "Zx9Kq2Lm8Vw3Rt7Yp1Ns5Bd4Hg6Jf0"
+
+
+def covered(spark, texts):
+    got = secrets.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), parts=True).orderBy("doc_id").collect()
+    assert all(r.text[s.start : s.end].strip() == r.text[s.start : s.end] and 0 <= s.start < s.end <= len(r.text) for r in got for s in r.spans)
+    return [[r.text[s.start : s.end] for s in r.spans] for r in got]
+
+
+def test_names_beside_a_key_do_not_hide_it(spark):
+    shouted = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    texts = [f"sample_conn={KEY}", f"/example/{KEY}", f"é😀 dummy-{KEY} é {KEY}=", f"{'x' * 9}/{KEY}", f"path/to/{shouted}/file", f"conn={shouted}", f"kJhGfDsQwErTyUiOpZxCvBnM and {KEY}"]
+    assert all(any(x.endswith(KEY) or x in (KEY + "=", shouted) for x in found) for found in covered(spark, texts))
+    assert len(covered(spark, texts)[-1]) == 2
+
+
+def test_rest_of_a_run_beside_a_pattern_is_scored(spark):
+    plain = "deadbeef" * 5
+    found = covered(spark, [f"{plain}_{KEY}", f"token={plain}", f"{KEY}/{plain}/{KEY}"])
+    assert any(KEY in x for x in found[0]) and plain in found[0]
+    assert found[1] == [f"token={plain}", plain]
+    assert sum(KEY in x for x in found[2]) == 2 and plain in found[2]
+
+
+def test_parts_leave_plain_identifiers(spark):
+    texts = ["some_long_identifier_name_42", "550e8400-e29b-41d4-a716-446655440000", "1234567890123456789012345", "Donaudampfschifffahrtsgesellschaft", "abcdefghijklmnopqrstuvwxyz0123456789", "x" * 50_000, "", None, "a = b"]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), parts=True).select(F.size("spans")).collect()
+    assert [r[0] for r in got] == [0] * len(texts)
+
+
+def test_stage_takes_out_keys_beside_names(spark):
+    df = spark.createDataFrame([(1, f"sample_conn={KEY} end", 1)], "doc_id long, text string, n_chars long")
+    assert secrets.secret_stage(df).collect()[0].text == "sample_conn=[secret] end"
