@@ -312,9 +312,9 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], hub: int | None, aske
 
 def _block(table: pa.Table, asked: bool, threshold: Threshold = OP9) -> pa.Table:
     names = table.column("node").to_pylist()
-    firsts = [i for i, x in enumerate(names) if names.index(x) == i] if len(names) < 64 else list({x: i for i, x in reversed(list(enumerate(names)))}.values())
-    nodes = np.array([names[i] for i in firsts], "i8")
     raw = table.column("shingles").to_pylist()
+    firsts = list({x: i for i, x in reversed(list(enumerate(zip(names, raw))))}.values())  # a node can have several sets
+    nodes = np.array([names[i] for i in firsts], "i8")
     sets = [np.frombuffer(raw[i], "u8") for i in firsts]
     flags = np.array(table.column("asked").to_pylist())[firsts] if asked else None
     edges, rest = block_links(nodes, sets, table.column("hub")[0].as_py(), flags, threshold)
@@ -381,8 +381,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, the one of the least id (one row of it, where rows repeat; of null ids, one row of each text)."""
-    found = near_duplicates(docs, STAGE_WORDS, STAGE).where("kept").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    one = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return one.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    """One document of each group of near duplicates, the one of the least id (one row of it, where rows repeat; of null ids, one row of each text).
+
+    Different texts of one id are documents of their own here, numbered by a hash of both.
+    """
+    text, columns = F.xxhash64("text"), docs.columns
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg((F.min(text) != F.max(text)).alias("__several")).where("__several")
+    if several.isEmpty():
+        docs = docs.withColumn("__node", F.col("doc_id").cast("long"))
+    else:
+        docs = docs.join(several, "doc_id", "left").withColumn("__node", F.when(F.col("__several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
+    found = near_duplicates(docs.select(F.col("__node").alias("doc_id"), "text"), STAGE_WORDS, STAGE).where("kept").select("doc_id").distinct()
+    order = Window.partitionBy("__node", F.when(F.col("__node").isNull(), text)).orderBy(text)
+    one = docs.join(found.withColumnRenamed("doc_id", "__kept"), F.col("__node").eqNullSafe(F.col("__kept")), "left_semi")
+    return one.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*[F.col(f"`{c}`") for c in columns])

@@ -164,3 +164,13 @@ def test_stage_threshold_equals_brute_force(spark):
             todo += new
         want[i] = min(reached)
     assert got == want
+
+
+def test_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    shared = near_dedup.pa.table({"node": [1, 1, 2, 3], "shingles": [s.tobytes() for s in near_dedup.shingle_sets(near_dedup.pa.array([a, b, b + " more", a + " more"]))], "hub": [1] * 4})
+    assert {frozenset(x) for x in zip(*near_dedup._block(shared, False).to_pydict().values()) if x[1] is not None and x[0] != x[1]} == {frozenset((1, 2)), frozenset((1, 3))}
+    rows = [(0, b + " more"), (1, a), (1, b), (1, a), (2, a + " more"), (4, c), (4, c + " more")]
+    out = near_dedup.near_dedup_stage(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = [r.text for r in out.collect()]
+    assert len(kept) == 3 and sorted(t[0] for t in kept) == ["a", "b", "c"]
