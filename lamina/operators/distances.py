@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +36,56 @@ def fit(df: DataFrame, features: list[str], label: str, labels: tuple[str, ...],
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     rows = df.where(F.col(label).isin(*labels)).select(label, *z)
     found = {r[label]: r for r in rows.groupBy(label).agg(F.count("*").alias("n"), *[F.avg(f"__z{i}").alias(f"m{i}") for i in range(d)], *[F.covar_samp(f"__z{i}", f"__z{j}").alias(f"c{i}_{j}") for i, j in pairs]).collect()}
-    means, variances, inverses, shrinkage, conditions = [], [], [], [], []
+    moments = {}
     for name in labels:
         r = found[name]
         covariance = np.zeros((d, d))
         for i, j in pairs:
             covariance[i, j] = covariance[j, i] = r[f"c{i}_{j}"] or 0.0
-        shrunk, amount = oracle_shrinkage(covariance, r["n"])
+        moments[name] = r["n"], np.array([r[f"m{i}"] for i in range(d)]), covariance
+    return _model(labels, location, scale, moments, floor)
+
+
+def fit_vectors(df: DataFrame, vector: str, label: str, labels: tuple[str, ...], floor: float = 1e-8) -> ClassModel:
+    """The same over whole vectors, however wide the table has them. Moments are summed by place, so no row is wider than a vector."""
+    wide = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "v"))
+    places = sorted(wide.groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).collect())
+    d = len(places)
+    location, scale = np.array([r["m"] for r in places], float), np.maximum(np.array([r["s"] or 0.0 for r in places], float), floor)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), object)
+            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, d)
+            z = np.column_stack([np.ones(len(x)), (x - location) / scale])
+            for name in set(names):
+                own = z[names == name]
+                sums[name] = sums.get(name, 0.0) + own.T @ own  # count, sums and products
+        for name, total_ in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * total_.size), pa.array(np.arange(total_.size)), pa.array(total_.ravel())], ["label", "pos", "v"])
+
+    rows = df.where(F.col(label).isin(*labels)).select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
+    found = rows.mapInArrow(run, "label string, pos long, v double").groupBy("label", "pos").agg(F.sum("v").alias("v")).collect()
+    sums = {name: np.zeros((d + 1) ** 2) for name in labels}
+    for r in found:
+        sums[r["label"]][r["pos"]] = r["v"]
+    moments = {}
+    for name in labels:
+        whole = sums[name].reshape(d + 1, d + 1)
+        n, mean = whole[0, 0], whole[0, 1:] / whole[0, 0]
+        moments[name] = int(n), mean, (whole[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)
+    return _model(labels, location, scale, moments, floor)
+
+
+def _model(labels: tuple[str, ...], location: np.ndarray, scale: np.ndarray, moments: dict[str, tuple[int, np.ndarray, np.ndarray]], floor: float) -> ClassModel:
+    d = len(location)
+    means, variances, inverses, shrinkage, conditions = [], [], [], [], []
+    for name in labels:
+        n, mean, covariance = moments[name]
+        shrunk, amount = oracle_shrinkage(covariance, n)
         shrunk = shrunk + floor * np.eye(d)
-        means.append([r[f"m{i}"] for i in range(d)])
+        means.append(mean)
         variances.append(np.maximum(np.diag(covariance), floor))
         inverses.append(np.linalg.pinv(shrunk, hermitian=True))
         shrinkage.append(amount)
@@ -67,6 +110,18 @@ def diagonal(features: list[Column], model: ClassModel) -> list[Column]:
     return [F.sqrt(total([(x - float(m)) * (x - float(m)) / float(v) for x, m, v in zip(z, mean, variance)])) for mean, variance in zip(model.means, model.variances)]
 
 
+def diagonal_vectors(vector: Column, model: ClassModel) -> Column:
+    """Array of the same distances for whole vectors, in Arrow batches."""
+
+    def run(values: pd.Series) -> pd.Series:
+        x = (np.stack(values.to_numpy()) - model.location) / model.scale if len(values) else np.empty((0, len(model.location)))
+        out = [np.sqrt((((x - mean) ** 2) / variance).sum(axis=1)) for mean, variance in zip(model.means, model.variances)]
+        return pd.Series(list(np.stack(out, axis=1)))
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<double>")(vector)
+
+
 def full(features: Column, model: ClassModel) -> Column:
     """Array of distances under the shrunk covariances; dense algebra in Arrow batches."""
 

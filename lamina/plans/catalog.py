@@ -366,13 +366,32 @@ def min_class_score(spark, sf_dir):
     return d.select("vec_id", r6(distances.class_score(dist, F.col("truth"), _LABELS, "minimum"), "least"), r6(distances.class_score(dist, F.col("truth"), _LABELS, "predicted"), "own"))
 
 
+def _whole_vectors(spark, sf_dir) -> tuple[DataFrame, distances.ClassModel]:
+    v = R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
+    return v, distances.fit_vectors(v, "x", "label", _LABELS)
+
+
+@query("diag_mahalanobis_whole")
+def diag_mahalanobis_whole(spark, sf_dir):
+    """All dimensions; the SQL of diag_mahalanobis has the first six."""
+    v, model = _whole_vectors(spark, sf_dir)
+    d = v.select("vec_id", F.posexplode(distances.diagonal_vectors(F.col("x"), model)).alias("pos", "distance"))
+    return d.select("vec_id", F.element_at(F.array(*map(F.lit, _LABELS)), F.col("pos") + 1).alias("class"), r6("distance", "distance"))
+
+
+@query("min_class_score_whole")
+def min_class_score_whole(spark, sf_dir):
+    v, model = _whole_vectors(spark, sf_dir)
+    d = v.select("vec_id", F.col("label").alias("truth"), distances.diagonal_vectors(F.col("x"), model).alias("d"))
+    dist = [F.element_at("d", i + 1) for i in range(len(_LABELS))]
+    return d.select("vec_id", r6(distances.class_score(dist, F.col("truth"), _LABELS, "minimum"), "least"), r6(distances.class_score(dist, F.col("truth"), _LABELS, "predicted"), "own"))
+
+
 @query("full_mahalanobis")
 def full_mahalanobis(spark, sf_dir):
-    """Shrunk covariances: dense algebra, held against a plain version in the tests."""
-    v = _vectors(spark, sf_dir)
-    names = [f"f{i}" for i in range(_DIMS)]
-    model = distances.fit(v, names, "label", _LABELS)
-    return v.select("vec_id", F.transform(distances.full(F.array(*names), model), lambda x: F.round(x, 6)).alias("distances"))
+    """Shrunk covariances of all dimensions: dense algebra, held against a plain version in the tests."""
+    v, model = _whole_vectors(spark, sf_dir)
+    return v.select("vec_id", F.transform(distances.full(F.col("x"), model), lambda x: F.round(x, 6)).alias("distances"))
 
 
 @query("conformal_pvalues", """WITH c AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS d FROM embeddings WHERE vec_id % 2 = 0), t AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS d FROM embeddings WHERE vec_id % 2 = 1)

@@ -66,3 +66,25 @@ def test_sequence_summaries_read_whole_texts(spark, texts):
     summary = catalog.QUERIES["composition_whole"](spark, folder).collect()[0]
     assert summary.run_mean == pytest.approx(sum(max(runs(s)) for s in filled) / 5, abs=1e-6)
     assert summary.pair_distance == pytest.approx(sum(abs(pooled.count(a + b) / len(pooled) - 1 / 16) for a in "ACGT" for b in "ACGT"), abs=1e-6)
+
+
+def test_distances_read_whole_vectors(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(size=(240, 9)), np.arange(240) % 5
+    x[:, 8] += 4 * label  # told apart by the last dimension alone
+    x[:, 1] = x[:, 0]
+    spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x))], "vec_id long, label int, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    diagonal, full = np.empty((240, 4)), np.empty((240, 4))
+    for k in range(4):
+        own, gap = z[label == k], z - z[label == k].mean(axis=0)
+        c = np.cov(own.T)
+        diagonal[:, k] = np.sqrt((gap**2 / own.var(axis=0, ddof=1)).sum(axis=1))
+        inverse = np.linalg.pinv(catalog.distances.oracle_shrinkage(c, len(own))[0] + 1e-8 * np.eye(9), hermitian=True)
+        full[:, k] = np.sqrt(np.einsum("nd,de,ne->n", gap, inverse, gap))
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert all(r.distance == pytest.approx(diagonal[r.vec_id, int(r["class"])], abs=2e-6) for r in run("diag_mahalanobis_whole"))
+    assert all(r.distances == pytest.approx(full[r.vec_id], abs=2e-6) for r in run("full_mahalanobis"))
+    for r in run("min_class_score_whole"):
+        assert r.least == pytest.approx(diagonal[r.vec_id].min(), abs=2e-6)
+        assert r.own is None if label[r.vec_id] == 4 else r.own == pytest.approx(diagonal[r.vec_id, label[r.vec_id]], abs=2e-6)
