@@ -597,6 +597,7 @@ def parity_hamming(spark, sf_dir):
 
 # resampling
 
+_REPETITIONS = 2000  # the reference's default; the SQL draws 50 and 20
 _DRAW = "CAST(floor(('0x' || substr(md5(concat_ws(':', {parts})), 1, 8))::UBIGINT / 4294967296.0 * {size}) AS INT)"
 
 
@@ -604,9 +605,18 @@ _DRAW = "CAST(floor(('0x' || substr(md5(concat_ws(':', {parts})), 1, 8))::UBIGIN
 d AS (SELECT quality, repetition, {_DRAW.format(parts="'7', CAST(repetition AS VARCHAR), CAST(quality AS VARCHAR), CAST(k AS VARCHAR)", size="size")} AS k FROM n CROSS JOIN (SELECT unnest(range(50)) AS repetition))
 SELECT CAST(d.repetition AS BIGINT) AS repetition, round(sum(n.toxic) / count(*), 6) AS toxic_rate, round(sum(n.toxic * n.quality) / sum(n.quality), 6) AS toxic_among_good FROM d JOIN n USING (quality, k) GROUP BY d.repetition""")
 def stratified_bootstrap(spark, sf_dir):
+    return _stratified(spark, sf_dir, 50)
+
+
+@query("stratified_bootstrap_whole")
+def stratified_bootstrap_whole(spark, sf_dir):
+    return _stratified(spark, sf_dir, _REPETITIONS)
+
+
+def _stratified(spark, sf_dir, repetitions: int) -> DataFrame:
     labels = R.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     one, good = F.lit(1.0), F.col("quality").cast("double")
-    s = resample.stratified(labels, ["quality"], ["doc_id"], {"toxic_rate": (F.col("toxic") * one, one), "toxic_among_good": (F.col("toxic") * good, good)}, 50)
+    s = resample.stratified(labels, ["quality"], ["doc_id"], {"toxic_rate": (F.col("toxic") * one, one), "toxic_among_good": (F.col("toxic") * good, good)}, repetitions)
     return s.select(big("repetition", "repetition"), r6("toxic_rate", "toxic_rate"), r6("toxic_among_good", "toxic_among_good"))
 
 
@@ -617,8 +627,17 @@ d AS (SELECT r.seed, r.category, repetition, {_DRAW.format(parts="'7', CAST(repe
 s AS (SELECT repetition, sum(CAST(r.c_acctbal < 0 AS INT)) / count(*) AS v FROM d JOIN r USING (seed, category, k) GROUP BY repetition)
 SELECT 'negative_rate' AS metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower95, round(quantile_cont(v, 0.975), 6) AS upper95 FROM s""")
 def hierarchical_bootstrap(spark, sf_dir):
+    return _hierarchical(spark, sf_dir, 20)
+
+
+@query("hierarchical_bootstrap_whole")
+def hierarchical_bootstrap_whole(spark, sf_dir):
+    return _hierarchical(spark, sf_dir, _REPETITIONS)
+
+
+def _hierarchical(spark, sf_dir, repetitions: int) -> DataFrame:
     c = R.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("seed"), F.col("c_mktsegment").alias("category"), "c_acctbal")
-    s = resample.hierarchical(c, "seed", ["category"], ["c_custkey"], {"negative_rate": ((F.col("c_acctbal") < 0).cast("double"), F.lit(1.0))}, 20)
+    s = resample.hierarchical(c, "seed", ["category"], ["c_custkey"], {"negative_rate": ((F.col("c_acctbal") < 0).cast("double"), F.lit(1.0))}, repetitions)
     return rounded(resample.intervals(s, ["negative_rate"]), "metric")
 
 

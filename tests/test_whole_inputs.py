@@ -88,3 +88,29 @@ def test_distances_read_whole_vectors(spark, tmp_path):
     for r in run("min_class_score_whole"):
         assert r.least == pytest.approx(diagonal[r.vec_id].min(), abs=2e-6)
         assert r.own is None if label[r.vec_id] == 4 else r.own == pytest.approx(diagonal[r.vec_id, label[r.vec_id]], abs=2e-6)
+
+
+def test_bootstraps_draw_2000_repetitions(spark, tmp_path):
+    rng = random.Random(3)
+    labels = [(i, i % 2, int(rng.random() < 0.3)) for i in range(40)]
+    customers = [(i, i % 3, "ab"[i % 2], rng.uniform(-1, 1)) for i in range(30)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    rates = sorted(catalog.QUERIES["stratified_bootstrap_whole"](spark, str(tmp_path)).collect())
+    assert [r.repetition for r in rates] == list(range(2000))
+    draw = lambda *parts, size: int(int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32 * size)
+    strata = {q: [x for x in labels if x[1] == q] for q in (0, 1)}
+    for r in rates[1500:1510]:
+        drawn = [strata[q][draw(7, r.repetition, q, k, size=20)] for q in (0, 1) for k in range(20)]
+        assert r.toxic_rate == pytest.approx(sum(x[2] for x in drawn) / 40, abs=1e-6)
+    values = []
+    for rep in range(2000):
+        drawn = []
+        for spot in range(3):
+            seed = draw(7, rep, "cluster", spot, size=3)
+            for category in "ab":
+                rows = [x for x in customers if x[1] == seed and x[2] == category]
+                drawn += [rows[draw(7, rep, spot, category, k, size=len(rows))][3] < 0 for k in range(len(rows))]
+        values.append(np.mean(drawn))
+    found = catalog.QUERIES["hierarchical_bootstrap_whole"](spark, str(tmp_path)).collect()[0]
+    assert (found["mean"], found.lower95, found.upper95) == pytest.approx((np.mean(values), *np.quantile(values, [0.025, 0.975])), abs=2e-6)
