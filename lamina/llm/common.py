@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -17,10 +18,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (tests, one machine)."""
+    """The shared folder named by the session. Where none is set, a temporary one, on one machine alone (tests): executors elsewhere couldn't read it."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="lamina-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -28,6 +31,18 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet into a new folder of the shared checkpoint folder and read back: later plans read only the columns they need, and retried tasks find the same rows in the same order."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared checkpoint folder, so a lost executor costs no recomputation of the lineage."""
     checkpoint_folder(df.sparkSession)
@@ -38,6 +53,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+HOT_ROWS = 1000  # a key of fewer rows is never hot
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key and in ``weight`` the number of rows that have it, ``total`` in all.
+
+    Keys that hold more than a partition's share are joined by broadcast: no more than there are partitions can, so
+    what is broadcast is bounded. The others hold so few rows that none makes a task of its own.
+    """
+    spark = rows.sparkSession
+    share = max(HOT_ROWS, total // max(1, shuffle_partitions(spark)))
+    found = table.where(F.col(weight) > share).collect()
+    table, cold = table.drop(weight), table.where(F.col(weight) <= share).drop(weight)
+    if not found:
+        return rows.join(table, key, how)
+    hot = F.broadcast(spark.createDataFrame([[r[c] for c in table.columns] for r in found], table.schema))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
+
+
 def doc_bucket(column: str, modulus: int):
     """The contract's fold number: crc32 of the decimal text of an id, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -13,13 +13,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round points all larger neighbours of a node at its least one, then all smaller ones; the
     number of rounds grows with the logarithm of the longest path. Minima are aggregated before the
-    shuffle, so a node with many edges costs one row a task. Rounds are written to the checkpoint folder.
+    shuffle, and what the nodes of most edges need is broadcast (join_hot()), so no task gathers a
+    hub's edges. Rounds are written to the checkpoint folder.
+
+    Defined cases: edges with a null end and edges of a node with itself are left out, with the nodes that
+    have no other edge; repeated edges count once; an empty table gives no rows.
     """
     edges = common.checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before = _state(edges)
     for _ in range(rounds):
-        edges = common.checkpointed(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        n = before["n"]
+        edges = common.checkpointed(_small_star(common.checkpointed(_large_star(edges, n)), n))
+        now = _state(edges)
         if now == before:
             break
         before = now
@@ -28,14 +33,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _state(edges: DataFrame):
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return common.join_hot(both.where("v > u"), least, "u", "n", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Of edges whose column a is the larger end."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    joined = common.join_hot(edges, least, "a", "n", n)
     return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()

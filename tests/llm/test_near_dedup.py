@@ -65,9 +65,12 @@ def test_components_equal_brute_force(spark, seed):
     assert result(spark, rows) == brute(rows)
 
 
-def test_large_groups_are_split_and_stood_for(spark, monkeypatch):
+@pytest.mark.parametrize("limit,frequent,hot", [(1000, 3, 1000), (3, 10**9, 2), (2, 3, 1)])
+def test_large_groups_are_split_and_stood_for(spark, monkeypatch, limit, frequent, hot):
     monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 5)
-    monkeypatch.setattr(near_dedup, "FREQUENT", 3)
+    monkeypatch.setattr(near_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(near_dedup, "LIST", limit)
+    monkeypatch.setattr(near_dedup.common, "HOT_ROWS", hot)
     rows = corpus(3, families=3, members=40)
     assert result(spark, rows) == brute(rows)
 
@@ -95,17 +98,90 @@ def test_pure_parts():
                 assert top(100 + i) == top(100 + j)
 
 
-def test_prefixes_share_a_value():
-    """Signatures that agree on POSTED_MATCHES of the posted values share one of the first ones, however values are ordered."""
+def test_lists_are_read_in_parts(spark, monkeypatch):
+    """However a list falls into batches, what agrees on enough places is tied, or left open on both sides but for what the first class settles."""
     rng = np.random.default_rng(1)
-    rows = [{"value": int(v), "n": int(rng.integers(3, 99)), "node": 0, "places": bytes(near_dedup.COORDINATES)} for v in range(8)]
-    frequent = near_dedup.Frequent(rows)
-    a = rng.integers(0, 12, (400, near_dedup.POSTED)).astype("u8") + np.arange(near_dedup.POSTED, dtype="u8") % 2 * np.uint64(6)
-    first, _ = frequent.prefix(a)
-    for x in range(0, 400, 2):
-        alike = [(v in first[x]) and (v in first[x + 1]) for v in a[x][a[x] == a[x + 1]]]
-        if len(alike) >= near_dedup.POSTED_MATCHES:
-            assert any(alike)
+    monkeypatch.setattr(near_dedup, "LIST", 6)
+    threshold = near_dedup.OP9
+    like, settled = threshold.like
+    rows, shown = [], {}
+    for value, n in enumerate([1, 2, 3, 30, 1, 14, 2, 40]):
+        base = rng.integers(0, 256, near_dedup.COORDINATES).astype("u1")
+        for _ in range(n):
+            own = base.copy()
+            own[: rng.choice([0, 10, 30, 90])] = rng.integers(0, 256)
+            shown[len(rows)] = own
+            rows.append((value, len(rows), own.tobytes()))
+    lists = spark.createDataFrame(rows, "value long, node long, places binary").coalesce(1)
+    for batch in (1, 4, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        for last in (False, True):
+            found = near_dedup.ties(lists, threshold, last).collect()
+            open_ = {r.a for r in found if r.b is None}
+            assert not (last and open_)
+            root = {i: i for i in shown}
+
+            def top(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for r in found:
+                if r.b is not None:
+                    assert (shown[r.a] == shown[r.b]).sum() >= like
+                    root[top(r.a)] = top(r.b)
+            for i, (v, _, _) in enumerate(rows):
+                for j in range(i):
+                    if rows[j][0] == v and (shown[i] == shown[j]).sum() >= threshold.matches:
+                        assert top(i) == top(j) or {i, j} <= open_
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_posted_places_meet():
+    """Sets at the threshold share a posted pair, even if a passage that all documents have leaves few places rare."""
+    rng = np.random.default_rng(2)
+    threshold, missed = near_dedup.OP9, 0
+    for boilerplate in (0, 300, 600):
+        common = rng.integers(1, 2**62, boilerplate).astype("u8")
+        frequent = set(near_dedup.pairs(near_dedup.signature(np.unique(common))[None])[0].tolist()) if boilerplate else set()
+        for _ in range(60):
+            shared, a, b = (rng.integers(1, 2**62, n).astype("u8") for n in (1000 - boilerplate, 88, 88))
+            both = []
+            for extra in (a, b):
+                minima = near_dedup.signature(np.unique(np.concatenate([common, shared, extra])))
+                values = near_dedup.pairs(minima[None])[0]
+                rare = np.array([v not in frequent for v in values.tolist()])
+                assert rare.sum() >= threshold.rare
+                both.append((minima, set(values[rare][: int(threshold.posted(rare.sum()))].tolist())))
+            assert (near_dedup.places(both[0][0]) == near_dedup.places(both[1][0])).sum() >= threshold.matches
+            missed += not both[0][1] & both[1][1]
+    assert missed == 0
+
+
+def test_shared_passages_and_large_families_at_size(spark):
+    """Recall against exact links where six words of ten are in most documents, and families of near copies stand among them."""
+    rng = np.random.default_rng(3)
+    common, rows, planted = [f"c{i}" for i in range(90)], [], []
+    for family in range(700):
+        own = [f"f{family}x{i}" for i in range(60)]
+        for copy in range(40 if family == 0 else int(rng.integers(1, 3))):
+            words = list(own)
+            words[int(rng.integers(0, 60))] = f"y{family}c{copy}"
+            rows.append((len(rows), " ".join(common + words)))
+            planted.append(family)
+    want = brute(rows)
+    got = result(spark, rows)
+    assert len({c for _, c, _ in want.values()}) > 600
+    assert np.mean([got[i] == want[i] for i in want]) >= 0.99
+
+
+def test_unlike_sets_of_a_block_are_not_compared():
+    """Sets that share seven shingles of ten, none linked: the index of rare shingles leaves no pairs."""
+    rng = np.random.default_rng(4)
+    common = rng.integers(1, 2**62, 700).astype("u8")
+    sets = [np.unique(np.concatenate([common, rng.integers(1, 2**62, 300).astype("u8")])) for _ in range(600)]
+    edges, rest = near_dedup.block_links(np.arange(600), sets, 0)
+    assert edges == [] and len(rest) == 599
 
 
 def test_stage_keeps_one_of_each_group(spark):
