@@ -23,11 +23,16 @@ def entropy(window):
 
 
 def spans(text):
-    found = base(text)
-    out = list(found)
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+    """As the operator, but every window's entropy on its own."""
+    blank = lambda m: " " * len(m[0])
+    cut = re.sub(secrets._ASSIGNED, " ", text)
+    cut = re.sub(r"[/_+-](?=[0-9a-fA-F]{20,}(?![A-Za-z0-9]))", " ", cut)
+    cut = re.sub(r"(?<![A-Za-z0-9])([0-9a-fA-F]{20,}+)[/_+-]", r"\1 ", cut)
+    cut = re.sub(secrets.PLACEHOLDER, blank, cut)
+    out = base(text)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", cut):
         t = m[0]
-        if len(t) < 20 or re.search(secrets.ALLOWED, t) or any(s < m.end() and e > m.start() for s, _, e in found):
+        if len(t) < 20 or re.search(secrets.PLAIN, t) or re.search(secrets.WORDS, t) and not re.search(secrets.JUMBLED, t):
             continue
         hexadecimal = bool(re.fullmatch("[0-9a-fA-F]+", t))
         bits = secrets.HEX_BITS if hexadecimal else secrets.BASE64_BITS
@@ -68,10 +73,39 @@ def test_spans_equal_brute_force(spark, table):
     assert any("entropy_hex" in w[2] for w in want) and any("entropy_base64" in w[2] for w in want)
 
 
-def test_allow_list_keeps_plain_identifiers(spark):
-    texts = ["some_long_identifier_name_42", "550e8400-e29b-41d4-a716-446655440000", "1234567890123456789012345", "Donaudampfschifffahrtsgesellschaft", "abcdefghijklmnopqrstuvwxyz0123456789"]
-    got = secrets.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).select(F.size("spans")).collect()
-    assert [r[0] for r in got] == [0] * len(texts)
+def test_long_texts_with_many_matches(spark, monkeypatch):
+    """Blocks of positions and of text, and a cost in proportion to the text."""
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789", k=32))
+    texts = ["😀 é ".join(f'token = "{key()}" {key()} word' for _ in range(n)) for n in (3, 300, 1200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df).collect():
+        assert secrets_of(r.spans) == spans(r.text) and len(r.spans) >= 2 * r.text.count("token")
+    for r in secrets.secret_stage(df).collect():
+        text = texts[r.doc_id]
+        at, want = 0, []
+        for start, _, end in spans(text):
+            if start >= at:
+                want += [text[at:start], "[secret]"]
+            at = max(at, end)
+        assert r.text == "".join(want) + text[at:]
+    blob = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789+/", k=60_000))
+    assert secrets_of(secrets.scan(spark.createDataFrame([(1, f"x {blob} y")], "doc_id long, text string")).collect()[0].spans) == [(2, 4, 2 + len(blob))]
+
+
+def secrets_of(found):
+    return [(s.start, s.kind, s.end) for s in found]
+
+
+def test_registered_query_shows_a_secret_that_no_pattern_knows(spark, tmp_path):
+    rows = [(1, f"before {KEY} after"), (2, f'token = "{"f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"}"'), (3, None), (4, "plain words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in secrets.op7_secrets(spark, str(tmp_path)).collect()}
+    assert got[1].spans == f"entropy_base64:7:{7 + len(KEY)}" and got[1].n_assign == got[1].n_access == got[1].n_hex == 0
+    assert (got[2].n_assign, got[2].n_hex) == (1, 1) and [x.split(":")[0] for x in got[2].spans.split(",")] == ["assign", "hex", "entropy_hex"]
+    for i, t in rows:
+        assert got[i].base_sha256 == hashlib.sha256(joined(base(t or "")).encode()).hexdigest()
+    assert got[3].spans == got[4].spans == ""
 
 
 def test_stage_redacts_and_keeps_columns(spark):
@@ -94,7 +128,7 @@ KEY = "Zx9Kq2Lm8Vw3Rt7Yp1Ns5Bd4Hg6Jf0"
 
 
 def covered(spark, texts):
-    got = secrets.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), parts=True).orderBy("doc_id").collect()
+    got = secrets.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).orderBy("doc_id").collect()
     assert all(r.text[s.start : s.end].strip() == r.text[s.start : s.end] and 0 <= s.start < s.end <= len(r.text) for r in got for s in r.spans)
     return [[r.text[s.start : s.end] for s in r.spans] for r in got]
 
@@ -116,7 +150,7 @@ def test_rest_of_a_run_beside_a_pattern_is_scored(spark):
 
 def test_parts_leave_plain_identifiers(spark):
     texts = ["some_long_identifier_name_42", "550e8400-e29b-41d4-a716-446655440000", "1234567890123456789012345", "Donaudampfschifffahrtsgesellschaft", "abcdefghijklmnopqrstuvwxyz0123456789", "x" * 50_000, "", None, "a = b"]
-    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), parts=True).select(F.size("spans")).collect()
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(F.size("spans")).collect()
     assert [r[0] for r in got] == [0] * len(texts)
 
 
