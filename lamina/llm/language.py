@@ -6,7 +6,7 @@ sum of displacements (the out-of-place distance) is predicted.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; equal
 distances go to the first language by name; n-grams of equal frequency rank by their
-code points; with no learned language all texts are ``und``; repeated rows are handled
+code points; with no learned language all texts are ``und``; more than LANGUAGES are an error; more than LANGUAGES are an error; repeated rows are handled
 each; a null doc_id is carried; other columns of the input are not read.
 """
 
@@ -26,7 +26,7 @@ from lamina.llm import common
 
 PROFILE = 300  # n-grams of a profile, and of a text
 PER_LANGUAGE = 4000  # rows of each language that a profile is learned from, expected
-LANGUAGES = 4096  # languages learned at most, the most frequent ones
+LANGUAGES = 4096  # of more labels than that no profiles are made, as the driver holds them: an error, no choice among them
 BLOCK = 1 << 20  # characters whose n-grams are counted at once
 _SPACE = 32
 
@@ -108,7 +108,10 @@ def learn(labelled: DataFrame, size: int = PROFILE, per_language: int = PER_LANG
     their ids. The n-grams are counted where the rows are, and only ``size`` of each language reach the driver.
     """
     rows = labelled.where("lang is not null and text is not null")
-    share = F.broadcast(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")).orderBy("share", "lang").limit(LANGUAGES))
+    sizes = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    share = F.broadcast(rows.sparkSession.createDataFrame(sizes, "lang string, share double"))
     chance = (F.xxhash64(F.coalesce("doc_id", F.lit(-1))).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("chance")
     chosen = rows.select("text", "lang", chance).join(share, "lang").where("chance < share").select("lang", "text")
 

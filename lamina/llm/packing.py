@@ -1,10 +1,13 @@
 """Packing of token sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are dealt into randomised groups and every group is packed on its own, so
-nothing is ever gathered beyond one group. Within a group, whole sequences are cut from
-the front of long documents; what is left of each document is placed by first-fit
-decreasing. Then the emptiest bins are taken apart, last first, and their tokens fill
-the gaps of the others; what stays of the last bin is cut into powers of two, which need no padding.
+Whole sequences are cut from the front of every document where it is read. What is left, less than a
+sequence, is written to the shared checkpoint folder and dealt into randomised groups; every group is
+packed on its own by first-fit decreasing, so nothing is ever gathered beyond one group, and a group holds
+no more tokens than its documents have room for, however long texts are. Then the emptiest bins are taken apart,
+last first, and their tokens fill the gaps of the others; what stays of the last bin is cut into
+powers of two, which need no padding.
+
+Ids are those of the tokenizers library for the vocabulary as it is loaded: the file's added tokens are found in texts.
 
 Defined cases: a null or empty text is the one id that ends every document; documents of
 equal length are placed in the order of (doc_id, row order), null ids first; repeated rows are
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from lamina.llm import common
 from lamina.llm.bpe import ByteBpe, read_added
 
-GROUP_DOCUMENTS = 1024  # expected documents of a group
+GROUP_DOCUMENTS = 1024  # expected documents of a group; each brings less than a sequence
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -120,54 +123,68 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
-def tokenised(docs: DataFrame, vocabulary_file: str, end_id: int, groups: int, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
-    """doc_id, ids (little-endian, 16 bits where the vocabulary allows), pack_group: a hash of the row's place in its partition, so a hot id cannot fill a group.
+CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary, dealt long"
+
 
-    The ids are those of the tokenizers library for the vocabulary. With ``added_tokens`` the file's added tokens
-    are found in the texts, as the library does by default; without, they are ordinary text.
+def cut(docs: DataFrame, vocabulary_file: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces of documents: whole sequences, which have a (negative) sequence_id; and the rest of each document with its ids, little-endian, 16 bits where the vocabulary allows.
+
+    Sequences are numbered, and rests dealt, by partition and place there; so the rows must be written before they are used.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(vocabulary_file, added=read_added(vocabulary_file) if added_tokens else None)
+        bpe = ByteBpe(vocabulary_file, added=read_added(vocabulary_file))
         width = 2 if len(bpe.tokens) <= 1 << 16 else 4
-        end = end_id.to_bytes(width, "little")
         partition = TaskContext.get().partitionId()
 
         def rows():
-            number = 0
+            number = sequence = 0
             for batch in batches:
                 for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode_batch(batch.column(1))):
-                    number += 1
-                    yield doc_id, ids.astype(f"<u{width}").tobytes() + end, width, zlib.crc32(f"{partition}:{number}".encode()) % groups
-
-        yield from common.sliced(["doc_id", "ids", "width", "pack_group"], [pa.int64(), pa.binary(), pa.int32(), pa.int32()], rows())
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    whole = len(ids) - len(ids) % capacity
+                    for start in range(0, whole, capacity):
+                        sequence += 1
+                        yield doc_id, start, capacity, zlib.crc32(ids[start : start + capacity]), len(ids), -(partition << 32 | sequence), None, None
+                    if whole < len(ids):
+                        number += 1
+                        yield doc_id, whole, len(ids) - whole, None, len(ids), None, ids[whole:].astype(f"<u{width}").tobytes(), zlib.crc32(f"{partition}:{number}".encode())
+
+        names = [c.split()[0] for c in CUT.split(", ")]
+        yield from common.sliced(names, [*[pa.int64()] * 6, pa.binary(), pa.int64()], rows())
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids binary, width int, pack_group int")
+    return source.mapInArrow(run, CUT)
 
 
-def pack(docs: DataFrame, vocabulary_file: str, capacity: int = 1024, end_id: int = 0, group_documents: int = GROUP_DOCUMENTS, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_file: str, capacity: int = 1024, end_id: int = 0, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
     """One row per piece: its document, place there, length, checksum, and its place in a sequence."""
-    groups = max(1, -(-docs.count() // group_documents))
+    pieces = common.written(cut(docs, vocabulary_file, capacity, end_id), "pieces")
+    rest = pieces.where("ids is not null")
+    groups = max(1, -(-rest.count() // group_documents))
 
     def run(table: pa.Table) -> pa.Table:
         group = table.column("pack_group")[0].as_py()
-        docs_ids = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), table.column("width").to_pylist()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        ids = [np.frombuffer(raw, f"<u{width}").astype("<u4") for _, raw, width in docs_ids]
+        names = ("doc_id", "ids", "start", "length", "doc_tokens")
+        docs_ids = sorted(zip(*[table.column(c).to_pylist() for c in names]), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        ids = [np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4") for _, raw, _, n, _ in docs_ids]
         rows = []
         for number, sequence in enumerate(pack_lengths([len(x) for x in ids], capacity)):
             offset = 0
             for doc, start, length in sequence:
-                rows.append((docs_ids[doc][0], start, length, zlib.crc32(ids[doc][start : start + length]), len(ids[doc]), group << 32 | number, offset))
+                doc_id, _, before, _, tokens = docs_ids[doc]
+                rows.append((doc_id, before + start, length, zlib.crc32(ids[doc][start : start + length]), tokens, group << 32 | number, offset))
                 offset += length
         del ids, docs_ids
         common.give_back()
         return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), zip(*rows))})
 
-    return tokenised(docs, vocabulary_file, end_id, groups, added_tokens=added_tokens).groupBy("pack_group").applyInArrow(run, PIECES)
+    dealt = rest.select("doc_id", "ids", "start", "length", "doc_tokens", (F.col("dealt") % groups).cast("int").alias("pack_group"))
+    whole = pieces.where("ids is null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
+    return whole.unionByName(dealt.groupBy("pack_group").applyInArrow(run, PIECES))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    return pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

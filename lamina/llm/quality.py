@@ -124,15 +124,22 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS, ridge:
         first.descend(lambda w: decay * w + 0.5 * (rest.T @ sigmoid(rest @ w) / len(rest) - half.T @ (1 - sigmoid(half @ w)) / len(half)), steps // 3)
         prior = estimate_prior(sigmoid(p[1::2] @ first.weights), sigmoid(u[1::2] @ first.weights)) if len(p) > 1 and len(u) > 1 else 0.5
 
+    risk = risk_gradient(p, u, prior)
+    model.descend(lambda w: decay * w + risk(w), steps)
+    return model, prior
+
+
+def risk_gradient(p: np.ndarray, u: np.ndarray, prior: float):
+    """Gradient of the non-negative risk for inputs of positives and unlabelled; where the bracket is below zero, of the step back on it."""
+
     def gradient(w: np.ndarray) -> np.ndarray:
         sp, su = sigmoid(p @ w), sigmoid(u @ w)
         as_positive = prior * (p.T @ (sp - 1)) / len(p)
         negative_risk = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
         as_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        return decay * w + (as_positive + as_negative if negative_risk >= 0 else -as_negative)
+        return as_positive + as_negative if negative_risk >= 0 else -as_negative
 
-    model.descend(gradient, steps)
-    return model, prior
+    return gradient
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:

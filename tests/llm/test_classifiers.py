@@ -62,6 +62,24 @@ def test_language_edges(spark):
     assert language.learn(language.eligible(empty)).predict("text") == ("und", 0.0)
 
 
+def test_learned_profiles_equal_plain_counts(spark, monkeypatch):
+    rows = [(i, f"{'le chat et la maison' if i % 3 else 'der hund und das haus'} {'abc'[i % 2]}", "fr" if i % 3 else "de") for i in range(60)]
+    df = spark.createDataFrame([*rows, (60, None, "fr"), (61, "the cat", None)], "doc_id long, text string, lang string")
+    eligible = [(t, la) for i, t, la in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = language.learn(language.eligible(df), 25)
+    assert model.languages == ["de", "fr"]
+    for k, name in enumerate(model.languages):
+        counts = {}
+        for text in (t for t, la in eligible if la == name):
+            for g, n in zip(*(x.tolist() for x in language.grams(language.words_only(text)))):
+                counts[g] = counts.get(g, 0) + n
+        want = sorted(counts, key=lambda g: (-counts[g], g))[:25]
+        assert [int(g) for g in model.known[np.argsort(model.ranks[k, :-1], kind="stable")][:25]] == want
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language.learn(language.eligible(df), 25)
+
+
 @tables
 def test_held_out_languages(spark):
     rows = language.op6_language_id(spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
@@ -86,6 +104,20 @@ def test_fit_finds_negatives_it_never_saw_labelled():
     assert (model.score(good) >= 0.5).mean() > 0.97 and (model.score(bad) < 0.5).mean() > 0.97
 
 
+def test_risk_and_steps_equal_a_plain_version():
+    """Non-negative risk: its gradient by differences, and the step back where the bracket is below zero."""
+    rng = np.random.default_rng(2)
+    p, u = np.hstack([rng.normal(0.5, 1, (40, 3)), np.ones((40, 1))]), np.hstack([rng.normal(-0.2, 1, (90, 3)), np.ones((90, 1))])
+    loss = lambda x, w, y: np.log1p(np.exp(-y * (x @ w)))
+    for prior in (0.3, 0.9):
+        gradient = quality.risk_gradient(p, u, prior)
+        for w in (np.zeros(4), rng.normal(0, 1, 4), np.array([3.0, 3, 3, 3]), np.array([-4.0, -4, -4, -6])):
+            bracket = lambda w: loss(u, w, -1).mean() - prior * loss(p, w, -1).mean()
+            risk = (lambda w: prior * loss(p, w, 1).mean() + bracket(w)) if bracket(w) >= 0 else (lambda w: -bracket(w))
+            steps = np.eye(4) * 1e-6
+            assert gradient(w) == pytest.approx([(risk(w + s) - risk(w - s)) / 2e-6 for s in steps], abs=1e-6)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None), (3, ""), (None, "null id"), (5, "word " * 200_000)], "doc_id long, text string").withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1), (3, None)], "doc_id long, quality int")

@@ -23,9 +23,7 @@ def texts(n=600, seed=1):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def test_both_files_hold_one_vocabulary():
@@ -36,11 +34,12 @@ def test_both_files_hold_one_vocabulary():
 def test_ids_equal_both_libraries(library, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE_BYTES", 700)
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 60)
-    encoder, rows = bpe.ByteBpe(VOCABULARY), texts()
-    for text, ids in zip(rows, encoder.encode_batch(pa.array(rows)), strict=True):
-        want = encoder.encoding.encode_ordinary(text or "")
-        assert ids.tolist() == want == library.encode(text or "", add_special_tokens=False).ids
-        assert encoder.decode(ids) == (text or "").encode()
+    ranks, whole, rows = bpe.ByteBpe(RANKS), bpe.ByteBpe(VOCABULARY, added=bpe.read_added(VOCABULARY)), texts()
+    encoder = ranks
+    for text, plain, ids in zip(rows, ranks.encode_batch(pa.array(rows)), whole.encode_batch(pa.array(rows)), strict=True):
+        assert plain.tolist() == ranks.encoding.encode_ordinary(text or "")
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
+        assert ranks.decode(plain) == whole.decode(ids) == (text or "").encode()
     assert list(encoder.encode_batch(pa.array([], pa.string()))) == []
 
 
@@ -110,16 +109,21 @@ def test_packing_on_tables(spark, library):
     assert packing.pack(df.limit(0), VOCABULARY).count() == 0
 
 
-def test_added_tokens_equal_the_library_as_loaded(spark, tmp_path, monkeypatch):
-    from tokenizers import Tokenizer
-
-    loaded = Tokenizer.from_file(VOCABULARY)
-    monkeypatch.setattr(bpe, "SLICE_BYTES", 700)
-    rows = [*texts(), "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  ", "  <|endoftext|>\n", "<|endoftext|"]
-    encoder = bpe.ByteBpe(VOCABULARY, added=bpe.read_added(VOCABULARY))
-    for text, ids in zip(rows, encoder.encode_batch(pa.array(rows)), strict=True):
-        assert ids.tolist() == loaded.encode(text or "", add_special_tokens=False).ids
-        assert encoder.decode(ids) == (text or "").encode()
-    spark.createDataFrame(list(enumerate(rows[-5:])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+def test_registered_queries(spark, library, tmp_path):
+    """op1 by the rank file, where the added token is text; op3 by the vocabulary as the library loads it."""
+    rows = list(enumerate([*texts(40), "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  ", "  <|endoftext|>\n", "<|endoftext|", "long words " * 3000]))
+    spark.createDataFrame([*rows, (None, "null id")], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = bpe.ByteBpe(RANKS).encoding
+    for r in bpe.op1_byte_bpe(spark, str(tmp_path)).where("doc_id is not null").collect():
+        text = rows[r.doc_id][1] or ""
+        ids = np.array(plain.encode_ordinary(text), "<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     got = packing.op3_packing(spark, str(tmp_path)).collect()
-    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(loaded.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(rows[-5:])}
+    assert {r.doc_id: r.doc_tokens for r in got if r.doc_id is not None} == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+    pieces = sorted((r.start, r.length, r.ids_crc32) for r in got if r.doc_id == len(rows) - 1)
+    ids = np.array([*library.encode(rows[-1][1], add_special_tokens=False).ids, 0], "<u4")
+    assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n, _ in pieces] == [c for *_, c in pieces] and sum(n for _, n, _ in pieces) == len(ids)
+    totals = {}
+    for r in got:
+        totals[r.sequence_id] = totals.get(r.sequence_id, 0) + r.length
+    assert all(n == 1024 or n & (n - 1) == 0 for n in totals.values())
