@@ -1,8 +1,14 @@
 """GIF media columns: LZW streams, palettes, disposal and transparency, timed frames, colour histograms.
 
+Texts are stored 2304 bytes to a frame of 48 x 48, the last frame as high as it needs to be. Streams are LZW with a
+table. A sample that equals what the canvas shows at its place is written as the transparent colour, where the
+samples leave a number free (UTF-8 never has byte 254); a frame is kept or taken back (disposal 1 or 3), whichever
+lets the next one show more of what is there. Reading undoes all of that: the samples are what the composed canvas shows in a frame's own box.
+
 Defined cases: a null or empty text is stored as one frame of bytes 255; a null or damaged
 medium gives null results and the reason in ``error``; repeated rows are handled each; an
-empty table gives no rows; other columns of the input are not read.
+empty table gives no rows; other columns of the input are not read by store_texts() and frames(), and kept by
+summaries(), whose own columns replace those of the same names.
 """
 
 from __future__ import annotations
@@ -19,7 +25,9 @@ from pyspark.sql import functions as F
 
 from lamina.llm import common
 
-WIDTH = HEIGHT = 24
+UNIT = 576  # bytes; what a text is filled up to
+WIDTH = 48  # of a frame; a unit is 12 rows
+HEIGHT = 48  # at most
 BINS = 64  # two bits of each colour
 DELAY_CS = 4
 
@@ -80,18 +88,6 @@ def lzw_encode(samples: bytes, minimum: int = 8) -> bytes:
     return np.packbits(bits[np.arange(12) < width[:, None]], bitorder="little").tobytes()
 
 
-def literal_streams(samples: np.ndarray, minimum: int = 8) -> np.ndarray:
-    """Code streams of equally large images (one per row) that hold literal codes alone, with a clear code before the codes would grow wider."""
-    clear, run = 1 << minimum, (1 << minimum) - 2
-    columns = []
-    for start in range(0, samples.shape[1], run):
-        columns += [np.full((len(samples), 1), clear, "u2"), samples[:, start : start + run].astype("u2")]
-    columns.append(np.full((len(samples), 1), clear + 1, "u2"))
-    codes = np.concatenate(columns, axis=1)
-    bits = (codes[:, :, None] >> np.arange(minimum + 1, dtype="u2") & 1).astype("u1")
-    return np.packbits(bits.reshape(len(samples), -1), axis=1, bitorder="little")
-
-
 def lzw_decode(data: bytes, minimum: int, pixels: int) -> bytes:
     """Samples of a code stream, up to ``pixels``; ValueError where a code can't be."""
     if not 1 <= minimum <= 11:
@@ -118,30 +114,34 @@ def lzw_decode(data: bytes, minimum: int, pixels: int) -> bytes:
             codes = codes[:n]
         else:
             stop = True
-        if codes.max(initial=0) < clear:
-            out += codes.astype("u1").tobytes()
-        else:
-            expand(codes.tolist(), clear, out)
+        expand(codes.tolist(), clear, out)
     return bytes(out[:pixels])
 
 
+@cache
+def _singles(clear: int) -> list[bytes]:
+    return [bytes([i & 255]) for i in range(clear)] + [b"", b""]
+
+
 def expand(codes: list[int], clear: int, out: bytearray) -> None:
-    """Appends the strings of codes that follow one clear code. The entry made at a code is its string and the next one's first sample, so both are read from what is out already."""
-    starts: list[int] = []
+    """Appends the strings of codes that follow one clear code; each code but the first makes an entry of the string before it and its own first sample."""
+    table, before, parts = _singles(clear).copy(), b"", []
+    size = clear + 2
     for code in codes:
-        here = len(out)
-        starts.append(here)
-        if code < clear:
-            out.append(code)
-            continue
-        entry = code - clear - 2
-        if entry >= len(starts) - 1:
+        if code < size:
+            string = table[code]
+            if before and size < 4096:
+                table.append(before + string[:1])
+                size += 1
+        elif code == size < 4096 and before:
+            string = before + before[:1]
+            table.append(string)
+            size += 1
+        else:
             raise ValueError("LZW code before its entry")
-        stop = starts[entry + 1] + 1
-        string = out[starts[entry] : stop]
-        if stop > here:
-            string.append(string[0])
-        out += string
+        parts.append(string)
+        before = string
+    out += b"".join(parts)
 
 
 @dataclass
@@ -149,6 +149,7 @@ class Frame:
     start_ms: int
     delay_ms: int
     pixels: np.ndarray  # height x width x 4, the canvas as shown: red, green, blue, alpha
+    box: tuple[int, int, int, int]  # left, top, width and height of the frame's own image
 
 
 @dataclass
@@ -158,33 +159,30 @@ class Gif:
     frames: list[Frame]
 
 
-def write_gif(samples: bytes, width: int = WIDTH, height: int = HEIGHT, palette: np.ndarray | None = None, delay_cs: int = DELAY_CS, compress: bool = False) -> bytes:
-    """A GIF whose frames hold the samples as palette numbers, losslessly; their number is a multiple of a frame's.
-
-    Literal codes, the default, make the streams an eighth larger than the samples. ``compress`` makes those of
-    texts half as large, at six times the time to write and twice the time to read.
-    """
+def write_gif(samples: bytes, width: int = WIDTH, height: int = HEIGHT, palette: np.ndarray | None = None, delay_cs: int = DELAY_CS) -> bytes:
+    """A GIF whose frames hold the samples as palette numbers, losslessly; their number is a multiple of the width."""
     colours = sample_palette() if palette is None else palette
-    head = b"GIF89a" + struct.pack("<HHBBB", width, height, 0xF7, 0, 0) + colours.astype("u1").tobytes()
-    before = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_cs, 0, 0) + struct.pack("<BHHHHBB", 0x2C, 0, 0, width, height, 0, 8)
-    out, size = [head], width * height
-    if compress:
-        for start in range(0, len(samples), size):
-            stream = lzw_encode(samples[start : start + size])
-            out.append(before)
-            out += [bytes([len(stream[i : i + 255])]) + stream[i : i + 255] for i in range(0, len(stream), 255)]
-            out.append(b"\0")
-        return b"".join([*out, b";"])
-    images = np.frombuffer(samples, "u1").reshape(-1, size)
-    step = max(1, (1 << 18) // size)
-    for first in range(0, len(images), step):
-        streams = literal_streams(images[first : first + step])
-        n, length = streams.shape
-        parts = [np.tile(np.frombuffer(before, "u1"), (n, 1))]
-        for i in range(0, length, 255):
-            part = streams[:, i : i + 255]
-            parts += [np.full((n, 1), part.shape[1], "u1"), part]
-        out.append(np.concatenate([*parts, np.zeros((n, 1), "u1")], axis=1).tobytes())
+    values = np.frombuffer(samples, "u1")
+    free = np.flatnonzero(np.bincount(values, minlength=256) == 0)
+    clear = int(free[-1]) if len(free) else -1
+    size = width * height
+    images = [values[i : i + size] for i in range(0, len(values), size)]
+    rows = min(height, len(values) // width)
+    out = [b"GIF89a" + struct.pack("<HHBBB", width, max(rows, 1), 0xF7, 0, 0) + colours.astype("u1").tobytes()]
+    shown = np.full(size, -1, "i2")  # numbers on the canvas; -1: nothing yet
+    for number, image in enumerate(images):
+        n, drawn, kept = len(image), image, shown.copy()
+        kept[:n] = image
+        if clear >= 0:
+            drawn = np.where(shown[:n] == image, clear, image).astype("u1")
+        following = images[number + 1] if number + 1 < len(images) else image[:0]
+        restore = np.count_nonzero(shown[: len(following)] == following) > np.count_nonzero(kept[: len(following)] == following)
+        stream = lzw_encode(drawn.tobytes())
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, (3 if restore else 1) << 2 | (clear >= 0), delay_cs, max(clear, 0), 0))
+        out.append(struct.pack("<BHHHHBB", 0x2C, 0, 0, width, n // width, 0, 8))
+        out += [bytes([len(stream[i : i + 255])]) + stream[i : i + 255] for i in range(0, len(stream), 255)]
+        out.append(b"\0")
+        shown = shown if restore else kept
     return b"".join([*out, b";"])
 
 
@@ -256,7 +254,7 @@ def read_gif(data: bytes) -> Gif:
                 region[seen] = shown[seen]
             else:
                 region[...] = shown
-            frames.append(Frame(clock, delay, canvas.copy()))
+            frames.append(Frame(clock, delay, canvas.copy(), (left, top, image.shape[1], image.shape[0])))
             clock += delay
             if disposal == 2:
                 region[...] = 0
@@ -269,24 +267,27 @@ def read_gif(data: bytes) -> Gif:
     return Gif(width, height, frames)
 
 
-def histograms(frames: list[Frame]) -> np.ndarray:
-    """Visible pixels of each frame by two bits of red, green and blue."""
-    if not frames:
-        return np.zeros((0, BINS), "i8")
-    pixels = np.stack([f.pixels for f in frames]).reshape(len(frames), -1, 4)
-    bins = (pixels[..., 0] >> 6).astype("i8") << 4 | (pixels[..., 1] >> 6) << 2 | pixels[..., 2] >> 6
-    bins = bins + BINS * np.arange(len(frames))[:, None]
-    return np.bincount(bins[pixels[..., 3] > 0], minlength=BINS * len(frames)).reshape(-1, BINS)
+def own_pixels(frame: Frame) -> np.ndarray:
+    """What the canvas shows in the frame's box, a row per pixel."""
+    left, top, w, h = frame.box
+    return frame.pixels[top : top + h, left : left + w].reshape(-1, 4)
 
 
-def payload(text: str | None, unit: int = WIDTH * HEIGHT) -> tuple[bytes, int]:
+def histogram(pixels: np.ndarray) -> np.ndarray:
+    """Visible pixels by two bits of red, green and blue."""
+    seen = pixels.reshape(-1, 4)
+    seen = (seen[seen[:, 3] > 0] >> 6).astype("i8")
+    return np.bincount(seen[:, 0] << 4 | seen[:, 1] << 2 | seen[:, 2], minlength=BINS)
+
+
+def payload(text: str | None, unit: int = UNIT) -> tuple[bytes, int]:
     """UTF-8 of the text, filled up with bytes 255 to a positive multiple of ``unit``; and its own length."""
     raw = (text or "").encode()
     return raw + b"\xff" * (max(1, -(-len(raw) // unit)) * unit - len(raw)), len(raw)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each whole text as a GIF of 24 x 24 frames."""
+    """doc_id, n_bytes, media: each whole text as a GIF."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -313,8 +314,8 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
                     if gif is None:
                         yield doc_id, None, None, None, None, None, None, None, error
                         continue
-                    for i, (frame, counts) in enumerate(zip(gif.frames, histograms(gif.frames))):
-                        yield doc_id, i, frame.start_ms, frame.delay_ms, gif.width, gif.height, frame.pixels.tobytes(), counts.tolist(), None
+                    for i, frame in enumerate(gif.frames):
+                        yield doc_id, i, frame.start_ms, frame.delay_ms, gif.width, gif.height, frame.pixels.tobytes(), histogram(frame.pixels).tolist(), None
 
         yield from common.sliced(names, [pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.list_(pa.int64()), pa.string()], rows())
 
@@ -331,26 +332,32 @@ def read_or_error(data: bytes | None) -> tuple[Gif | None, str | None]:
         return None, str(why)
 
 
+SUMMARY = ("n_frames", "duration_ms", "samples", "histogram", "error")
+
+
 def summaries(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """The other columns, and per medium: frames, duration, the samples its colours stand for, summed histogram, error.
+    """The other columns, and per medium: frames, duration, the samples that the colours of its frames' boxes stand for, their histogram, error.
 
     The bytes of the medium itself are dropped once read."""
+    media = media.drop(*(c for c in SUMMARY if c != media_col))
     kept = [c for c in media.columns if c != media_col]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name in kept), "n_frames long, duration_ms long, samples binary, histogram array<long>, error string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [batch.column(c) for c in kept]
-            found = []
-            for i, data in enumerate(batch.column(media_col)):
-                gif, error = read_or_error(data.as_py())
-                if gif is None:
-                    found.append((i, None, None, None, None, error))
-                    continue
-                samples = b"".join(palette_samples(f.pixels).tobytes() for f in gif.frames)
-                found.append((i, len(gif.frames), sum(f.delay_ms for f in gif.frames), samples, histograms(gif.frames).sum(axis=0).tolist(), None))
-            for part in common.sliced(["row", "n_frames", "duration_ms", "samples", "histogram", "error"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.string()], found):
-                yield pa.RecordBatch.from_arrays([*(c.take(part.column(0)) for c in own), *part.columns[1:]], [*kept, *part.schema.names[1:]])
+
+            def found():
+                for i, data in enumerate(batch.column(media_col)):
+                    gif, error = read_or_error(data.as_py())
+                    if gif is None:
+                        yield i, None, None, None, None, error
+                        continue
+                    pixels = np.concatenate([own_pixels(f) for f in gif.frames]) if gif.frames else np.empty((0, 4), "u1")
+                    yield i, len(gif.frames), sum(f.delay_ms for f in gif.frames), palette_samples(pixels).tobytes(), histogram(pixels).tolist(), None
+
+            for part in common.sliced(["__row", *SUMMARY], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.string()], found()):
+                yield pa.RecordBatch.from_arrays([*(c.take(part.column(0)) for c in own), *part.columns[1:]], [*kept, *SUMMARY])
 
     return media.mapInArrow(run, schema)
 
