@@ -7,13 +7,14 @@ that share a passage of w + k - 1 characters or more share a fingerprint of it,
 tell where. k must be a power of two, or a sum of few, and w a power of two.
 
 Documents are compared with the next one in descending order of their ids: dealt out in
-ranges of ids, sorted, and read one behind the other, each range closed by a copy of the
-first document of the range that follows; texts move once.
+ranges of ids, a partition each, sorted, and read one behind the other, each range closed by a copy of the
+first document of the range that follows; texts move once. An id (or null) that holds more than a range's
+share is split into ranges by a hash of the texts; rows of one id and one text stay together, read one by one.
 
 Defined cases: a null text counts as empty; an empty text has no fingerprint and is like
 another empty one only; a text shorter than k has one hash, of all its characters, and one of
 fewer than w k-grams one window; rows of a null id come last; rows of one id are in
-the order of their texts; a single row is its own next one; an empty table gives no rows;
+the order of a hash of their texts; a single row is its own next one; an empty table gives no rows;
 other columns of the input are not read.
 """
 
@@ -25,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import common
@@ -33,6 +35,7 @@ from lamina.llm import common
 GRAM = 12  # characters
 WINDOW = 12  # grams, at most 255; any passage of 23 characters in common is found
 BLOCK = 1 << 20  # windows worked on at once
+RANGES = 1 << 15  # at most; their bounds are looked up in every task
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -116,38 +119,50 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """doc_id, text, range number, and ghost: true for the copy of the first row of the range that follows (of the first range, behind the last).
+def in_ranges(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
+    """doc_id, text, order (a hash of the text), range number, and ghost: true for the copy of the first row of the range that follows (of the first range, behind the last); and how many ranges there are.
 
-    Bounds are quantiles of the ids, so no range holds much more than its share; rows of one id stay together.
+    Bounds are quantiles of the ids. An id that is several quantiles holds as many ranges, and rows are dealt to them by the hash.
     """
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = sorted({int(b) for b in source.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}, reverse=True) if ranges > 1 else []
-    rows = source.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_not_below(bounds, F.col("doc_id"))).cast("int"))
-    tops = rows.groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()  # a row per range
+    source = source.withColumn("order", F.xxhash64("text"))
+    n, known = source.select("doc_id").agg(F.count("*"), F.count("doc_id")).first()
+    quantiles = source.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 and known else []
+    bounds, times = np.unique(np.array(quantiles, "i8"), return_counts=True)
+    bounds, times = bounds[::-1], times[::-1]  # ids in descending order
+    before = np.append(0, np.cumsum(times))  # ranges before each bound's
+    nulls = max(1, round((n - known) * ranges / max(1, n)))
+
+    def number(ids: pa.Array, order: pa.Array) -> pa.Array:
+        none = np.asarray(pc.is_null(ids))
+        value, part = np.asarray(pc.fill_null(ids, 0)), np.asarray(order).astype("f8") / 2.0**64 + 0.5
+        at = np.searchsorted(-bounds, -value)  # bounds above the id
+        same = np.zeros(len(value), bool)
+        if len(bounds):
+            same = bounds[np.minimum(at, len(bounds) - 1)] == value
+        split = np.where(same, np.append(times, 1)[at] - 1, 0)
+        found = before[at] + np.minimum((part * (split + 1)).astype("i8"), split)
+        return pa.array(np.where(none, before[-1] + 1 + np.minimum((part * nulls).astype("i8"), nulls - 1), found).astype("i4"))
+
+    number.__annotations__ = {"ids": pa.Array, "order": pa.Array, "return": pa.Array}
+    rows = source.withColumn("range", F.arrow_udf(number, "int")("doc_id", "order"))
+    first = F.max(F.struct("doc_id", F.expr("~`order`").alias("o"))).alias("first")
+    tops = rows.groupBy("range").agg(first).orderBy("range").collect()  # a row per range
+    count = int(before[-1]) + 1 + nulls
     if not tops:
-        return rows.withColumn("ghost", F.lit(False))
+        return rows.withColumn("ghost", F.lit(False)), count
     used = [r["range"] for r in tops]
-    leads = docs.sparkSession.createDataFrame([(r["range"], r["top"], used[i - 1]) for i, r in enumerate(tops)], "__range int, __top long, __to int")
-    leading = rows.join(F.broadcast(leads), (F.col("range") == F.col("__range")) & F.col("doc_id").eqNullSafe(F.col("__top")))
-    ghosts = leading.groupBy("__to", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("__to").alias("range"), F.lit(True).alias("ghost"))
-    return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
-
-
-def _not_below(bounds: list[int], value: Column) -> Column:
-    """How many of the descending bounds are at least ``value``; by blocks, so that the cost of a row is that of the root of their number."""
-    if not bounds:
-        return F.lit(0)
-    size = max(1, round(len(bounds) ** 0.5))
-    ends = F.array(*[F.lit(b).cast("long") for b in bounds[size - 1 :: size]])
-    blocks = F.size(F.filter(ends, lambda b: b >= value)) if len(bounds) >= size else F.lit(0)
-    return blocks * size + F.size(F.filter(F.slice(F.array(*[F.lit(b).cast("long") for b in bounds]), blocks * size + 1, F.lit(size)), lambda b: b >= value))
+    leads = spark.createDataFrame([(r["range"], r["first"]["doc_id"], ~r["first"]["o"], used[i - 1]) for i, r in enumerate(tops)], "__range int, __top long, __order long, __to int")
+    leading = rows.join(F.broadcast(leads), (F.col("range") == F.col("__range")) & (F.col("order") == F.col("__order")) & F.col("doc_id").eqNullSafe(F.col("__top")))
+    ghosts = leading.groupBy("__to", "doc_id", "order").agg(F.min("text").alias("text")).select("doc_id", "text", "order", F.col("__to").alias("range"), F.lit(True).alias("ghost"))
+    return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts), count
 
 
 def compare_with_next(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """Per row its fingerprint, that of its edited text, and the likeness of its fingerprint to that and to the next document's."""
-    ranges = common.shuffle_partitions(docs.sparkSession)
-    dealt = in_ranges(docs, ranges).repartition(ranges, "range").sortWithinPartitions("range", "ghost", F.col("doc_id").desc_nulls_last(), "text")
+    rows_, ranges = in_ranges(docs, min(RANGES, common.shuffle_partitions(docs.sparkSession)))
+    dealt = rows_.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "ghost", F.col("doc_id").desc_nulls_last(), "order", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

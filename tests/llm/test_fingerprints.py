@@ -81,3 +81,17 @@ def test_compare_with_next(spark):
 def test_repeated_ids(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (0, "c")], "doc_id long, text string").repartition(4)
     assert sorted((r.doc_id, r.n_chars) for r in f.compare_with_next(df).collect()) == [(0, 1), (1, 1), (1, 1), (1, 1)]
+
+
+def test_hot_ids_are_split(spark):
+    """A third of all rows under one id and a third under none: several ranges each, and the chain of next texts stays whole."""
+    rows = [(i, f"text {i} " * 3) for i in range(200)] + [(77, f"hot {i}") for i in range(200)] + [(None, f"none {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt, ranges = f.in_ranges(df, 12)
+    sizes = {r["range"]: r["n"] for r in dealt.where("not ghost").groupBy("range").agg(F.count("*").alias("n")).collect()}
+    assert max(sizes.values()) < 120 and len(sizes) > 9 and max(sizes) < ranges
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]], r[1]))
+    want = sorted((i is None, i or 0, hashlib.sha256(f.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    got = f.compare_with_next(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in got) == want
