@@ -10,7 +10,7 @@ for texts without them. A rule is a sequence of
 identifiers that stand one right behind the other. At each place the first rule of the list
 that fits wins and uses its sentences up, so longer rules stand before the shorter ones they hold.
 
-Defined cases: a null text counts as empty and matches nothing; blank sentences don't count and
+Defined cases: a null text counts as empty and matches nothing; blank sentences, and numbers or letters of lists, don't count and
 don't part their neighbours; repeated rows are scanned each; a null doc_id is carried; other
 columns of the input are not read.
 """
@@ -46,6 +46,34 @@ SENTENCES = {
     "cc0-dedicated": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "all-rights": "all rights reserved",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "isc-title": "isc license",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "apache-title": "apache license version 2 0 january 2004",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "lgpl21-title": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mpl-title": "mozilla public license version 2 0",
+    "mpl-subject": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-copy-http": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "epl-title": "eclipse public license v 2 0",
+    "epl-available": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "cc0-title": "cc0 1 0 universal",
+    "cc-by-title": "attribution 4 0 international",
+    "cc-by-sa-title": "attribution sharealike 4 0 international",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
 }
 #: Rules in order: licence, and the identifiers that stand for it.
 RULES = (
@@ -70,7 +98,32 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-licensed",)),
     ("CC-BY-4.0", ("cc-by-licensed",)),
     ("CC0-1.0", ("cc0-dedicated",)),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("BSD", ("bsd-redistribution",)),
+    ("ISC", ("isc-title", "isc-grant")),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-title",)),
+    ("Apache-2.0", ("apache-title",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("LGPL-2.1", ("lgpl21-title",)),
+    ("LGPL-3.0", ("lgpl3-title",)),
+    ("AGPL-3.0", ("agpl3-title",)),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("MPL-2.0", ("mpl-title",)),
+    ("MPL-2.0", ("mpl-subject",)),
+    ("EPL-2.0", ("epl-title",)),
+    ("EPL-2.0", ("epl-available",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("CC0-1.0", ("cc0-title",)),
+    ("CC-BY-4.0", ("cc-by-title",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-title",)),
+    ("BSL-1.0", ("boost-grant",)),
     ("proprietary", ("all-rights",)),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,8 +133,10 @@ _OTHER = r"[^\p{L}\p{N}\n]+"
 _PARTS = ((_END, "\n\n"), (r"[^\p{L}\p{N}\n;:]+", " "), (r" ?[;:][ ;:]*", ";"), (r"[ ;]?\n[ ;]?\n[ ;\n]*", "\f"), (r"[ ;]?\n[ ;]?", "\n"))
 _KNOWN = r"(?<![^\n;\f])(" + "|".join(s.replace(" ", "[ ;\n]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + r")(?![^\n;\f])"
 _MARK = "\x01"
-#: One character for each identifier; a space for any other sentence.
-CODES = {name: chr(ord("A") + i) for i, name in enumerate(SENTENCES)}
+#: One character for each identifier, of a block of thousands that no pattern takes specially; a space for any other sentence.
+CODES = {name: chr(0x4E00 + i) for i, name in enumerate(SENTENCES)}
+#: Numbers and letters of lists, which stand alone where a mark follows them.
+_LISTED = "^([0-9]{1,2}|[a-z])$"
 
 
 def _rule(names: tuple[str, ...]) -> str:
@@ -95,7 +150,7 @@ def sentences(text: Column) -> Column:
         plain = F.regexp_replace(plain, pattern, part)
     marked = F.regexp_replace(F.trim(plain), _KNOWN, f"{_MARK}$1{_MARK}")  # every second piece is a known sentence
     pieces = F.transform(F.split(marked, _MARK), lambda p, i: F.when(i % 2 == 1, F.array(F.translate(p, ";\n", "  "))).otherwise(F.split(F.translate(p, ";\f", " \n"), "\n")))
-    return F.filter(F.transform(F.flatten(pieces), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.flatten(pieces), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(_LISTED))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +177,7 @@ def _cases(value: str, pairs: dict[str, str], other: str) -> str:
 
 ORACLE = f"""
 WITH cut AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(translate(regexp_replace(coalesce(text, ''), '{_END}', chr(10), 'g'), '{UPPER}', '{LOWER}'), '{_OTHER}', ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS found
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(translate(regexp_replace(coalesce(text, ''), '{_END}', chr(10), 'g'), '{UPPER}', '{LOWER}'), '{_OTHER}', ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '' AND NOT regexp_matches(s, '{_LISTED}')) AS found
   FROM documents),
 coded AS (
   SELECT doc_id, len(found) AS n_sentences, array_to_string(list_transform(found, lambda s: {_cases("s", {s: CODES[n] for n, s in SENTENCES.items()}, "' '")}), '') AS codes

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import common
 
-SLOTS = 65_537  # prime, a thousand times the shards; at most about 1 MB when broadcast
+SLOTS = 65_537  # prime, a thousand times the shards; about 5 MB when broadcast
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
 
 
@@ -60,9 +60,14 @@ def place(docs: DataFrame, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS,
 
 
 def write_sharded(docs: DataFrame, folder: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> None:
-    """Writes the documents, whole, in one folder per shard; the writing tasks of a shard are as many as its rows need, so none grows with the corpus."""
-    table = docs.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], "__slot long, shard string")
-    placed = docs.withColumn("__slot", slot(F.col("doc_id"), slots)).join(F.broadcast(table), "__slot").drop("__slot")
+    """Writes the documents, whole, in one folder per shard; the writing tasks of a shard are as many as its rows need, so none grows with the corpus.
+
+    A column of the input named shard is replaced.
+    """
+    table = docs.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], "__slot long, __shard string")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]
+    rows = docs.select(slot(F.col("doc_id"), slots).alias("__key"), F.struct(*kept).alias("__document"))
+    placed = rows.join(F.broadcast(table), F.col("__key") == F.col("__slot")).select("__document.*", F.col("__shard").alias("shard"))
     placed.hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(folder)
 
 
