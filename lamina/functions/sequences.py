@@ -97,3 +97,18 @@ def hamming_parities(bits: list[Column]) -> list[Column]:
     for x in (b, c, d, *p):
         whole = whole.bitwiseXOR(x)
     return [*p, whole]
+
+
+def one_hot(sequence: Column, length: int) -> Column:
+    """``length`` arrays of four, one place set for each base; places behind the sequence, or other letters, have none."""
+    letters = F.slice(F.split(sequence, ""), 1, length)
+    padded = F.concat(letters, F.array_repeat(F.lit(""), F.lit(length) - F.size(letters)))
+    return F.transform(padded, lambda c: F.array(*[(c == b).cast("int") for b in BASES]))
+
+
+def masked(sequence: Column, length: int) -> Column:
+    """Base numbers 1 to 4, 0 behind the sequence; and the mask of what is inside. A longer sequence is cut."""
+    letters = F.filter(F.slice(F.split(sequence, ""), 1, length), lambda c: c != "")
+    rest = F.array_repeat(F.lit(0), F.lit(length) - F.size(letters))
+    numbers = F.transform(letters, lambda c: F.array_position(F.array(*map(F.lit, BASES)), c).cast("int"))
+    return F.struct(F.concat(numbers, rest).alias("bases"), F.concat(F.transform(letters, lambda c: F.lit(1)), rest).alias("mask"))

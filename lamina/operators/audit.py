@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lamina.functions import labels as L
 from lamina.functions import sequences
 
 
@@ -41,8 +42,17 @@ def aligned(left: DataFrame, right: DataFrame, key: str, value: str, tolerance:
     return found.withColumn("close", ok)
 
 
-def stable_halves(df: DataFrame, label: str, key: str, *seed_parts: Column) -> DataFrame:
-    """fit for the first half of each class by a stable hash, calibration for the rest."""
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The join of two tables that must hold the same keys, once each; anything else is an error."""
+    a, b = left.withColumn("__left", F.lit(True)), right.withColumn("__right", F.lit(True))
+    both = a.join(b, key, "full_outer").withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+    return L.require(both, F.col("__left").isNull() | F.col("__right").isNull() | (F.col("__n") > 1), "the tables don't match one to one").drop("__left", "__right", "__n")
+
+
+def stable_halves(df: DataFrame, label: str, key: str, *seed_parts: Column, labels: tuple[str, ...] | None = None, least: int = 4) -> DataFrame:
+    """fit for the first half of each class by a stable hash, calibration for the rest. A label outside ``labels``, or a class of fewer than ``least`` rows, is an error."""
+    rows = F.count("*").over(Window.partitionBy(label))
+    df = L.require(df.withColumn("__rows", rows), (~F.col(label).isin(*labels) if labels else F.lit(False)) | (F.col("__rows") < least), "a class is unknown or too small to be split").drop("__rows")
     order = Window.partitionBy(label).orderBy(sequences.stable_seed(*seed_parts, F.col(label), F.col(key)), key)
     half = F.floor(F.count("*").over(Window.partitionBy(label)) / 2)
     return df.withColumn("split", F.when(F.row_number().over(order) <= half, "fit").otherwise("calibration"))

@@ -56,3 +56,10 @@ def frozen(ecc: Column, energy: Column, proxy: Column, closed: Column, presence:
         "three_state": gated(F.when(state == "known_ecc", closed).otherwise(state)),
         "G_all": proxy_only,
     }
+
+
+def with_parameters(status: Column, code_type: Column, rate: Column, length: Column) -> Column:
+    """The cascade of all tasks as a struct: type, rate and length only where the archive is of a known type, null elsewhere."""
+    known = ~status.isin("no_ecc", "unknown_ecc", "uncertain_ecc")
+    state = F.when(known, "known_ecc").otherwise(status)
+    return F.struct(state.alias("status"), F.when(known, code_type).alias("code_type"), F.when(known, rate).alias("code_rate"), F.when(known, length).alias("code_length"))

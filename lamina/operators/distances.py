@@ -26,12 +26,12 @@ class ClassModel:
     conditions: np.ndarray  # [C]
 
 
-def fit(df: DataFrame, features: list[str], label: str, labels: tuple[str, ...], floor: float = 1e-8) -> ClassModel:
+def fit(df: DataFrame, features: list[str], label: str, labels: tuple[str, ...]) -> ClassModel:
     """Moments are summed where the rows are; means, variances and covariances of a few classes reach the driver."""
     d = len(features)
     whole = df.agg(*[F.avg(f) for f in features], *[F.stddev_samp(f) for f in features]).first()
     location = np.array(whole[:d], float)
-    scale = np.maximum(np.array([x or 0.0 for x in whole[d:]], float), floor)
+    scale = np.maximum(np.array([x or 0.0 for x in whole[d:]], float), SCALE_FLOOR)
     z = [((F.col(f) - float(location[i])) / float(scale[i])).alias(f"__z{i}") for i, f in enumerate(features)]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     rows = df.where(F.col(label).isin(*labels)).select(label, *z)
@@ -43,15 +43,15 @@ def fit(df: DataFrame, features: list[str], label: str, labels: tuple[str, ...],
         for i, j in pairs:
             covariance[i, j] = covariance[j, i] = r[f"c{i}_{j}"] or 0.0
         moments[name] = r["n"], np.array([r[f"m{i}"] for i in range(d)]), covariance
-    return _model(labels, location, scale, moments, floor)
+    return _model(labels, location, scale, moments)
 
 
-def fit_vectors(df: DataFrame, vector: str, label: str, labels: tuple[str, ...], floor: float = 1e-8) -> ClassModel:
+def fit_vectors(df: DataFrame, vector: str, label: str, labels: tuple[str, ...]) -> ClassModel:
     """The same over whole vectors, however wide the table has them. Moments are summed by place, so no row is wider than a vector."""
     wide = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "v"))
     places = sorted(wide.groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).collect())
     d = len(places)
-    location, scale = np.array([r["m"] for r in places], float), np.maximum(np.array([r["s"] or 0.0 for r in places], float), floor)
+    location, scale = np.array([r["m"] for r in places], float), np.maximum(np.array([r["s"] or 0.0 for r in places], float), SCALE_FLOOR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -75,33 +75,36 @@ def fit_vectors(df: DataFrame, vector: str, label: str, labels: tuple[str, ...],
         whole = sums[name].reshape(d + 1, d + 1)
         n, mean = whole[0, 0], whole[0, 1:] / whole[0, 0]
         moments[name] = int(n), mean, (whole[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)
-    return _model(labels, location, scale, moments, floor)
+    return _model(labels, location, scale, moments)
 
 
-def _model(labels: tuple[str, ...], location: np.ndarray, scale: np.ndarray, moments: dict[str, tuple[int, np.ndarray, np.ndarray]], floor: float) -> ClassModel:
-    d = len(location)
+SCALE_FLOOR, VARIANCE_FLOOR, RIDGE = 1e-8, 1e-4, 1e-8  # fixed values
+
+
+def _model(labels: tuple[str, ...], location: np.ndarray, scale: np.ndarray, moments: dict[str, tuple[int, np.ndarray, np.ndarray]]) -> ClassModel:
+    """moments: rows, mean and covariance (over rows less one) of each class."""
     means, variances, inverses, shrinkage, conditions = [], [], [], [], []
     for name in labels:
         n, mean, covariance = moments[name]
-        shrunk, amount = oracle_shrinkage(covariance, n)
-        shrunk = shrunk + floor * np.eye(d)
+        shrunk, amount = approximated_shrinkage(covariance * (max(n - 1, 0) / max(n, 1)), n)
         means.append(mean)
-        variances.append(np.maximum(np.diag(covariance), floor))
+        variances.append(np.maximum(np.diag(covariance), VARIANCE_FLOOR))
         inverses.append(np.linalg.pinv(shrunk, hermitian=True))
         shrinkage.append(amount)
         conditions.append(np.linalg.cond(shrunk))
     return ClassModel(labels, location, scale, np.array(means), np.array(variances), np.array(inverses), np.array(shrinkage), np.array(conditions))
 
 
-def oracle_shrinkage(covariance: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Oracle-approximating shrinkage towards a multiple of the identity."""
-    d = len(covariance)
-    mean_variance = np.trace(covariance) / d
-    squares = np.mean(covariance**2)
-    top = squares + mean_variance**2
-    bottom = (n + 1) * (squares - mean_variance**2 / d)
-    amount = 1.0 if bottom <= 0 else float(min(1.0, top / bottom))
-    return (1 - amount) * covariance + amount * mean_variance * np.eye(d), amount
+def approximated_shrinkage(s: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Oracle-approximating shrinkage of a covariance over n towards a multiple of the identity, with a ridge; and how far it goes."""
+    d = len(s)
+    whole, squares = float(np.trace(s)), float((s**2).sum())
+    spread = squares - whole**2 / d  # 0 for a multiple of the identity
+    amount = 1.0
+    if (n + 1 - 2 / d) * spread > 0:
+        amount = min(1.0, max(0.0, ((1 - 2 / d) * squares + whole**2) / ((n + 1 - 2 / d) * spread)))
+    level = whole / d
+    return (1 - amount) * s + (amount * level + RIDGE * max(level, 1.0)) * np.eye(d), amount
 
 
 def diagonal(features: list[Column], model: ClassModel) -> list[Column]:

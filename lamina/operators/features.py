@@ -49,3 +49,16 @@ BLOCKS = {"sequence": (0, 165), "embedding": (165, 421), "logits": (421, 464)}
 def block(vector: str, *names: str) -> Column:
     """Parts of the joint vector, in the order given."""
     return F.concat(*[F.slice(F.col(vector), BLOCKS[n][0] + 1, BLOCKS[n][1] - BLOCKS[n][0]) for n in names])
+
+
+def peak_scores(probabilities: list[Column], mean_logits: list[Column]) -> dict[str, Column]:
+    """Rejection scores of voted archives: minus the largest probability, and minus the largest mean logit."""
+    return {"max_probability": -F.greatest(*probabilities), "max_mean_logit": -F.greatest(*mean_logits)}
+
+
+#: Parts of the joint vector that ablations leave.
+ABLATIONS = {"A_sequence": ("sequence",), "B_embedding": ("embedding",), "C_logits": ("logits",), "D_sequence_embedding": ("sequence", "embedding"), "E_sequence_logits": ("sequence", "logits"), "F_embedding_logits": ("embedding", "logits"), "G_all": ("sequence", "embedding", "logits")}
+
+
+def ablated(vector: str) -> dict[str, Column]:
+    return {name: block(vector, *parts) for name, parts in ABLATIONS.items()}

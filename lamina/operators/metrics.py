@@ -30,10 +30,14 @@ def confusion_wide(matrix: DataFrame, labels: tuple[str, ...]) -> DataFrame:
 def class_counts(df: DataFrame, truth: str, predicted: str, labels: tuple[str, ...], by: list[str] | None = None, outside: bool = True) -> DataFrame:
     """tp, fp, fn per label in one pass. With ``outside``, predictions outside the labels are misses; without, such rows are left out."""
     rows = df if outside else df.where(F.col(truth).isin(*labels) & F.col(predicted).isin(*labels))
-    t, p = F.col(truth), F.col(predicted)
-    sums = []
+    rows = rows.groupBy(*(by or []), F.col(truth).alias("__t"), F.col(predicted).alias("__p")).agg(F.count("*").alias("__n"))  # the few pairs first, so that the predicted label is made once a row
+    t, p, sums = F.col("__t"), F.col("__p"), []
+
+    def counted(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("__n"))), F.lit(0))
+
     for i, x in enumerate(labels):
-        sums += [F.count_if((t == x) & (p == x)).alias(f"tp_{i}"), F.count_if((t != x) & (p == x)).alias(f"fp_{i}"), F.count_if((t == x) & (p != x)).alias(f"fn_{i}")]
+        sums += [counted((t == x) & (p == x)).alias(f"tp_{i}"), counted((t != x) & (p == x)).alias(f"fp_{i}"), counted((t == x) & (p != x)).alias(f"fn_{i}")]
     wide = rows.groupBy(*(by or [])).agg(*sums)
     each = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"tp_{i}").alias("tp"), F.col(f"fp_{i}").alias("fp"), F.col(f"fn_{i}").alias("fn")) for i, x in enumerate(labels)]))
     return wide.select(*(by or []), each.alias("__c")).select(*(by or []), "__c.label", "__c.tp", "__c.fp", "__c.fn")
@@ -65,21 +69,28 @@ def by_score(df: DataFrame, score: str, positive: Column, by: list[str] | None =
 
 
 def auroc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
-    """Share of positive-negative pairs in order, ties half; null where a class is missing."""
+    """Share of positive-negative pairs in order, ties half; NaN where a class is missing."""
     r = running(by_score(df, score, positive, by), "score", ["p", "n"], by)
     area = F.sum(F.col("p") * (F.col("cum_n") - F.col("n") / 2))
-    return r.groupBy(*(by or [])).agg((area / F.expr("nullif(max(total_p) * max(total_n), 0)")).alias("auroc"))
+    pairs = F.max("total_p") * F.max("total_n")
+    return r.groupBy(*(by or [])).agg(F.when(pairs > 0, area / pairs).otherwise(float("nan")).alias("auroc"))
 
 
 def roc_curve(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
-    """tpr and fpr of the rule score >= threshold at each distinct score."""
+    """tpr and fpr of the rule score >= threshold at each distinct score, and of one that no row passes (the origin, whose threshold is null); NaN where a class is missing."""
     r = running(by_score(df, score, positive, by), "score", ["p", "n"], by, descending=True)
-    return r.select(*(by or []), F.col("score").alias("threshold"), (F.col("cum_p") / F.expr("nullif(total_p, 0)")).alias("tpr"), (F.col("cum_n") / F.expr("nullif(total_n, 0)")).alias("fpr"))
+    both = (F.col("total_p") > 0) & (F.col("total_n") > 0)
+    tpr, fpr = (F.when(both, F.col(f"cum_{x}") / F.col(f"total_{x}")).otherwise(float("nan")) for x in "pn")
+    points = r.select(*(by or []), F.col("score").alias("threshold"), tpr.alias("tpr"), fpr.alias("fpr"))
+    none = r.groupBy(*(by or [])).agg(F.max(both).alias("__both")).where("__both is not null")
+    start = F.when(F.col("__both"), 0.0).otherwise(float("nan"))
+    return points.unionByName(none.select(*(by or []), F.lit(None).cast(points.schema["threshold"].dataType).alias("threshold"), start.alias("tpr"), start.alias("fpr")))
 
 
 def fpr_at_tpr(df: DataFrame, score: str, positive: Column, target: float = 0.95, by: list[str] | None = None) -> DataFrame:
+    """The least fpr of the thresholds that reach the target, 1 where none does; NaN where a class is missing."""
     curve = roc_curve(df, score, positive, by)
-    return curve.groupBy(*(by or [])).agg(F.coalesce(F.min(F.when(F.col("tpr") >= target, F.col("fpr"))), F.lit(1.0)).alias("fpr_at_tpr"))
+    return curve.groupBy(*(by or [])).agg(F.coalesce(F.min(F.when(F.col("tpr") >= target, F.col("fpr"))), F.lit(1.0)).alias("fpr_at_tpr"))  # NaN reaches any target
 
 
 def average_precision(df: DataFrame, score: str, positive: Column, position: str, by: list[str] | None = None) -> DataFrame:
@@ -144,6 +155,41 @@ def detector_rates(df: DataFrame, truth: str, output: str, by: list[str] | None
     )
 
 
+METHODS = {"energy_only": "energy_score", "proxy_only": "proxy_score", "three_state": "proxy_score", "G_all": "proxy_score"}  # fixed values: methods and the score each ranks by
+
+
+def evaluation(df: DataFrame, by: list[str], position: str, truth: str = "truth", closed: str = "closed", methods: dict[str, str] = METHODS) -> DataFrame:
+    """One row per group and method: its rates, macro-F1 over known archives and the change from the closed set, and how its score ranks unknown against known archives.
+
+    ``df`` holds a row per archive: truth, closed-set label, scores, and the output of each method under its name. Equal
+    scores count known archives first, then the order of the numbers in ``position``.
+    """
+    keys = [*by, "method"]
+    known, unknown = L.is_known(F.col(truth)), F.col(truth).isin("HEDGES", "DNA-Aeon")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("output"), F.col(score).cast("double").alias("score")) for m, score in methods.items()])).alias("__e")
+    long = df.select(*by, position, truth, closed, each).select(*by, position, truth, closed, "__e.*")
+    ranked = long.where(known | unknown).select(*keys, "score", unknown.alias("unknown"), F.struct(unknown.alias("u"), F.col(position).alias("p")).alias("__order"))
+    outputs = macro_f1(long.where(known), truth, "output", L.KNOWN, keys).withColumnRenamed("macro_f1", "known_type_macro_f1")
+    base = macro_f1(df.where(known), truth, closed, L.KNOWN, by).withColumnRenamed("macro_f1", "closed_macro_f1")
+    found = detector_rates(long, truth, "output", keys).join(outputs, keys)
+    found = found.join(base, by) if by else found.crossJoin(F.broadcast(base))  # one row
+    found = found.withColumn("known_type_macro_f1_change_from_closed", F.col("known_type_macro_f1") - F.col("closed_macro_f1"))
+    ranks = auroc(ranked, "score", F.col("unknown"), keys).join(average_precision(ranked, "score", F.col("unknown"), "__order", keys), keys).join(fpr_at_tpr(ranked, "score", F.col("unknown"), by=keys), keys)
+    return found.join(ranks, keys)
+
+
+def success(df: DataFrame, acceptance: float = 0.93, recall: float = 0.8) -> DataFrame:
+    """Of evaluation(): whether known archives are accepted, unknown ones found and uncoded ones told apart often enough."""
+    return df.select("*", (F.col("known_acceptance_rate") >= acceptance).alias("known_accepted"), (F.col("combined_unknown_recall") >= recall).alias("unknown_found"), (F.col("no_ecc_specificity") >= acceptance).alias("uncoded_kept_apart"))
+
+
+def best(df: DataFrame, name: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """The name of the largest value, the first by name of equal ones; NaN never wins."""
+    kept = df.where(~F.isnan(value))
+    top = kept.groupBy(*(by or [])).agg(F.min_by(F.struct(name, value), F.struct((-F.col(value)).alias("v"), name)).alias("__b"))
+    return top.select(*(by or []), f"__b.{name}", f"__b.{value}")
+
+
 def distribution(df: DataFrame, value: str, threshold: float, by: list[str]) -> DataFrame:
     """Count, moments, exact interpolated quantiles and shares on either side of a threshold."""
     v = F.col(value)

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lamina.functions.scalars import f1, total
+
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the parts' texts."""
@@ -35,8 +37,8 @@ def stratified(df: DataFrame, strata: list[str], order: list[str], metrics: dict
     return drawn.groupBy("repetition").agg(*[(F.sum(part * F.col("weight")) / F.sum(whole * F.col("weight"))).alias(n) for n, (part, whole) in metrics.items()])
 
 
-def hierarchical(df: DataFrame, cluster: str, strata: list[str], order: list[str], metrics: dict[str, tuple[Column, Column]], repetitions: int, seed: int = 7) -> DataFrame:
-    """Clusters are drawn with replacement, then rows within each stratum of every drawn cluster, anew for each time it is drawn."""
+def hierarchical_sums(df: DataFrame, cluster: str, strata: list[str], order: list[str], sums: dict[str, Column], repetitions: int, seed: int = 7) -> DataFrame:
+    """Per repetition sums over the drawn rows: clusters are drawn with replacement, then rows within each stratum of every drawn cluster, anew for each time it is drawn. Any metric of counts can be made of them."""
     clusters = df.select(cluster).distinct()
     c = numbered(clusters.withColumn("__all", F.lit(0)), ["__all"], [cluster]).drop("__all")  # a few clusters
     spots = c.select("__at", "__size").withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
@@ -47,7 +49,35 @@ def hierarchical(df: DataFrame, cluster: str, strata: list[str], order: list[str
     at = F.floor(uniform(F.lit(seed), F.col("repetition"), F.col("__spot"), *[F.col(s) for s in strata], F.col("__at")) * F.col("__size")).cast("int")
     drawn = places.select(cluster, *strata, "repetition", at.alias("__at")).groupBy(cluster, *strata, "repetition", "__at").agg(F.count("*").alias("weight"))
     joined = rows.join(drawn, [cluster, *strata, "__at"])
-    return joined.groupBy("repetition").agg(*[(F.sum(part * F.col("weight")) / F.sum(whole * F.col("weight"))).alias(n) for n, (part, whole) in metrics.items()])
+    return joined.groupBy("repetition").agg(*[F.sum(c * F.col("weight")).alias(n) for n, c in sums.items()])
+
+
+def hierarchical(df: DataFrame, cluster: str, strata: list[str], order: list[str], metrics: dict[str, tuple[Column, Column]], repetitions: int, seed: int = 7) -> DataFrame:
+    """Per repetition the ratio of each metric's (part, whole)."""
+    sums = {f"{n}{i}": c for n, both in metrics.items() for i, c in enumerate(both)}
+    drawn = hierarchical_sums(df, cluster, strata, order, sums, repetitions, seed)
+    return drawn.select("repetition", *[(F.col(f"{n}0") / F.col(f"{n}1")).alias(n) for n in metrics])
+
+
+def f1_sums(name: str, truth: Column, predicted: Column, labels: tuple[str, ...]) -> dict[str, Column]:
+    """The counts that macro-F1 is made of, as columns to be summed."""
+    one = lambda c: c.cast("double")
+    return {f"{name}_{part}_{i}": one(c) for i, x in enumerate(labels) for part, c in (("tp", (truth == x) & (predicted == x)), ("fp", (truth != x) & (predicted == x)), ("fn", (truth == x) & (predicted != x)))}
+
+
+def macro_f1_of_sums(name: str, labels: tuple[str, ...]) -> Column:
+    each = [f1(F.col(f"{name}_tp_{i}"), F.col(f"{name}_fp_{i}"), F.col(f"{name}_fn_{i}")) for i in range(len(labels))]
+    return total(each) / len(labels)
+
+
+def independent(df: DataFrame, order: list[str], metrics: dict[str, tuple[Column, Column]], repetitions: int = 1000, seed: int = 7, confidence: float = 0.95) -> DataFrame:
+    """metric, estimate over the rows as they are, and its interval where rows are drawn alike; repetitions without a value don't count. For tables of archives: the rows are one stratum."""
+    if repetitions <= 0 or not 0 < confidence < 1:
+        raise ValueError("repetitions are positive, and the confidence is between 0 and 1")
+    whole = df.agg(*[(F.sum(part) / F.sum(all_)).alias(n) for n, (part, all_) in metrics.items()]).unpivot([], list(metrics), "metric", "estimate")
+    samples = stratified(df.withColumn("__all", F.lit(0)), ["__all"], order, metrics, repetitions, seed).unpivot(["repetition"], list(metrics), "metric", "value")
+    q = F.percentile(F.when(~F.isnan("value"), F.col("value")), [(1 - confidence) / 2, (1 + confidence) / 2])
+    return whole.join(samples.groupBy("metric").agg(q.alias("__q")), "metric").select("metric", "estimate", F.element_at("__q", 1).alias("lower"), F.element_at("__q", 2).alias("upper"))
 
 
 def intervals(samples: DataFrame, metrics: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lamina.operators import decisions
 
-TARGETS = (0.98, 0.95, 0.93)  # fixed values
+#: Targets, rules, and the names of the candidates that registry() makes of them.
+TARGETS = (0.98, 0.95, 0.93)
 LOGICS = ("consensus", "and_reject", "or_reject", "majority")
 
 
@@ -67,3 +68,9 @@ def leave_one_family_out(metrics: DataFrame, family: str, families: list[str], m
     train = metrics.withColumn("held_out", folds).where(F.col(family) != F.col("held_out"))
     chosen = select(train, family, mode, ["held_out"], known)
     return chosen.join(metrics.withColumnRenamed(family, "held_out"), ["held_out", "candidate"])
+
+
+def majority_choice(chosen: DataFrame) -> DataFrame:
+    """The candidate that most folds chose, the first by name of equal ones, and in how many folds."""
+    counts = chosen.select("held_out", "candidate").distinct().groupBy("candidate").agg(F.count("*").alias("folds"))
+    return counts.agg(F.min_by(F.struct("candidate", "folds"), F.struct((-F.col("folds")).alias("n"), "candidate")).alias("__b")).select("__b.candidate", "__b.folds")

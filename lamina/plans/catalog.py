@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lamina.functions import labels as L
 from lamina.functions import scalars, sequences
-from lamina.operators import audit, checks, conformal, decisions, distances, features, metrics, models, resample, selection, thresholds, votes
+from lamina.operators import audit, checks, conformal, decisions, detectors, distances, features, metrics, models, resample, selection, thresholds, votes
 from lamina.plans import reads as R
 from lamina.sources import delimited, simulate
 
@@ -202,7 +202,7 @@ def fpr_at_tpr(spark, sf_dir):
     return rounded(metrics.fpr_at_tpr(_binary(spark, sf_dir), "score", F.col("quality") == 1))
 
 
-@query("roc_curve", f"WITH {_BINARY}, g AS (SELECT score, sum(quality) AS p, sum(1 - quality) AS n FROM b GROUP BY score) SELECT CAST(score AS BIGINT) AS threshold, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)")
+@query("roc_curve", f"WITH {_BINARY}, g AS (SELECT score, sum(quality) AS p, sum(1 - quality) AS n FROM b GROUP BY score) SELECT CAST(score AS BIGINT) AS threshold, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) UNION ALL SELECT NULL, 0.0, 0.0")
 def roc_curve(spark, sf_dir):
     return rounded(metrics.roc_curve(_binary(spark, sf_dir), "score", F.col("quality") == 1), "threshold")
 
@@ -332,56 +332,30 @@ def embedding_moments(spark, sf_dir):
     return f.select("label", F.posexplode(F.slice("features", F.lit(1), half.cast("int"))).alias("pos", "m"), "features").select(big("label", "label"), big("pos", "pos"), r6("m", "mean"), r6(F.element_at("features", (F.col("pos") + 1 + half).cast("int")), "std"))
 
 
-_DIMS = 6
 _LABELS = tuple(str(i) for i in range(4))
 
 
-def _vectors(spark, sf_dir) -> DataFrame:
-    x = scalars.elements("embedding", _DIMS)
-    return R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *[c.alias(f"f{i}") for i, c in enumerate(x)])
-
-
-_VECTORS = f"v AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(_DIMS))} FROM embeddings)"
-_Z = f"z AS (SELECT vec_id, label, {', '.join(f'(f{i} - (SELECT avg(f{i}) FROM v)) / greatest((SELECT stddev_samp(f{i}) FROM v), 1e-8) AS f{i}' for i in range(_DIMS))} FROM v)"
-_CLASSES = f"k AS (SELECT label, {', '.join(f'avg(f{i}) AS m{i}, greatest(var_samp(f{i}), 1e-8) AS s{i}' for i in range(_DIMS))} FROM z WHERE label IN ('0', '1', '2', '3') GROUP BY label)"
-_DIST_SQL = f"d AS (SELECT vec_id, z.label AS truth, k.label AS class, sqrt({' + '.join(f'(f{i} - m{i}) * (f{i} - m{i}) / s{i}' for i in range(_DIMS))}) AS distance FROM z CROSS JOIN k)"
+def _vectors(spark, sf_dir) -> tuple[DataFrame, distances.ClassModel]:
+    v = R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
+    return v, distances.fit_vectors(v, "x", "label", _LABELS)
 
 
-def _diagonal(spark, sf_dir) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    model = distances.fit(v, [f"f{i}" for i in range(_DIMS)], "label", _LABELS)
-    return v.select("vec_id", F.col("label").alias("truth"), *[c.alias(f"d{k}") for k, c in zip(_LABELS, distances.diagonal([F.col(f"f{i}") for i in range(_DIMS)], model))])
+_DIST_SQL = """v AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+m AS (SELECT pos, avg(x) AS a, greatest(stddev_samp(x), 1e-8) AS s FROM v GROUP BY pos), z AS (SELECT vec_id, label, pos, (x - a) / s AS x FROM v JOIN m USING (pos)),
+k AS (SELECT label, pos, avg(x) AS m, greatest(var_samp(x), 1e-4) AS s FROM z WHERE label IN ('0', '1', '2', '3') GROUP BY label, pos),
+d AS (SELECT vec_id, z.label AS truth, k.label AS class, sqrt(sum((x - m) * (x - m) / s)) AS distance FROM z JOIN k USING (pos) GROUP BY vec_id, z.label, k.label)"""
 
 
-@query("diag_mahalanobis", f"WITH {_VECTORS}, {_Z}, {_CLASSES}, {_DIST_SQL} SELECT vec_id, class, round(distance, 6) AS distance FROM d")
+@query("diag_mahalanobis", f"WITH {_DIST_SQL} SELECT vec_id, class, round(distance, 6) AS distance FROM d")
 def diag_mahalanobis(spark, sf_dir):
-    d = _diagonal(spark, sf_dir)
-    return rounded(d.unpivot(["vec_id"], [f"d{k}" for k in _LABELS], "class", "distance").withColumn("class", F.substring("class", 2, 1)), "vec_id", "class")
-
-
-@query("min_class_score", f"WITH {_VECTORS}, {_Z}, {_CLASSES}, {_DIST_SQL} SELECT vec_id, round(min(distance), 6) AS least, round(max(distance) FILTER (WHERE class = truth), 6) AS own FROM d GROUP BY vec_id")
-def min_class_score(spark, sf_dir):
-    d = _diagonal(spark, sf_dir)
-    dist = [F.col(f"d{k}") for k in _LABELS]
-    return d.select("vec_id", r6(distances.class_score(dist, F.col("truth"), _LABELS, "minimum"), "least"), r6(distances.class_score(dist, F.col("truth"), _LABELS, "predicted"), "own"))
-
-
-def _whole_vectors(spark, sf_dir) -> tuple[DataFrame, distances.ClassModel]:
-    v = R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
-    return v, distances.fit_vectors(v, "x", "label", _LABELS)
-
-
-@query("diag_mahalanobis_whole")
-def diag_mahalanobis_whole(spark, sf_dir):
-    """All dimensions; the SQL of diag_mahalanobis has the first six."""
-    v, model = _whole_vectors(spark, sf_dir)
+    v, model = _vectors(spark, sf_dir)
     d = v.select("vec_id", F.posexplode(distances.diagonal_vectors(F.col("x"), model)).alias("pos", "distance"))
     return d.select("vec_id", F.element_at(F.array(*map(F.lit, _LABELS)), F.col("pos") + 1).alias("class"), r6("distance", "distance"))
 
 
-@query("min_class_score_whole")
-def min_class_score_whole(spark, sf_dir):
-    v, model = _whole_vectors(spark, sf_dir)
+@query("min_class_score", f"WITH {_DIST_SQL} SELECT vec_id, round(min(distance), 6) AS least, round(max(distance) FILTER (WHERE class = truth), 6) AS own FROM d GROUP BY vec_id")
+def min_class_score(spark, sf_dir):
+    v, model = _vectors(spark, sf_dir)
     d = v.select("vec_id", F.col("label").alias("truth"), distances.diagonal_vectors(F.col("x"), model).alias("d"))
     dist = [F.element_at("d", i + 1) for i in range(len(_LABELS))]
     return d.select("vec_id", r6(distances.class_score(dist, F.col("truth"), _LABELS, "minimum"), "least"), r6(distances.class_score(dist, F.col("truth"), _LABELS, "predicted"), "own"))
@@ -390,7 +364,7 @@ def min_class_score_whole(spark, sf_dir):
 @query("full_mahalanobis")
 def full_mahalanobis(spark, sf_dir):
     """Shrunk covariances of all dimensions: dense algebra, held against a plain version in the tests."""
-    v, model = _whole_vectors(spark, sf_dir)
+    v, model = _vectors(spark, sf_dir)
     return v.select("vec_id", F.transform(distances.full(F.col("x"), model), lambda x: F.round(x, 6)).alias("distances"))
 
 
@@ -407,6 +381,102 @@ def conformal_loo(spark, sf_dir):
     return conformal.leave_one_out(e).select("vec_id", r6("p_value", "p_value"))
 
 
+_FOUR = "[abs(CAST(embedding[1] AS DOUBLE)), abs(CAST(embedding[2] AS DOUBLE)), abs(CAST(embedding[3] AS DOUBLE)), abs(CAST(embedding[4] AS DOUBLE))]"
+_LONG = f"e AS (SELECT vec_id, label % 4 AS label, {_FOUR} AS d FROM embeddings), l AS (SELECT vec_id, label, unnest(range(4)) AS class, unnest(d) AS d FROM e)"
+
+
+def _four(spark, sf_dir) -> DataFrame:
+    return R.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 4).cast("string").alias("label"), F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double"))).alias("distances"))
+
+
+_CLOSED = "list_position(d, list_min(d))"
+
+
+@query("conformal_all", f"""WITH {_LONG}, c AS (SELECT * FROM l WHERE label = class AND vec_id % 2 = 0), p AS (SELECT t.vec_id, t.class, (1.0 + count(*) FILTER (WHERE c.d >= t.d)) / (1 + count(*)) AS p FROM l t JOIN c USING (class) WHERE t.vec_id % 2 = 1 GROUP BY ALL),
+n AS (SELECT vec_id, {_CLOSED} - 1 AS closed FROM e) SELECT vec_id, round(-max(p), 6) AS maximum, round(-max(p) FILTER (WHERE class = closed), 6) AS predicted FROM p JOIN n USING (vec_id) GROUP BY vec_id""")
+def conformal_all(spark, sf_dir):
+    """p-values of all classes, and both scores made of them."""
+    e = _four(spark, sf_dir)
+    p = conformal.all_classes(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", _LABELS)
+    return _conformal_scores(p, e)
+
+
+def _conformal_scores(p: DataFrame, e: DataFrame) -> DataFrame:
+    closed = F.array_position("distances", F.array_min("distances")) - 1
+    both = p.join(e, "vec_id")
+    return both.select("vec_id", r6(conformal.rejection_score(F.col("p_values"), "maximum"), "maximum"), r6(conformal.rejection_score(F.col("p_values"), "predicted", closed), "predicted"))
+
+
+@query("conformal_loo_all", f"""WITH {_LONG}, c AS (SELECT * FROM l WHERE label = class), p AS (SELECT t.vec_id, t.class, (1.0 + count(*) FILTER (WHERE c.d >= t.d AND c.vec_id <> t.vec_id)) / (1 + count(*) FILTER (WHERE c.vec_id <> t.vec_id)) AS p FROM l t JOIN c USING (class) GROUP BY ALL),
+n AS (SELECT vec_id, {_CLOSED} - 1 AS closed FROM e) SELECT vec_id, round(-max(p), 6) AS maximum, round(-max(p) FILTER (WHERE class = closed), 6) AS predicted FROM p JOIN n USING (vec_id) GROUP BY vec_id""")
+def conformal_loo_all(spark, sf_dir):
+    e = _four(spark, sf_dir)
+    return _conformal_scores(conformal.all_classes(e, e, "vec_id", _LABELS, own="label"), e)
+
+
+@query("detector_system")
+def detector_system(spark, sf_dir):
+    """The four detectors, fitted and calibrated on known archives of either parity; held against a plain version in the tests."""
+    reads = R.read_scores(spark, sf_dir).withColumn("logits", F.array(*R.logits())).withColumn("embedding", F.array("l_quantity", F.col("l_extendedprice") / 1000, F.col("l_discount") * 10, F.col("l_tax") * 10, "presence", "x1"))
+    known = reads.where(L.is_known(F.col("category")))
+    system = detectors.fit(known.where("archive_id % 2 = 0"), known.where("archive_id % 2 = 1"), 3)
+    return rounded(detectors.score(reads, system), "archive_id")
+
+
+_SCORES = "o AS (SELECT archive_id, truth, closed, unnest(['energy_only', 'proxy_only', 'three_state', 'G_all']) AS method, unnest([energy_only, proxy_only, three_state, proxy_only]) AS o, unnest([energy_score, proxy_score, proxy_score, proxy_score]) AS s FROM decided)"
+_BUNDLE = f"""WITH {R.DECIDED}, {_SCORES}, l AS (SELECT unnest(['{"', '".join(L.KNOWN)}']) AS label),
+f AS (SELECT method, label, 2.0 * count(*) FILTER (WHERE truth = label AND o = label) / greatest(1, 2 * count(*) FILTER (WHERE truth = label AND o = label) + count(*) FILTER (WHERE truth <> label AND o = label) + count(*) FILTER (WHERE truth = label AND o <> label)) AS f1,
+  2.0 * count(*) FILTER (WHERE truth = label AND closed = label) / greatest(1, 2 * count(*) FILTER (WHERE truth = label AND closed = label) + count(*) FILTER (WHERE truth <> label AND closed = label) + count(*) FILTER (WHERE truth = label AND closed <> label)) AS base FROM l CROSS JOIN o WHERE {_K} GROUP BY method, label),
+m AS (SELECT method, avg(f1) AS macro, avg(base) AS base FROM f GROUP BY method), u AS (SELECT method, archive_id, s, {_U} AS unknown FROM o WHERE {_K} OR {_U}),
+r AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY s) + (count(*) OVER (PARTITION BY method, s) - 1) / 2.0 AS r, sum(CAST(unknown AS INT)) OVER w AS tp, count(*) OVER w AS n FROM u WINDOW w AS (PARTITION BY method ORDER BY s DESC, unknown, archive_id ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT method, (sum(r) FILTER (WHERE unknown) - count(*) FILTER (WHERE unknown) * (count(*) FILTER (WHERE unknown) + 1) / 2.0) / (count(*) FILTER (WHERE unknown) * count(*) FILTER (WHERE NOT unknown)) AS auroc, sum(tp / n) FILTER (WHERE unknown) / count(*) FILTER (WHERE unknown) AS ap FROM r GROUP BY method),
+t AS (SELECT x.method, x.s, count(*) FILTER (WHERE y.unknown AND y.s >= x.s) / count(*) FILTER (WHERE y.unknown) AS tpr, count(*) FILTER (WHERE NOT y.unknown AND y.s >= x.s) / count(*) FILTER (WHERE NOT y.unknown) AS fpr FROM (SELECT DISTINCT method, s FROM u) x JOIN u y ON x.method = y.method GROUP BY x.method, x.s),
+p AS (SELECT method, coalesce(min(fpr) FILTER (WHERE tpr >= 0.95), 1) AS fpr FROM t GROUP BY method),
+d AS (SELECT method, {_share_sql(f"o IN {_KNOWN}", _K)} AS known_acceptance_rate, {_share_sql("o = 'unknown_ecc'", _U)} AS combined_unknown_recall, {_share_sql("o = 'no_ecc'", "truth = 'no_ecc'")} AS no_ecc_specificity FROM o GROUP BY method)
+SELECT method, known_acceptance_rate, combined_unknown_recall, no_ecc_specificity, round(macro, 6) AS known_type_macro_f1, round(macro - base, 6) AS known_type_macro_f1_change_from_closed, round(auroc, 6) AS auroc, round(ap, 6) AS average_precision, round(fpr, 6) AS fpr_at_tpr FROM d JOIN m USING (method) JOIN a USING (method) JOIN p USING (method)"""
+
+
+@query("evaluation_bundle", _BUNDLE)
+def evaluation_bundle(spark, sf_dir):
+    found = metrics.evaluation(R.decided(spark, sf_dir), [], "archive_id")
+    return rounded(found.select("method", "known_acceptance_rate", "combined_unknown_recall", "no_ecc_specificity", "known_type_macro_f1", "known_type_macro_f1_change_from_closed", "auroc", "average_precision", "fpr_at_tpr"), "method")
+
+
+@query("success_criteria", f"SELECT method, known_acceptance_rate >= 0.93 AS known_accepted, combined_unknown_recall >= 0.8 AS unknown_found, no_ecc_specificity >= 0.93 AS uncoded_kept_apart FROM ({_BUNDLE})")
+def success_criteria(spark, sf_dir):
+    rates = metrics.detector_rates(R.decided(spark, sf_dir).unpivot(["truth"], list(metrics.METHODS), "method", "output"), "truth", "output", ["method"])
+    return metrics.success(rates).select("method", "known_accepted", "unknown_found", "uncoded_kept_apart")
+
+
+@query("best_method", f"SELECT method, auroc FROM ({_BUNDLE}) ORDER BY auroc DESC, method LIMIT 1")
+def best_method(spark, sf_dir):
+    return metrics.best(evaluation_bundle(spark, sf_dir), "method", "auroc")
+
+
+@query("peak_scores", f"WITH {R.ARCHIVES} SELECT archive_id, round(-greatest(p0, p1, p2, p3), 6) AS max_probability, round(-greatest(m0, m1, m2, m3), 6) AS max_mean_logit FROM archives")
+def peak_scores(spark, sf_dir):
+    found = features.peak_scores([F.col(f"p{i}") for i in range(4)], [F.col(f"m{i}") for i in range(4)])
+    return R.archives(spark, sf_dir).select("archive_id", *[r6(c, n) for n, c in found.items()])
+
+
+@query("author_cascade", f"WITH {R.DECIDED} SELECT archive_id, CASE WHEN energy_only IN {_KNOWN} THEN 'known_ecc' ELSE energy_only END AS status, CASE WHEN energy_only IN {_KNOWN} THEN energy_only END AS code_type, CASE WHEN energy_only IN {_KNOWN} THEN '1/' || (archive_id % 3 + 2) END AS code_rate, CASE WHEN energy_only IN {_KNOWN} THEN CAST(molecules AS VARCHAR) END AS code_length FROM decided")
+def author_cascade(spark, sf_dir):
+    """Type, and where it is known rate and length too."""
+    d = R.decided(spark, sf_dir)
+    out = decisions.with_parameters(F.col("energy_only"), F.col("energy_only"), F.concat(F.lit("1/"), (F.col("archive_id") % 3 + 2).cast("string")), F.col("molecules").cast("string"))
+    return d.select("archive_id", out.alias("o")).select("archive_id", "o.*")
+
+
+@query("one_hot_pad", "SELECT event_id, length(s) AS bases, least(length(s), 6) AS inside, CAST(sum(CASE WHEN i <= length(s) AND i <= 6 THEN i * (instr('ACGT', substr(s, i, 1)) - 1 + 4 * (i - 1)) ELSE 0 END) AS BIGINT) AS weighted FROM (SELECT event_id, repeat('GATC', CAST(event_id % 3 AS INT)) AS s FROM events), (SELECT unnest(range(1, 7)) AS i) GROUP BY event_id, s")
+def one_hot_pad(spark, sf_dir):
+    """One-hot and mask-padded reads; the sums tell where the ones are."""
+    e = R.table(spark, sf_dir, "events").select("event_id", F.repeat(F.lit("GATC"), (F.col("event_id") % 3).cast("int")).alias("s"))
+    flat = F.flatten(sequences.one_hot(F.col("s"), 6))
+    where = F.aggregate(F.zip_with(flat, F.sequence(F.lit(0), F.lit(23)), lambda x, i: x * i * (F.floor(i / 4) + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    inside = F.aggregate(sequences.masked(F.col("s"), 6)["mask"], F.lit(0).cast("long"), lambda a, x: a + x)
+    return e.select("event_id", big(F.length("s"), "bases"), big(inside, "inside"), big(where, "weighted"))
+
+
 # selection
 
 _DETECTORS = ["energy_score", "proxy_score", "m0", "m1"]
@@ -447,28 +517,24 @@ best AS (SELECT held_out, candidate FROM (SELECT *, row_number() OVER (PARTITION
 @query("lofo_select", f"WITH {_candidates_sql()}, folds AS (SELECT h.held_out, cand.* FROM cand CROSS JOIN (SELECT unnest(['HEDGES', 'DNA-Aeon', 'uncoded']) AS held_out) h WHERE cand.family <> h.held_out), {_KEYS} SELECT held_out, candidate, round(known_ecc, 6) AS known_ecc, round(unknown_ecc, 6) AS unknown_ecc, round(uncertain_ecc, 6) AS uncertain_ecc FROM best JOIN cand USING (candidate) WHERE cand.family = best.held_out")
 def lofo_select(spark, sf_dir):
     found, families = _candidates(spark, sf_dir)
+    found = spark.createDataFrame(found.collect(), found.schema)  # a row per candidate and family: made once, chosen from twice
     return rounded(selection.leave_one_family_out(found, "family", families, "balanced"), "held_out", "candidate")
 
 
 # sequences
 
-_SEQ = "q AS (SELECT doc_id, lang, translate(substr(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 1, 384), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') AS s FROM documents)"
+_SEQ = "q AS (SELECT doc_id, lang, translate(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') AS s FROM documents)"
 
 
-def _sequences(spark, sf_dir, longest: int | None = None) -> DataFrame:
-    """Texts as base sequences, whole; or their first ``longest`` letters, as the SQL has them."""
-    letters = F.regexp_replace("text", "[^a-zA-Z]", "")
-    letters = letters if longest is None else F.substring(letters, 1, longest)
-    s = F.translate(letters, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC")
+def _sequences(spark, sf_dir) -> DataFrame:
+    """Texts as base sequences, whole."""
+    s = F.translate(F.regexp_replace("text", "[^a-zA-Z]", ""), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC")
     return R.table(spark, sf_dir, "documents").select("doc_id", "lang", s.alias("s"))
 
 
 def sequence_query(name: str, sql: str):
-    """Registers ``name`` over the openings that its SQL reads, and ``name``_whole over whole texts, which is held against a plain version."""
-
     def add(f):
-        query(name, sql)(lambda spark, sf_dir: f(_sequences(spark, sf_dir, 384)))
-        query(f"{name}_whole")(lambda spark, sf_dir: f(_sequences(spark, sf_dir)))
+        query(name, sql)(lambda spark, sf_dir: f(_sequences(spark, sf_dir)))
         return f
 
     return add
@@ -479,14 +545,14 @@ def homopolymer(q):
     return q.select("doc_id", big(sequences.longest_run(F.col("s")), "longest_run"), r6(sequences.long_run_fraction(F.col("s")), "long_run_fraction"))
 
 
-@sequence_query("dinucleotide_freq", f"WITH {_SEQ}, p AS (SELECT doc_id, substr(s, i, 2) AS pair, length(s) - 1 AS n FROM (SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM q)) SELECT doc_id, pair, round(count(*) / max(n), 6) AS frequency FROM p GROUP BY doc_id, pair")
+@sequence_query("dinucleotide_freq", f"WITH {_SEQ}, p AS (SELECT doc_id, unnest(regexp_extract_all(s, '..') || regexp_extract_all(substr(s, 2), '..')) AS pair, length(s) - 1 AS n FROM q) SELECT doc_id, pair, round(count(*) / max(n), 6) AS frequency FROM p GROUP BY doc_id, pair")
 def dinucleotide_freq(q):
     names = [a + b for a in sequences.BASES for b in sequences.BASES]
     wide = q.select("doc_id", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("pair"), F.array(*sequences.pair_frequencies(F.col("s"))).alias("f"))).alias("p"))
     return wide.select("doc_id", "p.pair", r6("p.f", "frequency")).where("frequency > 0")
 
 
-@sequence_query("lag_match", f"WITH {_SEQ} SELECT doc_id, {', '.join(f'round(CASE WHEN length(s) > {k} THEN len(list_filter(range(1, length(s) - {k} + 1), lambda i: substr(s, i, 1) = substr(s, i + {k}, 1))) / (length(s) - {k}) ELSE 0 END, 6) AS lag_{k}' for k in sequences.LAGS)} FROM q")
+@sequence_query("lag_match", f"WITH {_SEQ} SELECT doc_id, {', '.join(f'round(CASE WHEN len(l) > {k} THEN len(list_filter(list_zip(l[{k + 1}:], l[:len(l) - {k}]), lambda p: p[1] = p[2])) / (len(l) - {k}) ELSE 0 END, 6) AS lag_{k}' for k in sequences.LAGS)} FROM (SELECT doc_id, CASE WHEN s = '' THEN [] ELSE string_split(s, '') END AS l FROM q)")
 def lag_match(q):
     return rounded(q.select("doc_id", *[sequences.lag_match(F.col("s"), k).alias(f"lag_{k}") for k in sequences.LAGS]), "doc_id")
 
@@ -504,19 +570,10 @@ def sequence_features(spark, sf_dir):
 
 
 @query("reference_audit", f"""WITH {_SEQ}, u AS (SELECT lang, s, count(*) AS n, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / length(s) END AS g, coalesce(list_max(list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x))), 0) AS r FROM q GROUP BY lang, s)
-SELECT lang, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS "distinct", CAST(min(length(s)) AS BIGINT) AS min_length, CAST(max(length(s)) AS BIGINT) AS max_length, round(sum(g * n) / sum(n), 6) AS gc_mean, CAST(max(r) AS BIGINT) AS longest_run, CAST(sum(CASE WHEN length(s) <> 384 OR NOT (g BETWEEN 0.3 AND 0.7) OR r > 6 THEN n ELSE 0 END) AS BIGINT) AS violations FROM u GROUP BY lang""")
+SELECT lang, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS "distinct", CAST(min(length(s)) AS BIGINT) AS min_length, CAST(max(length(s)) AS BIGINT) AS max_length, round(sum(g * n) / sum(n), 6) AS gc_mean, CAST(max(r) AS BIGINT) AS longest_run, CAST(sum(CASE WHEN NOT (g BETWEEN 0.3 AND 0.7) OR r > 6 THEN n ELSE 0 END) AS BIGINT) AS violations FROM u GROUP BY lang""")
 def reference_audit(spark, sf_dir):
-    return _audited(_sequences(spark, sf_dir, 384), 384)
-
-
-@query("reference_audit_whole")
-def reference_audit_whole(spark, sf_dir):
-    """Whole texts have no common length, so there is no rule for it."""
-    return _audited(_sequences(spark, sf_dir), None)
-
-
-def _audited(q: DataFrame, length: int | None) -> DataFrame:
-    a = audit.reference_audit(q, "s", "lang", length, (0.3, 0.7), 6)
+    """Whole texts have no common length, so there is no rule for it; is_legal() drops empty ones in both forms."""
+    a = audit.reference_audit(_sequences(spark, sf_dir), "s", "lang", None, (0.3, 0.7), 6)
     return a.select("lang", r6("gc_mean", "gc_mean"), *[big(c, c) for c in ("n", "distinct", "min_length", "max_length", "longest_run", "violations")])
 
 
@@ -597,48 +654,55 @@ def parity_hamming(spark, sf_dir):
 
 # resampling
 
-_REPETITIONS = 2000  # the reference's default; the SQL draws 50 and 20
+_REPETITIONS = 2000  # fixed value
 _DRAW = "CAST(floor(('0x' || substr(md5(concat_ws(':', {parts})), 1, 8))::UBIGINT / 4294967296.0 * {size}) AS INT)"
 
 
 @query("stratified_bootstrap", f"""WITH n AS (SELECT quality, toxic, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY quality) AS size FROM labels),
-d AS (SELECT quality, repetition, {_DRAW.format(parts="'7', CAST(repetition AS VARCHAR), CAST(quality AS VARCHAR), CAST(k AS VARCHAR)", size="size")} AS k FROM n CROSS JOIN (SELECT unnest(range(50)) AS repetition))
+d AS (SELECT quality, repetition, {_DRAW.format(parts="'7', CAST(repetition AS VARCHAR), CAST(quality AS VARCHAR), CAST(k AS VARCHAR)", size="size")} AS k FROM n CROSS JOIN (SELECT unnest(range({_REPETITIONS})) AS repetition))
 SELECT CAST(d.repetition AS BIGINT) AS repetition, round(sum(n.toxic) / count(*), 6) AS toxic_rate, round(sum(n.toxic * n.quality) / sum(n.quality), 6) AS toxic_among_good FROM d JOIN n USING (quality, k) GROUP BY d.repetition""")
 def stratified_bootstrap(spark, sf_dir):
-    return _stratified(spark, sf_dir, 50)
-
-
-@query("stratified_bootstrap_whole")
-def stratified_bootstrap_whole(spark, sf_dir):
-    return _stratified(spark, sf_dir, _REPETITIONS)
-
-
-def _stratified(spark, sf_dir, repetitions: int) -> DataFrame:
     labels = R.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     one, good = F.lit(1.0), F.col("quality").cast("double")
-    s = resample.stratified(labels, ["quality"], ["doc_id"], {"toxic_rate": (F.col("toxic") * one, one), "toxic_among_good": (F.col("toxic") * good, good)}, repetitions)
+    s = resample.stratified(labels, ["quality"], ["doc_id"], {"toxic_rate": (F.col("toxic") * one, one), "toxic_among_good": (F.col("toxic") * good, good)}, _REPETITIONS)
     return s.select(big("repetition", "repetition"), r6("toxic_rate", "toxic_rate"), r6("toxic_among_good", "toxic_among_good"))
 
 
 @query("hierarchical_bootstrap", f"""WITH r AS (SELECT c_nationkey AS seed, c_mktsegment AS category, c_acctbal, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS size FROM customer),
-c AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS k, count(*) OVER () AS size FROM (SELECT DISTINCT seed FROM r)), reps AS (SELECT unnest(range(20)) AS repetition),
+c AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS k, count(*) OVER () AS size FROM (SELECT DISTINCT seed FROM r)), reps AS (SELECT unnest(range({_REPETITIONS})) AS repetition),
 chosen AS (SELECT s.repetition, s.spot, c.seed FROM (SELECT repetition, k AS spot, {_DRAW.format(parts="'7', CAST(repetition AS VARCHAR), 'cluster', CAST(k AS VARCHAR)", size="size")} AS k FROM c CROSS JOIN reps) s JOIN c ON c.k = s.k),
 d AS (SELECT r.seed, r.category, repetition, {_DRAW.format(parts="'7', CAST(repetition AS VARCHAR), CAST(spot AS VARCHAR), category, CAST(k AS VARCHAR)", size="size")} AS k FROM r JOIN chosen ON r.seed = chosen.seed),
 s AS (SELECT repetition, sum(CAST(r.c_acctbal < 0 AS INT)) / count(*) AS v FROM d JOIN r USING (seed, category, k) GROUP BY repetition)
 SELECT 'negative_rate' AS metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower95, round(quantile_cont(v, 0.975), 6) AS upper95 FROM s""")
 def hierarchical_bootstrap(spark, sf_dir):
-    return _hierarchical(spark, sf_dir, 20)
+    c = R.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("seed"), F.col("c_mktsegment").alias("category"), "c_acctbal")
+    s = resample.hierarchical(c, "seed", ["category"], ["c_custkey"], {"negative_rate": ((F.col("c_acctbal") < 0).cast("double"), F.lit(1.0))}, _REPETITIONS)
+    return rounded(resample.intervals(s, ["negative_rate"]), "metric")
 
 
-@query("hierarchical_bootstrap_whole")
-def hierarchical_bootstrap_whole(spark, sf_dir):
-    return _hierarchical(spark, sf_dir, _REPETITIONS)
+@query("independent_bootstrap", f"""WITH n AS (SELECT CAST(c_acctbal < 0 AS INT) AS bad, row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS size FROM customer),
+d AS (SELECT repetition, {_DRAW.format(parts="'7', CAST(repetition AS VARCHAR), '0', CAST(k AS VARCHAR)", size="size")} AS k FROM n CROSS JOIN (SELECT unnest(range(1000)) AS repetition)), s AS (SELECT repetition, avg(bad) AS v FROM d JOIN n USING (k) GROUP BY repetition)
+SELECT 'negative_rate' AS metric, round((SELECT avg(bad) FROM n), 6) AS estimate, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM s""")
+def independent_bootstrap(spark, sf_dir):
+    c = R.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") < 0).cast("double").alias("bad"))
+    return rounded(resample.independent(c, ["c_custkey"], {"negative_rate": (F.col("bad"), F.lit(1.0))}), "metric")
 
 
-def _hierarchical(spark, sf_dir, repetitions: int) -> DataFrame:
-    c = R.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("seed"), F.col("c_mktsegment").alias("category"), "c_acctbal")
-    s = resample.hierarchical(c, "seed", ["category"], ["c_custkey"], {"negative_rate": ((F.col("c_acctbal") < 0).cast("double"), F.lit(1.0))}, repetitions)
-    return rounded(resample.intervals(s, ["negative_rate"]), "metric")
+@query("macro_f1_bootstrap", f"""WITH {R.DECIDED}, r AS (SELECT archive_id % 5 AS seed, truth AS category, energy_only, closed, row_number() OVER (PARTITION BY archive_id % 5, truth ORDER BY archive_id) - 1 AS k, count(*) OVER (PARTITION BY archive_id % 5, truth) AS size FROM decided WHERE {_K}),
+c AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS k, count(*) OVER () AS size FROM (SELECT DISTINCT seed FROM r)), reps AS (SELECT unnest(range(200)) AS repetition),
+chosen AS (SELECT s.repetition, s.spot, c.seed FROM (SELECT repetition, k AS spot, {_DRAW.format(parts="'7', CAST(repetition AS VARCHAR), 'cluster', CAST(k AS VARCHAR)", size="size")} AS k FROM c CROSS JOIN reps) s JOIN c ON c.k = s.k),
+d AS (SELECT r.seed, r.category, repetition, {_DRAW.format(parts="'7', CAST(repetition AS VARCHAR), CAST(spot AS VARCHAR), category, CAST(k AS VARCHAR)", size="size")} AS k FROM r JOIN chosen ON r.seed = chosen.seed),
+j AS (SELECT repetition, category, energy_only AS o, closed AS b FROM d JOIN r USING (seed, category, k)), l AS (SELECT unnest(['{"', '".join(L.KNOWN)}']) AS label),
+f AS (SELECT repetition, label, 2.0 * count(*) FILTER (WHERE category = label AND o = label) / greatest(1, 2 * count(*) FILTER (WHERE category = label AND o = label) + count(*) FILTER (WHERE category <> label AND o = label) + count(*) FILTER (WHERE category = label AND o <> label)) AS f1,
+  2.0 * count(*) FILTER (WHERE category = label AND b = label) / greatest(1, 2 * count(*) FILTER (WHERE category = label AND b = label) + count(*) FILTER (WHERE category <> label AND b = label) + count(*) FILTER (WHERE category = label AND b <> label)) AS base FROM j CROSS JOIN l GROUP BY repetition, label),
+s AS (SELECT repetition, avg(f1) - avg(base) AS v FROM f GROUP BY repetition) SELECT 'macro_f1_change' AS metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower95, round(quantile_cont(v, 0.975), 6) AS upper95 FROM s""")
+def macro_f1_bootstrap(spark, sf_dir):
+    """The change of macro-F1 from the closed set, over seeds and archives drawn with replacement; 200 repetitions."""
+    d = R.decided(spark, sf_dir).where(L.is_known(F.col("truth"))).select("archive_id", (F.col("archive_id") % 5).alias("seed"), "truth", "closed", "energy_only")
+    sums = {k: v for n, c in (("out", "energy_only"), ("base", "closed")) for k, v in resample.f1_sums(n, F.col("truth"), F.col(c), L.KNOWN).items()}
+    drawn = resample.hierarchical_sums(d, "seed", ["truth"], ["archive_id"], sums, 200)
+    change = resample.macro_f1_of_sums("out", L.KNOWN) - resample.macro_f1_of_sums("base", L.KNOWN)
+    return rounded(resample.intervals(drawn.select("repetition", change.alias("macro_f1_change")), ["macro_f1_change"]), "metric")
 
 
 # models, sources and channel
@@ -695,7 +759,7 @@ def archive_specs(spark, sf_dir):
 _PAIRS = [a + b for a in sequences.BASES for b in sequences.BASES]
 
 
-@sequence_query("composition", f"""WITH {_SEQ}, p AS (SELECT lang, substr(s, i, 2) AS pair, count(*) AS n FROM (SELECT lang, s, unnest(range(1, length(s))) AS i FROM q) GROUP BY ALL), langs AS (SELECT DISTINCT lang FROM q), grid AS (SELECT lang, unnest({_PAIRS}) AS pair FROM langs),
+@sequence_query("composition", f"""WITH {_SEQ}, p AS (SELECT lang, pair, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(s, '..') || regexp_extract_all(substr(s, 2), '..')) AS pair FROM q) GROUP BY ALL), langs AS (SELECT DISTINCT lang FROM q), grid AS (SELECT lang, unnest({_PAIRS}) AS pair FROM langs),
 d AS (SELECT lang, sum(abs(coalesce(n, 0) / t - 1 / 16)) AS pair_distance FROM grid LEFT JOIN p USING (lang, pair) JOIN (SELECT lang, sum(n) AS t FROM p GROUP BY lang) USING (lang) GROUP BY lang),
 r AS (SELECT lang, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / length(s) END AS g, coalesce(list_max(list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x))), 0) AS r FROM q)
 SELECT lang, round(avg(g), 6) AS gc_mean, round(stddev_pop(g), 6) AS gc_std, round(avg(r), 6) AS run_mean, round(quantile_cont(r, 0.95), 6) AS run_q95, round(max(pair_distance), 6) AS pair_distance FROM r JOIN d USING (lang) GROUP BY lang""")

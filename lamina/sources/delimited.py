@@ -70,3 +70,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def load_or_make(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at ``path``; where a complete one isn't there yet, what ``make()`` returns is written first."""
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """One JSON file of a report's few rows, by a single task."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_store(df: DataFrame, path: str, category: str = "category") -> None:
+    """References in one folder per category, each written by as many tasks as its rows need."""
+    df.hint("rebalance", category).write.mode("overwrite").partitionBy(category).parquet(path)

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ def test_perfect_ranking_and_missing_class(spark):
     df = spark.createDataFrame([(0, 0.1, 0), (1, 0.2, 0), (2, 0.8, 1), (3, 0.9, 1)], "pos int, s double, y int")
     assert metrics.auroc(df, "s", F.col("y") == 1).first().auroc == 1.0
     assert metrics.average_precision(df, "s", F.col("y") == 1, "pos").first().average_precision == 1.0
-    assert metrics.auroc(df.where("y = 1"), "s", F.col("y") == 1).first().auroc is None
+    assert math.isnan(metrics.auroc(df.where("y = 1"), "s", F.col("y") == 1).first().auroc)
 
 
 def test_running_sums_over_ranges_and_groups(spark):

@@ -35,8 +35,8 @@ def collected(spark, name, folder):
 def test_sequence_queries_read_whole_texts(spark, texts):
     folder, sequences = texts
     assert max(map(len, sequences.values())) > 3000
-    run, entropy, lags, digest = (collected(spark, f"{n}_whole", folder) for n in ("homopolymer", "seq_entropy", "lag_match", "sequence_digest"))
-    pairs = {(r.doc_id, r.pair): r.frequency for r in catalog.QUERIES["dinucleotide_freq_whole"](spark, folder).collect()}
+    run, entropy, lags, digest = (collected(spark, n, folder) for n in ("homopolymer", "seq_entropy", "lag_match", "sequence_digest"))
+    pairs = {(r.doc_id, r.pair): r.frequency for r in catalog.QUERIES["dinucleotide_freq"](spark, folder).collect()}
     for i, s in sequences.items():
         n = len(s)
         assert run[i].longest_run == max(runs(s), default=0)
@@ -58,12 +58,12 @@ def test_sequence_summaries_read_whole_texts(spark, texts):
     found = catalog.QUERIES["sequence_features"](spark, folder).collect()[0]
     assert found.length_mean == pytest.approx(np.mean([len(s) / 400 for s in filled]))
     assert found.longest_run_mean == pytest.approx(np.mean([max(runs(s)) / len(s) for s in filled]))
-    audited = catalog.QUERIES["reference_audit_whole"](spark, folder).collect()[0]
+    audited = catalog.QUERIES["reference_audit"](spark, folder).collect()[0]
     assert (audited.n, audited.distinct, audited.max_length, audited.longest_run) == (5, 5, max(map(len, filled)), max(max(runs(s)) for s in filled))
     gc = [(s.count("G") + s.count("C")) / len(s) for s in filled]
     assert audited.violations == 1 + sum(not 0.3 <= g <= 0.7 or max(runs(s)) > 6 for g, s in zip(gc, filled))
     pooled = [a + b for s in filled for a, b in zip(s, s[1:])]
-    summary = catalog.QUERIES["composition_whole"](spark, folder).collect()[0]
+    summary = catalog.QUERIES["composition"](spark, folder).collect()[0]
     assert summary.run_mean == pytest.approx(sum(max(runs(s)) for s in filled) / 5, abs=1e-6)
     assert summary.pair_distance == pytest.approx(sum(abs(pooled.count(a + b) / len(pooled) - 1 / 16) for a in "ACGT" for b in "ACGT"), abs=1e-6)
 
@@ -73,19 +73,23 @@ def test_distances_read_whole_vectors(spark, tmp_path):
     x, label = rng.normal(size=(240, 9)), np.arange(240) % 5
     x[:, 8] += 4 * label  # told apart by the last dimension alone
     x[:, 1] = x[:, 0]
+    x[label == 2, 3] = 0.25  # no spread within a class: the floor
     spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x))], "vec_id long, label int, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
     diagonal, full = np.empty((240, 4)), np.empty((240, 4))
     for k in range(4):
         own, gap = z[label == k], z - z[label == k].mean(axis=0)
-        c = np.cov(own.T)
-        diagonal[:, k] = np.sqrt((gap**2 / own.var(axis=0, ddof=1)).sum(axis=1))
-        inverse = np.linalg.pinv(catalog.distances.oracle_shrinkage(c, len(own))[0] + 1e-8 * np.eye(9), hermitian=True)
+        diagonal[:, k] = np.sqrt((gap**2 / np.maximum(own.var(axis=0, ddof=1), 1e-4)).sum(axis=1))
+        n, s = len(own), np.cov(own.T, ddof=0)  # as published: rows n, dimension 9
+        t2, t = np.trace(s @ s), np.trace(s)
+        rho = min(1.0, ((1 - 2 / 9) * t2 + t**2) / ((n + 1 - 2 / 9) * (t2 - t**2 / 9)))
+        assert 0 < rho < 1
+        inverse = np.linalg.pinv((1 - rho) * s + rho * t / 9 * np.eye(9) + max(t / 9, 1) * 1e-8 * np.eye(9), hermitian=True)
         full[:, k] = np.sqrt(np.einsum("nd,de,ne->n", gap, inverse, gap))
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
-    assert all(r.distance == pytest.approx(diagonal[r.vec_id, int(r["class"])], abs=2e-6) for r in run("diag_mahalanobis_whole"))
+    assert all(r.distance == pytest.approx(diagonal[r.vec_id, int(r["class"])], abs=2e-6) for r in run("diag_mahalanobis"))
     assert all(r.distances == pytest.approx(full[r.vec_id], abs=2e-6) for r in run("full_mahalanobis"))
-    for r in run("min_class_score_whole"):
+    for r in run("min_class_score"):
         assert r.least == pytest.approx(diagonal[r.vec_id].min(), abs=2e-6)
         assert r.own is None if label[r.vec_id] == 4 else r.own == pytest.approx(diagonal[r.vec_id, label[r.vec_id]], abs=2e-6)
 
@@ -96,7 +100,7 @@ def test_bootstraps_draw_2000_repetitions(spark, tmp_path):
     customers = [(i, i % 3, "ab"[i % 2], rng.uniform(-1, 1)) for i in range(30)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
-    rates = sorted(catalog.QUERIES["stratified_bootstrap_whole"](spark, str(tmp_path)).collect())
+    rates = sorted(catalog.QUERIES["stratified_bootstrap"](spark, str(tmp_path)).collect())
     assert [r.repetition for r in rates] == list(range(2000))
     draw = lambda *parts, size: int(int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32 * size)
     strata = {q: [x for x in labels if x[1] == q] for q in (0, 1)}
@@ -112,5 +116,117 @@ def test_bootstraps_draw_2000_repetitions(spark, tmp_path):
                 rows = [x for x in customers if x[1] == seed and x[2] == category]
                 drawn += [rows[draw(7, rep, spot, category, k, size=len(rows))][3] < 0 for k in range(len(rows))]
         values.append(np.mean(drawn))
-    found = catalog.QUERIES["hierarchical_bootstrap_whole"](spark, str(tmp_path)).collect()[0]
+    found = catalog.QUERIES["hierarchical_bootstrap"](spark, str(tmp_path)).collect()[0]
     assert (found["mean"], found.lower95, found.upper95) == pytest.approx((np.mean(values), *np.quantile(values, [0.025, 0.975])), abs=2e-6)
+
+
+def test_detector_system_equals_a_plain_version(spark):
+    """Energy, components, conformal values and logit features on a small set, archive by archive."""
+    from lamina.functions.labels import KNOWN
+    from lamina.operators import detectors
+
+    rng, rows = np.random.default_rng(7), []
+    for archive in range(48):
+        k = archive % 4
+        for molecule in range(2):
+            for _ in range(3):
+                logits = rng.normal(0, 0.6, 4) + 3 * (np.arange(4) == k)
+                rows.append((archive, KNOWN[k], molecule, logits.tolist(), (rng.normal(0, 1, 5) + k).tolist()))
+    schema = "archive_id long, category string, molecule_id int, logits array<double>, embedding array<double>"
+    reads = spark.createDataFrame(rows, schema)
+    fit, held = reads.where("archive_id < 24"), reads.where("archive_id >= 24")
+    system = detectors.fit(fit, held, 2)
+    got = {r.archive_id: r for r in detectors.score(held, system).collect()}
+    by = {a: [r for r in rows if r[0] == a] for a in range(48)}
+    label = np.array([a % 4 for a in range(48)])
+    logits = {a: np.array([r[3] for r in by[a]]) for a in by}
+    energy = {a: -np.log(np.exp(x).sum(axis=1)) for a, x in logits.items()}
+
+    def features(a):
+        x = logits[a]
+        p = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+        top = np.sort(p, axis=1)
+        out = [v for c in x.T for v in (c.mean(), c.std(ddof=1), *np.quantile(c, [0.05, 0.25, 0.5, 0.75, 0.95]))]
+        for c in (energy[a], -(p * np.log(p)).sum(axis=1), top[:, -1] - top[:, -2]):
+            out += [c.mean(), c.std(ddof=1), *np.quantile(c, [0.05, 0.5, 0.95])]
+        return np.array(out)
+
+    def model(x, y):
+        mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0, ddof=1), 1e-8)
+        z = (x - mean) / scale
+        return mean, scale, [(z[y == k].mean(axis=0), np.maximum(z[y == k].var(axis=0, ddof=1), 1e-4), z[y == k]) for k in range(4)]
+
+    def diagonal(x, m):
+        z = (x - m[0]) / m[1]
+        return np.array([np.sqrt(((z - c) ** 2 / v).sum()) for c, v, _ in m[2]])
+
+    def full(x, m):
+        out = []
+        for c, _, own in m[2]:
+            d, n, s = own.shape[1], len(own), np.cov(own.T, ddof=0)
+            t2, t = np.trace(s @ s), np.trace(s)
+            rho = min(1.0, ((1 - 2 / d) * t2 + t**2) / ((n + 1 - 2 / d) * (t2 - t**2 / d)))
+            gap = (x - m[0]) / m[1] - c
+            out.append(np.sqrt(gap @ np.linalg.pinv((1 - rho) * s + (rho * t / d + max(t / d, 1) * 1e-8) * np.eye(d), hermitian=True) @ gap))
+        return np.array(out)
+
+    embedded = {a: np.array([r[4] for r in by[a]]) for a in by}
+    first = np.concatenate([embedded[a] for a in range(24)])
+    centre = first.mean(axis=0)
+    axes = np.linalg.eigh(np.cov(first.T))[1][:, ::-1][:, :2]
+    moments = lambda x: np.append(x.mean(axis=0), x.std(axis=0, ddof=1))
+    raw, small = ({a: moments(e if kind == "raw" else (e - centre) @ axes) for a, e in embedded.items()} for kind in ("raw", "small"))
+    logit = {a: features(a) for a in by}
+    made = [model(np.array([v[a] for a in range(24)]), label[:24]) for v in (small, raw, logit)]
+    calibration = {a: full(raw[a], made[1]) for a in range(24, 48)}
+    for a in range(24, 48):
+        p = [(1 + sum(calibration[b][k] >= calibration[a][k] - 1e-12 for b in calibration if label[b] == k)) / (1 + sum(label[24:] == k)) for k in range(4)]
+        mean_energy = np.mean([energy[a][:3].mean(), energy[a][3:].mean()])
+        want = (mean_energy, diagonal(small[a], made[0]).min(), -max(p), diagonal(logit[a], made[2]).min())
+        assert [got[a][d] for d in detectors.DETECTORS] == pytest.approx(want, abs=1e-6)
+
+
+def test_missing_classes_and_origins(spark):
+    from pyspark.sql import functions as F
+
+    from lamina.operators import metrics
+
+    one = spark.createDataFrame([(1.0, 1), (2.0, 1)], "score double, y int")
+    assert math.isnan(metrics.auroc(one, "score", F.col("y") == 1).first()[0])
+    assert math.isnan(metrics.fpr_at_tpr(one, "score", F.col("y") == 1).first()[0])
+    both = one.union(spark.createDataFrame([(0.5, 0)], "score double, y int"))
+    curve = metrics.roc_curve(both, "score", F.col("y") == 1).collect()
+    assert [(r.tpr, r.fpr) for r in curve if r.threshold is None] == [(0.0, 0.0)] and len(curve) == 4
+
+
+def test_joins_splits_and_choices_fail_closed(spark):
+    from pyspark.sql import functions as F
+
+    from lamina.operators import audit, selection
+
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, 0.5), (2, 0.7)], "k int, w double")
+    assert audit.one_to_one(a, b, "k").count() == 2
+    for wrong in (b.where("k = 1"), b.union(b.limit(1))):
+        with pytest.raises(Exception, match="one to one"):
+            audit.one_to_one(a, wrong, "k").collect()
+    rows = spark.createDataFrame([(i, "p") for i in range(4)] + [(9, "q")], "id int, label string")
+    with pytest.raises(Exception, match="too small"):
+        audit.stable_halves(rows, "label", "id", F.lit(1)).collect()
+    with pytest.raises(Exception, match="unknown"):
+        audit.stable_halves(rows.where("label = 'p'"), "label", "id", F.lit(1), labels=("z",)).collect()
+    chosen = spark.createDataFrame([("a", "r2"), ("b", "r1"), ("c", "r2")], "held_out string, candidate string")
+    assert tuple(selection.majority_choice(chosen).first()) == ("r2", 2)
+
+
+def test_tables_are_made_once_and_stored_by_category(spark, tmp_path):
+    from lamina.sources import delimited
+
+    calls = []
+    make = lambda: calls.append(1) or spark.createDataFrame([(1, "p"), (2, "q")], "id int, category string")
+    for _ in range(2):
+        assert delimited.load_or_make(spark, f"{tmp_path}/made", make).count() == 2
+    assert len(calls) == 1
+    delimited.write_store(make(), f"{tmp_path}/store")
+    assert spark.read.parquet(f"{tmp_path}/store/category=p").count() == 1
+    delimited.write_report(make(), f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report").count() == 2 and len(list((tmp_path / "report").glob("*.json"))) == 1
