@@ -82,7 +82,7 @@ def roc_curve(df: DataFrame, score: str, positive: Column, by: list[str] | None
     both = (F.col("total_p") > 0) & (F.col("total_n") > 0)
     tpr, fpr = (F.when(both, F.col(f"cum_{x}") / F.col(f"total_{x}")).otherwise(float("nan")) for x in "pn")
     points = r.select(*(by or []), F.col("score").alias("threshold"), tpr.alias("tpr"), fpr.alias("fpr"))
-    none = r.groupBy(*(by or [])).agg(F.max(both).alias("__both")).where("__both is not null")
+    none = df.groupBy(*(by or [])).agg(((F.count_if(positive) > 0) & (F.count_if(~positive) > 0)).alias("__both"), F.count("*").alias("__n")).where("__n > 0")
     start = F.when(F.col("__both"), 0.0).otherwise(float("nan"))
     return points.unionByName(none.select(*(by or []), F.lit(None).cast(points.schema["threshold"].dataType).alias("threshold"), start.alias("tpr"), start.alias("fpr")))
 
