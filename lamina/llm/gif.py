@@ -51,41 +51,36 @@ def code_places(minimum: int, count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lzw_encode(samples: bytes, minimum: int = 8) -> bytes:
-    """Code stream of one image; a clear code whenever the table is full."""
+    """Code stream of one image; a clear code before the table could be full."""
     clear, end = 1 << minimum, (1 << minimum) + 1
     runs: list[list[int]] = []
-    codes: list[int] = []
-    table: dict[int, int] = {}
-    fresh, prefix = end + 1, -1
-    for sample in samples:
-        if prefix < 0:
-            prefix = sample
-            continue
-        key = prefix << 8 | sample
-        known = table.get(key)
-        if known is not None:
-            prefix = known
-            continue
-        codes.append(prefix)
-        prefix = sample
-        if fresh < 4096:
-            table[key] = fresh
-            fresh += 1
-        else:
-            codes.append(clear)
-            runs.append(codes)
-            codes, table, fresh = [], {}, end + 1
-    if prefix >= 0:
-        codes.append(prefix)
-    codes.append(end)
-    runs.append(codes)
+    step = 4095 - end  # as many samples make no more entries than there is room for
+    for start in range(0, max(1, len(samples)), step):
+        codes: list[int] = []
+        emit, table, fresh, rest = codes.append, {}, end, iter(samples[start : start + step])
+        prefix = next(rest, None)
+        for sample in rest:
+            key = prefix << 8 | sample
+            if key in table:
+                prefix = table[key]
+            else:
+                emit(prefix)
+                table[key] = fresh = fresh + 1
+                prefix = sample
+        if prefix is not None:
+            emit(prefix)
+        emit(clear if start + step < len(samples) else end)
+        runs.append(codes)
     values, widths = [np.array([clear])], [np.array([minimum + 1])]
     for run in runs:
         values.append(np.array(run))
         widths.append(code_places(minimum, 1 << 13)[0][: len(run)])
     value, width = np.concatenate(values), np.concatenate(widths)
-    bits = (value[:, None] >> np.arange(12) & 1).astype("u1")
-    return np.packbits(bits[np.arange(12) < width[:, None]], bitorder="little").tobytes()
+    ends = np.cumsum(width)
+    at = ends - width
+    value, byte = value << (at & 7), at >> 3
+    parts = np.bincount(np.concatenate([byte, byte + 1, byte + 2]), np.concatenate([value & 255, value >> 8 & 255, value >> 16]))  # bits don't overlap, so sums are unions
+    return parts[: (int(ends[-1]) + 7) // 8].astype("u1").tobytes()
 
 
 def lzw_decode(data: bytes, minimum: int, pixels: int) -> bytes:
@@ -95,8 +90,10 @@ def lzw_decode(data: bytes, minimum: int, pixels: int) -> bytes:
     clear, end = 1 << minimum, (1 << minimum) + 1
     raw = np.frombuffer(data + b"\0\0\0", "u1").astype("i8")
     bits, at, out, stop = 8 * len(data), 0, bytearray(), False
+    if len(data) > 1 and int.from_bytes(data[:2], "little") & ((2 << minimum) - 1) == clear:
+        at = minimum + 1  # the clear code that streams begin with
     while not stop and len(out) < pixels:
-        count = 512  # the codes up to the next clear code come out together
+        count = min(4096, (bits - at) // (minimum + 2) + 8)  # the codes up to the next clear code come out together
         while True:
             widths, places = code_places(minimum, count)
             fits = int(np.searchsorted(places + widths, bits - at, side="right"))
@@ -104,7 +101,7 @@ def lzw_decode(data: bytes, minimum: int, pixels: int) -> bytes:
             byte = where >> 3
             codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (where & 7)) & ((1 << widths[:fits]) - 1)
             ends = np.flatnonzero((codes == clear) | (codes == end))
-            if len(ends) or fits < count or count > 2 * pixels:
+            if len(ends) or fits < count:
                 break
             count *= 4
         if len(ends):
@@ -114,34 +111,37 @@ def lzw_decode(data: bytes, minimum: int, pixels: int) -> bytes:
             codes = codes[:n]
         else:
             stop = True
-        expand(codes.tolist(), clear, out)
+        out += expand(codes, clear)
     return bytes(out[:pixels])
 
 
-@cache
-def _singles(clear: int) -> list[bytes]:
-    return [bytes([i & 255]) for i in range(clear)] + [b"", b""]
-
-
-def expand(codes: list[int], clear: int, out: bytearray) -> None:
-    """Appends the strings of codes that follow one clear code; each code but the first makes an entry of the string before it and its own first sample."""
-    table, before, parts = _singles(clear).copy(), b"", []
-    size = clear + 2
-    for code in codes:
-        if code < size:
-            string = table[code]
-            if before and size < 4096:
-                table.append(before + string[:1])
-                size += 1
-        elif code == size < 4096 and before:
-            string = before + before[:1]
-            table.append(string)
-            size += 1
-        else:
-            raise ValueError("LZW code before its entry")
-        parts.append(string)
-        before = string
-    out += b"".join(parts)
+def expand(codes: np.ndarray, clear: int) -> bytes:
+    """The strings of codes that follow one clear code.
+
+    An entry is the string of the code it was made at and the next one's first sample: a stretch of what is out
+    already. So a code's length is its distance from a literal, and every sample is a copy of one further in front; both
+    are found by following all links at once, twice as far in every round.
+    """
+    n = len(codes)
+    if not n:
+        return b""
+    literal = codes < clear
+    made_at = np.where(literal, n, codes - clear - 2)
+    if not literal[0] or (~literal & ((made_at < 0) | (made_at >= np.arange(n)))).any():
+        raise ValueError("LZW code before its entry")
+    link, length = np.append(made_at, n), np.append((~literal).astype("i8"), 0)
+    while (link != n).any():
+        length, link = length + length[link], link[link]
+    length = length[:n] + 1
+    starts = np.cumsum(length) - length
+    shift = np.where(literal, 0, starts - np.append(starts, 0)[made_at])
+    source = np.arange(int(length.sum())) - np.repeat(shift, length)
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    return np.repeat(codes, length).astype("u1")[source].tobytes()
 
 
 @dataclass
@@ -194,11 +194,13 @@ def read_gif(data: bytes) -> Gif:
     at = 13
 
     def colours(flags: int) -> np.ndarray:
+        """Red, green, blue and full alpha, four bytes as one number."""
         nonlocal at
         n = 2 << (flags & 7)
-        table = np.frombuffer(data, "u1", 3 * n, at).reshape(n, 3)
+        table = np.full((n, 4), 255, "u1")
+        table[:, :3] = np.frombuffer(data, "u1", 3 * n, at).reshape(n, 3)
         at += 3 * n
-        return table
+        return table.view("u4").ravel()
 
     def blocks() -> bytes:
         nonlocal at
@@ -211,7 +213,7 @@ def read_gif(data: bytes) -> Gif:
 
     try:
         common_table = colours(flags) if flags & 0x80 else None
-        canvas = np.zeros((height, width, 4), "u1")
+        canvas = np.zeros((height, width), "u4")
         frames: list[Frame] = []
         clock = delay = disposal = 0
         clear_number = -1
@@ -246,15 +248,11 @@ def read_gif(data: bytes) -> Gif:
             before = canvas.copy() if disposal == 3 else None
             image = image[: max(0, height - top), : max(0, width - left)]
             region = canvas[top : top + h, left : left + w]
-            shown = np.empty((*image.shape, 4), "u1")
-            shown[..., :3] = table[image]
-            shown[..., 3] = 255
             if clear_number >= 0:
-                seen = image != clear_number
-                region[seen] = shown[seen]
+                np.copyto(region, table[image], where=image != clear_number)
             else:
-                region[...] = shown
-            frames.append(Frame(clock, delay, canvas.copy(), (left, top, image.shape[1], image.shape[0])))
+                region[...] = table[image]
+            frames.append(Frame(clock, delay, canvas.copy().view("u1").reshape(height, width, 4), (left, top, image.shape[1], image.shape[0])))
             clock += delay
             if disposal == 2:
                 region[...] = 0
