@@ -770,3 +770,6 @@ def composition(q):
 @query("self_checks")
 def self_checks(spark, sf_dir):
     return checks.run(spark)
+
+
+from lamina.plans import stores  # noqa: E402, F401  registers its queries
