@@ -10,6 +10,7 @@ from lamina.llm.language import op6_language_id
 from lamina.llm.near_dedup import op9_near_dedup
 from lamina.llm.packing import op3_packing
 from lamina.llm.quality import op5_quality
+from lamina.llm.repair import op13_conversation_repair
 from lamina.llm.secrets import op7_secrets
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: The others have no SQL; tests hold them against brute force, exact round trips or held-out rows.
