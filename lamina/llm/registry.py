@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import licences, repeats, sharding
+from lamina.llm import licences, phrases, repeats, sharding
 from lamina.llm.bpe import op1_byte_bpe
 from lamina.llm.fingerprints import op8_fingerprints
 from lamina.llm.gif import op4_gif
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_phrases": phrases.op11_phrases,
     "op12_substring_dedup": repeats.op12_substring_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -32,5 +33,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_licences": licences.ORACLE,
     "op10_sharding": sharding.oracle(),
+    "op11_phrases": phrases.oracle(),
     "op12_substring_dedup": repeats.ORACLE,
 }
