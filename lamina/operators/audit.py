@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lamina.functions import labels as L
 from lamina.functions import sequences
+from lamina.operators.quantiles import grouped
 
 
 def duplicates(df: DataFrame, fingerprint: Column, order: str) -> DataFrame:
@@ -97,4 +98,5 @@ def composition(df: DataFrame, sequence: str, by: str) -> DataFrame:
     rows = df.select(by, sequences.gc_fraction(s).alias("__g"), sequences.longest_run(s).alias("__r"), *counts)
     whole = F.greatest(sum((F.sum(p) for p in names), F.lit(0)), F.lit(1))
     gap = sum((F.abs(F.sum(p) / whole - 1 / 16) for p in names), F.lit(0.0))
-    return rows.groupBy(by).agg(F.avg("__g").alias("gc_mean"), F.stddev_pop("__g").alias("gc_std"), F.avg("__r").alias("run_mean"), F.percentile("__r", 0.95).alias("run_q95"), gap.alias("pair_distance"))
+    found = grouped(rows, [by], ["__r"], [0.95], [F.avg("__g").alias("gc_mean"), F.stddev_pop("__g").alias("gc_std"), F.avg("__r").alias("run_mean"), gap.alias("pair_distance")])
+    return found.select(by, "gc_mean", "gc_std", "run_mean", F.element_at("__r", 1).alias("run_q95"), "pair_distance")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import scalars, sequences
 from lamina.functions.labels import KNOWN
+from lamina.operators.quantiles import grouped
 
 FIVE = (0.05, 0.25, 0.5, 0.75, 0.95)
 THREE = (0.05, 0.5, 0.95)
@@ -17,16 +18,18 @@ def quantile_stats(df: DataFrame, values: dict[str, Column], by: list[str], quan
     """Mean, deviation (of the sample, 0 for one row; or of the population) and exact interpolated quantiles of each value; all rows of a group count alike."""
     wide = df.select(*by, *[c.alias(n) for n, c in values.items()])
     deviation = F.stddev_pop if population else F.stddev_samp
-    found = wide.groupBy(*by).agg(*[x for n in values for x in (F.avg(n).alias(f"{n}_mean"), F.coalesce(deviation(n), F.lit(0.0)).alias(f"{n}_std"), F.percentile(n, list(quantiles)).alias(f"__{n}"))])
-    return found.select(*by, *[x for n in values for x in (F.col(f"{n}_mean"), F.col(f"{n}_std"), *[F.element_at(f"__{n}", i + 1).alias(f"{n}_{NAMES[q]}") for i, q in enumerate(quantiles)])])
+    moments = [x for n in values for x in (F.avg(n).alias(f"{n}_mean"), F.coalesce(deviation(n), F.lit(0.0)).alias(f"{n}_std"))]
+    found = grouped(wide, by, list(values), list(quantiles), moments)
+    return found.select(*by, *[x for n in values for x in (F.col(f"{n}_mean"), F.col(f"{n}_std"), *[F.element_at(n, i + 1).alias(f"{n}_{NAMES[q]}") for i, q in enumerate(quantiles)])])
 
 
 def logit_features(reads: DataFrame, logits: list[Column], by: list[str]) -> DataFrame:
     """43 features: seven statistics of each logit, five of the reads' energy, entropy and margin. Reads of an archive are pooled, molecules don't matter."""
     p = scalars.softmax(logits)
-    first = quantile_stats(reads, {f"logit_{k}": x for k, x in zip(KNOWN, logits)}, by)
-    second = quantile_stats(reads, {"energy": scalars.energy(logits), "softmax_entropy": scalars.softmax_entropy(p), "top1_top2_margin": scalars.margin(p)}, by, THREE)
-    return first.join(second, by)
+    each = {f"logit_{k}": x for k, x in zip(KNOWN, logits)}
+    whole = {"energy": scalars.energy(logits), "softmax_entropy": scalars.softmax_entropy(p), "top1_top2_margin": scalars.margin(p)}
+    found = quantile_stats(reads, each | whole, by)
+    return found.drop(*[f"{n}_{NAMES[q]}" for n in whole for q in FIVE if q not in THREE])
 
 
 def sequence_features(reads: DataFrame, sequence: str, by: list[str], padded_length: int = 400) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lamina.functions import labels as L
 from lamina.functions.scalars import f1, rate_or_zero
 from lamina.operators.ordered import running
+from lamina.operators.quantiles import grouped
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, labels: tuple[str, ...], by: list[str] | None = None) -> DataFrame:
@@ -192,9 +193,9 @@ def best(df: DataFrame, name: str, value: str, by: list[str] | None = None) -> D
 
 def distribution(df: DataFrame, value: str, threshold: float, by: list[str]) -> DataFrame:
     """Count, moments, exact interpolated quantiles and shares on either side of a threshold."""
-    v = F.col(value)
-    q = F.percentile(v, [0.05, 0.25, 0.5, 0.75, 0.95])
-    found = df.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("__q"), share(v < threshold).alias("below_tau1_rate"), share(v >= threshold).alias("at_or_above_tau1_rate"))
+    v = F.col("__q")
+    others = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), share(v < threshold).alias("below_tau1_rate"), share(v >= threshold).alias("at_or_above_tau1_rate")]
+    found = grouped(df.select(*by, F.col(value).alias("__q")), by, ["__q"], [0.05, 0.25, 0.5, 0.75, 0.95], others)
     names = ("q05", "q25", "median", "q75", "q95")
     return found.select("*", *[F.element_at("__q", i + 1).alias(n) for i, n in enumerate(names)]).drop("__q")
 

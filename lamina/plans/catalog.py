@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from lamina.functions import labels as L
 from lamina.functions import scalars, sequences
-from lamina.operators import audit, checks, conformal, decisions, detectors, distances, features, metrics, models, resample, selection, thresholds, votes
+from lamina.operators import audit, conformal, decisions, detectors, distances, features, metrics, models, resample, selection, thresholds, votes
 from lamina.plans import reads as R
-from lamina.sources import delimited, simulate
+from lamina.sources import delimited
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,46 @@ def prefix_vote_sweep(spark, sf_dir):
     return votes.prefix(reads, {"ecc_score": F.col("presence")}, SETTINGS, molecule_index="molecule_id").select("archive_id", big("m", "m"), big("q", "q"), r6("ecc_score", "ecc_score"))
 
 
+GRID = (20, 50)
+
+
+@query("prefix_vote_grid", f"""WITH {R.SCORED}, numbered AS (SELECT archive_id, molecule_id, energy, row_number() OVER (PARTITION BY archive_id, molecule_id ORDER BY {", ".join(R.ORDER)}) - 1 AS read_index FROM scored),
+settings AS (SELECT m, q FROM (SELECT unnest(range(1, {GRID[0] + 1})) AS m), (SELECT unnest(range(1, {GRID[1] + 1})) AS q))
+SELECT archive_id, CAST(m AS BIGINT) AS m, CAST(q AS BIGINT) AS q, round(avg(v), 6) AS energy_score, CAST(count(*) AS BIGINT) AS molecules, CAST(sum(n) AS BIGINT) AS reads
+FROM (SELECT archive_id, m, q, molecule_id, avg(energy) AS v, count(*) AS n FROM numbered JOIN settings ON molecule_id < m AND read_index < q GROUP BY ALL) GROUP BY archive_id, m, q""")
+def prefix_vote_grid(spark, sf_dir):
+    """Votes of all 1,000 settings at once."""
+    w = Window.partitionBy("archive_id", "molecule_id").orderBy(*R.ORDER)
+    reads = R.read_scores(spark, sf_dir).withColumn("read_index", F.row_number().over(w) - 1).where(F.col("read_index") < GRID[1])
+    v = votes.prefix(reads, {"energy_score": scalars.energy(R.logits())}, votes.grid(*GRID), molecule_index="molecule_id")
+    return v.select("archive_id", "m", "q", r6("energy_score", "energy_score"), "molecules", "reads")
+
+
+_RECORDS = [("default", 20, 50), *[("q_sweep", 20, q) for q in (1, 5, 10, 20, 50)], *[("M_sweep", m, 50) for m in (1, 5, 10, 20)]]
+_PASSED, _FAR = f"ecc_score >= {R.PRESENCE}", f"energy > {R.ENERGY}"
+
+
+@query("prefix_records", f"""WITH {R.SCORED}, numbered AS (SELECT *, row_number() OVER (PARTITION BY archive_id, molecule_id ORDER BY {", ".join(R.ORDER)}) - 1 AS read_index FROM scored),
+settings AS (SELECT * FROM (VALUES {", ".join(map(str, _RECORDS))}) t(setting, m, q)),
+inner_ AS (SELECT archive_id, category, setting, settings.m AS m, settings.q AS q, molecule_id, avg(presence) AS ecc_score, avg(energy) AS energy, {", ".join(f"avg(p{i}) AS p{i}, avg(x{i}) AS x{i}" for i in range(4))} FROM numbered JOIN settings ON molecule_id < settings.m AND read_index < settings.q GROUP BY ALL),
+v AS (SELECT archive_id, category, setting, m, q, avg(ecc_score) AS ecc_score, avg(energy) AS energy, {", ".join(f"avg(p{i}) AS p{i}, avg(x{i}) AS x{i}" for i in range(4))} FROM inner_ GROUP BY ALL),
+c AS (SELECT *, {R._argmax} AS closed, CASE WHEN category IN ('HEDGES', 'DNA-Aeon') THEN 'unknown_ecc' ELSE category END AS truth, CASE WHEN NOT {_PASSED} THEN 'no_ecc' WHEN {_FAR} THEN 'unknown_ecc' ELSE 'known_ecc' END AS status FROM v)
+SELECT archive_id, category, setting, CAST(m AS BIGINT) AS "M", CAST(q AS BIGINT) AS q, CAST(truth <> 'no_ecc' AS INT) AS true_presence, round(ecc_score + 1e-9, 6) AS ecc_score, CAST({_PASSED} AS INT) AS predicted_presence, round(energy, 6) AS stage2_energy, CAST({_FAR} AS INT) AS stage2_predicted_unknown,
+closed AS standalone_type, status, CASE WHEN status = 'known_ecc' THEN closed END AS code_type, CASE WHEN {_PASSED} THEN round(energy, 6) END AS unknown_score, round(greatest(p0, p1, p2, p3), 6) AS max_type_probability, round(greatest(x0, x1, x2, x3) + 1e-9, 6) AS max_logit, truth AS true_final_label,
+CASE WHEN status = 'known_ecc' THEN closed ELSE status END AS predicted_final_label, CAST({R.PRESENCE} AS DOUBLE) AS tau1, CAST({R.ENERGY} AS DOUBLE) AS tau2, {", ".join(f'round(p{i}, 6) AS "prob_{k}"' for i, k in enumerate(L.KNOWN))} FROM c""")
+def prefix_records(spark, sf_dir):
+    """The wide row of every archive and setting: default, sweep of reads, sweep of molecules."""
+    from lamina.plans import pipelines
+
+    w = Window.partitionBy("archive_id", "molecule_id").orderBy(*R.ORDER)
+    reads = R.read_scores(spark, sf_dir).withColumn("read_index", F.row_number().over(w) - 1).where(F.col("read_index") < GRID[1])
+    reads = reads.select("archive_id", "category", F.col("molecule_id").alias("molecule_index"), "read_index", "presence", F.array(*R.logits()).alias("logits"))
+    r = pipelines.records(reads, thresholds.Thresholds(R.PRESENCE, R.ENERGY))
+    scores = {"stage2_energy", "unknown_score", "max_type_probability", *[f"prob_{k}" for k in L.KNOWN]}
+    even = {"ecc_score", "max_logit"}  # means of a few short decimals, many half-way between two rounded numbers
+    return r.select(*[r6(c, c) if c in scores else r6(F.col(c) + 1e-9, c) if c in even else F.col(c) for c in r.columns])
+
+
 @query("softmax_argmax", f"""WITH {R.SCORED} SELECT {R._argmax} AS predicted, CAST(count(*) AS BIGINT) AS n, round(avg(greatest(p0, p1, p2, p3)), 6) AS mean_confidence FROM scored GROUP BY 1""")
 def softmax_argmax(spark, sf_dir):
     p = scalars.softmax(R.logits())
@@ -153,14 +193,14 @@ def _report_sql(rows: str) -> str:
 @query("classification_report", f"""WITH {R.SCORED}, rows AS (SELECT category AS truth, {R._argmax} AS predicted FROM scored WHERE category IN {_KNOWN}), {_report_sql("rows")}
 SELECT label, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1, CAST(tp + fn AS BIGINT) AS support FROM c""")
 def classification_report(spark, sf_dir):
-    d = R.read_scores(spark, sf_dir).select("category", scalars.argmax(scalars.softmax(R.logits()), L.KNOWN).alias("predicted"))
+    d = R.read_scores(spark, sf_dir).select("category", scalars.argmax(R.logits(), L.KNOWN).alias("predicted"))  # softmax keeps the order
     r = metrics.classification_report(d, "category", "predicted", L.KNOWN)
     return r.select("label", r6("precision", "precision"), r6("recall", "recall"), r6("f1", "f1"), big("support", "support"))
 
 
 @query("report_from_matrix", ORACLES["classification_report"])
 def report_from_matrix(spark, sf_dir):
-    d = R.read_scores(spark, sf_dir).where(F.col("category").isin(*L.KNOWN)).select("category", scalars.argmax(scalars.softmax(R.logits()), L.KNOWN).alias("predicted"))
+    d = R.read_scores(spark, sf_dir).where(F.col("category").isin(*L.KNOWN)).select("category", scalars.argmax(R.logits(), L.KNOWN).alias("predicted"))
     r = metrics.report_from_matrix(metrics.confusion(d, "category", "predicted", L.KNOWN))
     return r.select("label", r6("precision", "precision"), r6("recall", "recall"), r6("f1", "f1"), big("support", "support"))
 
@@ -689,7 +729,7 @@ def independent_bootstrap(spark, sf_dir):
 
 
 @query("macro_f1_bootstrap", f"""WITH {R.DECIDED}, r AS (SELECT archive_id % 5 AS seed, truth AS category, energy_only, closed, row_number() OVER (PARTITION BY archive_id % 5, truth ORDER BY archive_id) - 1 AS k, count(*) OVER (PARTITION BY archive_id % 5, truth) AS size FROM decided WHERE {_K}),
-c AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS k, count(*) OVER () AS size FROM (SELECT DISTINCT seed FROM r)), reps AS (SELECT unnest(range(200)) AS repetition),
+c AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS k, count(*) OVER () AS size FROM (SELECT DISTINCT seed FROM r)), reps AS (SELECT unnest(range({_REPETITIONS})) AS repetition),
 chosen AS (SELECT s.repetition, s.spot, c.seed FROM (SELECT repetition, k AS spot, {_DRAW.format(parts="'7', CAST(repetition AS VARCHAR), 'cluster', CAST(k AS VARCHAR)", size="size")} AS k FROM c CROSS JOIN reps) s JOIN c ON c.k = s.k),
 d AS (SELECT r.seed, r.category, repetition, {_DRAW.format(parts="'7', CAST(repetition AS VARCHAR), CAST(spot AS VARCHAR), category, CAST(k AS VARCHAR)", size="size")} AS k FROM r JOIN chosen ON r.seed = chosen.seed),
 j AS (SELECT repetition, category, energy_only AS o, closed AS b FROM d JOIN r USING (seed, category, k)), l AS (SELECT unnest(['{"', '".join(L.KNOWN)}']) AS label),
@@ -697,10 +737,10 @@ f AS (SELECT repetition, label, 2.0 * count(*) FILTER (WHERE category = label AN
   2.0 * count(*) FILTER (WHERE category = label AND b = label) / greatest(1, 2 * count(*) FILTER (WHERE category = label AND b = label) + count(*) FILTER (WHERE category <> label AND b = label) + count(*) FILTER (WHERE category = label AND b <> label)) AS base FROM j CROSS JOIN l GROUP BY repetition, label),
 s AS (SELECT repetition, avg(f1) - avg(base) AS v FROM f GROUP BY repetition) SELECT 'macro_f1_change' AS metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower95, round(quantile_cont(v, 0.975), 6) AS upper95 FROM s""")
 def macro_f1_bootstrap(spark, sf_dir):
-    """The change of macro-F1 from the closed set, over seeds and archives drawn with replacement; 200 repetitions."""
+    """The change of macro-F1 from the closed set, over seeds and archives drawn with replacement."""
     d = R.decided(spark, sf_dir).where(L.is_known(F.col("truth"))).select("archive_id", (F.col("archive_id") % 5).alias("seed"), "truth", "closed", "energy_only")
     sums = {k: v for n, c in (("out", "energy_only"), ("base", "closed")) for k, v in resample.f1_sums(n, F.col("truth"), F.col(c), L.KNOWN).items()}
-    drawn = resample.hierarchical_sums(d, "seed", ["truth"], ["archive_id"], sums, 200)
+    drawn = resample.hierarchical_sums(d, "seed", ["truth"], ["archive_id"], sums, _REPETITIONS)
     change = resample.macro_f1_of_sums("out", L.KNOWN) - resample.macro_f1_of_sums("base", L.KNOWN)
     return rounded(resample.intervals(drawn.select("repetition", change.alias("macro_f1_change")), ["macro_f1_change"]), "metric")
 
@@ -715,17 +755,6 @@ def proxy_scores(spark, sf_dir):
     return e.select("vec_id", F.round(models.proxy_score("embedding", models.fit_proxy(e, "embedding", "anomaly", 4)), 4).alias("proxy_score"))
 
 
-@query("simulated_references")
-def simulated_references(spark, sf_dir):
-    return simulate.references(spark, [*L.KNOWN, "NoECC-Random", "NoECC-Constrained", "ReedSolomon", "Turbo", "Hamming", "LT-XOR"], 2, 4)
-
-
-@query("channel_statistics")
-def channel_statistics(spark, sf_dir):
-    refs = simulate.references(spark, ["BCH", "NoECC-Random"], 2, 5)
-    return rounded(simulate.channel_statistics(simulate.reads(refs, 10, 0.05)), "reads", "length_min", "length_max")
-
-
 @query("distinct_types", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT text) AS BIGINT) AS distinct_texts FROM documents")
 def distinct_types(spark, sf_dir):
     return R.table(spark, sf_dir, "documents").agg(big(F.count("*"), "n"), big(F.count_distinct("text"), "distinct_texts"))
@@ -750,12 +779,6 @@ def event_windows(spark, sf_dir):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(big(F.count("*"), "n"), r6(F.avg("value"), "vote")).select(F.col("w.start").alias("start"), "event_type", "n", "vote")
 
 
-@query("archive_specs", f"""WITH c AS (SELECT unnest({list(L.TRUTH)}) AS truth), i AS (SELECT CAST(unnest(range(10)) AS INT) AS archive_index)
-SELECT 46 AS seed, truth, CASE WHEN truth <> 'no_ecc' THEN truth WHEN archive_index < 5 THEN 'NoECC-Random' ELSE 'NoECC-Constrained' END AS subtype, archive_index, 'seed46:' || truth || ':' || lpad(CAST(archive_index AS VARCHAR), 3, '0') AS archive_id FROM c CROSS JOIN i""")
-def archive_specs(spark, sf_dir):
-    return simulate.archive_specs(spark, list(L.TRUTH), 10, 46)
-
-
 _PAIRS = [a + b for a in sequences.BASES for b in sequences.BASES]
 
 
@@ -767,9 +790,4 @@ def composition(q):
     return rounded(audit.composition(q, "s", "lang"), "lang")
 
 
-@query("self_checks")
-def self_checks(spark, sf_dir):
-    return checks.run(spark)
-
-
-from lamina.plans import stores  # noqa: E402, F401  registers its queries
+from lamina.plans import seeds, stores, streams  # noqa: E402, F401  register their queries

@@ -56,6 +56,32 @@ def sweep(reads: DataFrame, t: thresholds.Thresholds, settings: list[tuple[int,
     return voted.select("archive_id", "m", "q", "ecc_score", "energy_score", closed.alias("closed_output"), out.alias("cascade_output"))
 
 
+def records(reads: DataFrame, t: thresholds.Thresholds, default: tuple[int, int] = (20, 50), read_sweep: tuple[int, ...] = (1, 5, 10, 20, 50), molecule_sweep: tuple[int, ...] = (1, 5, 10, 20), keys: tuple[str, ...] = ("archive_id", "category")) -> DataFrame:
+    """A wide row for each archive and setting (the default, a sweep of reads, a sweep of molecules): scores, both decisions, labels and thresholds.
+
+    Reads have archive_id, category, molecule_index, read_index, presence and logits; further ``keys`` (a seed, an error rate) are kept.
+    """
+    m, q = default
+    settings = [("default", m, q), *[("q_sweep", m, x) for x in read_sweep], *[("M_sweep", x, q) for x in molecule_sweep]]
+    x = scalars.elements("logits", WIDTH)
+    values = {"ecc_score": F.col("presence").cast("double"), "stage2_energy": scalars.energy(x, t.temperature), **{f"prob_{k}": c for k, c in zip(L.KNOWN, scalars.softmax(x))}, **{f"x{i}": c.cast("double") for i, c in enumerate(x)}}
+    voted = votes.prefix(reads, values, [(a, b) for _, a, b in settings], list(keys), "molecule_index")
+    same = [F.struct(F.lit(n).alias("setting"), F.lit(a).cast("long").alias("m"), F.lit(b).cast("long").alias("q")) for n, a, b in settings]
+    named = voted.withColumn("setting", F.explode(F.transform(F.filter(F.array(*same), lambda s: (s["m"] == F.col("m")) & (s["q"] == F.col("q"))), lambda s: s["setting"])))
+    p = [F.col(f"prob_{k}") for k in L.KNOWN]
+    closed, truth = scalars.argmax(p, L.KNOWN), L.collapsed(F.col("category"))
+    passed = F.col("ecc_score") >= t.presence
+    unknown = scalars.exceeds(F.col("stage2_energy"), t.unknown_energy)
+    status = F.when(~passed, "no_ecc").when(unknown, "unknown_ecc").otherwise("known_ecc")
+    code = F.when(status == "known_ecc", closed)
+    return named.select(
+        *keys, "setting", F.col("m").alias("M"), "q", (truth != "no_ecc").cast("int").alias("true_presence"), "ecc_score", passed.cast("int").alias("predicted_presence"), "stage2_energy",
+        unknown.cast("int").alias("stage2_predicted_unknown"), closed.alias("standalone_type"), status.alias("status"), code.alias("code_type"), F.when(passed, F.col("stage2_energy")).alias("unknown_score"),
+        F.greatest(*p).alias("max_type_probability"), F.greatest(*[F.col(f"x{i}") for i in range(WIDTH)]).alias("max_logit"), truth.alias("true_final_label"), F.coalesce(code, status).alias("predicted_final_label"),
+        F.lit(t.presence).alias("tau1"), F.lit(t.unknown_energy).alias("tau2"), *[f"prob_{k}" for k in L.KNOWN],
+    )
+
+
 def two_phase(reads: DataFrame, gate, model, presence: float, path: str) -> DataFrame:
     """Scores the gate first, writes its votes, and runs the type model only over reads of archives that pass: Python functions in a condition would run for all rows.
 

@@ -39,7 +39,10 @@ def category(archive: Column) -> Column:
 
 
 def read_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    return scored_lines(table(spark, sf_dir, "lineitem"))
+
+
+def scored_lines(lines: DataFrame) -> DataFrame:
     return lines.select(*[F.expr(e).alias(n) for n, e in EXPRESSIONS.items()], *ORDER).withColumn("category", category(F.col("archive_id")))
 
 
@@ -56,7 +59,11 @@ def vote_values() -> dict[str, Column]:
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per archive: scores, closed-set label and truth."""
-    voted = votes.two_level(read_scores(spark, sf_dir), vote_values())
+    return archives_of(read_scores(spark, sf_dir))
+
+
+def archives_of(reads: DataFrame) -> DataFrame:
+    voted = votes.two_level(reads, vote_values())
     return voted.withColumn("closed", scalars.argmax([F.col(f"p{i}") for i in range(4)], KNOWN)).withColumn("truth", category(F.col("archive_id")))
 
 

@@ -1,4 +1,4 @@
-"""Registered queries that go through files (written, read back and compared with the tables), and further ones over codes and selection.
+"""Registered queries that go through files (written, read back and compared with the tables), and further ones over selection.
 
 What a query writes stays in the session's checkpoint folder for as long as its result may be read.
 """
@@ -8,14 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.functions import codes
-from lamina.functions import labels as L
-from lamina.functions import sequences
-from lamina.operators import audit, checks, features, selection
+from lamina.operators import audit, features, selection
 from lamina.plans import catalog as C
 from lamina.plans import reads as R
 from lamina.plans.catalog import big, query, r6
-from lamina.sources import delimited, fasta, files, logits, simulate
+from lamina.sources import delimited, fasta, files, logits
 
 # files
 
@@ -152,51 +149,3 @@ def majority_choice(spark, sf_dir):
 SELECT held_out, candidate FROM one QUALIFY row_number() OVER (PARTITION BY held_out ORDER BY (1 - kk >= 0.93) DESC, mc DESC, md, mu DESC, ku, candidate DESC) = 1""")
 def safety_select(spark, sf_dir):
     return _chosen(spark, sf_dir, "safety").select("held_out", "candidate")
-
-
-# codes and channel
-
-
-@query("polar_rates", """WITH RECURSIVE z AS (SELECT 0 AS depth, 0 AS channel, CAST(0.5 AS DOUBLE) AS rate UNION ALL
-SELECT depth + 1, 2 * channel + b, CASE WHEN b = 1 THEN rate * rate ELSE 2 * rate - rate * rate END FROM z CROSS JOIN (SELECT unnest([0, 1]) AS b) WHERE depth < 8) SELECT CAST(channel AS BIGINT) AS channel, round(rate, 6) AS rate FROM z WHERE depth = 8""")
-def polar_rates(spark, sf_dir):
-    """Erasure rates of 256 polarised channels."""
-    return spark.createDataFrame(list(enumerate(map(float, codes.erasure_reliabilities(256)))), "channel long, rate double").select("channel", r6("rate", "rate"))
-
-
-@query("soliton_degrees", """WITH p AS (SELECT 200 AS k, 0.1 * ln(200 / 0.05) * sqrt(200) AS r), d AS (SELECT CAST(unnest(range(1, 201)) AS BIGINT) AS degree), w AS (SELECT degree, CASE WHEN degree = 1 THEN 1.0 / k ELSE 1.0 / (degree * (degree - 1)) END + CASE WHEN degree < floor(k / r) THEN r / (degree * k) WHEN degree = floor(k / r) THEN r * ln(r / 0.05) / k ELSE 0 END AS w FROM d, p)
-SELECT degree, round(w / sum(w) OVER (), 6) AS chance FROM w""")
-def soliton_degrees(spark, sf_dir):
-    return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(codes.robust_soliton(200))], "degree long, chance double").select("degree", r6("chance", "chance"))
-
-
-_CODED = (*L.KNOWN, "NoECC-Random", "NoECC-Constrained", "ReedSolomon", "Turbo", "Hamming", "LT-XOR")
-
-
-@query("error_free_reads", f"SELECT unnest({list(_CODED)}) AS category, CAST(24 AS BIGINT) AS reads, CAST(24 AS BIGINT) AS inside, CAST(0 AS BIGINT) AS events, true AS lengths_fit")
-def error_free_reads(spark, sf_dir):
-    """References of every code and reads of a channel without errors, each of which is found in its own reference."""
-    refs = simulate.references(spark, list(_CODED), 2, 4)
-    found = simulate.reads(refs, 3, 0.0).join(refs.withColumnRenamed("sequence", "whole"), ["split", "category", "archive_id", "molecule_id"])
-    return found.groupBy("category").agg(big(F.count("*"), "reads"), big(F.count_if(F.col("whole").contains(F.col("sequence"))), "inside"), big(F.sum(F.col("insertions") + F.col("deletions") + F.col("substitutions")), "events"), F.bool_and((F.length("sequence") == F.col("template_length")) & F.col("template_length").between(130, 384)).alias("lengths_fit"))
-
-
-@query("hamming_words", "SELECT CAST(unnest(range(8)) AS BIGINT) AS molecule_id, CAST(96 AS BIGINT) AS words, CAST(96 AS BIGINT) AS without_syndrome")
-def hamming_words(spark, sf_dir):
-    """Every eight bits of a Hamming reference are a codeword: its parities, made anew from the first four bits, are the other four."""
-    refs = simulate.references(spark, ["Hamming"], 1, 8)
-    bits = F.flatten(F.transform(F.split("sequence", ""), lambda c: F.array(F.floor((F.instr(F.lit("ACGT"), c) - 1) / 2), (F.instr(F.lit("ACGT"), c) - 1) % 2)))
-    each = refs.select("molecule_id", bits.alias("b")).select("molecule_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(95)), lambda w: F.slice("b", w * 8 + 1, 8))).alias("w"))
-    w = [F.col("w")[i].cast("int") for i in range(8)]
-    fits = F.lit(True)
-    for p, q in zip(sequences.hamming_parities(w[:4]), w[4:]):
-        fits = fits & (p == q)
-    return each.groupBy(big("molecule_id", "molecule_id")).agg(big(F.count("*"), "words"), big(F.count_if(fits), "without_syndrome"))
-
-
-_CHECKS = [*[f"cyclic_{n}_{k}" for n, k, _ in codes.BCH], *[f"{x}_{n}_{k}" for n, k in codes.SIZES for x in ("sparse", "polar")], *[f"convolutional_{r}" for r in ("1_2", "1_3", "1_4", "3_4")], "soliton", "droplets", "constrained", "channel_insertions", "channel_deletions", "channel_substitutions", "reference_repeats", "splits_differ"]
-
-
-@query("passed_checks", f"SELECT unnest({_CHECKS}) AS name, true AS passed")
-def passed_checks(spark, sf_dir):
-    return checks.run(spark).select("name", "passed")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.operators import audit
+from lamina.storage import scratch  # noqa: F401
 
 
 def hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -31,14 +29,3 @@ def weights(inventory: DataFrame, pattern: str = r"(\w+?)_(\w+?)_f1_([0-9.]+)\.\
         return named
     known = expected.select("path", F.col("sha256").alias("__known"))
     return named.join(known, "path", "left").withColumn("hash_matches", F.col("sha256").eqNullSafe(F.col("__known"))).drop("__known")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared checkpoint folder. Only a local session may do without one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="lamina-files-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -152,7 +153,48 @@ def test_bootstrap_keeps_strata_and_repeats(spark):
     a = sorted(map(tuple, resample.stratified(df, ["c"], ["id"], metric, 20).collect()))
     assert a == sorted(map(tuple, resample.stratified(df.repartition(3), ["c"], ["id"], metric, 20).collect()))
     assert len(a) == 20
-    sizes = resample.weights(df, ["c"], ["id"], 20).groupBy("c", "repetition").agg(F.sum("weight").alias("n")).select("n").distinct().collect()
-    assert [r.n for r in sizes] == [2]
+    each = {f"n{k}": (F.col("c") == k).cast("double") for k in range(8)}
+    sizes = resample.stratified_sums(df, ["c"], ["id"], each, 20).collect()
+    assert {r[f"n{k}"] for r in sizes for k in range(8)} == {2.0}
     h = resample.hierarchical(df.withColumn("seed", F.col("id") % 4), "seed", ["c"], ["id"], metric, 10)
     assert h.count() == 10 and resample.intervals(h, ["m"]).first().lower95 <= resample.intervals(h, ["m"]).first().upper95
+
+
+def plain_draws(rows, size, prefix):
+    digests = [hashlib.md5(f"{prefix}:{k}".encode()).hexdigest()[:8] for k in range(size)]
+    return [rows[int(int(d, 16) / 2**32 * size)] for d in digests]
+
+
+def test_packed_draws_equal_the_plain_ones(spark):
+    rows = [(i, ["x", "y", None][i % 3], i % 5, None if i == 7 else float(i * i % 11)) for i in range(61)]
+    df = spark.createDataFrame(rows, "id int, c string, g int, v double").repartition(4)
+    got = {r.repetition: r.s for r in resample.stratified_sums(df, ["c"], ["id"], {"s": F.col("v")}, 9, seed=3).collect()}
+    for r in range(9):
+        want = 0.0
+        for c in ("x", "y", None):
+            own = [x[3] or 0.0 for x in rows if x[1] == c]
+            want += sum(plain_draws(own, len(own), ":".join(["3", str(r), *([c] if c else [])])))
+        assert got[r] == want
+    got = {r.repetition: r.s for r in resample.hierarchical_sums(df, "g", ["c"], ["id"], {"s": F.col("v")}, 70, seed=3).collect()}
+    for r in range(70):
+        want = 0.0
+        for spot, g in enumerate(plain_draws(list(range(5)), 5, f"3:{r}:cluster")):
+            for c in ("x", "y", None):
+                own = [x[3] or 0.0 for x in rows if x[1] == c and x[2] == g]
+                want += sum(plain_draws(own, len(own), ":".join(["3", str(r), str(spot), *([c] if c else [])])))
+        assert got[r] == want
+
+
+def test_large_strata_are_drawn_by_chunks(spark):
+    """Every repetition draws as many rows as there are, sums have the mean and spread of draws with replacement, and dealing doesn't matter."""
+    df = spark.range(3000).selectExpr("id", "id % 2 AS c", "double(id % 10) AS v")
+    sums = {"v": F.col("v"), "n0": (F.col("c") == 0).cast("double"), "n1": (F.col("c") == 1).cast("double")}
+    run = lambda d: sorted(map(tuple, resample.stratified_sums(d, ["c"], ["id"], sums, 300, pack=100).collect()))
+    got = run(df)
+    assert got == run(df.repartition(7)) and len(got) == 300
+    assert {(x[2], x[3]) for x in got} == {(1500.0, 1500.0)}
+    v = np.array([x[1] for x in got])
+    assert abs(v.mean() - 13500) < 4 * 155 / 300**0.5 and 0.85 < v.std() / (3000 * 8.0) ** 0.5 < 1.15  # variance 8 within each stratum
+    sizes = np.array([70, 1, 200, 30, 99])
+    draws = [resample.draws_in_chunk("a:b", sizes, k)[0] for k in range(5)]
+    assert sum(draws) == 400 and resample.independent(df, ["id"], {"m": (F.col("v"), F.lit(1.0))}, 100, pack=100).first().estimate == 4.5
