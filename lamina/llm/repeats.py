@@ -5,13 +5,14 @@ Windows of WINDOW words are edges of the graph (from their first twelve words to
 
 1. Each different text posts the least GRAM-word hashes of its windows (one for about five words). Texts that
    share a window share the least hash in it, so only windows whose least hash stands in two texts can be repeated.
+   A hash that OFTEN texts of a task's block have is posted once for the block, as one that stands in all chunks.
 2. Those windows, combined within a chunk of texts, are grouped to edges: source coordinates, number of
    occurrences, the edge that follows if it is always the same, and the chunks that have it.
 3. Repeated edges compact to paths: an edge and the next one of their source belong to one path where the first is
    always followed by the second and both occur equally often, so that nothing branches off. Each path is a row.
 4. Paths are joined, by their first edge, with the chunks that have it. There they are found in the texts, words are
    removed where the source's id is smaller, and a digest of the words of every occurrence, the source's among them, is
-   posted under the source coordinates. Digests that differ would show that hashes have collided; the job then runs
+   posted under the path. Digests that differ would show that hashes have collided; the job then runs
    again under other hashes. So no passage is removed that isn't word by word in an earlier document.
 
 Equal texts are one text with the smallest of their ids; the others lose all their words if they have a window at all. A
@@ -40,7 +41,10 @@ from lamina.llm import common
 WINDOW = 13  # words
 GRAM = 5  # words of the hashes that stand for windows
 SEEDS = 5  # runs at most
+BLOCK, OFTEN = 1 << 17, 64  # hashes posted at once, and how often one of them is there to be posted for all chunks
+CHUNK_BITS = 20
 _NO_ID = (1 << 63) - 1
+_ALL = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NOTHING = hashlib.sha256().hexdigest()
 
@@ -49,19 +53,24 @@ def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(seed)), "u8", len(words))
 
 
-def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words."""
-    n = len(hashes) - k + 1
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def gram_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of GRAM (5) and of WINDOW (13 = 8 + 5) words, by doubling."""
+    n = len(hashes) - WINDOW + 1
     if n <= 0:
-        return np.empty(0, "u8")
-    out = hashes[:n].copy()
-    for i in range(1, k):
-        out *= _BASE
-        out += hashes[i : i + n]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
+        return np.empty(0, "u8"), np.empty(0, "u8")
+    with np.errstate(over="ignore"):
+        two = hashes[:-1] * _BASE + hashes[1:]
+        second = _BASE * _BASE
+        four = two[:-2] * second + two[2:]
+        five = four[:-1] * _BASE + hashes[4:]
+        fourth = second * second
+        eight = four[:-4] * fourth + four[4:]
+        return _mixed(five), _mixed(eight[:n] * (fourth * _BASE) + five[8:])
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -78,7 +87,7 @@ def _packed(texts: DataFrame, chunks: int) -> DataFrame:
     """chunk, digest, doc_id (the smallest that the task saw), times (how many rows had it) and the text, once for each task that saw it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, seen = pa.Codec("zstd", 1), {}
+        codec, seen = pa.Codec("zstd", 3), {}
 
         def rows():
             for batch in batches:
@@ -87,16 +96,13 @@ def _packed(texts: DataFrame, chunks: int) -> DataFrame:
                     digest = hashlib.md5(raw).digest()
                     if digest not in seen:
                         seen[digest] = [doc_id, 1]
-                        yield chunk(digest), digest, None, 0, len(raw), codec.compress(raw, asbytes=True)
+                        yield _number(digest) % chunks, digest, None, 0, len(raw), codec.compress(raw, asbytes=True)
                     elif doc_id < seen[digest][0]:
                         seen[digest] = [doc_id, 1]
                     elif doc_id == seen[digest][0]:
                         seen[digest][1] += 1
             for digest, (doc_id, times) in seen.items():
-                yield chunk(digest), digest, doc_id, times, None, None
-
-        def chunk(digest: bytes) -> int:
-            return int.from_bytes(digest[8:], "little") % chunks
+                yield _number(digest) % chunks, digest, doc_id, times, None, None
 
         yield from common.sliced(["chunk", "digest", "doc_id", "times", "size", "packed"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], rows())
 
@@ -173,10 +179,15 @@ def _posted(texts: DataFrame, chunks: int, seed: int) -> DataFrame:
         seen: set[bytes] = set()
         hashes, owners, size = [], [], 0
 
-        def batch_of():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view("i8")), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], ["least", "text", "chunk"])
+        def posts():
+            found, first, n = np.unique(every := np.concatenate(hashes), return_index=True, return_counts=True)
+            often = found[n >= OFTEN]
+            texts = np.concatenate(owners)
+            if len(often):
+                few = often[np.minimum(np.searchsorted(often, every), len(often) - 1)] != every
+                every, texts = np.append(every[few], often), np.append(texts[few], np.full(len(often), _ALL))
+            return pa.RecordBatch.from_arrays([pa.array(every.view("i8")), pa.array(texts)], ["least", "text"])
 
-        places = []
         for batch in batches:
             for text in batch.column(0):
                 raw = text.as_py()
@@ -187,27 +198,31 @@ def _posted(texts: DataFrame, chunks: int, seed: int) -> DataFrame:
                 words = raw.split()
                 if len(words) < WINDOW:
                     continue
-                found = np.unique(least(gram_hashes(word_hashes(words, seed), GRAM), WINDOW - GRAM + 1))
+                found = np.unique(least(gram_hashes(word_hashes(words, seed))[0], WINDOW - GRAM + 1))
                 hashes.append(found)
-                owners.append(np.full(len(found), _number(digest), "i8"))
-                places.append(np.full(len(found), int.from_bytes(digest[8:], "little") % chunks, "i4"))
+                owners.append(np.full(len(found), _number(digest)))
                 size += len(found)
-                if size >= 1 << 17:
-                    yield batch_of()
-                    hashes, owners, places, size = [], [], [], 0
+                if size >= BLOCK:
+                    yield posts()
+                    hashes, owners, size = [], [], 0
         if size:
-            yield batch_of()
+            yield posts()
         common.give_back()
 
-    posts = texts.select("text").mapInArrow(run, "least long, text long, chunk int")
-    both = posts.groupBy("least").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.collect_set("chunk").alias("chunks")).where("a <> b")
-    return both.select(F.explode("chunks").alias("chunk"), "least")
+    posts = texts.select("text").mapInArrow(run, "least long, text long").repartition("least")  # narrow rows to the shuffle, most hashes are there once
+    both = posts.groupBy("least").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.collect_set(F.pmod("text", F.lit(chunks)).cast("int")).alias("chunks"))
+    every = F.sequence(F.lit(0), F.lit(chunks - 1))
+    several = both.where((F.col("a") != F.col("b")) | (F.col("a") == _ALL))
+    return several.select(F.explode(F.when(F.col("a") == _ALL, every).otherwise(F.col("chunks"))).alias("chunk"), "least")
 
 
 def _edges(texts: DataFrame, chunks: int, seed: int) -> DataFrame:
-    """Edges of two documents or more: edge, doc, text, at (source coordinates), n (occurrences), following (0: none, or several), chunks."""
+    """Edges of two documents or more: edge, doc, at (source coordinates), n (occurrences), following (31 bits of the next edge; 0: none, or several), chunks."""
+    if chunks > 1 << CHUNK_BITS:
+        raise ValueError(f"more than {1 << CHUNK_BITS} shuffle partitions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of four longs: the edge, its first document in the chunk, place there and what follows, and occurrences with the chunk's number."""
         wanted, parts = None, []
         for what, chunk, value in _Chunks(batches, 1):
             if what == "verdicts":
@@ -217,92 +232,98 @@ def _edges(texts: DataFrame, chunks: int, seed: int) -> DataFrame:
                 words = raw.split()
                 if len(words) < WINDOW:
                     continue
-                hashes = word_hashes(words, seed)
-                low = least(gram_hashes(hashes, GRAM), WINDOW - GRAM + 1)
+                grams, windows = gram_hashes(word_hashes(words, seed))
+                low = least(grams, WINDOW - GRAM + 1)
                 places = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low)
                 if len(places):
-                    windows = gram_hashes(hashes, WINDOW)
-                    following = (np.append(windows[1:], np.uint64(0)) & np.uint64(0x7FFFFFFF)).astype("i4")
-                    parts.append((windows[places].view("i8"), following[places], np.full(len(places), doc_id), np.full(len(places), _number(digest)), places.astype("i4")))
+                    following = np.append(windows[1:], np.uint64(0)) & np.uint64(0x7FFFFFFF)
+                    parts.append((windows[places].view("i8"), following[places].view("i8"), np.full(len(places), doc_id), places))
             elif what == "end" and parts:
-                edge, following, doc, text, at = (np.concatenate(x) for x in zip(*parts))
-                order = np.lexsort((at, text, doc, edge))
-                edge, following, doc, text, at = (x[order] for x in (edge, following, doc, text, at))
+                edge, following, doc, at = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((at, doc, edge))
+                edge, following, doc, at = (x[order] for x in (edge, following, doc, at))
                 first = np.flatnonzero(np.append(True, edge[1:] != edge[:-1]))
                 n = np.diff(np.append(first, len(edge)))
                 same = np.minimum.reduceat(following, first) == np.maximum.reduceat(following, first)
-                columns = [edge[first], np.where(same, following[first], 0).astype("i4"), doc[first], text[first], at[first], doc[first + n - 1], n.astype("i4")]
-                order = np.lexsort((columns[4], columns[3], columns[2]))  # by coordinates, as neighbours' columns are alike
-                columns = [x[order] for x in columns]
-                names = ["edge", "following", "doc", "text", "at", "last", "n", "chunk"]
+                several = doc[first] != doc[first + n - 1]
+                columns = [edge[first], doc[first], at[first] << 31 | np.where(same, following[first], 0), (n * 2 + several) << CHUNK_BITS | chunk]
+                order = np.lexsort((columns[2], columns[1]))  # by coordinates, as neighbours' columns are alike
                 for i in range(0, len(first), 1 << 16):
-                    some = [pa.array(x[i : i + (1 << 16)]) for x in columns]
-                    yield pa.RecordBatch.from_arrays([*some, pa.array(np.full(len(some[0]), chunk, "i4"))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[order[i : i + (1 << 16)]]) for x in columns], ["edge", "doc", "place", "times"])
                 parts = []
         common.give_back()
 
-    rows = _with_verdicts(texts, _posted(texts, chunks, seed), ["least"], chunks).mapInArrow(run, "edge long, following int, doc long, text long, at int, last long, n int, chunk int")
-    grouped = rows.groupBy("edge").agg(F.min(F.struct("doc", "text", "at")).alias("source"), F.max("last").alias("last"), F.sum("n").alias("n"), F.min("following").alias("a"), F.max("following").alias("b"), F.collect_set("chunk").alias("chunks"))
-    several = grouped.where("source.doc < last")
-    return several.select("edge", "source.*", "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(0).alias("following"), "chunks")
+    rows = _with_verdicts(texts, _posted(texts, chunks, seed), ["least"], chunks).mapInArrow(run, "edge long, doc long, place long, times long").repartition("edge")
+    following, times = F.expr("place & 2147483647L"), F.shiftright("times", CHUNK_BITS)
+    grouped = rows.groupBy("edge").agg(
+        F.min(F.struct("doc", "place")).alias("source"),
+        (F.max("doc") > F.min("doc")).alias("apart"),
+        F.max(times % 2).alias("several"),
+        F.sum(F.shiftright(times, 1)).alias("n"),
+        F.min(following).alias("a"),
+        F.max(following).alias("b"),
+        F.collect_set((F.col("times") % (1 << CHUNK_BITS)).cast("int")).alias("chunks"),
+    )
+    found = grouped.where("apart or several = 1")
+    return found.select("edge", "source.doc", F.shiftright("source.place", 31).alias("at"), "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(0).alias("following"), "chunks")
 
 
 def _paths(edges: DataFrame) -> DataFrame:
-    """Non-branching paths: first (edge), doc, text, at (source coordinates), n (edges), chunks."""
-    order = Window.partitionBy("doc", "text").orderBy("at")  # no more than a document's windows
-    low = F.expr("cast(edge & 2147483647L as int)")  # an int's worth of the edge, as ``following`` has it
+    """Non-branching paths: first (edge), doc, at (source coordinates), n (edges), chunks."""
+    order = Window.partitionBy("doc").orderBy("at", "edge")  # no more than a document's windows
+    low = F.expr("edge & 2147483647L")
     before = F.lag(F.struct("at", "n", "following")).over(order)
     linked = edges.select("*", low.alias("low"), before.alias("before"))
     goes_on = (F.col("before.at") == F.col("at") - 1) & (F.col("before.n") == F.col("n")) & (F.col("before.following") == F.col("low")) & (F.col("low") != 0)
     starts = F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)
     numbered = linked.withColumn("path", F.sum(starts).over(order))
     head = F.min(F.struct("at", F.col("edge").alias("first"), "chunks")).alias("head")
-    return numbered.groupBy("doc", "text", "path").agg(head, F.count("*").alias("n")).select("head.first", "doc", "text", "head.at", "n", "head.chunks")
+    return numbered.groupBy("doc", "path").agg(head, F.count("*").alias("n")).select("head.first", "doc", "head.at", "n", "head.chunks")
 
 
 def _cut(texts: DataFrame, chunks: int, seed: int) -> DataFrame:
-    """Rows of documents (doc_id, n_words, n_removed, kept_sha256), one for each different text and its smallest id, and rows of occurrences (doc, text, at, digest), whose doc_id is null where n_words is."""
+    """Rows of documents (doc_id, n_words, n_removed, kept_sha256), one for each different text and its smallest id, and rows of occurrences (first, span: digest of the words of a path), where n_words is null."""
     paths = common.written(_paths(_edges(texts, chunks, seed)), "repeats-paths")
-    verdicts = paths.select(F.explode("chunks").alias("chunk"), "first", "doc", "text", F.col("at").cast("long").alias("at"), "n")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, doc long, text long, at long, span binary"
+    verdicts = paths.select(F.explode("chunks").alias("chunk"), "first", "doc", "n")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, first long, span binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             first, spans = None, set()
-            for what, _, value in _Chunks(batches, 5):
+            for what, _, value in _Chunks(batches, 3):
                 if what == "verdicts":
                     order = np.argsort(value[0].view("u8"), kind="stable")
-                    first, doc, text_, at, n = value[0].view("u8")[order], *(x[order] for x in value[1:])
+                    first, doc, n = value[0].view("u8")[order], value[1][order], value[2][order]
                 elif what == "end":
-                    for source, span in spans:
-                        yield None, None, None, None, *source, span
+                    for edge, span in spans:
+                        yield None, None, None, None, edge, span
                     spans = set()
                 else:
                     raw, _, doc_id, times = value
                     words = raw.split()
                     removed = np.zeros(len(words) + 1, "i4")
                     if len(words) >= WINDOW and len(first):
-                        windows = gram_hashes(word_hashes(words, seed), WINDOW)
+                        windows = gram_hashes(word_hashes(words, seed))[1]
                         found = np.searchsorted(first, windows)
                         found[found == len(first)] = 0
                         for p in np.flatnonzero(first[found] == windows):
                             i = found[p]
                             end = p + int(n[i]) + WINDOW - 1
-                            spans.add(((int(doc[i]), int(text_[i]), int(at[i])), xxhash.xxh3_128_digest(b" ".join(words[p:end]))))
+                            spans.add((int(first[i : i + 1].view("i8")[0]), xxhash.xxh3_128_digest(b" ".join(words[p:end]))))
                             if doc[i] < doc_id:
                                 removed[p] += 1
                                 removed[min(end, len(words))] -= 1
                     stays = np.cumsum(removed[:-1]) == 0
-                    kept = b" ".join([words[i] for i in np.flatnonzero(stays)]) if not stays.all() else b" ".join(words)
-                    row = None if doc_id == _NO_ID else doc_id, len(words), len(words) - int(stays.sum()), hashlib.sha256(kept).hexdigest(), None, None, None, None
+                    kept = b" ".join(words) if stays.all() else b" ".join([words[i] for i in np.flatnonzero(stays)])
+                    row = None if doc_id == _NO_ID else doc_id, len(words), len(words) - int(stays.sum()), hashlib.sha256(kept).hexdigest(), None, None
                     for _ in range(times):
                         yield row
 
         yield from common.sliced(names, types, rows())
 
-    return common.written(_with_verdicts(texts, verdicts, ["first", "doc", "text", "at", "n"], chunks).mapInArrow(run, schema), "repeats")
+    return common.written(_with_verdicts(texts, verdicts, ["first", "doc", "n"], chunks).mapInArrow(run, schema), "repeats")
 
 
 def _copies(texts: DataFrame) -> DataFrame:
@@ -330,7 +351,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     texts, chunks = _texts(docs), common.shuffle_partitions(docs.sparkSession)
     for seed in range(SEEDS):
         rows = _cut(texts, chunks, seed)
-        spans = rows.where("span is not null").groupBy("doc", "text", "at").agg(F.min("span").alias("a"), F.max("span").alias("b"))
+        spans = rows.where("span is not null").groupBy("first").agg(F.min("span").alias("a"), F.max("span").alias("b"))
         if spans.where("a <> b").isEmpty():
             own = rows.where("n_words is not null").select("doc_id", "n_words", "n_removed", "kept_sha256")
             return own.unionByName(_copies(texts))

@@ -88,11 +88,24 @@ def test_one_long_text_and_no_rows(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_hashes_that_many_texts_have_go_to_all_chunks(spark):
+    """One line in all of 300 texts, which differ else: posted once for each block."""
+    r = random.Random(11)
+    line = words(r, 25)
+    rows = [(i, " ".join(words(r, 20, 10**6) + line + words(r, 5, 10**6))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    chunks = [x.chunk for x in repeats._posted(repeats._texts(df), 7, 0).collect()]
+    assert set(chunks) == set(range(7)) and len(chunks) < 300
+    assert got(repeats.without_repeats(df)) == plain(rows)
+
+
 def test_least_values_and_grams():
     x = np.random.default_rng(1).integers(0, 2**63, 100).astype("u8")
     assert repeats.least(x, 9).tolist() == [min(x[i : i + 9]) for i in range(92)]
-    assert len(repeats.gram_hashes(x, 13)) == 88 and not len(repeats.gram_hashes(x[:12], 13))
-    assert repeats.gram_hashes(x, 13)[7] == repeats.gram_hashes(x[7:20], 13)[0]
+    five, windows = repeats.gram_hashes(x)
+    assert len(windows) == 88 and len(five) == 96 and not len(repeats.gram_hashes(x[:12])[1])
+    assert windows[7] == repeats.gram_hashes(x[7:20])[1][0] and five[80] == repeats.gram_hashes(x[80:95])[0][0]
+    assert len(set(windows.tolist() + repeats.gram_hashes(np.append(x[1:], x[:1]))[1].tolist())) == 89
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
