@@ -26,58 +26,72 @@ class ClassModel:
     conditions: np.ndarray  # [C]
 
 
-def fit(df: DataFrame, features: list[str], label: str, labels: tuple[str, ...]) -> ClassModel:
-    """Moments are summed where the rows are; means, variances and covariances of a few classes reach the driver."""
-    d = len(features)
-    whole = df.agg(*[F.avg(f) for f in features], *[F.stddev_samp(f) for f in features]).first()
-    location = np.array(whole[:d], float)
-    scale = np.maximum(np.array([x or 0.0 for x in whole[d:]], float), SCALE_FLOOR)
-    z = [((F.col(f) - float(location[i])) / float(scale[i])).alias(f"__z{i}") for i, f in enumerate(features)]
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    rows = df.where(F.col(label).isin(*labels)).select(label, *z)
-    found = {r[label]: r for r in rows.groupBy(label).agg(F.count("*").alias("n"), *[F.avg(f"__z{i}").alias(f"m{i}") for i in range(d)], *[F.covar_samp(f"__z{i}", f"__z{j}").alias(f"c{i}_{j}") for i, j in pairs]).collect()}
-    moments = {}
-    for name in labels:
-        r = found[name]
-        covariance = np.zeros((d, d))
-        for i, j in pairs:
-            covariance[i, j] = covariance[j, i] = r[f"c{i}_{j}"] or 0.0
-        moments[name] = r["n"], np.array([r[f"m{i}"] for i in range(d)]), covariance
-    return _model(labels, location, scale, moments)
+TILE = 256  # places to a side
 
 
-def fit_vectors(df: DataFrame, vector: str, label: str, labels: tuple[str, ...]) -> ClassModel:
-    """The same over whole vectors, however wide the table has them. Moments are summed by place, so no row is wider than a vector."""
-    wide = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "v"))
-    places = sorted(wide.groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).collect())
-    d = len(places)
-    location, scale = np.array([r["m"] for r in places], float), np.maximum(np.array([r["s"] or 0.0 for r in places], float), SCALE_FLOOR)
+def gram(rows: DataFrame, label: str, vector: str, location: np.ndarray, scale: np.ndarray, labels: tuple[str, ...], tile: int = TILE) -> dict[str, np.ndarray]:
+    """Per label the products of its standardised vectors with themselves, behind a place of ones: count, sums and all sums of products, [D + 1, D + 1].
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task adds up its rows' products and cuts them into tiles; tiles of one place are added up by whichever task their key goes to. What
+    reaches the driver are the sums, a row a tile and label, as the fitted model has them too.
+    """
+    d = len(location)
+    starts = range(0, d + 1, tile)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), object)
-            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, d)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             z = np.column_stack([np.ones(len(x)), (x - location) / scale])
             for name in set(names):
                 own = z[names == name]
-                sums[name] = sums.get(name, 0.0) + own.T @ own  # count, sums and products
-        for name, total_ in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * total_.size), pa.array(np.arange(total_.size)), pa.array(total_.ravel())], ["label", "pos", "v"])
-
-    rows = df.where(F.col(label).isin(*labels)).select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
-    found = rows.mapInArrow(run, "label string, pos long, v double").groupBy("label", "pos").agg(F.sum("v").alias("v")).collect()
-    sums = {name: np.zeros((d + 1) ** 2) for name in labels}
-    for r in found:
-        sums[r["label"]][r["pos"]] = r["v"]
+                sums[name] = sums.get(name, 0.0) + own.T @ own
+        for name, whole in sums.items():
+            for i in starts:
+                for j in starts:
+                    if j >= i:  # the others are their mirror images
+                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([i]), pa.array([j]), pa.array([whole[i : i + tile, j : j + tile].ravel()], pa.list_(pa.float64()))], ["label", "i", "j", "v"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, v in zip(zip(*[batch.column(k).to_pylist() for k in range(3)]), batch.column(3)):
+                sums[key] = sums.get(key, 0.0) + v.values.to_numpy()
+        for (name, i, j), v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([i]), pa.array([j]), pa.array([v], pa.list_(pa.float64()))], ["label", "i", "j", "v"])
+
+    schema = "label string, i long, j long, v array<double>"
+    own = rows.where(F.col(label).isin(*labels)).select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x")).where("x is not null")
+    found = own.mapInArrow(products, schema).repartition("label", "i", "j").mapInArrow(added, schema).toArrow()
+    out = {name: np.zeros((d + 1, d + 1)) for name in labels}
+    for name, i, j, v in zip(*[found.column(k).to_pylist() for k in ("label", "i", "j")], found.column("v")):
+        part = v.values.to_numpy().reshape(len(range(i, min(d + 1, i + tile))), -1)
+        out[name][i : i + tile, j : j + tile] = part
+        out[name][j : j + tile, i : i + tile] = part.T
+    return out
+
+
+def fit_vectors(df: DataFrame, vector: str, label: str, labels: tuple[str, ...]) -> ClassModel:
+    """Location and scale of all rows, and means, variances and covariances of the labels over whole vectors, however wide the table has them. A label without rows is an error."""
+    wide = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "v"))
+    places = sorted(wide.groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).collect())
+    location, scale = np.array([r["m"] for r in places], float), np.maximum(np.array([r["s"] or 0.0 for r in places], float), SCALE_FLOOR)
     moments = {}
-    for name in labels:
-        whole = sums[name].reshape(d + 1, d + 1)
-        n, mean = whole[0, 0], whole[0, 1:] / whole[0, 0]
+    for name, whole in gram(df, label, vector, location, scale, labels).items():
+        n = whole[0, 0]
+        if not n:
+            raise ValueError(f"no rows of {name}")
+        mean = whole[0, 1:] / n
         moments[name] = int(n), mean, (whole[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)
     return _model(labels, location, scale, moments)
 
 
+def fit(df: DataFrame, features: list[str], label: str, labels: tuple[str, ...]) -> ClassModel:
+    """The same for features in columns of their own."""
+    return fit_vectors(df.withColumn("__vector", F.array(*[F.col(f).cast("double") for f in features])), "__vector", label, labels)
+
+
 SCALE_FLOOR, VARIANCE_FLOOR, RIDGE = 1e-8, 1e-4, 1e-8  # fixed values
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions import scalars, sequences
+from lamina.functions import scalars
 from lamina.functions.labels import KNOWN
+from lamina.operators import structure
 from lamina.operators.quantiles import grouped
 
 FIVE = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -33,8 +34,8 @@ def logit_features(reads: DataFrame, logits: list[Column], by: list[str]) -> Dat
 
 
 def sequence_features(reads: DataFrame, sequence: str, by: list[str], padded_length: int = 400) -> DataFrame:
-    """165 features: five statistics of each of the 33 of a read."""
-    return quantile_stats(reads, sequences.read_features(F.col(sequence), padded_length), by, (0.1, 0.5, 0.9), population=True)
+    """165 features: five statistics of each of the 33 of a read, which come from one pass over its letters."""
+    return quantile_stats(structure.counted(reads, sequence, by), structure.features(padded_length), by, (0.1, 0.5, 0.9), population=True)
 
 
 def embedding_moments(reads: DataFrame, embedding: str, by: list[str], population: bool = True) -> DataFrame:

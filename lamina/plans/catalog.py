@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lamina.functions import labels as L
 from lamina.functions import scalars, sequences
-from lamina.operators import audit, conformal, decisions, detectors, distances, features, metrics, models, resample, selection, thresholds, votes
+from lamina.operators import audit, conformal, decisions, detectors, distances, features, metrics, models, resample, selection, structure, thresholds, votes
 from lamina.plans import reads as R
 from lamina.sources import delimited
 
@@ -118,10 +118,11 @@ def softmax_argmax(spark, sf_dir):
     return rows.groupBy("predicted").agg(big(F.count("*"), "n"), r6(F.avg("c"), "mean_confidence"))
 
 
-@query("energy_score", """SELECT vec_id, round(-2.0 * (m + ln(exp(a - m) + exp(b - m) + exp(c - m) + exp(d - m))), 6) AS energy, round(CASE WHEN a >= 0 THEN 1 / (1 + exp(-a)) ELSE exp(a) / (1 + exp(a)) END, 6) AS sigmoid
-FROM (SELECT *, greatest(a, b, c, d) AS m FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) / 2.0 AS a, CAST(embedding[2] AS DOUBLE) / 2.0 AS b, CAST(embedding[3] AS DOUBLE) / 2.0 AS c, CAST(embedding[4] AS DOUBLE) / 2.0 AS d FROM embeddings))""")
+@query("energy_score", """WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / 2.0) AS h FROM embeddings), m AS (SELECT vec_id, h[1] AS a, h, list_max(h) AS m FROM h)
+SELECT vec_id, round(-2.0 * (m + ln(list_sum(list_transform(h, lambda x: exp(x - m))))), 6) AS energy, round(CASE WHEN a >= 0 THEN 1 / (1 + exp(-a)) ELSE exp(a) / (1 + exp(a)) END, 6) AS sigmoid FROM m""")
 def energy_score(spark, sf_dir):
-    x = scalars.elements("embedding", 4)
+    """The energy of all places at temperature 2, and the sigmoid of the first."""
+    x = scalars.elements("embedding", 64)
     return R.table(spark, sf_dir, "embeddings").select("vec_id", r6(scalars.energy(x, 2.0), "energy"), r6(scalars.stable_sigmoid(x[0] / 2.0), "sigmoid"))
 
 
@@ -372,17 +373,16 @@ def embedding_moments(spark, sf_dir):
     return f.select("label", F.posexplode(F.slice("features", F.lit(1), half.cast("int"))).alias("pos", "m"), "features").select(big("label", "label"), big("pos", "pos"), r6("m", "mean"), r6(F.element_at("features", (F.col("pos") + 1 + half).cast("int")), "std"))
 
 
-_LABELS = tuple(str(i) for i in range(4))
-
-
 def _vectors(spark, sf_dir) -> tuple[DataFrame, distances.ClassModel]:
+    """Whole vectors, and the model of all labels that the table has (a few)."""
     v = R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
-    return v, distances.fit_vectors(v, "x", "label", _LABELS)
+    labels = tuple(sorted(r["label"] for r in v.where("label is not null").select("label").distinct().collect()))
+    return v, distances.fit_vectors(v, "x", "label", labels)
 
 
 _DIST_SQL = """v AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 m AS (SELECT pos, avg(x) AS a, greatest(stddev_samp(x), 1e-8) AS s FROM v GROUP BY pos), z AS (SELECT vec_id, label, pos, (x - a) / s AS x FROM v JOIN m USING (pos)),
-k AS (SELECT label, pos, avg(x) AS m, greatest(var_samp(x), 1e-4) AS s FROM z WHERE label IN ('0', '1', '2', '3') GROUP BY label, pos),
+k AS (SELECT label, pos, avg(x) AS m, greatest(var_samp(x), 1e-4) AS s FROM z GROUP BY label, pos),
 d AS (SELECT vec_id, z.label AS truth, k.label AS class, sqrt(sum((x - m) * (x - m) / s)) AS distance FROM z JOIN k USING (pos) GROUP BY vec_id, z.label, k.label)"""
 
 
@@ -390,15 +390,15 @@ d AS (SELECT vec_id, z.label AS truth, k.label AS class, sqrt(sum((x - m) * (x -
 def diag_mahalanobis(spark, sf_dir):
     v, model = _vectors(spark, sf_dir)
     d = v.select("vec_id", F.posexplode(distances.diagonal_vectors(F.col("x"), model)).alias("pos", "distance"))
-    return d.select("vec_id", F.element_at(F.array(*map(F.lit, _LABELS)), F.col("pos") + 1).alias("class"), r6("distance", "distance"))
+    return d.select("vec_id", F.element_at(F.array(*map(F.lit, model.labels)), F.col("pos") + 1).alias("class"), r6("distance", "distance"))
 
 
 @query("min_class_score", f"WITH {_DIST_SQL} SELECT vec_id, round(min(distance), 6) AS least, round(max(distance) FILTER (WHERE class = truth), 6) AS own FROM d GROUP BY vec_id")
 def min_class_score(spark, sf_dir):
     v, model = _vectors(spark, sf_dir)
     d = v.select("vec_id", F.col("label").alias("truth"), distances.diagonal_vectors(F.col("x"), model).alias("d"))
-    dist = [F.element_at("d", i + 1) for i in range(len(_LABELS))]
-    return d.select("vec_id", r6(distances.class_score(dist, F.col("truth"), _LABELS, "minimum"), "least"), r6(distances.class_score(dist, F.col("truth"), _LABELS, "predicted"), "own"))
+    dist = [F.element_at("d", i + 1) for i in range(len(model.labels))]
+    return d.select("vec_id", r6(distances.class_score(dist, F.col("truth"), model.labels, "minimum"), "least"), r6(distances.class_score(dist, F.col("truth"), model.labels, "predicted"), "own"))
 
 
 @query("full_mahalanobis")
@@ -408,36 +408,41 @@ def full_mahalanobis(spark, sf_dir):
     return v.select("vec_id", F.transform(distances.full(F.col("x"), model), lambda x: F.round(x, 6)).alias("distances"))
 
 
-@query("conformal_pvalues", """WITH c AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS d FROM embeddings WHERE vec_id % 2 = 0), t AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS d FROM embeddings WHERE vec_id % 2 = 1)
-SELECT vec_id, round((1.0 + (SELECT count(*) FROM c WHERE c.label = t.label AND c.d >= t.d)) / (1 + (SELECT count(*) FROM c WHERE c.label = t.label)), 6) AS p_value FROM t""")
-def conformal_pvalues(spark, sf_dir):
-    e = R.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("score"))
-    return conformal.p_values(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")).select("vec_id", r6("p_value", "p_value"))
+_OWN_SQL = f"{_DIST_SQL}, l AS (SELECT vec_id, truth AS label, class, round(distance, 9) AS d FROM d), o AS (SELECT * FROM l WHERE label = class)"
 
 
-@query("conformal_loo", """WITH c AS (SELECT vec_id, label, CAST(embedding[2] AS DOUBLE) AS d FROM embeddings) SELECT a.vec_id, round((1.0 + count(b.vec_id) FILTER (WHERE b.d >= a.d)) / (1 + count(b.vec_id)), 6) AS p_value FROM c a LEFT JOIN c b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id""")
-def conformal_loo(spark, sf_dir):
-    e = R.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.element_at("embedding", 2).cast("double").alias("score"))
-    return conformal.leave_one_out(e).select("vec_id", r6("p_value", "p_value"))
+def _distances(spark, sf_dir) -> tuple[DataFrame, tuple[str, ...]]:
+    """vec_id, label and the distances of whole vectors to all classes. Rounded, so that equal vectors are equally far in any order of sums."""
+    v, model = _vectors(spark, sf_dir)
+    return v.select("vec_id", "label", F.transform(distances.diagonal_vectors(F.col("x"), model), lambda d: F.round(d, 9)).alias("distances")), model.labels
 
 
-_FOUR = "[abs(CAST(embedding[1] AS DOUBLE)), abs(CAST(embedding[2] AS DOUBLE)), abs(CAST(embedding[3] AS DOUBLE)), abs(CAST(embedding[4] AS DOUBLE))]"
-_LONG = f"e AS (SELECT vec_id, label % 4 AS label, {_FOUR} AS d FROM embeddings), l AS (SELECT vec_id, label, unnest(range(4)) AS class, unnest(d) AS d FROM e)"
+def _own(spark, sf_dir) -> DataFrame:
+    d, labels = _distances(spark, sf_dir)
+    return d.select("vec_id", "label", F.element_at("distances", F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int")).alias("score"))
 
 
-def _four(spark, sf_dir) -> DataFrame:
-    return R.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 4).cast("string").alias("label"), F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double"))).alias("distances"))
+@query("conformal_pvalues", f"""WITH {_OWN_SQL}, c AS (SELECT * FROM o WHERE vec_id % 2 = 0), t AS (SELECT * FROM o WHERE vec_id % 2 = 1)
+SELECT t.vec_id, round((1.0 + count(c.vec_id) FILTER (WHERE c.d >= t.d)) / (1 + count(c.vec_id)), 6) AS p_value FROM t LEFT JOIN c ON c.label = t.label GROUP BY t.vec_id""")
+def conformal_pvalues(spark, sf_dir):
+    """Of vectors' distances to their own class, in all places."""
+    e = _own(spark, sf_dir)
+    return conformal.p_values(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")).select("vec_id", r6("p_value", "p_value"))
+
+
+@query("conformal_loo", f"""WITH {_OWN_SQL} SELECT a.vec_id, round((1.0 + count(b.vec_id) FILTER (WHERE b.d >= a.d)) / (1 + count(b.vec_id)), 6) AS p_value FROM o a LEFT JOIN o b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id""")
+def conformal_loo(spark, sf_dir):
+    return conformal.leave_one_out(_own(spark, sf_dir)).select("vec_id", r6("p_value", "p_value"))
 
 
-_CLOSED = "list_position(d, list_min(d))"
+_CLOSED = "n AS (SELECT vec_id, arg_min(class, d) AS closed FROM l GROUP BY vec_id) SELECT vec_id, round(-max(p), 6) AS maximum, round(-max(p) FILTER (WHERE class = closed), 6) AS predicted FROM p JOIN n USING (vec_id) GROUP BY vec_id"
 
 
-@query("conformal_all", f"""WITH {_LONG}, c AS (SELECT * FROM l WHERE label = class AND vec_id % 2 = 0), p AS (SELECT t.vec_id, t.class, (1.0 + count(*) FILTER (WHERE c.d >= t.d)) / (1 + count(*)) AS p FROM l t JOIN c USING (class) WHERE t.vec_id % 2 = 1 GROUP BY ALL),
-n AS (SELECT vec_id, {_CLOSED} - 1 AS closed FROM e) SELECT vec_id, round(-max(p), 6) AS maximum, round(-max(p) FILTER (WHERE class = closed), 6) AS predicted FROM p JOIN n USING (vec_id) GROUP BY vec_id""")
+@query("conformal_all", f"""WITH {_OWN_SQL}, c AS (SELECT * FROM o WHERE vec_id % 2 = 0), p AS (SELECT t.vec_id, t.class, (1.0 + count(*) FILTER (WHERE c.d >= t.d)) / (1 + count(*)) AS p FROM l t JOIN c USING (class) WHERE t.vec_id % 2 = 1 GROUP BY ALL), {_CLOSED}""")
 def conformal_all(spark, sf_dir):
     """p-values of all classes, and both scores made of them."""
-    e = _four(spark, sf_dir)
-    p = conformal.all_classes(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", _LABELS)
+    e, labels = _distances(spark, sf_dir)
+    p = conformal.all_classes(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", labels)
     return _conformal_scores(p, e)
 
 
@@ -447,20 +452,26 @@ def _conformal_scores(p: DataFrame, e: DataFrame) -> DataFrame:
     return both.select("vec_id", r6(conformal.rejection_score(F.col("p_values"), "maximum"), "maximum"), r6(conformal.rejection_score(F.col("p_values"), "predicted", closed), "predicted"))
 
 
-@query("conformal_loo_all", f"""WITH {_LONG}, c AS (SELECT * FROM l WHERE label = class), p AS (SELECT t.vec_id, t.class, (1.0 + count(*) FILTER (WHERE c.d >= t.d AND c.vec_id <> t.vec_id)) / (1 + count(*) FILTER (WHERE c.vec_id <> t.vec_id)) AS p FROM l t JOIN c USING (class) GROUP BY ALL),
-n AS (SELECT vec_id, {_CLOSED} - 1 AS closed FROM e) SELECT vec_id, round(-max(p), 6) AS maximum, round(-max(p) FILTER (WHERE class = closed), 6) AS predicted FROM p JOIN n USING (vec_id) GROUP BY vec_id""")
+@query("conformal_loo_all", f"""WITH {_OWN_SQL}, p AS (SELECT t.vec_id, t.class, (1.0 + count(*) FILTER (WHERE c.d >= t.d AND c.vec_id <> t.vec_id)) / (1 + count(*) FILTER (WHERE c.vec_id <> t.vec_id)) AS p FROM l t JOIN o c USING (class) GROUP BY ALL), {_CLOSED}""")
 def conformal_loo_all(spark, sf_dir):
-    e = _four(spark, sf_dir)
-    return _conformal_scores(conformal.all_classes(e, e, "vec_id", _LABELS, own="label"), e)
+    e, labels = _distances(spark, sf_dir)
+    return _conformal_scores(conformal.all_classes(e, e, "vec_id", labels, own="label"), e)
+
+
+def embedded_reads(spark, sf_dir) -> DataFrame:
+    """Vectors as reads: six archives a label, three molecules an archive; the logits are sums of a quarter of the places each."""
+    quarter = [F.aggregate(F.slice("e", 16 * i + 1, 16), F.lit(0.0), lambda a, x: a + x) for i in range(4)]
+    e = R.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    category = F.element_at(F.array(*map(F.lit, (*L.KNOWN, "no_ecc", "HEDGES", "DNA-Aeon"))), F.least(F.col("label"), F.lit(6)).cast("int") + 1)
+    return e.select((F.col("label") * 6 + F.floor(F.col("vec_id") / 3) % 6).cast("long").alias("archive_id"), category.alias("category"), (F.col("vec_id") % 3).cast("int").alias("molecule_id"), F.array(*quarter).alias("logits"), F.col("e").alias("embedding"))
 
 
 @query("detector_system")
 def detector_system(spark, sf_dir):
-    """The four detectors, fitted and calibrated on known archives of either parity; held against a plain version in the tests."""
-    reads = R.read_scores(spark, sf_dir).withColumn("logits", F.array(*R.logits())).withColumn("embedding", F.array("l_quantity", F.col("l_extendedprice") / 1000, F.col("l_discount") * 10, F.col("l_tax") * 10, "presence", "x1"))
+    """The four detectors over whole vectors with 16 components, fitted on known archives of even number and calibrated on odd ones; held against a plain version in the tests."""
+    reads = embedded_reads(spark, sf_dir)
     known = reads.where(L.is_known(F.col("category")))
-    system = detectors.fit(known.where("archive_id % 2 = 0"), known.where("archive_id % 2 = 1"), 3)
-    return rounded(detectors.score(reads, system), "archive_id")
+    return rounded(detectors.score(reads, detectors.fit(known.where("archive_id % 2 = 0"), known.where("archive_id % 2 = 1"))), "archive_id")
 
 
 _SCORES = "o AS (SELECT archive_id, truth, closed, unnest(['energy_only', 'proxy_only', 'three_state', 'G_all']) AS method, unnest([energy_only, proxy_only, three_state, proxy_only]) AS o, unnest([energy_score, proxy_score, proxy_score, proxy_score]) AS s FROM decided)"
@@ -582,19 +593,21 @@ def sequence_query(name: str, sql: str):
 
 @sequence_query("homopolymer", f"WITH {_SEQ}, r AS (SELECT doc_id, length(s) AS n, list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x)) AS runs FROM q) SELECT doc_id, CAST(coalesce(list_max(runs), 0) AS BIGINT) AS longest_run, round(CASE WHEN n = 0 THEN 0 ELSE coalesce(list_sum(list_filter(runs, lambda x: x >= 3)), 0) / n END, 6) AS long_run_fraction FROM r")
 def homopolymer(q):
-    return q.select("doc_id", big(sequences.longest_run(F.col("s")), "longest_run"), r6(sequences.long_run_fraction(F.col("s")), "long_run_fraction"))
+    found = structure.counted(q, "s", ["doc_id"])
+    return found.select("doc_id", big("longest_run", "longest_run"), r6(scalars.rate_or_zero(F.col("long_bases"), F.col("length")), "long_run_fraction"))
 
 
 @sequence_query("dinucleotide_freq", f"WITH {_SEQ}, p AS (SELECT doc_id, unnest(regexp_extract_all(s, '..') || regexp_extract_all(substr(s, 2), '..')) AS pair, length(s) - 1 AS n FROM q) SELECT doc_id, pair, round(count(*) / max(n), 6) AS frequency FROM p GROUP BY doc_id, pair")
 def dinucleotide_freq(q):
-    names = [a + b for a in sequences.BASES for b in sequences.BASES]
-    wide = q.select("doc_id", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("pair"), F.array(*sequences.pair_frequencies(F.col("s"))).alias("f"))).alias("p"))
-    return wide.select("doc_id", "p.pair", r6("p.f", "frequency")).where("frequency > 0")
+    each = F.array(*[F.struct(F.lit(p).alias("pair"), F.col(f"pair_{p}").alias("n")) for p in structure.PAIRS])
+    long = structure.counted(q, "s", ["doc_id"]).select("doc_id", "length", F.explode(F.filter(each, lambda p: p["n"] > 0)).alias("p"))
+    return long.select("doc_id", "p.pair", r6(F.col("p.n") / (F.col("length") - 1), "frequency"))
 
 
 @sequence_query("lag_match", f"WITH {_SEQ} SELECT doc_id, {', '.join(f'round(CASE WHEN len(l) > {k} THEN len(list_filter(list_zip(l[{k + 1}:], l[:len(l) - {k}]), lambda p: p[1] = p[2])) / (len(l) - {k}) ELSE 0 END, 6) AS lag_{k}' for k in sequences.LAGS)} FROM (SELECT doc_id, CASE WHEN s = '' THEN [] ELSE string_split(s, '') END AS l FROM q)")
 def lag_match(q):
-    return rounded(q.select("doc_id", *[sequences.lag_match(F.col("s"), k).alias(f"lag_{k}") for k in sequences.LAGS]), "doc_id")
+    found = structure.features(1)
+    return rounded(structure.counted(q, "s", ["doc_id"]).select("doc_id", *[found[f"lag_{k}"].alias(f"lag_{k}") for k in sequences.LAGS]), "doc_id")
 
 
 @sequence_query("seq_entropy", f"WITH {_SEQ}, f AS (SELECT doc_id, unnest(['A', 'C', 'G', 'T']) AS b, s FROM q), p AS (SELECT doc_id, b, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(s, b, ''))) / length(s) END AS p FROM f) SELECT doc_id, round(sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END), 6) AS entropy, round(sum(p) FILTER (WHERE b IN ('G', 'C')), 6) AS gc FROM p GROUP BY doc_id")

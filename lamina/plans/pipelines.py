@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import labels as L
 from lamina.functions import scalars
-from lamina.operators import decisions, metrics, thresholds, votes
+from lamina.operators import decisions, filters, metrics, thresholds, votes
 
 WIDTH = len(L.KNOWN)
 
@@ -85,9 +87,23 @@ def records(reads: DataFrame, t: thresholds.Thresholds, default: tuple[int, int]
 def two_phase(reads: DataFrame, gate, model, presence: float, path: str) -> DataFrame:
     """Scores the gate first, writes its votes, and runs the type model only over reads of archives that pass: Python functions in a condition would run for all rows.
 
-    ``gate`` and ``model`` map a DataFrame of reads to one with their score columns.
+    ``gate`` and ``model`` map a DataFrame of reads to one with their score columns. Reads are let through by a filter of the passing archives'
+    keys where they are scanned, and by an exact join after it, so the model is called once for each read that passes.
     """
     votes.two_level(gate(reads), {"ecc_score": F.col("presence").cast("double")}).write.mode("overwrite").parquet(path)
-    passed = reads.sparkSession.read.parquet(path)
-    kept = reads.join(passed.where(F.col("ecc_score") >= presence).select("archive_id"), "archive_id", "left_semi")
-    return model(kept)
+    passed = reads.sparkSession.read.parquet(path).where(F.col("ecc_score") >= presence).select("archive_id")
+    return model(filters.passing(reads, passed, "archive_id"))
+
+
+def called(reads: DataFrame, function, columns: list[str], outputs: list[str], calls) -> DataFrame:
+    """The reads with ``outputs`` (doubles) that ``function`` makes of an array of ``columns`` [n, len(columns)], a batch at a time; the accumulator ``calls`` counts the reads it was given (again where a task runs again)."""
+    names, kinds = reads.columns, dict(reads.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            x = np.column_stack([batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in columns])
+            calls.add(len(x))
+            y = np.asarray(function(x), "f8").reshape(len(x), len(outputs))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(y[:, i]) for i in range(len(outputs))]], [*names, *outputs])
+
+    return reads.mapInArrow(run, ", ".join([*[f"`{n}` {kinds[n]}" for n in names], *[f"`{o}` double" for o in outputs]]))

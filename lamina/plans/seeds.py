@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import labels as L
 from lamina.operators import decisions, metrics, resample
+from lamina.plans import pipelines
 from lamina.plans import reads as R
 from lamina.plans.catalog import big, query, r6
 from lamina.plans.graph import Graph, Stage
@@ -176,3 +178,21 @@ def resumed_run(spark, sf_dir):
 def seed_run_counts(spark, sf_dir):
     found = graph(spark, sf_dir, files.scratch(spark, "seeds")).run(("counts",))["counts"]
     return found.select("seed", *[big(c, c) for c in ("archives", "molecules", "reads")])
+
+
+def _energies(x):
+    """Minus the log of the summed exponentials, of a batch of logits."""
+    most = x.max(axis=1)
+    return -(most + np.log(np.exp(x - most[:, None]).sum(axis=1)))
+
+
+@query("two_phase_scores", f"""WITH {R.SCORED}, v AS (SELECT archive_id FROM (SELECT archive_id, molecule_id, avg(presence) AS p FROM scored GROUP BY ALL) GROUP BY archive_id HAVING avg(p) >= {R.PRESENCE})
+SELECT archive_id, CAST(count(*) AS BIGINT) AS reads, round(avg(energy), 6) AS energy, CAST(sum(count(*)) OVER () AS BIGINT) AS calls FROM scored WHERE archive_id IN (SELECT archive_id FROM v) GROUP BY archive_id""")
+def two_phase_scores(spark, sf_dir):
+    """The type model is called for reads of archives that pass the gate only; ``calls`` is what its accumulator counted."""
+    calls, path = spark.sparkContext.accumulator(0), files.scratch(spark, "scores")
+    lines = R.read_scores(spark, sf_dir).select("archive_id", "molecule_id", "presence", *[f"x{i}" for i in range(4)])
+    scored = pipelines.two_phase(lines, lambda d: d, lambda d: pipelines.called(d, _energies, [f"x{i}" for i in range(4)], ["energy"], calls), R.PRESENCE, files.scratch(spark, "gate"))
+    scored.select("archive_id", "energy").write.parquet(path)  # the calls are made here, once
+    found = spark.read.parquet(path).groupBy("archive_id").agg(big(F.count("*"), "reads"), r6(F.avg("energy"), "energy"))
+    return found.withColumn("calls", F.lit(calls.value).cast("long"))

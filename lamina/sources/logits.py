@@ -11,20 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "archive_id string, category string, molecule_index int, read_index int, presence float, logits array<float>"
-REQUIRED = ("categories", "presence", "type_logits")
+#: What array files call their parts. A part may have either name.
+REQUIRED = {"categories": ("categories",), "presence": ("presence_probabilities", "presence"), "logits": ("type_logits", "logits")}
 
 
 def from_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """Array files (categories [N], presence [N,M,q], type_logits [N,M,q,4], maybe archive_ids [N]); a file that lacks one fails. Files are read where the tasks are, archive by archive."""
+    """Array files (categories [N], presence_probabilities [N,M,q], type_logits [N,M,q,4], maybe archive_ids [N]); a file that lacks one fails. Files are read where the tasks are, archive by archive."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch.path, batch.content):
                 with np.load(io.BytesIO(content), allow_pickle=False) as data:
-                    absent = [k for k in REQUIRED if k not in data]
+                    found = {part: [n for n in names if n in data] for part, names in REQUIRED.items()}
+                    absent = [part for part, names in found.items() if not names]
                     if absent:
                         raise ValueError(f"{name} lacks {', '.join(absent)}")
-                    categories, presence, logits = (data[k] for k in REQUIRED)
+                    categories, presence, logits = (data[names[0]] for names in found.values())
                     ids = data["archive_ids"] if "archive_ids" in data else np.arange(len(categories)).astype(str)
                 if logits.shape != (*presence.shape, 4) or len(categories) != len(presence) or len(ids) != len(presence):
                     raise ValueError(f"{name}: shapes don't fit")

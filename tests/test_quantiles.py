@@ -33,7 +33,7 @@ def test_large_groups_equal_the_plain_quantiles(spark, left):
 
 
 def test_one_group_of_all_rows_and_ties_to_the_last_bit(spark):
-    values = [1.0] * 500 + [np.nextafter(1.0, 2)] * 500 + [-0.0, 0.0, float("nan"), float("inf"), -float("inf")]
+    values = [1.0] * 500 + [float(np.nextafter(1.0, 2))] * 500 + [-0.0, 0.0, float("nan"), float("inf"), -float("inf")]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = quantiles.grouped(df, [], ["v"], [0.1, 0.4, 0.7], small=10, left=3).first()
     assert got.v == df.agg(F.percentile("v", [0.1, 0.4, 0.7])).first()[0]

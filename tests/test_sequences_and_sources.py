@@ -211,6 +211,9 @@ def test_array_files_and_command_line(spark, tmp_path):
         x[i, ..., i] += 5
     np.savez_compressed(tmp_path / "one.npz", categories=categories, presence=presence.astype("f4"), type_logits=x.astype("f4"))
     df = logits.from_arrays(spark, str(tmp_path))
+    (tmp_path / "other").mkdir()  # the names that shared logits are saved under
+    np.savez_compressed(tmp_path / "other" / "shared.npz", categories=categories, presence_probabilities=presence.astype("f4"), type_logits=x.astype("f4"), archive_ids=np.arange(7).astype(str))
+    assert sorted(map(repr, logits.from_arrays(spark, str(tmp_path / "other")).collect())) == sorted(map(repr, df.collect()))
     assert df.count() == 42 and logits.validated(df).count() == 42
     cli.main(["import-arrays", str(tmp_path), str(tmp_path / "l")])
     cli.main(["calibrate", str(tmp_path / "l"), str(tmp_path / "t.json")])
@@ -234,6 +237,12 @@ def test_scores_are_made_once(spark, tmp_path):
     assert [round(r.presence, 4) for r in got] == [0.3, 0.2] and got[0].logits == [3.0, 0.0, 0.0, 0.0]
 
 
+def test_self_checks_pass(spark):
+    from lamina.operators import checks
+
+    assert all(r.passed for r in checks.run(spark).collect())
+
+
 def test_streaming_vote_equals_batch(spark, tmp_path):
     from lamina.operators import votes
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -23,6 +24,8 @@ def texts(spark, tmp_path_factory):
     spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
     return folder, {i: "".join(BASES[c] for c in t if c in BASES) for i, t in rows}
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def runs(s):
     return [len(list(g)) for _, g in itertools.groupby(s)]
@@ -76,8 +79,8 @@ def test_distances_read_whole_vectors(spark, tmp_path):
     x[label == 2, 3] = 0.25  # no spread within a class: the floor
     spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x))], "vec_id long, label int, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
-    diagonal, full = np.empty((240, 4)), np.empty((240, 4))
-    for k in range(4):
+    diagonal, full = np.empty((240, 5)), np.empty((240, 5))
+    for k in range(5):
         own, gap = z[label == k], z - z[label == k].mean(axis=0)
         diagonal[:, k] = np.sqrt((gap**2 / np.maximum(own.var(axis=0, ddof=1), 1e-4)).sum(axis=1))
         n, s = len(own), np.cov(own.T, ddof=0)  # as published: rows n, dimension 9
@@ -91,7 +94,11 @@ def test_distances_read_whole_vectors(spark, tmp_path):
     assert all(r.distances == pytest.approx(full[r.vec_id], abs=2e-6) for r in run("full_mahalanobis"))
     for r in run("min_class_score"):
         assert r.least == pytest.approx(diagonal[r.vec_id].min(), abs=2e-6)
-        assert r.own is None if label[r.vec_id] == 4 else r.own == pytest.approx(diagonal[r.vec_id, label[r.vec_id]], abs=2e-6)
+        assert r.own == pytest.approx(diagonal[r.vec_id, label[r.vec_id]], abs=2e-6)
+    own = [diagonal[i, label[i]] for i in range(240)]
+    for r in run("conformal_pvalues"):  # all places and labels
+        others = [i for i in range(0, 240, 2) if label[i] == label[r.vec_id]]
+        assert r.p_value == pytest.approx((1 + sum(own[i] >= own[r.vec_id] - 1e-9 for i in others)) / (1 + len(others)), abs=2e-6)
 
 
 def test_bootstraps_draw_2000_repetitions(spark, tmp_path):
@@ -120,34 +127,17 @@ def test_bootstraps_draw_2000_repetitions(spark, tmp_path):
     assert (found["mean"], found.lower95, found.upper95) == pytest.approx((np.mean(values), *np.quantile(values, [0.025, 0.975])), abs=2e-6)
 
 
-def test_detector_system_equals_a_plain_version(spark):
-    """Energy, components, conformal values and logit features on a small set, archive by archive."""
-    from lamina.functions.labels import KNOWN
-    from lamina.operators import detectors
-
-    rng, rows = np.random.default_rng(7), []
-    for archive in range(48):
-        k = archive % 4
-        for molecule in range(2):
-            for _ in range(3):
-                logits = rng.normal(0, 0.6, 4) + 3 * (np.arange(4) == k)
-                rows.append((archive, KNOWN[k], molecule, logits.tolist(), (rng.normal(0, 1, 5) + k).tolist()))
-    schema = "archive_id long, category string, molecule_id int, logits array<double>, embedding array<double>"
-    reads = spark.createDataFrame(rows, schema)
-    fit, held = reads.where("archive_id < 24"), reads.where("archive_id >= 24")
-    system = detectors.fit(fit, held, 2)
-    got = {r.archive_id: r for r in detectors.score(held, system).collect()}
-    by = {a: [r for r in rows if r[0] == a] for a in range(48)}
-    label = np.array([a % 4 for a in range(48)])
+def plain_system(by, label, fit, held, count):
+    """Scores of the four detectors for every archive of ``by`` (archive -> rows), from the published formulas; ``label`` is -1 where a class isn't known."""
     logits = {a: np.array([r[3] for r in by[a]]) for a in by}
-    energy = {a: -np.log(np.exp(x).sum(axis=1)) for a, x in logits.items()}
-
+    energy = {a: -(x.max(axis=1) + np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1))) for a, x in logits.items()}
     def features(a):
         x = logits[a]
-        p = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+        p = np.exp(x - x.max(axis=1, keepdims=True))
+        p = p / p.sum(axis=1, keepdims=True)
         top = np.sort(p, axis=1)
         out = [v for c in x.T for v in (c.mean(), c.std(ddof=1), *np.quantile(c, [0.05, 0.25, 0.5, 0.75, 0.95]))]
-        for c in (energy[a], -(p * np.log(p)).sum(axis=1), top[:, -1] - top[:, -2]):
+        for c in (energy[a], -(p * np.log(np.maximum(p, 1e-15))).sum(axis=1), top[:, -1] - top[:, -2]):
             out += [c.mean(), c.std(ddof=1), *np.quantile(c, [0.05, 0.5, 0.95])]
         return np.array(out)
 
@@ -171,19 +161,65 @@ def test_detector_system_equals_a_plain_version(spark):
         return np.array(out)
 
     embedded = {a: np.array([r[4] for r in by[a]]) for a in by}
-    first = np.concatenate([embedded[a] for a in range(24)])
+    first = np.concatenate([embedded[a] for a in fit])
     centre = first.mean(axis=0)
-    axes = np.linalg.eigh(np.cov(first.T))[1][:, ::-1][:, :2]
+    axes = np.linalg.eigh(np.cov(first.T))[1][:, ::-1][:, :count]
     moments = lambda x: np.append(x.mean(axis=0), x.std(axis=0, ddof=1))
     raw, small = ({a: moments(e if kind == "raw" else (e - centre) @ axes) for a, e in embedded.items()} for kind in ("raw", "small"))
     logit = {a: features(a) for a in by}
-    made = [model(np.array([v[a] for a in range(24)]), label[:24]) for v in (small, raw, logit)]
-    calibration = {a: full(raw[a], made[1]) for a in range(24, 48)}
+    own = np.array([label[a] for a in fit])
+    made = [model(np.array([v[a] for a in fit]), own) for v in (small, raw, logit)]
+    calibration = {a: full(raw[a], made[1]) for a in held}
+    scores = {}
+    for a in by:
+        at = full(raw[a], made[1])
+        p = [(1 + sum(calibration[b][k] >= at[k] - 1e-12 for b in held if label[b] == k)) / (1 + sum(label[b] == k for b in held)) for k in range(4)]
+        molecules = {}
+        for r, e in zip(by[a], energy[a]):
+            molecules.setdefault(r[2], []).append(e)
+        scores[a] = (np.mean([np.mean(m) for m in molecules.values()]), diagonal(small[a], made[0]).min(), -max(p), diagonal(logit[a], made[2]).min())
+    return scores
+
+
+def test_detector_system_equals_a_plain_version(spark):
+    """Energy, components, conformal values and logit features on a small set, archive by archive."""
+    from lamina.functions.labels import KNOWN
+    from lamina.operators import detectors
+
+    rng, rows = np.random.default_rng(7), []
+    for archive in range(48):
+        k = archive % 4
+        for molecule in range(2):
+            for _ in range(3):
+                logits = rng.normal(0, 0.6, 4) + 3 * (np.arange(4) == k)
+                rows.append((archive, KNOWN[k], molecule, logits.tolist(), (rng.normal(0, 1, 5) + k).tolist()))
+    schema = "archive_id long, category string, molecule_id int, logits array<double>, embedding array<double>"
+    reads = spark.createDataFrame(rows, schema)
+    fit, held = reads.where("archive_id < 24"), reads.where("archive_id >= 24")
+    system = detectors.fit(fit, held, 2)
+    got = {r.archive_id: r for r in detectors.score(held, system).collect()}
+    by = {a: [r for r in rows if r[0] == a] for a in range(48)}
+    want = plain_system(by, {a: a % 4 for a in by}, range(24), range(24, 48), 2)
     for a in range(24, 48):
-        p = [(1 + sum(calibration[b][k] >= calibration[a][k] - 1e-12 for b in calibration if label[b] == k)) / (1 + sum(label[24:] == k)) for k in range(4)]
-        mean_energy = np.mean([energy[a][:3].mean(), energy[a][3:].mean()])
-        want = (mean_energy, diagonal(small[a], made[0]).min(), -max(p), diagonal(logit[a], made[2]).min())
-        assert [got[a][d] for d in detectors.DETECTORS] == pytest.approx(want, abs=1e-6)
+        assert [got[a][d] for d in detectors.DETECTORS] == pytest.approx(want[a], abs=1e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_registered_detector_system_equals_a_plain_version(spark):
+    """All places, all labels, 16 components."""
+    from lamina.functions.labels import KNOWN
+    from lamina.operators import detectors
+
+    by = {}
+    for r in catalog.embedded_reads(spark, FOLDER).collect():
+        by.setdefault(r.archive_id, []).append((r.archive_id, r.category, r.molecule_id, r.logits, r.embedding))
+    label = {a: KNOWN.index(x[0][1]) if x[0][1] in KNOWN else -1 for a, x in by.items()}
+    known = sorted(a for a in by if label[a] >= 0)
+    want = plain_system(by, label, [a for a in known if a % 2 == 0], [a for a in known if a % 2], 16)
+    got = {r.archive_id: r for r in catalog.QUERIES["detector_system"](spark, FOLDER).collect()}
+    assert set(got) == set(want) and len(got) > 40
+    for a, scores in want.items():
+        assert [got[a][d] for d in detectors.DETECTORS] == pytest.approx(scores, rel=1e-5, abs=2e-5)
 
 
 def test_missing_classes_and_origins(spark):
