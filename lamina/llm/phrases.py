@@ -1,17 +1,17 @@
 """Collocated phrases from vertical lists of positions.
 
-Texts are dealt into segments. A phrase's list of positions in a segment is a row; the lengths of its lists add up to
-its exact frequency. Level by level:
+Texts are dealt into segments, and the lists of a segment's frequent phrases, each the positions of one phrase in order, stay
+in its row of a written table. The lengths of a phrase's lists add up to its exact frequency. Level by level:
 
 1. Words are counted by segment; those of LEAST occurrences or more in their language get an id (a hash that is checked to be
-   unique), and every segment learns the ids of its own.
-2. In a segment, lists of neighbouring frequent words are merged to lists of pairs. A list goes to its pair's partition,
-   where the pair's frequency is known, and comes back to its segment if the pair is frequent.
-3. Lists of phrases of k words are merge-joined with those of the phrases that start a word later, to lists of phrases of
-   k + 1 words; both parts of a frequent phrase are frequent. This goes on from lists alone, texts aren't read again.
+   unique), and every segment learns the ids of its own and lists their positions.
+2. Lists of phrases of k words are merge-joined with those of the phrases that start a word later. Of the phrases of
+   k + 1 words that come out, only the names and the lengths of the lists leave the segment, packed by buckets of names.
+3. A bucket adds up the lengths and tells the segments which of their phrases are frequent; those are kept as the next level's lists. Both
+   parts of a frequent phrase are frequent, so nothing else is looked at again, and texts aren't read any more.
 
-A task has the lists of a segment, or a key's rows, one for each segment at most, as a stream. Phrases are scored by joins of the
-tables of frequent phrases: each knows the frequencies of all its beginnings and endings.
+A task has a segment or a bucket. A phrase sends one number for each segment that has it, however often it is there. Phrases
+are scored by joins of the tables of frequent phrases: each knows the frequencies of all its beginnings and endings.
 
 Defined cases: a null or empty text has no words; a null language is ``und``; a language without candidates has no rows;
 repeated rows count as often as they are there; a phrase that overlaps itself counts at every position; equal scores are
@@ -95,111 +95,190 @@ def _words(texts: DataFrame, segments: int) -> DataFrame:
     return dealt.select("segment", "lang", "size", "packed").mapInArrow(run, "segment int, lang string, word string, n long")
 
 
-_PAIRS = "a long, b long, segment int, n long, places binary"
+_STATE = "segment int, n long, ids binary, places binary, numbers binary"
 
 
-def _lists(segment: int, left: np.ndarray, right: np.ndarray, places: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of _PAIRS: for each pair of numbers of ids, its places in order."""
-    key = left * len(ids) + right
-    order = np.argsort(key, kind="stable")
-    key, places = key[order], places[order].astype("<i4")
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, "i8")
-    ends = np.append(first, len(key))
-    for i in range(0, len(first), 1 << 15):
-        some = ends[i : i + (1 << 15) + 1]
-        n = np.diff(some)
-        buffer = pa.py_buffer(places[some[0] : some[-1]].tobytes())
-        offsets = pa.py_buffer(((some - some[0]) * 4).astype("<i4").tobytes())
-        lists = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, buffer])
-        a, b = ids[key[some[:-1]] // len(ids)], ids[key[some[:-1]] % len(ids)]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(n), segment, "i4")), pa.array(n), lists], ["a", "b", "segment", "n", "places"])
+def _state(codec: pa.Codec, segment: int, ids: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+    """A segment's lists: at each place, in order, the number of its phrase among the ids."""
+    packed = [codec.compress(x.tobytes(), asbytes=True) for x in (np.diff(places, prepend=0).astype("<i4"), numbers.astype("<i4"))]
+    return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([len(places)], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), *[pa.array([x], pa.binary()) for x in packed]], ["segment", "n", "ids", "places", "numbers"])
 
 
-def _word_pairs(texts: DataFrame, words: DataFrame, segments: int) -> DataFrame:
-    """Lists of neighbouring frequent words."""
+def _lists(codec: pa.Codec, n: int, ids: pa.Scalar, places: pa.Scalar, numbers: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _state() packed: ids, places, numbers."""
+    steps, found = (np.frombuffer(_unpacked(codec, 4 * n, x), "<i4") for x in (places, numbers))
+    return np.frombuffer(ids.as_py(), "<i8"), np.cumsum(steps, dtype="i8"), found.astype("i8")
+
+
+def _first_lists(texts: DataFrame, words: DataFrame, segments: int) -> DataFrame:
+    """The lists of frequent words."""
     none = lambda **kinds: [F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
     a = words.where("word is not null").select("segment", F.lit(0).alias("kind"), *none(place="long"), "lang", F.col("word").cast("binary").alias("packed"), "id")
     b = texts.select("segment", F.lit(1).alias("kind"), "place", "lang", "packed", F.col("size").alias("id"))
     dealt = a.unionByName(b).repartitionById(segments, F.col("segment")).sortWithinPartitions("segment", "kind", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
-        at, known, ids, parts, length = None, {}, [0], [], 0
+        codec = pa.Codec("zstd", 1)
+        at, known, ids, parts = None, {}, [], []
 
-        def merged():
-            if length:
+        def listed():
+            if parts:
                 number = np.concatenate(parts)
-                both = np.flatnonzero((number[:-1] > 0) & (number[1:] > 0))
-                yield from _lists(at, number[both].astype("i8"), number[both + 1].astype("i8"), both, np.array(ids, "i8"))
+                places = np.flatnonzero(number)
+                yield _state(codec, at, np.array(ids, "i8"), places, number[places] - 1)
 
         for batch in batches:
             for segment, kind, lang, packed, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
                 if segment != at:
-                    yield from merged()
-                    at, known, ids, parts, length = segment, {}, [0], [], 0
+                    yield from listed()
+                    at, known, ids, parts = segment, {}, [], []
                 if kind == 0:
-                    known.setdefault(lang, {})[packed.as_py()] = len(ids)
                     ids.append(n)
+                    known.setdefault(lang, {})[packed.as_py()] = len(ids)
                 elif lang in known:
                     find = known[lang].get
                     found = tokens(_unpacked(codec, n, packed))
                     parts.append(np.fromiter((find(t, 0) for t in found), "i4", len(found)))
                     parts.append(np.zeros(1, "i4"))
-                    length += len(found) + 1
-        yield from merged()
+        yield from listed()
         common.give_back()
 
-    return dealt.select("segment", "kind", "lang", "packed", "id").mapInArrow(run, _PAIRS)
+    return dealt.select("segment", "kind", "lang", "packed", "id").mapInArrow(run, _STATE)
+
 
+def _mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of two ids, as an unsigned 64-bit number."""
+    with np.errstate(over="ignore"):
+        x = a.view("u8") * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + b.view("u8")
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(32))
 
-def _longer(lists: DataFrame, segments: int) -> DataFrame:
-    """Lists of phrases a word longer, by merging lists (segment, id, places) with those one place further."""
+
+def _arrays(offsets: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v)) for v in values]
+
+
+def _neighbours(places: np.ndarray, numbers: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge-join of the lists with those one place further: the pairs' names, and where they begin. A place has one phrase of a length."""
+    both = np.flatnonzero(places[1:] == places[:-1] + 1)
+    return numbers[both] * width + numbers[both + 1], places[both]
+
+
+def _lengths(lists: DataFrame, buckets: int) -> DataFrame:
+    """Names (a, b: ids of the two parts) and lengths n of the lists that are one word longer: arrays, a row for each bucket and segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, parts = None, [], []
-
-        def merged():
-            if not ids:
-                return
-            places = np.concatenate(parts)
-            number = np.repeat(np.arange(len(ids)), [len(p) for p in parts])
-            order = np.argsort(places, kind="stable")
-            places, number = places[order], number[order]
-            both = np.flatnonzero(places[1:] == places[:-1] + 1)  # a place has one phrase of a length
-            yield from _lists(at, number[both], number[both + 1], places[both], np.array(ids, "i8"))
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for segment, n, *packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:]):
+                ids, places, numbers = _lists(codec, n, *packed)
+                key, count = np.unique(_neighbours(places, numbers, len(ids))[0], return_counts=True)
+                a, b = ids[key // max(1, len(ids))], ids[key % max(1, len(ids))]
+                bucket = (_mixed(a, b, 0) % np.uint64(buckets)).astype("i4")
+                order = np.argsort(bucket, kind="stable")
+                a, b, count, bucket = a[order], b[order], count[order], bucket[order]
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, "i8")
+                ends = np.append(first, len(bucket))
+                for i in range(0, len(first), 256):
+                    some = ends[i : i + 257]
+                    part = slice(some[0], some[-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[some[:-1]]), pa.array(np.full(len(some) - 1, segment, "i4")), *_arrays(some - some[0], a[part], b[part], count[part])], ["bucket", "segment", "a", "b", "n"])
+        common.give_back()
+
+    return lists.mapInArrow(run, "bucket int, segment int, a array<long>, b array<long>, n array<long>")
+
+
+def _frequent_pairs(lengths: DataFrame, buckets: int, least: int, salt: int) -> DataFrame:
+    """segment and arrays a, b, id, f of its frequent phrases; the rows of segment -1 have each phrase once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
         for batch in batches:
-            for segment, phrase, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            sizes = batch.column(1).value_lengths().to_numpy()
+            parts.append([np.repeat(batch.column(0).to_numpy(), sizes), *[batch.column(i).flatten().to_numpy() for i in (1, 2, 3)]])
+        if not parts:
+            return
+        segment, a, b, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((segment, b, a))
+        segment, a, b, n = (x[order] for x in (segment, a, b, n))
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, "i8")
+        total = np.add.reduceat(n, first) if len(a) else n
+        size = np.diff(np.append(first, len(a)))
+        kept = np.flatnonzero(total >= least)
+        rows = np.flatnonzero(np.repeat(total >= least, size))
+        f = np.repeat(total, size)
+        segment = np.append(segment[rows], np.full(len(kept), -1, "i4"))
+        a, b, f = np.append(a[rows], a[first[kept]]), np.append(b[rows], b[first[kept]]), np.append(f[rows], total[kept])
+        order = np.argsort(segment, kind="stable")
+        segment, a, b, f = (x[order] for x in (segment, a, b, f))
+        starts = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.empty(0, "i8")
+        ends, ids = np.append(starts, len(segment)), _mixed(a, b, salt).view("i8")
+        for i in range(0, len(starts), 256):
+            some = ends[i : i + 257]
+            part = slice(some[0], some[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(segment[some[:-1]].astype("i4")), *_arrays(some - some[0], a[part], b[part], ids[part], f[part])], ["segment", "a", "b", "id", "f"])
+        common.give_back()
+
+    dealt = lengths.repartitionById(buckets, F.col("bucket")).select("segment", "a", "b", "n")
+    return dealt.mapInArrow(run, "segment int, a array<long>, b array<long>, id array<long>, f array<long>")
+
+
+def _longer(lists: DataFrame, frequent: DataFrame, segments: int) -> DataFrame:
+    """The lists of frequent phrases that are one word longer."""
+    arrays = [F.lit(None).cast("array<long>").alias(n) for n in ("a", "b", "id")]
+    binaries = [F.lit(None).cast("binary").alias(n) for n in ("ids", "places", "numbers")]
+    verdicts = frequent.where("segment >= 0").select("segment", F.lit(0).alias("kind"), "a", "b", "id", F.lit(0).cast("long").alias("n"), *binaries)
+    own = lists.select("segment", F.lit(1).alias("kind"), *arrays, "n", "ids", "places", "numbers")
+    dealt = verdicts.unionByName(own).repartitionById(segments, F.col("segment")).sortWithinPartitions("segment", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, at, parts = pa.Codec("zstd", 1), None, []
+        for batch in batches:
+            for i, (segment, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if segment != at:
-                    yield from merged()
-                    at, ids, parts = segment, [], []
-                ids.append(phrase)
-                parts.append(np.frombuffer(found.as_py(), "<i4"))
-        yield from merged()
+                    at, parts = segment, []
+                if kind == 0:
+                    parts.append([batch.column(2 + j)[i].values.to_numpy() for j in range(3)])
+                    continue
+                if not parts:
+                    continue
+                a, b, new = (np.concatenate(x) for x in zip(*parts))
+                ids, places, numbers = _lists(codec, batch.column(5)[i].as_py(), *[batch.column(6 + j)[i] for j in range(3)])
+                order = np.argsort(ids, kind="stable")
+                left, right = (order[np.searchsorted(ids[order], x)] for x in (a, b))
+                name = left * len(ids) + right
+                by_name = np.argsort(name)
+                name, new = name[by_name], new[by_name]
+                pairs, begin = _neighbours(places, numbers, len(ids))
+                found = np.minimum(np.searchsorted(name, pairs), len(name) - 1)
+                hit = name[found] == pairs
+                yield _state(codec, segment, new, begin[hit], found[hit])
         common.give_back()
 
-    dealt = lists.select("segment", "id", "places").repartitionById(segments, F.col("segment")).sortWithinPartitions("segment")
-    return dealt.mapInArrow(run, _PAIRS)
+    return dealt.mapInArrow(run, _STATE)
 
 
-def _frequent(lists: DataFrame, keys: list[str], least: int, seed: int, level: int) -> DataFrame:
-    """Rows of the keys that occur ``least`` times or more, with their frequency f and an id; written, as all that follows starts from them."""
-    of_key = Window.partitionBy(*keys)
-    return common.written(lists.withColumn("f", F.sum("n").over(of_key)).where(F.col("f") >= least).withColumn("id", F.xxhash64(F.lit(seed * 16 + level), *keys)), f"phrases-{level}")
+def _frequent_words(words: DataFrame, least: int, seed: int) -> DataFrame:
+    """Rows of words that occur ``least`` times or more, with their frequency f and an id."""
+    of_word = Window.partitionBy("lang", "word")
+    return words.withColumn("f", F.sum("n").over(of_word)).where(F.col("f") >= least).withColumn("id", F.xxhash64(F.lit(seed), "lang", "word"))
 
 
 def _levels(docs: DataFrame, least: int, longest: int) -> list[DataFrame]:
-    """Per length its frequent words (lang, word, id, f; a null word for all words) or phrases (a, b: ids of what the first word or the last is taken from; id, f)."""
+    """Per length its frequent words (lang, word, id, f; a null word for all words) or phrases (a, b: ids of all words but the last, or the first; id, f)."""
     segments = common.shuffle_partitions(docs.sparkSession)
     texts = _segments(docs, segments)
     for seed in range(SEEDS):
-        rows = _frequent(_words(texts, segments), ["lang", "word"], least, seed, 1)
-        found = [rows.groupBy("lang", "word", "id").agg(F.max("f").alias("f"))]
+        words = common.written(_frequent_words(_words(texts, segments), least, seed), "phrases-words")
+        found = [words.groupBy("lang", "word", "id").agg(F.max("f").alias("f"))]
+        lists = common.written(_first_lists(texts, words, segments), "phrases-lists")
         for level in range(2, longest + 1):
-            pairs = _word_pairs(texts, rows, segments) if level == 2 else _longer(rows, segments)
-            rows = _frequent(pairs, ["a", "b"], least, seed, level)
-            found.append(rows.groupBy("a", "b", "id").agg(F.max("f").alias("f")))
-        if not any(not t.groupBy("id").count().where("count > 1").isEmpty() for t in found):
+            frequent = common.written(_frequent_pairs(_lengths(lists, segments), segments, least, seed * 16 + level), "phrases-frequent")
+            found.append(frequent.where("segment = -1").select(F.explode(F.arrays_zip("a", "b", "id", "f")).alias("x")).select("x.*"))
+            if level < longest:
+                lists = common.written(_longer(lists, frequent, segments), "phrases-lists")
+        if all(t.groupBy("id").count().where("count > 1").isEmpty() for t in found):
             return found
     raise RuntimeError(f"ids collided under {SEEDS} seeds")
 
@@ -213,7 +292,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         ahead = before.select(F.col("id").alias("a"), "lang", "phrase", "heads")
         behind = before.select(F.col("id").alias("b"), "last", "tails")
         whole = table.join(ahead, "a").join(behind, "b")
-        before = whole.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"))
+        before = common.written(whole.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails")), "phrases-named")
         tables.append(before)
     for table, next_ in zip(tables, [*longer[1:], None]):
         rows = table.withColumn("a", F.element_at("heads", -1))
