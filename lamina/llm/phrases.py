@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,8 +66,13 @@ def _unpacked(codec: pa.Codec, size: int, packed: pa.Scalar) -> bytes:
     return codec.decompress(packed.as_buffer(), size, asbytes=True) if size else b""
 
 
-def _words(texts: DataFrame, segments: int) -> DataFrame:
-    """segment, lang, word, n. The rows of a null word have the number of all words."""
+def word_id(lang: bytes, word: bytes, seed: int) -> int:
+    """A signed 64-bit hash of a word of a language."""
+    return int.from_bytes(xxhash.xxh3_64_digest(lang + BREAK + word, seed), "little", signed=True)
+
+
+def _words(texts: DataFrame, segments: int, seed: int) -> DataFrame:
+    """segment, lang, id, n: of a segment's words by id, lang null; and of all its words of a language, id null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
@@ -86,22 +92,23 @@ def _words(texts: DataFrame, segments: int) -> DataFrame:
                 found.pop(BREAK, None)
                 if found:
                     yield segment, lang, None, sum(found.values())
+                name = lang.encode()
                 for word, n in found.items():
-                    yield segment, lang, word.decode(), n
+                    yield segment, None, word_id(name, word, seed), n
 
-        yield from common.sliced(["segment", "lang", "word", "n"], [pa.int32(), pa.string(), pa.string(), pa.int64()], rows())
+        yield from common.sliced(["segment", "lang", "id", "n"], [pa.int32(), pa.string(), pa.int64(), pa.int64()], rows())
 
     dealt = texts.repartitionById(segments, F.col("segment")).sortWithinPartitions("segment")
-    return dealt.select("segment", "lang", "size", "packed").mapInArrow(run, "segment int, lang string, word string, n long")
+    return dealt.select("segment", "lang", "size", "packed").mapInArrow(run, "segment int, lang string, id long, n long")
 
 
-_STATE = "segment int, n long, ids binary, places binary, numbers binary"
+_STATE = "segment int, n long, ids binary, places binary, numbers binary, langs array<string>, words array<string>"
 
 
-def _state(codec: pa.Codec, segment: int, ids: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
-    """A segment's lists: at each place, in order, the number of its phrase among the ids."""
+def _state(codec: pa.Codec, segment: int, ids: np.ndarray, places: np.ndarray, numbers: np.ndarray, names: list[tuple[str, str]] | None = None) -> pa.RecordBatch:
+    """A segment's lists: at each place, in order, the number of its phrase among the ids. Words come with their names."""
     packed = [codec.compress(x.tobytes(), asbytes=True) for x in (np.diff(places, prepend=0).astype("<i4"), numbers.astype("<i4"))]
-    return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([len(places)], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), *[pa.array([x], pa.binary()) for x in packed]], ["segment", "n", "ids", "places", "numbers"])
+    return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([len(places)], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), *[pa.array([x], pa.binary()) for x in packed], *[pa.array([names and [x[i] for x in names]], pa.list_(pa.string())) for i in (0, 1)]], ["segment", "n", "ids", "places", "numbers", "langs", "words"])
 
 
 def _lists(codec: pa.Codec, n: int, ids: pa.Scalar, places: pa.Scalar, numbers: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,35 +117,52 @@ def _lists(codec: pa.Codec, n: int, ids: pa.Scalar, places: pa.Scalar, numbers:
     return np.frombuffer(ids.as_py(), "<i8"), np.cumsum(steps, dtype="i8"), found.astype("i8")
 
 
-def _first_lists(texts: DataFrame, words: DataFrame, segments: int) -> DataFrame:
+def _first_lists(texts: DataFrame, words: DataFrame, segments: int, seed: int) -> DataFrame:
     """The lists of frequent words."""
     none = lambda **kinds: [F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
-    a = words.where("word is not null").select("segment", F.lit(0).alias("kind"), *none(place="long"), "lang", F.col("word").cast("binary").alias("packed"), "id")
+    a = words.where("id is not null").select("segment", F.lit(0).alias("kind"), *none(place="long", lang="string", packed="binary"), "id")
     b = texts.select("segment", F.lit(1).alias("kind"), "place", "lang", "packed", F.col("size").alias("id"))
     dealt = a.unionByName(b).repartitionById(segments, F.col("segment")).sortWithinPartitions("segment", "kind", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
-        at, known, ids, parts = None, {}, [], []
+
+        class Numbers(dict):
+            """Of a language's words, from 1; 0 for those that aren't frequent, and for breaks. A word is hashed when it is first seen."""
+
+            def __init__(self, lang: str):
+                super().__init__({BREAK: 0})
+                self.lang, self.name = lang, lang.encode()
+
+            def __missing__(self, word: bytes) -> int:
+                number = 0
+                if (found := word_id(self.name, word, seed)) in wanted:
+                    ids.append(found)
+                    names.append((self.lang, word.decode()))
+                    number = len(ids)
+                self[word] = number
+                return number
+
+        at, wanted, known, ids, names, parts = None, set(), {}, [], [], []
 
         def listed():
             if parts:
                 number = np.concatenate(parts)
                 places = np.flatnonzero(number)
-                yield _state(codec, at, np.array(ids, "i8"), places, number[places] - 1)
+                yield _state(codec, at, np.array(ids, "i8"), places, number[places] - 1, names)
 
         for batch in batches:
             for segment, kind, lang, packed, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
                 if segment != at:
                     yield from listed()
-                    at, known, ids, parts = segment, {}, [], []
+                    at, wanted, known, ids, names, parts = segment, set(), {}, [], [], []
                 if kind == 0:
-                    ids.append(n)
-                    known.setdefault(lang, {})[packed.as_py()] = len(ids)
-                elif lang in known:
-                    find = known[lang].get
+                    wanted.add(n)
+                elif wanted:
+                    if lang not in known:
+                        known[lang] = Numbers(lang)
                     found = tokens(_unpacked(codec, n, packed))
-                    parts.append(np.fromiter((find(t, 0) for t in found), "i4", len(found)))
+                    parts.append(np.fromiter(map(known[lang].__getitem__, found), "i4", len(found)))
                     parts.append(np.zeros(1, "i4"))
         yield from listed()
         common.give_back()
@@ -183,10 +207,10 @@ def _lengths(lists: DataFrame, buckets: int) -> DataFrame:
                 for i in range(0, len(first), 256):
                     some = ends[i : i + 257]
                     part = slice(some[0], some[-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[some[:-1]]), pa.array(np.full(len(some) - 1, segment, "i4")), *_arrays(some - some[0], a[part], b[part], count[part])], ["bucket", "segment", "a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[some[:-1]]), pa.array(np.full(len(some) - 1, segment, "i4")), *_arrays(some - some[0], a[part], b[part], count[part].astype("i4"))], ["bucket", "segment", "a", "b", "n"])
         common.give_back()
 
-    return lists.mapInArrow(run, "bucket int, segment int, a array<long>, b array<long>, n array<long>")
+    return lists.select("segment", "n", "ids", "places", "numbers").mapInArrow(run, "bucket int, segment int, a array<long>, b array<long>, n array<int>")
 
 
 def _frequent_pairs(lengths: DataFrame, buckets: int, least: int, salt: int) -> DataFrame:
@@ -200,6 +224,7 @@ def _frequent_pairs(lengths: DataFrame, buckets: int, least: int, salt: int) ->
         if not parts:
             return
         segment, a, b, n = (np.concatenate(x) for x in zip(*parts))
+        n = n.astype("i8")
         order = np.lexsort((segment, b, a))
         segment, a, b, n = (x[order] for x in (segment, a, b, n))
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, "i8")
@@ -229,7 +254,7 @@ def _longer(lists: DataFrame, frequent: DataFrame, segments: int) -> DataFrame:
     arrays = [F.lit(None).cast("array<long>").alias(n) for n in ("a", "b", "id")]
     binaries = [F.lit(None).cast("binary").alias(n) for n in ("ids", "places", "numbers")]
     verdicts = frequent.where("segment >= 0").select("segment", F.lit(0).alias("kind"), "a", "b", "id", F.lit(0).cast("long").alias("n"), *binaries)
-    own = lists.select("segment", F.lit(1).alias("kind"), *arrays, "n", "ids", "places", "numbers")
+    own = lists.select("segment", F.lit(1).alias("kind"), *arrays, "n", "ids", "places", "numbers")  # names aren't needed any more
     dealt = verdicts.unionByName(own).repartitionById(segments, F.col("segment")).sortWithinPartitions("segment", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,34 +284,40 @@ def _longer(lists: DataFrame, frequent: DataFrame, segments: int) -> DataFrame:
     return dealt.mapInArrow(run, _STATE)
 
 
-def _frequent_words(words: DataFrame, least: int, seed: int) -> DataFrame:
-    """Rows of words that occur ``least`` times or more, with their frequency f and an id."""
-    of_word = Window.partitionBy("lang", "word")
-    return words.withColumn("f", F.sum("n").over(of_word)).where(F.col("f") >= least).withColumn("id", F.xxhash64(F.lit(seed), "lang", "word"))
-
-
-def _levels(docs: DataFrame, least: int, longest: int) -> list[DataFrame]:
-    """Per length its frequent words (lang, word, id, f; a null word for all words) or phrases (a, b: ids of all words but the last, or the first; id, f)."""
+def _levels(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, list[DataFrame]]:
+    """lang and n (all words); and per length its frequent words (id, lang, word, f) or phrases (a, b: ids of all words but the last, or the first; id, f)."""
     segments = common.shuffle_partitions(docs.sparkSession)
     texts = _segments(docs, segments)
+    of_word = Window.partitionBy("lang", "id")
     for seed in range(SEEDS):
-        words = common.written(_frequent_words(_words(texts, segments), least, seed), "phrases-words")
-        found = [words.groupBy("lang", "word", "id").agg(F.max("f").alias("f"))]
-        lists = common.written(_first_lists(texts, words, segments), "phrases-lists")
+        counted = _words(texts, segments, seed).withColumn("f", F.sum("n").over(of_word))
+        words = common.written(counted.where((F.col("f") >= least) | F.col("lang").isNotNull()), "phrases-words")
+        lists = common.written(_first_lists(texts, words, segments, seed), "phrases-lists")
+        named = lists.select(F.explode(F.arrays_zip("langs", "words")).alias("x")).groupBy("x.langs", "x.words").count().select(F.col("langs").alias("lang"), F.col("words").alias("word"))
+        named = named.withColumn("id", F.arrow_udf(_ids(seed), "long")("lang", "word"))
+        found = [words.where("id is not null").groupBy("id").agg(F.max("f").alias("f")).join(named, "id")]
         for level in range(2, longest + 1):
             frequent = common.written(_frequent_pairs(_lengths(lists, segments), segments, least, seed * 16 + level), "phrases-frequent")
             found.append(frequent.where("segment = -1").select(F.explode(F.arrays_zip("a", "b", "id", "f")).alias("x")).select("x.*"))
             if level < longest:
                 lists = common.written(_longer(lists, frequent, segments), "phrases-lists")
         if all(t.groupBy("id").count().where("count > 1").isEmpty() for t in found):
-            return found
+            return words.where("id is null").groupBy("lang").agg(F.max("f").alias("n")), found
     raise RuntimeError(f"ids collided under {SEEDS} seeds")
 
 
+def _ids(seed: int):
+    def ids(langs: pa.Array, words: pa.Array) -> pa.Array:
+        return pa.array([word_id(lang.encode(), word.encode(), seed) for lang, word in zip(langs.to_pylist(), words.to_pylist())], pa.int64())
+
+    ids.__annotations__ = {"langs": pa.Array, "words": pa.Array, "return": pa.Array}
+    return ids
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best phrases of each language."""
-    words, *longer = _levels(docs, least, longest)
-    before = words.where("word is not null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))
+    n, (words, *longer) = _levels(docs, least, longest)
+    before = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))
     candidates, tables = None, []
     for table in longer:
         ahead = before.select(F.col("id").alias("a"), "lang", "phrase", "heads")
@@ -301,7 +332,6 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
             rows = rows.join(inside, "id", "left").where("longer is null or 100 * longer < 100 * a")
         rows = rows.select("lang", "phrase", "a", "heads", "tails")
         candidates = rows if candidates is None else candidates.unionByName(rows)
-    n = words.where("word is null").select(F.col("lang"), F.col("f").alias("n"))
     cut = """array_min(transform(sequence(1, size(heads) - 1), k -> named_struct(
         'score', (cast(1000 * a as decimal(20, 0)) * cast(n as decimal(17, 0))) div (cast(heads[k - 1] as decimal(18, 0)) * cast(tails[size(tails) - k - 1] as decimal(18, 0))),
         'k', k, 'l', heads[k - 1], 'r', tails[size(tails) - k - 1])))"""
