@@ -50,9 +50,9 @@ def embedding_moments(reads: DataFrame, embedding: str, by: list[str], populatio
 BLOCKS = {"sequence": (0, 165), "embedding": (165, 421), "logits": (421, 464)}  # fixed layout of the joint vector
 
 
-def block(vector: str, *names: str) -> Column:
+def block(vector: str, *names: str, layout: dict[str, tuple[int, int]] = BLOCKS) -> Column:
     """Parts of the joint vector, in the order given."""
-    return F.concat(*[F.slice(F.col(vector), BLOCKS[n][0] + 1, BLOCKS[n][1] - BLOCKS[n][0]) for n in names])
+    return F.concat(*[F.slice(F.col(vector), layout[n][0] + 1, layout[n][1] - layout[n][0]) for n in names])
 
 
 def peak_scores(probabilities: list[Column], mean_logits: list[Column]) -> dict[str, Column]:
@@ -64,5 +64,5 @@ def peak_scores(probabilities: list[Column], mean_logits: list[Column]) -> dict[
 ABLATIONS = {"A_sequence": ("sequence",), "B_embedding": ("embedding",), "C_logits": ("logits",), "D_sequence_embedding": ("sequence", "embedding"), "E_sequence_logits": ("sequence", "logits"), "F_embedding_logits": ("embedding", "logits"), "G_all": ("sequence", "embedding", "logits")}
 
 
-def ablated(vector: str) -> dict[str, Column]:
-    return {name: block(vector, *parts) for name, parts in ABLATIONS.items()}
+def ablated(vector: str, layout: dict[str, tuple[int, int]] = BLOCKS) -> dict[str, Column]:
+    return {name: block(vector, *parts, layout=layout) for name, parts in ABLATIONS.items()}

@@ -59,3 +59,11 @@ def running(df: DataFrame, value: str, sums: list[str], by: list[str] | None = N
         *[f"total_{x}" for x in sums],
         F.coalesce(F.lead(value).over(inside), F.col("__next_edge")).alias("next_value"),
     )
+
+
+def ecdf(df: DataFrame, value: str, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """by, value, n, cumulative (share of the group's rows that are no larger): a row for each different value. Null and NaN aren't values."""
+    by = by or []
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count("*").alias("n"))
+    r = running(counts, value, ["n"], by, ranges=ranges)
+    return r.select(*by, value, "n", (F.col("cum_n") / F.col("total_n")).alias("cumulative"))

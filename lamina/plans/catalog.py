@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lamina.functions import labels as L
 from lamina.functions import scalars, sequences
-from lamina.operators import audit, conformal, decisions, detectors, distances, features, metrics, models, resample, selection, structure, thresholds, votes
+from lamina.operators import audit, conformal, decisions, detectors, distances, features, metrics, models, ordered, resample, selection, structure, thresholds, votes
 from lamina.plans import reads as R
 from lamina.sources import delimited
 
@@ -289,6 +289,15 @@ def ecc_score_distribution(spark, sf_dir):
     return rounded(d.withColumn("count", F.col("count").cast("long")), "family", "count")
 
 
+@query("score_ecdf", f"""WITH {R.ARCHIVES}, g AS (SELECT truth AS family, round(ecc_score, 9) AS s FROM archives UNION ALL SELECT 'all', round(ecc_score, 9) FROM archives)
+SELECT family, round(s + 1e-9, 6) AS score, CAST(count(*) AS BIGINT) AS n, round(sum(count(*)) OVER (PARTITION BY family ORDER BY s) / sum(count(*)) OVER (PARTITION BY family), 6) AS cumulative FROM g GROUP BY family, s""")
+def score_ecdf(spark, sf_dir):
+    """The curve of each family's scores, and of all."""
+    a = R.archives(spark, sf_dir).select(F.explode(F.array("truth", F.lit("all"))).alias("family"), F.round("ecc_score", 9).alias("score"))
+    e = ordered.ecdf(a, "score", ["family"])
+    return e.select("family", r6(F.col("score") + 1e-9, "score"), big("n", "n"), r6("cumulative", "cumulative"))
+
+
 @query("seed_summary", """WITH v AS (SELECT o_orderpriority AS method, year(o_orderdate) AS seed, avg(o_totalprice) AS value FROM orders GROUP BY ALL)
 SELECT method, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, round(stddev_pop(value), 6) AS std_population, CAST(arg_max(seed, value) AS BIGINT) AS best_seed, round(max(value), 6) AS best_value, CAST(arg_min(seed, value) AS BIGINT) AS worst_seed, round(min(value), 6) AS worst_value FROM v GROUP BY method""")
 def seed_summary(spark, sf_dir):
@@ -765,7 +774,7 @@ def macro_f1_bootstrap(spark, sf_dir):
 def proxy_scores(spark, sf_dir):
     """A logistic score over principal components; held against a plain fit in the tests."""
     e = R.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") >= 8).cast("int").alias("anomaly"))
-    return e.select("vec_id", F.round(models.proxy_score("embedding", models.fit_proxy(e, "embedding", "anomaly", 4)), 4).alias("proxy_score"))
+    return e.select("vec_id", r6(models.proxy_score("embedding", models.fit_proxy(e, "embedding", "anomaly")), "proxy_score"))
 
 
 @query("distinct_types", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT text) AS BIGINT) AS distinct_texts FROM documents")

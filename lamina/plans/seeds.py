@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import labels as L
-from lamina.operators import decisions, metrics, resample
+from lamina.operators import ablation, decisions, metrics, resample
 from lamina.plans import pipelines
 from lamina.plans import reads as R
 from lamina.plans.catalog import big, query, r6
@@ -150,6 +150,35 @@ def seed_run_pooled(spark, sf_dir):
     return found.select("method", "metric", r6("value", "value"))
 
 
+def _intervals_sql() -> str:
+    known, unknown = "t IN (" + ", ".join(f"'{x}'" for x in L.KNOWN) + ")", "t IN ('HEDGES', 'DNA-Aeon')"
+    is_known = lambda c: known.replace("t IN", f"{c} IN")
+    share = lambda c, among="true": f"avg(CAST({c} AS INT)) FILTER (WHERE {among})"
+    hits = lambda c, x: f"CAST(2 * count(*) FILTER (WHERE t = '{x}' AND {c} = '{x}') AS DOUBLE) / greatest(1, count(*) FILTER (WHERE t = '{x}') + count(*) FILTER (WHERE {known} AND {c} = '{x}'))"
+    f1 = lambda c: "(" + " + ".join(hits(c, x) for x in L.KNOWN) + f") / {len(L.KNOWN)}"
+    metrics_ = {
+        "proxy_known_acceptance": share(is_known("p"), known), "proxy_unknown_recall": share("p = 'unknown_ecc'", unknown), "proxy_forced_known": share(is_known("p"), unknown),
+        "three_state_unknown_risk_coverage": share(f"NOT {is_known('s')}", unknown), "three_state_known_uncertain": share("s = 'uncertain_ecc'", known), "three_state_unknown_direct_known": share(is_known("s"), unknown),
+        "three_state_manual_review": share("s = 'uncertain_ecc'"), "proxy_macro_f1_change": f"{f1('p')} - {f1('b')}",
+    }
+    draw = "CAST(floor(('0x' || substr(md5(concat_ws(':', {parts})), 1, 8))::UBIGINT / 4294967296.0 * size) AS INT)"
+    values = ", ".join(f"{e} AS {n}" for n, e in metrics_.items())
+    return f"""WITH {R.DECIDED}, r AS (SELECT archive_id % 5 AS seed, truth AS category, proxy_only, three_state, closed, row_number() OVER (PARTITION BY archive_id % 5, truth ORDER BY archive_id) - 1 AS k, count(*) OVER (PARTITION BY archive_id % 5, truth) AS size FROM decided),
+c AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS k, count(*) OVER () AS size FROM (SELECT DISTINCT seed FROM r)), reps AS (SELECT unnest(range(2000)) AS repetition),
+chosen AS (SELECT s.repetition, s.spot, c.seed FROM (SELECT repetition, k AS spot, {draw.format(parts="'7', CAST(repetition AS VARCHAR), 'cluster', CAST(k AS VARCHAR)")} AS k FROM c CROSS JOIN reps) s JOIN c ON c.k = s.k),
+d AS (SELECT r.seed, r.category, repetition, {draw.format(parts="'7', CAST(repetition AS VARCHAR), CAST(spot AS VARCHAR), category, CAST(k AS VARCHAR)")} AS k FROM r JOIN chosen ON r.seed = chosen.seed),
+j AS (SELECT repetition, category AS t, proxy_only AS p, three_state AS s, closed AS b FROM d JOIN r USING (seed, category, k)), v AS (SELECT repetition, {values} FROM j GROUP BY repetition),
+l AS (SELECT metric, value FROM v UNPIVOT (value FOR metric IN ({", ".join(metrics_)})))
+SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lower95, round(quantile_cont(value, 0.975), 6) AS upper95 FROM l GROUP BY metric"""
+
+
+@query("seed_run_intervals", _intervals_sql())
+def seed_run_intervals(spark, sf_dir):
+    """Eight metrics over seeds and archives drawn with replacement, from the seeds' written decisions."""
+    found = graph(spark, sf_dir, files.scratch(spark, "seeds")).run(("intervals",))["intervals"]
+    return found.select("metric", r6("mean", "mean"), r6("lower95", "lower95"), r6("upper95", "upper95"))
+
+
 _PROXY = 0.6  # another threshold, for a run after the first
 
 
@@ -196,3 +225,15 @@ def two_phase_scores(spark, sf_dir):
     scored.select("archive_id", "energy").write.parquet(path)  # the calls are made here, once
     found = spark.read.parquet(path).groupBy("archive_id").agg(big(F.count("*"), "reads"), r6(F.avg("energy"), "energy"))
     return found.withColumn("calls", F.lit(calls.value).cast("long"))
+
+
+LAYOUT = {"sequence": (0, 22), "embedding": (22, 43), "logits": (43, 64)}  # the places of a vector of 64, dealt to the three parts
+
+
+@query("ablation_metrics")
+def ablation_metrics(spark, sf_dir):
+    """A detector for each part of the vectors and each pair of parts, fitted on vectors of even number and evaluated on odd ones; held against a plain version in the tests."""
+    e = R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("label") >= 8).cast("int").alias("anomaly"))
+    even, odd = e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
+    found = ablation.evaluate(odd, "v", "anomaly", ablation.fit(even, "v", "anomaly", LAYOUT), LAYOUT)
+    return found.select("ablation", "dimensions", "n", *[r6(c, c) for c in ("threshold", "known_acceptance", "unknown_recall", "auroc")])

@@ -90,3 +90,20 @@ def test_seed_runs_keep_scores_where_a_threshold_changes(spark, tmp_path):
     second.run()
     assert not {n for n in second.made if n.startswith("scores")} and {"summary", "intervals", "decisions-0"} <= second.made
     assert out["matrices"].where("seed is null").agg(F.sum("n")).first()[0] == out["counts"].agg(F.sum("archives")).first()[0]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_command_line_keeps_what_is_there(spark, tmp_path):
+    from lamina import cli
+
+    cli.main(["seed-runs", FOLDER, f"{tmp_path}/o", "--repetitions", "20"])
+    first = {r.stage: r for r in spark.read.json(f"{tmp_path}/o/manifest").collect()}
+    assert {r.status for r in first.values()} == {"made"} and len(first) == 20
+    cli.main(["inventory", f"{tmp_path}/o/stages", f"{tmp_path}/inventory"])
+    cli.main(["seed-runs", FOLDER, f"{tmp_path}/o", "--repetitions", "20", "--proxy", "0.7", "--prune"])
+    second = {r.stage: r for r in spark.read.json(f"{tmp_path}/o/manifest").collect()}
+    assert {n for n, r in second.items() if r.status == "kept"} == {f"scores-{i}" for i in range(5)}
+    assert all(second[n].digest == first[n].digest for n in first if n.startswith("scores"))
+    cli.main(["verify", f"{tmp_path}/o/stages", f"{tmp_path}/inventory", f"{tmp_path}/differences"])
+    states = {r.state for r in spark.read.json(f"{tmp_path}/differences").collect()}
+    assert states == {"missing", "unexpected"}  # outputs of the old threshold are gone, others are new

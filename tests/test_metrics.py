@@ -198,3 +198,14 @@ def test_large_strata_are_drawn_by_chunks(spark):
     sizes = np.array([70, 1, 200, 30, 99])
     draws = [resample.draws_in_chunk("a:b", sizes, k)[0] for k in range(5)]
     assert sum(draws) == 400 and resample.independent(df, ["id"], {"m": (F.col("v"), F.lit(1.0))}, 100, pack=100).first().estimate == 4.5
+
+
+def test_ecdf_counts_ties_once(spark):
+    r = np.random.default_rng(5)
+    rows = [(g, float(v)) for g in ("a", "b") for v in r.integers(0, 20, 300)] + [("a", None), ("b", float("nan")), ("c", 1.0)]
+    got = {(x.g, x.v): (x.n, x.cumulative) for x in ordered.ecdf(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], 5).collect()}
+    for g in "abc":
+        own = np.array([v for k, v in rows if k == g and v is not None and v == v])
+        assert {v for k, v in got if k == g} == set(own)
+        for v in set(own):
+            assert got[g, v] == ((own == v).sum(), pytest.approx((own <= v).mean()))

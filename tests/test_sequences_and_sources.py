@@ -221,6 +221,12 @@ def test_array_files_and_command_line(spark, tmp_path):
     cli.main(["compare", str(tmp_path / "l"), str(tmp_path / "t.json"), str(tmp_path / "o")])
     got = {r.category: r.cascade_output for r in spark.read.parquet(str(tmp_path / "o" / "archives")).collect()}
     assert got["HEDGES"] == "unknown_ecc" and got["LDPC"] == "LDPC" and got["NoECC-Random"] == "no_ecc"
+    cli.main(["records", str(tmp_path / "l"), str(tmp_path / "t.json"), str(tmp_path / "r"), "--molecules", "2", "--reads", "3", "--read-sweep", "1", "3", "--molecule-sweep", "1"])
+    wide = spark.read.parquet(str(tmp_path / "r")).collect()
+    assert len(wide) == 7 * 4 and {(r.setting, r.M, r.q) for r in wide} == {("default", 2, 3), ("q_sweep", 2, 1), ("q_sweep", 2, 3), ("M_sweep", 1, 3)}
+    assert all(r.predicted_final_label == got[r.category] for r in wide if r.setting == "default")
+    one = next(r for r in wide if r.category == "LDPC" and r.setting == "M_sweep")
+    assert one.max_logit == pytest.approx(x[2, :1].astype("f4").mean(axis=(0, 1)).max(), abs=1e-6) and one.code_type == "LDPC" and one.unknown_score == one.stage2_energy
     with pytest.raises(Exception, match="out of range"):
         logits.validated(df.withColumn("presence", F.lit(1.5))).collect()
     np.savez(tmp_path / "two.npz", categories=categories)

@@ -222,6 +222,95 @@ def test_registered_detector_system_equals_a_plain_version(spark):
         assert [got[a][d] for d in detectors.DETECTORS] == pytest.approx(scores, rel=1e-5, abs=2e-5)
 
 
+def plain_newton(x, y, w, ridge):
+    """The published iteration on dense arrays."""
+    design, at = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    penalty = ridge * np.diag([1.0] * x.shape[1] + [0.0])
+    for _ in range(80):
+        p = 1 / (1 + np.exp(-np.clip(design @ at, -30, 30)))
+        hessian = design.T @ ((w * p * (1 - p))[:, None] * design) + penalty + 1e-9 * np.eye(len(at))
+        step = np.linalg.solve(hessian, design.T @ (w * (p - y)) + penalty @ at)
+        at = at - step
+        if np.linalg.norm(step) < 1e-8:
+            break
+    return at
+
+
+def test_newton_equals_a_plain_one(spark):
+    from lamina.operators import models
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(400, 6)), rng.integers(0, 2, 400)
+    x[y == 1, 0] += 1.5
+    w = rng.random(400) / 400
+    w[:5] = 0
+    rows = [(v.tolist(), int(k), float(u)) for v, k, u in zip(x, y, w)]
+    df = spark.createDataFrame(rows, "x array<double>, y int, w double").unionByName(spark.createDataFrame([(None, 1, 1.0)], "x array<double>, y int, w double")).repartition(5)
+    for ridge in (1e-3, 1e-2, 1.0):
+        assert np.allclose(models.newton(df, ridge), plain_newton(x, y, w, ridge), rtol=0, atol=1e-8)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_registered_proxy_scores_equal_a_plain_version(spark):
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()
+    x, y = np.array([r.embedding for r in rows], float), np.array([r.label >= 8 for r in rows], float)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    reduced = z @ np.linalg.svd(z, full_matrices=False)[2][:8].T
+    at = plain_newton(reduced, y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()), 1e-2)
+    want = dict(zip([r.vec_id for r in rows], 1 / (1 + np.exp(-(reduced @ at[:-1] + at[-1])))))
+    got = {r.vec_id: r.proxy_score for r in catalog.QUERIES["proxy_scores"](spark, FOLDER).collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_registered_ablations_equal_a_plain_version(spark):
+    from lamina.operators.features import ABLATIONS
+    from lamina.plans.seeds import LAYOUT
+
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()
+    whole, y, even = np.array([r.embedding for r in rows], float), np.array([r.label >= 8 for r in rows], float), np.array([r.vec_id % 2 == 0 for r in rows])
+    got = {r.ablation: r for r in catalog.QUERIES["ablation_metrics"](spark, FOLDER).collect()}
+    assert set(got) == set(ABLATIONS)
+    for name, parts in ABLATIONS.items():
+        x = np.concatenate([whole[:, slice(*LAYOUT[p])] for p in parts], axis=1)
+        mean, scale = x[even].mean(axis=0), x[even].std(axis=0)
+        z = (x - mean) / scale
+        axes = np.linalg.svd(z[even], full_matrices=False)[2][:8].T
+        own = y[even]
+        at = plain_newton(z[even] @ axes, own, np.where(own == 1, 0.5 / own.sum(), 0.5 / (1 - own).sum()), 1e-2)
+        score = 1 / (1 + np.exp(-(z @ axes @ at[:-1] + at[-1])))
+        known = np.sort(score[even & (y == 0)])
+        limit = known[max(1, math.ceil(0.95 * len(known))) - 1]
+        a, b = score[~even & (y == 0)], score[~even & (y == 1)]
+        r = got[name]
+        assert (r.dimensions, r.n) == (x.shape[1], (~even).sum())
+        want = limit, (a <= limit).mean(), (b > limit).mean(), (b[:, None] > a).mean()
+        assert (r.threshold, r.known_acceptance, r.unknown_recall, r.auroc) == pytest.approx(want, abs=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_registered_sequence_features_equal_a_plain_version(spark):
+    """All 165 of a language's whole texts."""
+    texts = {}
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("lang", "text").collect():
+        s = "".join(BASES[c] for c in r.text if c in BASES)
+        if s:
+            texts.setdefault(r.lang, []).append(s)
+
+    def one(s):
+        n, pairs = len(s), [a + b for a, b in zip(s, s[1:])]
+        base, pair = [s.count(b) / n for b in "ACGT"], [pairs.count(a + b) / max(n - 1, 1) for a in "ACGT" for b in "ACGT"]
+        entropy = lambda p: -sum(v * math.log2(v) for v in p if v > 0)
+        lengths = [len(list(g)) for _, g in itertools.groupby(s)]
+        lags = [sum(a == b for a, b in zip(s, s[k:])) / (n - k) if n > k else 0.0 for k in (1, 2, 3, 4, 6, 8, 12)]
+        return [n / 400, *base, base[1] + base[2], entropy(base), *pair, entropy(pair), max(lengths) / n, sum(v for v in lengths if v >= 3) / n, *lags]
+
+    for r in catalog.QUERIES["sequence_features"](spark, FOLDER).collect():
+        x = np.array([one(s) for s in texts[r.lang]])
+        want = np.stack([x.mean(axis=0), x.std(axis=0), *np.quantile(x, [0.1, 0.5, 0.9], axis=0)], 1).ravel()
+        assert np.allclose(np.array(r[1:], float), want, rtol=1e-7, atol=1e-9)
+
+
 def test_missing_classes_and_origins(spark):
     from pyspark.sql import functions as F
 
