@@ -124,7 +124,8 @@ def _metrics_sql(by: str) -> str:
     }
     hits = lambda c, x: f"CAST(2 * count(*) FILTER (WHERE truth = '{x}' AND {c} = '{x}') AS DOUBLE) / greatest(1, count(*) FILTER (WHERE {known} AND truth = '{x}') + count(*) FILTER (WHERE {known} AND {c} = '{x}'))"
     f1 = lambda c: "(" + " + ".join(hits(c, x) for x in L.KNOWN) + f") / {len(L.KNOWN)}"
-    rates |= {"known_type_macro_f1": f1("output"), "known_type_macro_f1_change_from_closed": f"{f1('output')} - {f1('closed')}"}
+    some = lambda e: f"CASE WHEN count(*) FILTER (WHERE {known}) > 0 THEN {e} END"  # noqa: E731  over no known archives there is none
+    rates |= {"known_type_macro_f1": some(f1("output")), "known_type_macro_f1_change_from_closed": some(f"{f1('output')} - {f1('closed')}")}
     wide = f"SELECT {by}method, {', '.join(f'CAST({e} AS DOUBLE) AS "{n}"' for n, e in rates.items())} FROM rows GROUP BY ALL"
     names = ", ".join('"' + n + '"' for n in rates)
     return f"wide AS ({wide}), m AS (SELECT * FROM wide UNPIVOT INCLUDE NULLS (value FOR metric IN ({names})))"
