@@ -35,7 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet into a new folder of the shared checkpoint folder and read back: later plans read only the columns they need, and retried tasks find the same rows in the same order."""
     folder = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    out = df.sparkSession.read.parquet(folder)
+    out._written_to = folder
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing will read it any more."""
+    if folder := getattr(df, "_written_to", None):
+        delete(df.sparkSession, folder)
 
 
 def delete(spark: SparkSession, folder: str) -> None:

@@ -295,14 +295,18 @@ def _levels(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, list[
         lists = common.written(_first_lists(texts, words, segments, seed), "phrases-lists")
         named = lists.select(F.explode(F.arrays_zip("langs", "words")).alias("x")).groupBy("x.langs", "x.words").count().select(F.col("langs").alias("lang"), F.col("words").alias("word"))
         named = named.withColumn("id", F.arrow_udf(_ids(seed), "long")("lang", "word"))
-        found = [words.where("id is not null").groupBy("id").agg(F.max("f").alias("f")).join(named, "id")]
+        found = [common.written(words.where("id is not null").groupBy("id").agg(F.max("f").alias("f")).join(named, "id"), "phrases-named")]
+        total = common.written(words.where("id is null").groupBy("lang").agg(F.max("f").alias("n")), "phrases-total")
+        common.discard(words)
         for level in range(2, longest + 1):
             frequent = common.written(_frequent_pairs(_lengths(lists, segments), segments, least, seed * 16 + level), "phrases-frequent")
             found.append(frequent.where("segment = -1").select(F.explode(F.arrays_zip("a", "b", "id", "f")).alias("x")).select("x.*"))
+            before = lists
             if level < longest:
                 lists = common.written(_longer(lists, frequent, segments), "phrases-lists")
+            common.discard(before)
         if all(t.groupBy("id").count().where("count > 1").isEmpty() for t in found):
-            return words.where("id is null").groupBy("lang").agg(F.max("f").alias("n")), found
+            return total, found
     raise RuntimeError(f"ids collided under {SEEDS} seeds")
 
 

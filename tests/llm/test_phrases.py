@@ -66,6 +66,16 @@ def test_registered_query_equals_the_plain_version(spark, tmp_path):
     assert want and got(phrases.op11_phrases(spark, str(tmp_path))) == want
 
 
+def test_lists_are_deleted_when_they_are_used_up(spark, tmp_path):
+    from lamina.llm import common
+
+    folder = common.checkpoint_folder(spark).removeprefix("file://")
+    there = set(os.listdir(folder))
+    df = spark.createDataFrame(made(3, 40), "doc_id long, text string, lang string")
+    assert phrases.collocations(df, 5).count() > 0
+    assert not [x for x in set(os.listdir(folder)) - there if x.startswith(("phrases-lists", "phrases-words"))]
+
+
 def test_large_numbers_are_exact(spark):
     """Products that pass 64 bits: the score's own expression on made frequencies is held by integers."""
     a, n, l, r = 3 * 10**12 + 7, 9 * 10**15 + 1, 4 * 10**12 + 3, 5 * 10**12 + 9
