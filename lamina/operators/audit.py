@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lamina import storage
 from lamina.functions import labels as L
 from lamina.functions import scalars, sequences
 from lamina.operators import structure
@@ -91,10 +92,10 @@ def xor_blocks(members: DataFrame, blocks: DataFrame, droplet: str, block: str,
     return members.join(blocks, block).groupBy(droplet).agg(F.count("*").alias("degree"), F.bit_xor(value).alias(value))
 
 
-def composition(df: DataFrame, sequence: str, by: str) -> DataFrame:
+def composition(df: DataFrame, sequence: str, by: str, table: bytes | None = None) -> DataFrame:
     """Per group: GC mean and deviation, mean and 95 % quantile of the longest run, and how far the pooled neighbour pairs are from uniform (sum of absolute gaps)."""
     names = [F.col(f"pair_{p}") for p in structure.PAIRS]
-    rows = structure.counted(df, sequence, [by]).withColumns({"__g": scalars.rate_or_zero(F.col("base_G") + F.col("base_C"), F.col("length")), "__r": F.col("longest_run")})
+    rows = storage.stored(structure.counted(df, sequence, [by], table=table), "counts").withColumns({"__g": scalars.rate_or_zero(F.col("base_G") + F.col("base_C"), F.col("length")), "__r": F.col("longest_run")})
     whole = F.greatest(sum((F.sum(p) for p in names), F.lit(0)), F.lit(1))
     gap = sum((F.abs(F.sum(p) / whole - 1 / 16) for p in names), F.lit(0.0))
     found = grouped(rows, [by], ["__r"], [0.95], [F.avg("__g").alias("gc_mean"), F.stddev_pop("__g").alias("gc_std"), F.avg("__r").alias("run_mean"), gap.alias("pair_distance")])

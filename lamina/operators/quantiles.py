@@ -1,11 +1,11 @@
 """Exact interpolated quantiles of groups of any size.
 
-``F.percentile`` keeps every different value of a group in one task's buffer. Groups of up to SMALL rows are given to it. Of larger ones
-(more than SMALL rows and a partition's share, so at most as many as there are partitions) the wanted ranks are found by radix refinement:
-numbers become integers of the same order, their first bits are counted per group, which any number of tasks do side by side, and the bins
-that hold wanted ranks are looked into, DIGIT bits deeper with each pass. A rank is found once its bin has no more than LEFT
-rows, which are then sorted, or when no bits are left (equal values). There are six passes at most, each over the rows of the bins
-that are still wanted, and what goes through a shuffle are counts of bins.
+``F.percentile`` keeps every different value of a group in one task's buffer. Groups of up to SMALL values of all columns are given to it.
+Of larger ones (and of more rows than a partition's share, so at most as many as there are partitions) the wanted ranks are found by radix refinement:
+numbers become integers of the same order, which are written once, their first bits are counted per group and column, which any number of tasks do side
+by side, and the bins that hold wanted ranks are looked into, DIGIT bits deeper with each pass. A rank is found once its bin has
+one value, however often, or no more than LEFT rows, which are then sorted. There are six passes at most, each for all columns at once
+and over the rows of the bins that are still wanted, and what goes through a shuffle are counts of bins.
 
 Defined cases: nulls aren't values; NaN is the largest, as it is for the engine; -0.0 counts as 0.0; a group of no values has null quantiles;
 the quantile q of n values lies q * (n - 1) places behind the least, between two of them by linear interpolation.
@@ -37,7 +37,14 @@ def _ordered(values: pa.Array) -> pa.Array:
     return pa.array(found, mask=np.asarray(values.is_null()))
 
 
+def _number(keys: pa.Array) -> pa.Array:
+    """The doubles of such longs."""
+    k = np.asarray(keys.to_numpy(zero_copy_only=False), "i8")
+    return pa.array(np.where(k < 0, k ^ np.int64(0x7FFFFFFFFFFFFFFF), k).view("f8"))
+
+
 _ordered.__annotations__ = {"values": pa.Array, "return": pa.Array}
+_number.__annotations__ = {"keys": pa.Array, "return": pa.Array}
 
 
 def _same(by: list[str], left: str, right: str) -> Column:
@@ -53,36 +60,41 @@ def _written(df: DataFrame, made: list[str]) -> DataFrame:
 
 def ranked(df: DataFrame, by: list[str], value: str, ranks: DataFrame, made: list[str], left: int = LEFT) -> DataFrame:
     """by, rank, value: ``ranks`` (by, rank from 0) of ``value`` within its group, none of them null."""
-    key = F.arrow_udf(_ordered, "long")(F.col(value))
-    rows = df.select(*by, F.col(value).cast("double").alias("v"), key.alias("k")).where("v is not null")
-    wanted = ranks.select(*by, "rank", F.col("rank").alias("inside"), F.lit(0).cast("long").alias("bin"), F.lit(None).cast("long").alias("n"))
+    rows = df.select(*by, F.arrow_udf(_ordered, "long")(F.col(value)).alias("k"))
+    return _ranked(rows.where("k is not null"), by, ranks, made, left)
+
+
+def _ranked(rows: DataFrame, by: list[str], ranks: DataFrame, made: list[str], left: int = LEFT) -> DataFrame:
+    """The same of rows by, k (numbers as longs of the same order). The wanted bins are broadcast: one for each wanted rank at most."""
+    wanted = ranks.select(*by, "rank", F.col("rank").alias("inside"), F.lit(0).cast("long").alias("bin"))
     found: list[DataFrame] = []
     for depth in range(DIGIT, BITS + DIGIT, DIGIT):
         shift = max(0, BITS - depth)
         before = min(BITS, BITS - depth + DIGIT)  # bits that the pass before left open
-        bin_before = F.lit(0).cast("long") if before == BITS else F.shiftright("r.k", before)
-        bins = wanted.select(*by, "bin").distinct()
-        inside = rows.alias("r").join(bins.alias("w"), _same(by, "r", "w") & (bin_before == F.col("w.bin")), "left_semi")
-        counts = inside.groupBy(*by, F.shiftright("k", before).alias("__up") if before < BITS else F.lit(0).cast("long").alias("__up"), F.shiftright("k", shift).alias("bin")).agg(F.count("*").alias("n"))
+        up = F.lit(0).cast("long") if before == BITS else F.shiftright("k", before)
+        inside = rows
+        if before < BITS:  # the first pass counts everything
+            bins = F.broadcast(wanted.select(*by, "bin").distinct())
+            inside = rows.alias("r").join(bins.alias("w"), _same(by, "r", "w") & (F.shiftright("r.k", before) == F.col("w.bin")), "left_semi")
+        counts = inside.groupBy(*by, up.alias("__up"), F.shiftright("k", shift).alias("bin")).agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("k").alias("most"))
         order = Window.partitionBy(*by, "__up").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # 2 ** DIGIT rows at most
         table = counts.withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0)))
         hit = (F.col("w.bin") == F.col("c.__up")) & (F.col("w.inside") >= F.col("c.below")) & (F.col("w.inside") < F.col("c.below") + F.col("c.n"))
         narrowed = wanted.alias("w").join(table.alias("c"), _same(by, "w", "c") & hit)
-        state = _written(narrowed.select(*[f"w.{c}" for c in by], "w.rank", (F.col("w.inside") - F.col("c.below")).alias("inside"), "c.bin", "c.n"), made)
-        done = state if shift == 0 else state.where(F.col("n") <= left)
-        some = done.select(*by, "bin").distinct()
-        at = rows.alias("r").join(some.alias("w"), _same(by, "r", "w") & (F.shiftright("r.k", shift) == F.col("w.bin")), "left_semi")
-        if shift == 0:  # one value a bin
-            lists = at.groupBy(*by, F.col("k").alias("bin")).agg(F.first("v").alias("v"))
-            got = done.alias("w").join(lists.alias("l"), _same(by, "w", "l") & (F.col("w.bin") == F.col("l.bin"))).select(*[f"w.{c}" for c in by], "w.rank", "l.v")
-        else:
-            lists = at.groupBy(*by, F.shiftright("k", shift).alias("bin")).agg(F.sort_array(F.collect_list("v")).alias("l"))
-            got = done.alias("w").join(lists.alias("l"), _same(by, "w", "l") & (F.col("w.bin") == F.col("l.bin"))).select(*[f"w.{c}" for c in by], "w.rank", F.get("l.l", F.col("w.inside").cast("int")).alias("v"))
+        state = _written(narrowed.select(*[f"w.{c}" for c in by], "w.rank", (F.col("w.inside") - F.col("c.below")).alias("inside"), "c.bin", "c.n", "c.least", "c.most"), made)
+        got = state.where("least = most").select(*by, "rank", F.col("least").alias("k"))  # however many rows have it
+        some = state.where((F.col("least") < F.col("most")) & (F.col("n") <= left))
+        if shift and not some.isEmpty():
+            bins = F.broadcast(some.select(*by, "bin").distinct())
+            at = rows.alias("r").join(bins.alias("w"), _same(by, "r", "w") & (F.shiftright("r.k", shift) == F.col("w.bin")), "left_semi")
+            lists = at.groupBy(*by, F.shiftright("k", shift).alias("bin")).agg(F.sort_array(F.collect_list("k")).alias("l"))
+            sorted_ = some.alias("w").join(lists.alias("l"), _same(by, "w", "l") & (F.col("w.bin") == F.col("l.bin"))).select(*[f"w.{c}" for c in by], "w.rank", F.get("l.l", F.col("w.inside").cast("int")).alias("k"))
+            got = got.unionByName(sorted_)
         found.append(_written(got, made))
-        wanted = state.where(F.col("n") > left)
+        wanted = state.where((F.col("least") < F.col("most")) & (F.col("n") > left)).select(*by, "rank", "inside", "bin")
         if shift == 0 or wanted.isEmpty():
             break
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found).select(*by, "rank", F.arrow_udf(_number, "double")("k").alias("v"))
 
 
 def _interpolated(low: Column, high: Column, part: Column) -> Column:
@@ -95,7 +107,7 @@ def grouped(df: DataFrame, by: list[str], values: list[str], quantiles: list[flo
     sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
     plain = lambda rows: rows.groupBy(*by).agg(*others, *[F.percentile(v, list(quantiles)).alias(v) for v in values])
     top = sizes.agg(F.max("__n").alias("most"), F.sum("__n").alias("all")).first()
-    share = max(small, (top["all"] or 0) // max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    share = max(small // max(1, len(values)), (top["all"] or 0) // max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     if (top["most"] or 0) <= share:
         return plain(df)
     if by:
@@ -105,19 +117,22 @@ def grouped(df: DataFrame, by: list[str], values: list[str], quantiles: list[flo
     else:
         big, rest = df, None
     made: list[str] = []
-    found = _written(big.groupBy(*by).agg(*others, F.count("*").alias("__rows")), made)
-    for v in values:
-        counted = big.groupBy(*by).agg(F.count(v).alias("n"))
-        at = F.transform(F.array(*[F.lit(float(q)) for q in quantiles]), lambda q: q * (F.col("n") - 1))
-        places = _written(counted.select(*by, "n", at.alias("at")), made)
-        both = F.array_distinct(F.flatten(F.transform("at", lambda a: F.array(F.floor(a), F.ceil(a)))))
-        ranks = places.where("n > 0").select(*by, F.explode(both).alias("rank"))
-        at_rank = ranked(big, by, v, ranks, made, left).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("of"))
-        joined = places.alias("p").join(at_rank.alias("q"), _same(by, "p", "q"), "left")
-        each = F.transform("p.at", lambda a: _interpolated(F.element_at("q.of", F.floor(a)), F.element_at("q.of", F.ceil(a)), a - F.floor(a)))
-        one = _written(joined.select(*[f"p.{c}" for c in by], F.when(F.col("q.of").isNotNull(), each).alias("__of")), made)
-        found = found.alias("f").join(one.alias("o"), _same(by, "f", "o")).select("f.*", F.col("o.__of").alias(v))
-    found = _written(found.drop("__rows"), [])
+    counted = [F.count(v).alias(f"__n{i}") for i, v in enumerate(values)]
+    found = _written(big.groupBy(*by).agg(*others, *counted), made)
+    numbers = _written(big.select(*by, *[F.arrow_udf(_ordered, "long")(F.col(v)).alias(f"__k{i}") for i, v in enumerate(values)]), made)
+    rows = numbers.select(*by, F.posexplode(F.array(*[f"__k{i}" for i in range(len(values))])).alias("__of", "k")).where("k is not null")  # all values are looked through at once
+    each = found.select(*by, F.posexplode(F.array(*[f"__n{i}" for i in range(len(values))])).alias("__of", "n"))
+    at = F.transform(F.array(*[F.lit(float(q)) for q in quantiles]), lambda q: q * (F.col("n") - 1))
+    places = each.where("n > 0").select(*by, "__of", at.alias("at"))
+    both = F.array_distinct(F.flatten(F.transform("at", lambda a: F.array(F.floor(a), F.ceil(a)))))
+    keys = [*by, "__of"]
+    at_rank = _ranked(rows, keys, places.select(*keys, F.explode(both).alias("rank")), made, left).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("of"))
+    between = F.transform("p.at", lambda a: _interpolated(F.element_at("q.of", F.floor(a)), F.element_at("q.of", F.ceil(a)), a - F.floor(a)))
+    one = places.alias("p").join(at_rank.alias("q"), _same(keys, "p", "q")).select(*[f"p.{c}" for c in keys], between.alias("v"))
+    wide = one.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__of", "v"))).alias("__of"))
+    whole = found.alias("f").join(wide.alias("o"), _same(by, "f", "o"), "left")
+    names = [c for c in found.columns if c not in {f"__n{i}" for i in range(len(values))}]
+    found = _written(whole.select(*[f"f.{c}" for c in names], *[F.try_element_at("o.__of", F.lit(i)).alias(v) for i, v in enumerate(values)]), [])
     for path in made:
         storage.delete(spark, path)
     return found if rest is None else rest.unionByName(found)

@@ -23,6 +23,7 @@ from lamina.functions import scalars
 from lamina.functions.sequences import BASES, LAGS
 
 STRETCH = 1 << 20  # letters
+SLICE = 1 << 20  # bytes that are looked at at once
 EDGE = max(LAGS)
 LONG = 3  # a run of so many bases or more is long
 PAIRS = [a + b for a in BASES for b in BASES]
@@ -92,13 +93,39 @@ def merged(a: Summary, b: Summary) -> Summary:
     return out
 
 
-def summaries(values: pa.Array) -> list[Summary]:
-    """Of each sequence of a column, all at once over the column's bytes."""
+def read_as(letters: dict[str, str]) -> bytes:
+    """A table of what each byte is read as; bytes that aren't named are left out."""
+    table = bytearray(256)
+    for k, v in letters.items():
+        table[ord(k)] = ord(v)
+    return bytes(table)
+
+
+def _slices(column: pa.Array) -> Iterator[pa.Array]:
+    """Rows of about SLICE bytes, one row at least: what is made for each letter is many times its size."""
+    ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
+    at = 0
+    while at < len(column):
+        n = max(1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1 - at)
+        yield column.slice(at, n)
+        at += n
+
+
+def summaries(values: pa.Array, table: bytes | None = None) -> list[Summary]:
+    """Of each sequence of a column, or of what ``table`` (of read_as) makes of it; slice by slice, all at once over a slice's bytes."""
     column = values.cast(pa.binary()).fill_null(b"")
+    return [s for part in _slices(column) for s in _summaries(part, table)] if len(column) else []
+
+
+def _summaries(column: pa.Array, table: bytes | None) -> list[Summary]:
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + n + 1].astype("i8")
     data = np.frombuffer(column.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    if table is not None:
+        data = np.frombuffer(table, "u1")[data]
+        offsets = np.append(0, np.cumsum(data != 0))[offsets]
+        data = data[data != 0]
     sizes = np.diff(offsets)
     counts = np.zeros((n, len(_COUNTS)), "i8")
     counts[:, 0] = sizes
@@ -132,20 +159,20 @@ def summaries(values: pa.Array) -> list[Summary]:
     return out
 
 
-def counted(df: DataFrame, sequence: str, keys: list[str], stretch: int = STRETCH) -> DataFrame:
-    """keys and the counts NAMES of each row's sequence. Rows of up to ``stretch`` letters stay where they are."""
+def counted(df: DataFrame, sequence: str, keys: list[str], stretch: int = STRETCH, table: bytes | None = None) -> DataFrame:
+    """keys and the counts NAMES of each row's sequence, or of what ``table`` (of read_as) makes of its text. Rows of up to ``stretch`` bytes stay where they are."""
     width = len(NAMES)
     kinds = dict(df.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"{n} long" for n in NAMES]])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([s.values() for s in summaries(batch.column(len(keys)))], "i8").reshape(-1, width)
+            found = np.array([s.values() for s in summaries(batch.column(len(keys)), table)], "i8").reshape(-1, width)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *[pa.array(found[:, i]) for i in range(width)]], [*keys, *NAMES])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = summaries(batch.column(2))
+            found = summaries(batch.column(2), table)
             rows = [[*map(int, s.counts), s.longest, s.long, *s.front, *s.back] for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64())), pa.array([s.head for s in found], pa.binary()), pa.array([s.tail for s in found], pa.binary())], ["__row", "__at", "numbers", "head", "tail"])
 

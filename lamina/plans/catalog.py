@@ -592,6 +592,15 @@ def _sequences(spark, sf_dir) -> DataFrame:
     return R.table(spark, sf_dir, "documents").select("doc_id", "lang", s.alias("s"))
 
 
+#: The same letters, mapped where they are counted.
+_READ_AS = structure.read_as(dict(zip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC")))
+
+
+def _counted(spark, sf_dir, *keys: str) -> DataFrame:
+    """Counts of the base sequences of whole texts, as _sequences makes them."""
+    return structure.counted(R.table(spark, sf_dir, "documents"), "text", list(keys), table=_READ_AS)
+
+
 def sequence_query(name: str, sql: str):
     def add(f):
         query(name, sql)(lambda spark, sf_dir: f(_sequences(spark, sf_dir)))
@@ -600,23 +609,32 @@ def sequence_query(name: str, sql: str):
     return add
 
 
-@sequence_query("homopolymer", f"WITH {_SEQ}, r AS (SELECT doc_id, length(s) AS n, list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x)) AS runs FROM q) SELECT doc_id, CAST(coalesce(list_max(runs), 0) AS BIGINT) AS longest_run, round(CASE WHEN n = 0 THEN 0 ELSE coalesce(list_sum(list_filter(runs, lambda x: x >= 3)), 0) / n END, 6) AS long_run_fraction FROM r")
+def counts_query(name: str, sql: str):
+    """Of the counts of each text."""
+
+    def add(f):
+        query(name, sql)(lambda spark, sf_dir: f(_counted(spark, sf_dir, "doc_id")))
+        return f
+
+    return add
+
+
+@counts_query("homopolymer", f"WITH {_SEQ}, r AS (SELECT doc_id, length(s) AS n, list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x)) AS runs FROM q) SELECT doc_id, CAST(coalesce(list_max(runs), 0) AS BIGINT) AS longest_run, round(CASE WHEN n = 0 THEN 0 ELSE coalesce(list_sum(list_filter(runs, lambda x: x >= 3)), 0) / n END, 6) AS long_run_fraction FROM r")
 def homopolymer(q):
-    found = structure.counted(q, "s", ["doc_id"])
-    return found.select("doc_id", big("longest_run", "longest_run"), r6(scalars.rate_or_zero(F.col("long_bases"), F.col("length")), "long_run_fraction"))
+    return q.select("doc_id", big("longest_run", "longest_run"), r6(scalars.rate_or_zero(F.col("long_bases"), F.col("length")), "long_run_fraction"))
 
 
-@sequence_query("dinucleotide_freq", f"WITH {_SEQ}, p AS (SELECT doc_id, unnest(regexp_extract_all(s, '..') || regexp_extract_all(substr(s, 2), '..')) AS pair, length(s) - 1 AS n FROM q) SELECT doc_id, pair, round(count(*) / max(n), 6) AS frequency FROM p GROUP BY doc_id, pair")
+@counts_query("dinucleotide_freq", f"WITH {_SEQ}, p AS (SELECT doc_id, unnest(regexp_extract_all(s, '..') || regexp_extract_all(substr(s, 2), '..')) AS pair, length(s) - 1 AS n FROM q) SELECT doc_id, pair, round(count(*) / max(n), 6) AS frequency FROM p GROUP BY doc_id, pair")
 def dinucleotide_freq(q):
     each = F.array(*[F.struct(F.lit(p).alias("pair"), F.col(f"pair_{p}").alias("n")) for p in structure.PAIRS])
-    long = structure.counted(q, "s", ["doc_id"]).select("doc_id", "length", F.explode(F.filter(each, lambda p: p["n"] > 0)).alias("p"))
+    long = q.select("doc_id", "length", F.explode(F.filter(each, lambda p: p["n"] > 0)).alias("p"))
     return long.select("doc_id", "p.pair", r6(F.col("p.n") / (F.col("length") - 1), "frequency"))
 
 
-@sequence_query("lag_match", f"WITH {_SEQ} SELECT doc_id, {', '.join(f'round(CASE WHEN len(l) > {k} THEN len(list_filter(list_zip(l[{k + 1}:], l[:len(l) - {k}]), lambda p: p[1] = p[2])) / (len(l) - {k}) ELSE 0 END, 6) AS lag_{k}' for k in sequences.LAGS)} FROM (SELECT doc_id, CASE WHEN s = '' THEN [] ELSE string_split(s, '') END AS l FROM q)")
+@counts_query("lag_match", f"WITH {_SEQ} SELECT doc_id, {', '.join(f'round(CASE WHEN len(l) > {k} THEN len(list_filter(list_zip(l[{k + 1}:], l[:len(l) - {k}]), lambda p: p[1] = p[2])) / (len(l) - {k}) ELSE 0 END, 6) AS lag_{k}' for k in sequences.LAGS)} FROM (SELECT doc_id, CASE WHEN s = '' THEN [] ELSE string_split(s, '') END AS l FROM q)")
 def lag_match(q):
     found = structure.features(1)
-    return rounded(structure.counted(q, "s", ["doc_id"]).select("doc_id", *[found[f"lag_{k}"].alias(f"lag_{k}") for k in sequences.LAGS]), "doc_id")
+    return rounded(q.select("doc_id", *[found[f"lag_{k}"].alias(f"lag_{k}") for k in sequences.LAGS]), "doc_id")
 
 
 @sequence_query("seq_entropy", f"WITH {_SEQ}, f AS (SELECT doc_id, unnest(['A', 'C', 'G', 'T']) AS b, s FROM q), p AS (SELECT doc_id, b, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(s, b, ''))) / length(s) END AS p FROM f) SELECT doc_id, round(sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END), 6) AS entropy, round(sum(p) FILTER (WHERE b IN ('G', 'C')), 6) AS gc FROM p GROUP BY doc_id")
@@ -628,7 +646,7 @@ def seq_entropy(q):
 @query("sequence_features")
 def sequence_features(spark, sf_dir):
     """All 165, of whole texts; the parts have queries of their own."""
-    return features.sequence_features(_sequences(spark, sf_dir).where("s <> ''"), "s", ["lang"])
+    return features.sequence_features(R.table(spark, sf_dir, "documents"), "text", ["lang"], table=_READ_AS)
 
 
 @query("reference_audit", f"""WITH {_SEQ}, u AS (SELECT lang, s, count(*) AS n, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / length(s) END AS g, coalesce(list_max(list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x))), 0) AS r FROM q GROUP BY lang, s)
@@ -804,12 +822,12 @@ def event_windows(spark, sf_dir):
 _PAIRS = [a + b for a in sequences.BASES for b in sequences.BASES]
 
 
-@sequence_query("composition", f"""WITH {_SEQ}, p AS (SELECT lang, pair, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(s, '..') || regexp_extract_all(substr(s, 2), '..')) AS pair FROM q) GROUP BY ALL), langs AS (SELECT DISTINCT lang FROM q), grid AS (SELECT lang, unnest({_PAIRS}) AS pair FROM langs),
+@query("composition", f"""WITH {_SEQ}, p AS (SELECT lang, pair, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(s, '..') || regexp_extract_all(substr(s, 2), '..')) AS pair FROM q) GROUP BY ALL), langs AS (SELECT DISTINCT lang FROM q), grid AS (SELECT lang, unnest({_PAIRS}) AS pair FROM langs),
 d AS (SELECT lang, sum(abs(coalesce(n, 0) / t - 1 / 16)) AS pair_distance FROM grid LEFT JOIN p USING (lang, pair) JOIN (SELECT lang, sum(n) AS t FROM p GROUP BY lang) USING (lang) GROUP BY lang),
 r AS (SELECT lang, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / length(s) END AS g, coalesce(list_max(list_transform(regexp_extract_all(s, '(A+|C+|G+|T+)'), lambda x: length(x))), 0) AS r FROM q)
 SELECT lang, round(avg(g), 6) AS gc_mean, round(stddev_pop(g), 6) AS gc_std, round(avg(r), 6) AS run_mean, round(quantile_cont(r, 0.95), 6) AS run_q95, round(max(pair_distance), 6) AS pair_distance FROM r JOIN d USING (lang) GROUP BY lang""")
-def composition(q):
-    return rounded(audit.composition(q, "s", "lang"), "lang")
+def composition(spark, sf_dir):
+    return rounded(audit.composition(R.table(spark, sf_dir, "documents"), "text", "lang", _READ_AS), "lang")
 
 
 from lamina.plans import seeds, stores, streams  # noqa: E402, F401  register their queries

@@ -50,3 +50,16 @@ def test_a_hot_group_is_counted_by_all_tasks(spark):
 
 def test_empty_tables(spark):
     assert quantiles.grouped(spark.createDataFrame([], "g string, v double"), ["g"], ["v"], QS).count() == 0
+
+
+def test_all_columns_are_looked_through_at_once(spark):
+    """Passes don't grow with the columns, and equal values end them at once."""
+    df = spark.range(3000).select(F.lit("a").alias("g"), *[((F.col("id") * (i + 1) % 7) / 7).alias(f"v{i}") for i in range(12)])
+    values = [f"v{i}" for i in range(12)]
+    tracker, group = spark.sparkContext.statusTracker(), "quantiles-of-many-columns"
+    spark.sparkContext.setJobGroup(group, group)
+    got = quantiles.grouped(df, ["g"], values, [0.1, 0.5], small=12).first()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = df.groupBy("g").agg(*[F.percentile(v, [0.1, 0.5]).alias(v) for v in values]).first()
+    assert all(same(got[v], want[v]) for v in values)
+    assert len(tracker.getJobIdsForGroup(group)) < 60

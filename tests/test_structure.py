@@ -51,3 +51,24 @@ def test_long_sequences_are_spread_and_equal_the_plain_version(spark):
     counted = structure.counted(df, "s", ["id", "g"], 10_000)
     got = sorted((tuple(x) for x in counted.collect()), key=repr)
     assert got == sorted(((i, g, *plain(s)) for i, g, s in rows), key=repr)
+
+
+def test_letters_are_read_by_a_table_and_slice_by_slice(monkeypatch):
+    table = structure.read_as({"a": "A", "c": "C", "G": "G", "t": "T"})
+    rows = ["a c-t é aa", "", None, "GGGccc ttt", "zzz", "aG" * 40]
+    want = [plain("".join({"a": "A", "c": "C", "G": "G", "t": "T"}.get(x, "") for x in s or "")) for s in rows]
+    assert [s.values() for s in structure.summaries(pa.array(rows), table)] == want
+    monkeypatch.setattr(structure, "SLICE", 16)
+    assert [s.values() for s in structure.summaries(pa.array(["no", *rows]).slice(1), table)] == want
+
+
+def test_memory_of_a_batch_stays_small():
+    """A batch of 48 MB took more than 20 times its size."""
+    import tracemalloc
+
+    batch = pa.array(["ACGTTTGA" * 2000] * 3000)
+    tracemalloc.start()
+    structure.summaries(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
