@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CELLS = 1 << 17  # of the grids that are held at once
+
 
 def two_level(df: DataFrame, values: dict[str, Column], archive: list[str] | str = "archive_id", molecule: str = "molecule_id") -> DataFrame:
     """Mean over reads per molecule, then over molecules; not the mean of all reads where molecules differ in size. Both levels aggregate before the shuffle."""
@@ -33,27 +35,26 @@ def merge(parts: DataFrame, values: list[str], archive: list[str] | str = "archi
 def _grid(packed: DataFrame, keys: list[str], names: list[str], settings: list[tuple[int, int]]) -> DataFrame:
     """keys, m, q, the votes, molecules and reads of every setting, from rows with an array of reads (molecule index, read index, values)."""
     most_m, most_q = max(m for m, _ in settings), max(q for _, q in settings)
+    each = max(1, CELLS // (most_m * most_q))  # archives whose grids are held at once
     at_m, at_q = (np.array([s[i] - 1 for s in settings]) for i in (0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reads = batch.column(len(keys))
-            owner = np.repeat(np.arange(batch.num_rows), reads.value_lengths().to_numpy())
-            inside = reads.flatten()
-            m, q = (np.asarray(inside.field(i).to_numpy(zero_copy_only=False), "i8") for i in (0, 1))
-            values = [inside.field(2 + i) for i in range(len(names))]
-            each = max(1, (1 << 22) // (most_m * most_q))  # archives whose grids are held at once
             for first in range(0, batch.num_rows, each):
-                n = min(each, batch.num_rows - first)
-                own = slice(*np.searchsorted(owner, [first, first + n]))
-                cell = ((owner[own] - first) * most_m + m[own]) * most_q + q[own]
+                part = batch.slice(first, each)
+                n, reads = part.num_rows, part.column(len(keys))
+                owner = np.repeat(np.arange(n), reads.value_lengths().to_numpy())
+                inside = reads.flatten()
+                m, q = (np.asarray(inside.field(i).to_numpy(zero_copy_only=False), "i8") for i in (0, 1))
+                values = [inside.field(2 + i) for i in range(len(names))]
+                cell = (owner * most_m + m) * most_q + q
                 shape = (n, most_m, most_q)
                 there = np.bincount(cell, minlength=n * most_m * most_q).reshape(shape).cumsum(2)
                 count, reads_ = (there > 0).cumsum(1)[:, at_m, at_q], there.cumsum(1)[:, at_m, at_q]
                 columns = []
                 for v in values:
-                    some = np.asarray(v.slice(own.start, own.stop - own.start).is_valid())
-                    x = np.asarray(v.slice(own.start, own.stop - own.start).fill_null(0.0).to_numpy(zero_copy_only=False), "f8")
+                    some = np.asarray(v.is_valid())
+                    x = np.asarray(v.fill_null(0.0).to_numpy(zero_copy_only=False), "f8")
                     size = np.bincount(cell[some], minlength=n * most_m * most_q).reshape(shape).cumsum(2)
                     total = np.bincount(cell, weights=x, minlength=n * most_m * most_q).reshape(shape).cumsum(2)
                     mean = np.divide(total, size, out=np.zeros(shape), where=size > 0).cumsum(1)[:, at_m, at_q]
@@ -61,7 +62,7 @@ def _grid(packed: DataFrame, keys: list[str], names: list[str], settings: list[t
                     columns.append((np.divide(mean, voters, out=np.zeros(mean.shape), where=voters > 0), voters == 0))
                 kept = np.flatnonzero(reads_.ravel() > 0)
                 row, setting = kept // len(settings), kept % len(settings)
-                ids = [c.take(pa.array(first + row)) for c in batch.columns[: len(keys)]]
+                ids = [c.take(pa.array(row)) for c in part.columns[: len(keys)]]
                 votes = [pa.array(v.ravel()[kept], mask=none.ravel()[kept]) for v, none in columns]
                 out = [*ids, pa.array(at_m[setting] + 1), pa.array(at_q[setting] + 1), *votes, pa.array(count.ravel()[kept]), pa.array(reads_.ravel()[kept])]
                 for i in range(0, len(kept), 1 << 16):

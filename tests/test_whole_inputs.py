@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.plans import catalog
 
@@ -355,3 +356,38 @@ def test_tables_are_made_once_and_stored_by_category(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/store/category=p").count() == 1
     delimited.write_report(make(), f"{tmp_path}/report")
     assert spark.read.json(f"{tmp_path}/report").count() == 2 and len(list((tmp_path / "report").glob("*.json"))) == 1
+
+
+def test_weighed_parts_equal_the_ablated_vectors(spark):
+    """Short, null and negative vectors too; the parts in an order of their own."""
+    from lamina.operators import features
+
+    layout, ablations = {"a": (0, 2), "b": (2, 5), "c": (5, 6)}, {"x": ("b",), "y": ("c", "a"), "z": ("b", "c", "a")}
+    rows = [(1, [3, -1, 4, 1, 5, 9]), (2, [2, 7, 1]), (3, []), (4, None), (5, [1, None, 2, 3, 4, 5])]
+    df = spark.createDataFrame(rows, "k long, v array<long>")
+    got = {r.k: [r[n] for n in ablations] for r in features.weighed(df, "k", "v", layout, ablations).collect()}
+    for k, v in rows:
+        whole = {n: None if v is None else [x for p in parts for x in v[slice(*layout[p])]] for n, parts in ablations.items()}
+        assert got[k] == [None if w is None or None in w else sum(x * (i + 1) for i, x in enumerate(w)) for w in whole.values()]
+
+
+def test_a_grid_holds_few_archives_at_once(spark, monkeypatch):
+    """The votes don't depend on how many archives are summed side by side."""
+    from lamina.operators import votes
+
+    df = spark.range(400).selectExpr("id % 9 AS archive_id", "(id div 9) % 3 AS molecule_id", "(id div 27) % 4 AS read_index", "(id div 9) % 3 AS molecule_index", "double(id * id % 17) AS v")
+    run = lambda: sorted(tuple(r) for r in votes.prefix(df, {"v": F.col("v")}, votes.grid(3, 4)).collect())
+    want = run()
+    assert votes.CELLS <= 1 << 18
+    monkeypatch.setattr(votes, "CELLS", 24)
+    assert len(want) == 9 * 12 and run() == want
+
+
+def test_thresholds_and_metrics_see_the_same_scores(spark, monkeypatch):
+    """Sums of another order may put a score above a threshold that it made."""
+    made = []
+    kept = catalog.R.archives
+    monkeypatch.setattr(catalog.R, "archives", lambda *a: made.append(kept(*a).withColumn("energy_score", F.col("energy_score") + F.rand())) or made[-1])
+    found, _ = catalog._candidates(spark, FOLDER)
+    for r in found.where("family = 'known' AND candidate IN ('t98_energy_only', 't95_energy_only', 't93_energy_only')").collect():
+        assert r.known_ecc >= int(r.candidate[1:3]) / 100
