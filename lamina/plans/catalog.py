@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lamina import storage
 from lamina.functions import labels as L
 from lamina.functions import scalars, sequences
 from lamina.operators import audit, conformal, decisions, detectors, distances, features, metrics, models, ordered, resample, selection, structure, thresholds, votes
@@ -547,7 +548,7 @@ def _family(truth: Column) -> Column:
 
 
 def _candidates(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    a = R.archives(spark, sf_dir).withColumn("family", _family(F.col("truth")))
+    a = storage.stored(R.archives(spark, sf_dir).select(_family(F.col("truth")).alias("family"), *_DETECTORS), "archives")  # a score at its threshold must be the same number in both looks
     known = a.where("family = 'known'").select(*_DETECTORS).unpivot([], _DETECTORS, "detector", "score")
     found = {(r["target"], r["detector"]): r["threshold"] for r in thresholds.order_statistics(known, "score", list(selection.TARGETS), ["detector"]).collect()}
     return selection.candidate_metrics(a, "family", selection.registry(_DETECTORS, ("energy_score", "m0")), found), ["HEDGES", "DNA-Aeon", "uncoded"]
