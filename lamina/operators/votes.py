@@ -32,6 +32,20 @@ def merge(parts: DataFrame, values: list[str], archive: list[str] | str = "archi
     return whole.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
 
 
+def _running(x: np.ndarray) -> np.ndarray:
+    """Running sums along axis 1, with what each addition lost added back: a mean that lies on a threshold passes it, in whatever order molecules come (plainly added, it may end just below)."""
+    total, lost, out = np.zeros_like(x[:, 0]), np.zeros_like(x[:, 0]), np.empty_like(x)
+    with np.errstate(invalid="ignore"):
+        for i in range(x.shape[1]):
+            new = x[:, i]
+            both = total + new
+            rest = both - total
+            lost += (total - (both - rest)) + (new - rest)
+            total = both
+            out[:, i] = np.where(np.isfinite(lost), total + lost, total)  # sums that are infinite or NaN lose nothing
+    return out
+
+
 def _grid(packed: DataFrame, keys: list[str], names: list[str], settings: list[tuple[int, int]]) -> DataFrame:
     """keys, m, q, the votes, molecules and reads of every setting, from rows with an array of reads (molecule index, read index, values)."""
     most_m, most_q = max(m for m, _ in settings), max(q for _, q in settings)
@@ -57,7 +71,7 @@ def _grid(packed: DataFrame, keys: list[str], names: list[str], settings: list[t
                     x = np.asarray(v.fill_null(0.0).to_numpy(zero_copy_only=False), "f8")
                     size = np.bincount(cell[some], minlength=n * most_m * most_q).reshape(shape).cumsum(2)
                     total = np.bincount(cell, weights=x, minlength=n * most_m * most_q).reshape(shape).cumsum(2)
-                    mean = np.divide(total, size, out=np.zeros(shape), where=size > 0).cumsum(1)[:, at_m, at_q]
+                    mean = _running(np.divide(total, size, out=np.zeros(shape), where=size > 0))[:, at_m, at_q]
                     voters = (size > 0).cumsum(1)[:, at_m, at_q]
                     columns.append((np.divide(mean, voters, out=np.zeros(mean.shape), where=voters > 0), voters == 0))
                 kept = np.flatnonzero(reads_.ravel() > 0)

@@ -108,8 +108,8 @@ def prefix_records(spark, sf_dir):
     reads = reads.select("archive_id", "category", F.col("molecule_id").alias("molecule_index"), "read_index", "presence", F.array(*R.logits()).alias("logits"))
     r = pipelines.records(reads, thresholds.Thresholds(R.PRESENCE, R.ENERGY))
     scores = {"stage2_energy", "unknown_score", "max_type_probability", *[f"prob_{k}" for k in L.KNOWN]}
-    even = {"ecc_score", "max_logit"}  # means of a few short decimals, many half-way between two rounded numbers
-    return r.select(*[r6(c, c) if c in scores else r6(F.col(c) + 1e-9, c) if c in even else F.col(c) for c in r.columns])
+    even = {"ecc_score", "max_logit"}  # means of a few short decimals, many half-way between two rounded numbers, some so with 1e-9 too: the digits of noise go first
+    return r.select(*[r6(c, c) if c in scores else r6(F.round(F.col(c) + 1e-9, 12), c) if c in even else F.col(c) for c in r.columns])
 
 
 @query("softmax_argmax", f"""WITH {R.SCORED} SELECT {R._argmax} AS predicted, CAST(count(*) AS BIGINT) AS n, round(avg(greatest(p0, p1, p2, p3)), 6) AS mean_confidence FROM scored GROUP BY 1""")

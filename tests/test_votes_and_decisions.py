@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 from lamina.functions import labels as L
 from lamina.functions import scalars
 from lamina.operators import decisions, thresholds, votes
-from lamina.plans import pipelines
+from lamina.plans import catalog, pipelines
 
 READ = "archive_id string, category string, molecule_index int, read_index int, presence double, logits array<double>"
 
@@ -44,6 +46,25 @@ def test_prefix_vote_equals_an_explicit_mean(spark):
         assert got[str(a), 5, 7] == pytest.approx(x[a].mean())
 
 
+def test_prefix_vote_on_a_threshold_passes_in_any_order_of_molecules(spark):
+    x = [26, 15, 38, 36, 53, 13, 59, 3, 42, 35, 49, 55, 58, 13, 30, 57, 35, 43, 29, 31]  # 36 on average; added one by one as hundredths they end just below 0.36
+    orders = [x, x[::-1], sorted(x), sorted(x, reverse=True), *[np.random.default_rng(i).permutation(x).tolist() for i in range(20)]]
+    assert np.cumsum([n / 100 for n in x])[-1] / 20 < 0.36
+    rows = [(a, m, 0, n / 100) for a, order in enumerate(orders) for m, n in enumerate(order)] + [(-1, m, 0, v) for m, v in enumerate((1.0, float("inf"), 2.0))]
+    df = spark.createDataFrame(rows, "archive_id long, molecule_index int, read_index int, v double")
+    got = {(r.archive_id, r.m): r.v for r in votes.prefix(df, {"v": F.col("v")}, [(20, 1), (1, 1)], molecule="molecule_index").collect()}
+    assert [got[a, 20] for a in range(len(orders))] == [0.36] * len(orders)
+    assert got[-1, 20] == float("inf") and got[-1, 1] == 1.0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_prefix_records_round_up_what_lies_half_way(spark, tmp_path):
+    """The mean of this archive's largest logit is 5.551297499, which with the nudge of 1e-9 is half-way between two numbers of six places."""
+    spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").where("l_suppkey = 44").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalog.QUERIES["prefix_records"](spark, str(tmp_path)).where("M = 20 and q = 20").collect()
+    assert [r.max_logit for r in rows] == [5.551298]
+
+
 def test_scalar_scores(spark):
     x = np.array([[0.0, 0, 0, 0], [1000, 0, -1000, 5], [1, 2, 3, 3]])
     df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
