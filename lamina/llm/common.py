@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -31,10 +32,28 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Each query that is run inside deletes the files of its shuffles as it ends. Otherwise they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet into a new folder of the shared checkpoint folder and read back: later plans read only the columns they need, and retried tasks find the same rows in the same order."""
     folder = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    with shuffles_deleted(df.sparkSession):
+        df.write.parquet(folder)
     out = df.sparkSession.read.parquet(folder)
     out._written_to = folder
     return out

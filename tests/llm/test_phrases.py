@@ -1,6 +1,7 @@
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -76,6 +77,24 @@ def test_lists_are_deleted_when_they_are_used_up(spark, tmp_path):
     assert not [x for x in set(os.listdir(folder)) - there if x.startswith(("phrases-lists", "phrases-words"))]
 
 
+def test_shuffles_of_written_tables_are_deleted(spark):
+    from lamina.llm import common
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles().mkString("\n").split("\n")
+        return {f for f in files if "/shuffle_" in f}
+
+    there, before = shuffled(), spark.conf.get(common._CLEANUP, None)
+    df = common.written(spark.range(1000).repartition(3, "id"), "shuffle-test")
+    until = time.time() + 20
+    while shuffled() - there and time.time() < until:  # executors are told without waiting for them
+        time.sleep(0.1)
+    assert not shuffled() - there and df.count() == 1000
+    assert spark.conf.get(common._CLEANUP, None) == before
+
+
 def test_large_numbers_are_exact(spark):
     """Products that pass 64 bits: the score's own expression on made frequencies is held by integers."""
     a, n, l, r = 3 * 10**12 + 7, 9 * 10**15 + 1, 4 * 10**12 + 3, 5 * 10**12 + 9
