@@ -1,7 +1,7 @@
 """Votes of archives that event time closes.
 
-An archive is what one key sent in one window of event time. Its state is a sum and a count for each molecule, so it grows with
-molecules, not reads; a timer at the window's end gives the two-level vote and clears the state. Time goes by
+An archive is what one key sent in one window of event time. Its state is a list to which each batch adds a sum and a count for each molecule
+it has reads of, in one call, so it grows with molecules, not reads; a timer at the window's end adds them up, gives the two-level vote and clears the state. Time goes by
 the ends of windows: a window is closed once rows were seen whose window ends more than ``delay`` behind it. Rows of a window
 that is still open count however late they are; rows of a closed one are dropped, and counted by the engine.
 
@@ -25,11 +25,11 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class _Molecules(StatefulProcessor):
-    """Sums and counts per molecule, and a timer at the window's end."""
+    """Sums and counts per molecule of each batch, and a timer at the window's end. A call to the state costs more than thousands of rows do, so there is one for a batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.molecules = handle.getMapState("molecules", "molecule string", "total double, valued long, reads long")
+        self.sums = handle.getListState("sums", "molecule string, total double, valued long, reads long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         added: dict[str | None, list] = {}
@@ -40,19 +40,22 @@ class _Molecules(StatefulProcessor):
                     found[0] += value
                     found[1] += 1
                 found[2] += 1
-        for molecule, (total, valued, reads) in added.items():
-            if self.molecules.containsKey((molecule,)):
-                before = self.molecules.getValue((molecule,))
-                total, valued, reads = total + before[0], valued + before[1], reads + before[2]
-            self.molecules.updateValue((molecule,), (total, valued, reads))
+        if added:
+            self.sums.appendList([(molecule, *sums) for molecule, sums in added.items()])
         self.handle.registerTimer(int(key[1]))  # the same time again is the same timer
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found = [state for _, state in self.molecules.iterator()]
-        means = [total / valued for total, valued, _ in found if valued]
-        self.molecules.clear()
-        yield pd.DataFrame({"archive": [key[0]], "closes": [int(key[1])], "molecules": [len(means)], "reads": [sum(r for _, _, r in found)], "vote": [sum(means) / len(means) if means else None]}).astype({"vote": "float64"})
+        found: dict[str, list] = {}
+        reads = 0
+        for molecule, total, valued, n in self.sums.get():
+            sums = found.setdefault(molecule, [0.0, 0])
+            sums[0] += total
+            sums[1] += valued
+            reads += n
+        means = [total / valued for total, valued in found.values() if valued]
+        self.sums.clear()
+        yield pd.DataFrame({"archive": [key[0]], "closes": [int(key[1])], "molecules": [len(means)], "reads": [reads], "vote": [sum(means) / len(means) if means else None]}).astype({"vote": "float64"})
 
     def close(self) -> None:
         pass

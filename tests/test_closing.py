@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 
 from lamina.streaming import closing
@@ -70,3 +71,39 @@ def test_a_batch_that_failed_is_taken_again_and_counts_once(spark, tmp_path):
     assert failed == [2]
     closing.run_available(stream(spark, tmp_path), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert votes_of(spark, f"{tmp_path}/out") == plain(rows)
+
+
+class Calls:
+    """A state and a handle that count what they are asked."""
+
+    def __init__(self):
+        self.rows, self.n = [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.n += 1
+
+    def appendList(self, rows):
+        self.n += 1
+        self.rows += rows
+
+    def get(self):
+        self.n += 1
+        return iter(self.rows)
+
+    def clear(self):
+        self.n += 1
+        self.rows = []
+
+
+def test_calls_to_the_state_do_not_grow_with_molecules():
+    state, votes = Calls(), closing._Molecules()
+    votes.init(state)
+    for batch in range(3):
+        frames = (pd.DataFrame({"molecule": [str(m) for m in range(1000)], "value": [float(m + batch)] * 1000}) for m in (1, 2))
+        assert list(votes.handleInputRows(("a", 7), frames, None)) == []
+    assert len(state.rows) == 3000 and state.n == 6  # a sum for each molecule and batch; an addition and a timer for each batch
+    got = next(votes.handleExpiredTimer(("a", 7), None, None)).to_dict("records")
+    assert got == [{"archive": "a", "closes": 7, "molecules": 1000, "reads": 6000, "vote": 2.5}] and state.n == 8 and state.rows == []
