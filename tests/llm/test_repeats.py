@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lamina.llm import repeats
@@ -115,3 +116,58 @@ def test_given_table_equals_sql(spark):
     want = sorted(c.sql(f"select doc_id, n_words, n_removed, kept_sha256 from ({repeats.ORACLE})").fetchall(), key=repr)
     found = got(repeats.op12_substring_dedup(spark, FOLDER))
     assert found == want and sum(r[2] for r in found) > 0
+
+
+def test_hashes_and_windows_are_grouped_from_sorted_rows(spark):
+    """Not by aggregation in tables of objects."""
+    df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    plan = repeats._edges(repeats._texts(df), 3, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and plan.count("Sort [") == 3
+
+
+def test_words_of_many_texts_at_once():
+    r = random.Random(5)
+    letters = ["a", "b", "ß", "日", "\x00", "\x1c", "\x85", "\xa0", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r"]
+    texts = ["".join(r.choices(letters, k=r.choice([0, 1, 5, 90]))).encode() for _ in range(300)]
+    texts += [b"", b" ", b"x" * 63, b"x" * 64, b"x" * 65, b"x" * 200 + b" " + b"x" * 199, b"x" * 8 + b" " + b"x" * 9, b"\xff\xfe \x00\x00 \x00", b""]
+    found = repeats.Words(texts)
+    hashes, again = found.hashes(0), repeats.Words(texts[::-1]).hashes(0)
+    plain = [t.split() for t in texts]
+    assert [found.data[a:b].tobytes() for a, b in zip(found.starts, found.ends)] == [w for x in plain for w in x]
+    assert np.diff(found.bounds).tolist() == [len(x) for x in plain] and found.owners().tolist() == [i for i, x in enumerate(plain) for _ in x]
+    data, at = found.spaced()
+    assert data.tobytes() == b"".join(w + b" " for x in plain for w in x) and at[-1] == len(data)
+    by_word = dict(zip((w for x in plain for w in x), hashes.tolist()))
+    assert len(set(by_word.values())) == len(by_word)  # words of one hash are of one text
+    assert [by_word[w] for x in plain[::-1] for w in x] == again.tolist()
+    assert not set(by_word.values()) & set(found.hashes(1).tolist())
+    _, windows, whole = found.windows(0)
+    assert windows[whole].tolist() == [h for x in plain for h in repeats.gram_hashes(np.array([by_word[w] for w in x], "u8"))[1].tolist()]
+
+
+def test_texts_taken_apart_at_once_do_not_share_windows(spark):
+    """Results don't depend on how texts are put together, and words of two texts are no window."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 6, i * 6 + 6))) for i in range(40)] + [(99, " ".join(f"w{j}" for j in range(240)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(repeats.without_repeats(df)) == plain(rows) == sorted([(i, len(t.split()), 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows], key=repr)
+
+
+def test_order_and_search_of_hashes():
+    r = np.random.default_rng(2)
+    a, b, c = r.integers(0, 300, 500).astype("u8"), r.integers(0, 3, 500), r.integers(0, 3, 500)
+    order = repeats.ordered(a, b, c)
+    assert list(zip(a[order], b[order], c[order])) == sorted(zip(a, b, c))
+    assert not len(repeats.ordered(a[:0], b[:0]))
+    wanted = np.unique(r.integers(0, 2**63, 400).astype("u8"))
+    hashes = np.append(wanted[::7], r.integers(0, 2**63, 5000).astype("u8"))
+    at, which = repeats.Among(wanted)(hashes)
+    assert at.tolist() == np.flatnonzero(np.isin(hashes, wanted)).tolist() and (wanted[which] == hashes[at]).all()
+    assert not len(repeats.Among(wanted[:0])(hashes)[0])
+
+
+def test_keys_are_not_cut_by_batches():
+    keys = np.sort(np.random.default_rng(4).integers(0, 20, 300))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 7]), pa.array(np.arange(i, min(i + 7, 300)))], ["k", "i"]) for i in range(0, 300, 7)]
+    parts = list(repeats._whole_keys(iter(batches)))
+    assert np.concatenate([k for k, _ in parts]).tolist() == keys.tolist() and np.concatenate([i for _, i in parts]).tolist() == list(range(300))
+    assert sum(len(np.unique(k)) for k, _ in parts) == len(np.unique(keys)) and not list(repeats._whole_keys(iter([])))
