@@ -392,18 +392,26 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def all_ties(classes: DataFrame, threshold: Threshold = OP9) -> DataFrame:
     """Columns a, b: what collides often enough, tied together."""
-    rows = common.checkpointed(postings(classes, frequent_pairs(classes), threshold))
+    rows = common.written(postings(classes, frequent_pairs(classes), threshold), "postings")
     found = [rows.where("hub is not null").select(F.col("node").alias("a"), F.col("hub").alias("b"))]
-    made = common.checkpointed(ties(rows.where("value is not null"), threshold))
+    made = common.written(ties(rows.where("value is not null"), threshold), "ties")
+    used = [rows, made]
     open_ = rows.where("value is null and hub is null").select("node")
     for level in range(len(BANDS)):
         found.append(made.where("b is not null"))
-        open_ = common.checkpointed(open_.union(made.where("b is null").select("a")).distinct())
+        open_ = common.written(open_.union(made.where("b is null").select("a")).distinct(), "open")
+        used.append(open_)
         if open_.isEmpty():
-            return common.checkpointed(_union(found).where("a <> b").distinct())
-        made = common.checkpointed(ties(banded(classes.join(open_, "node"), level, threshold), threshold, level == len(BANDS) - 1))
+            break
+        made = common.written(ties(banded(classes.join(open_, "node"), level, threshold), threshold, level == len(BANDS) - 1), "ties")
+        used.append(made)
         open_ = made.where("b is null").select(F.col("a").alias("node"))
-    return common.checkpointed(_union([*found, made]).where("a <> b").distinct())
+    else:
+        found.append(made)
+    tied = common.written(_union(found).where("a <> b").distinct(), "tied")
+    for table in used:
+        common.discard(table)
+    return tied
 
 
 def prefixes(flat: np.ndarray, sizes: np.ndarray, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -516,11 +524,11 @@ def links(docs: DataFrame, clusters: DataFrame, words: int = WORDS, threshold: T
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     own = members.where("node <> hub or blocks = 1").withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(block))
     hubs = members.where("node = hub and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    found = common.checkpointed(own.unionByName(hubs).groupBy("cluster", "block").applyInArrow(lambda t: _block(t, False, threshold), "a long, b long"))
+    found = common.written(own.unionByName(hubs).groupBy("cluster", "block").applyInArrow(lambda t: _block(t, False, threshold), "a long, b long"), "links")
     inside = found.where("b is not null")
-    split = common.checkpointed(clusters.where("blocks > 1").select("cluster", "node", "n_shingles", "minima", "blocks"))
+    split = common.written(clusters.where("blocks > 1").select("cluster", "node", "n_shingles", "minima", "blocks"), "split")
     apart = split.join(found.where("b is null").select(F.col("a").alias("node")).distinct(), "node")
-    counts = common.checkpointed(apart.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_CLASSES)).alias("chunks")).join(split.groupBy("cluster").agg(F.count("*").alias("members")), "cluster"))
+    counts = common.written(apart.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_CLASSES)).alias("chunks")).join(split.groupBy("cluster").agg(F.count("*").alias("members")), "cluster"), "counts")
     total = counts.agg(F.sum("members")).first()[0]
     if not total:
         return inside
@@ -545,7 +553,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Threshold =
     tied = all_ties(classes.where((F.col("n_shingles") >= least) & F.col("node").isNotNull()), threshold)
     cluster = components(tied).withColumnRenamed("component", "cluster")
     degree = tied.select(F.col("a").alias("node")).union(tied.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
-    member = common.checkpointed(cluster.join(classes.select("node", "digest", "n_shingles", "minima"), "node").join(degree, "node"))
+    member = common.written(cluster.join(classes.select("node", "digest", "n_shingles", "minima"), "node").join(degree, "node"), "members")
     whole = member.groupBy("cluster").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"), F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"), F.count("*").alias("members"))
     found = links(docs, common.join_hot(member, whole, "cluster", "members", member.count()), words, threshold)
     component = components(found).withColumnRenamed("component", "component_id")

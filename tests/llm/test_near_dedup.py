@@ -1,11 +1,14 @@
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm import near_dedup
+from lamina.llm import common, near_dedup
+from lamina.llm import components as stars
 from lamina.llm.components import components
 
 
@@ -213,6 +216,53 @@ def test_connected_components(spark):
         assert got == {k: v for k, v in root.items() if k in touched}
 
 
+def test_components_leave_no_files_of_earlier_rounds(spark):
+    """Of all rounds one table stays, and no shuffle files: on many partitions these took more disk than the data."""
+    folder = common.checkpoint_folder(spark).removeprefix("file:")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    def folders():
+        return {os.path.join(d, x) for d, names, _ in os.walk(folder) for x in names if not x.startswith("_")}
+
+    shuffles, tables = files(), folders()
+    found = components(spark.range(0, 3000).selectExpr("id as a", "id + 1 as b").repartition(4))
+    deadline = time.time() + 20
+    while files() - shuffles and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - shuffles
+    assert len(folders() - tables) == 1
+    assert [tuple(r) for r in found.groupBy("component").count().collect()] == [(0, 3001)]
+
+
+def test_stars_connect_the_same_nodes_in_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+
+    def reached(a, b):
+        least = {x: x for x in [*a, *b]}
+        while any(least[x] != least[y] for x, y in zip(a, b)):
+            for x, y in zip(a, b):
+                least[x] = least[y] = min(least[x], least[y])
+        return least
+
+    for slice_, hub in ((1000, False), (1, True), (7, False), (7, True)):
+        monkeypatch.setattr(stars, "SLICE", slice_)
+        a, b = np.sort(rng.integers(-300, 300, (2, 400)), axis=0)[::-1]
+        a, b = np.append(a, np.full(50, 900)), np.append(b, rng.integers(-300, 300, 50)) if hub else np.append(b, np.full(50, 850))
+        a, b = a[a > b], b[a > b]
+        order = np.argsort(a, kind="stable")
+        rows = near_dedup.pa.RecordBatch.from_arrays([near_dedup.pa.array(a[order]), near_dedup.pa.array(b[order])], ["a", "b"])
+        got = near_dedup.pa.Table.from_batches(stars._stars(rows.slice(i, 5) for i in range(0, len(a), 5)))
+        ends = got.column("a").to_pylist(), got.column("b").to_pylist()
+        want = reached(a.tolist(), b.tolist())
+        assert all(x > y for x, y in zip(*ends)) and reached(*ends) == want
+        x, y = stars.star(a, b)
+        assert dict(zip(x.tolist(), y.tolist())) == {k: v for k, v in want.items() if k != v}
+
+
 def test_stage_links_from_80_percent_of_five_words(spark):
     words = [f"w{i}" for i in range(1200)]
     other = [f"x{i}" for i in range(1260)]
